@@ -19,8 +19,12 @@ def both_perspectives(games: DataFrame) -> DataFrame:
 
 def win_draw_loss(games: DataFrame) -> DataFrame:
     """(player, wins, draws, losses, games, points, score_rate)."""
-    rows = both_perspectives(games).groupBy("player").agg(F.count_if("won").alias("wins"), F.count_if("drawn").alias("draws"), F.count_if("lost").alias("losses"))
-    rows = rows.withColumn("games", F.col("wins") + F.col("draws") + F.col("losses")).withColumn("points", F.col("wins") + F.col("draws") * F.lit(0.5))
+    return with_points(both_perspectives(games).groupBy("player").agg(F.count_if("won").alias("wins"), F.count_if("drawn").alias("draws"), F.count_if("lost").alias("losses")))
+
+
+def with_points(counts: DataFrame) -> DataFrame:
+    """counts (player, wins, draws, losses) with games, points and score_rate."""
+    rows = counts.withColumn("games", F.col("wins") + F.col("draws") + F.col("losses")).withColumn("points", F.col("wins") + F.col("draws") * F.lit(0.5))
     return rows.withColumn("score_rate", F.when(F.col("games") > 0, F.col("points") / F.col("games")))
 
 
@@ -32,7 +36,12 @@ def leaderboard(standings: DataFrame, anchor: str = "master") -> DataFrame:
 
 def standings(games: DataFrame, anchor: str = "master") -> DataFrame:
     """win_draw_loss with elo against the anchor, its error and the place; the anchor has elo 0 and no error."""
-    rows = win_draw_loss(games)
+    return rate(win_draw_loss(games), anchor)
+
+
+def rate(counts: DataFrame, anchor: str = "master") -> DataFrame:
+    """standings from counts (player, wins, draws, losses)."""
+    rows = with_points(counts)
     own = F.col("player") == anchor
     rows = rows.withColumns({"elo": F.when(own, 0.0).otherwise(elo(F.col("score_rate"))), "elo_error": F.when(~own, elo_error(F.col("games")))})
     return leaderboard(rows, anchor)
