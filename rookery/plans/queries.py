@@ -1,4 +1,4 @@
-"""All queries over the reference tables; importing the modules registers them."""
+"""All queries over the test tables; importing the modules registers them."""
 
 from __future__ import annotations
 
