@@ -36,8 +36,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of each document."""
-    encoded = bpe.encode_documents(docs, tokenizer_path())
-    return bpe.decode_documents(encoded, tokenizer_path()).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    return bpe.encode_documents(docs, tokenizer_path(), decode=True).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
 STAGES = [

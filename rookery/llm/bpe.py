@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -9,15 +11,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rookery.llm.near_dup import texts
+from rookery.llm.chunks import chunked, unpacked
 
 #: A tokenizer file is sent to all tasks; none larger than this is taken.
 TOKENIZER_BYTES = 64 << 20
-#: Words encoded in one call.
+#: Pieces encoded in one call.
 CALL = 4096
+#: Between an ASCII letter and an ASCII sign other than the apostrophe, either way round.
+SIGN = rb"[!-&(-/:-@\[-`{-~]"
+CUT = re.compile(rb"(?<=[A-Za-z])(?=" + SIGN + rb")|(?<=" + SIGN + rb")(?=[A-Za-z])")
 
 
 def tokenizer_file(docs: DataFrame, path: str):
@@ -29,36 +33,76 @@ def tokenizer_file(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(text)
 
 
-def load(text: str) -> Tokenizer:
-    """The tokenizer with truncation and padding off, on one thread."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = Tokenizer.from_str(text)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok
+#: The tokenizer that this Python worker used last, by its file's text: one is built per worker, not per group.
+LOADED: dict[str, Tokenizer] = {}
 
 
-def word_ids(tok: Tokenizer, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit integers."""
+def load(text: str) -> Tokenizer:
+    """The tokenizer with truncation and padding off, on one thread. Special tokens whose text has a letter beside a sign, as
+    `<|endoftext|>`, must be found whole, so words that hold one aren't cut: see word_ids."""
+    if text not in LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        LOADED.clear()
+        tok = LOADED[text] = Tokenizer.from_str(text)
+        tok.no_truncation()
+        tok.no_padding()
+    return LOADED[text]
+
+
+def _joined_ids(tok: Tokenizer, pieces: list[bytes]) -> list[bytes]:
+    """Ids of each piece, from one text of all pieces with spaces between; offsets tell whose each id is."""
     out = []
-    for lo in range(0, len(words), CALL):
-        part = tok.encode_batch([w.decode() for w in words[lo : lo + CALL]], add_special_tokens=False)
-        out += [np.array(e.ids, "<u4").tobytes() for e in part]
+    for lo in range(0, len(pieces), CALL):
+        part = [p.decode() for p in pieces[lo : lo + CALL]]
+        e = tok.encode(" ".join(part), add_special_tokens=False)
+        sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+        owner = np.searchsorted(np.cumsum(sizes) - sizes, at, side="right") - 1
+        raw, end = np.array(e.ids, "<u4").tobytes(), 0
+        for n in (4 * np.bincount(owner, minlength=len(part))).tolist():
+            out.append(raw[end : end + n])
+            end += n
     return out
 
 
+def word_ids(tok: Tokenizer, words: list[bytes]) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit integers.
+
+    A word is cut where an ASCII letter meets an ASCII sign: the tokenizer cuts there too, whatever stands around, so
+    words share pieces. Pieces of ASCII letters alone go to its model as they are, in lower case; all others through
+    the whole tokenizer.
+    """
+    special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
+    whole = lambda w: w.isalpha() or any(t in w for t in special)
+    cut = [[w] if whole(w) else CUT.split(w) for w in words]
+    cut = [[p.lower() if p.isascii() else p for p in ps] for ps in cut]
+    ids: dict[bytes, bytes] = dict.fromkeys(p for ps in cut for p in ps)
+    plain, rest = [], []
+    for p in ids:
+        (plain if p.isalpha() and p.isascii() else rest).append(p)
+    model = tok.model
+    for p in plain:
+        ids[p] = np.array([t.id for t in model.tokenize(p.decode())], "<u4").tobytes()
+    ids.update(zip(rest, _joined_ids(tok, rest), strict=True))
+    return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
+
+
+def bucketed_words(bodies: list[bytes], buckets: int) -> dict[int, list[bytes]]:
+    """Distinct words of a chunk, sorted, by the bucket of the word table that each hashes to."""
+    found: set[bytes] = set()
+    for b in bodies:
+        found.update(b.split())
+    parts: dict[int, list[bytes]] = {}
+    for w in sorted(found):
+        parts.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
+    return parts
+
+
 def _words(buckets: int):
-    """One row per bucket: the chunk's distinct words that hash there, sorted and compressed."""
+    """A row per bucket: the chunk's distinct words there, compressed."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        found: set[bytes] = set()
-        for text in texts(chunk.column("text").combine_chunks()):
-            found.update(text.split())
-        parts: dict[int, list[bytes]] = {}
-        for w in sorted(found):
-            parts.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
+        parts = bucketed_words(unpacked(chunk)[1], buckets)
         c = chunk.column("chunk")[0].as_py()
         return pa.table({
             "bucket": pa.array(list(parts), pa.int32()), "chunk": pa.array([c] * len(parts), pa.int32()),
@@ -79,35 +123,48 @@ def _encode(tokenizer):
         out = []
         for words in lists:
             mine = [ids[w] for w in words]
-            sizes = np.array([len(x) // 4 for x in mine], "<u4").tobytes()
-            out.append(zlib.compress(sizes + b"".join(mine), 1))
-        return pa.table({"chunk": bucket.column("chunk"), "words": bucket.column("words"), "ids": pa.array(out, pa.binary())})
+            sizes = np.array([len(x) // 4 for x in mine], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            flat = np.frombuffer(b"".join(mine), np.uint8).reshape(-1, 4).T.tobytes()
+            out.append(zlib.compress(sizes + flat, 1))
+        return pa.table({"chunk": bucket.column("chunk"), "bucket": bucket.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
 
 
-def _place():
-    """Ids joined back to a chunk's documents, word by word."""
+def _decoded(tok: Tokenizer, raw: list[bytes | None]) -> pa.Array:
+    """Each list of ids joined to the table of pieces by id, in order."""
+    pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+    return pa.array([None if b is None else " ".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in raw], pa.string())
+
+
+def _place(buckets: int, tokenizer, decode: bool):
+    """Ids joined back to a chunk's documents, word by word; then, if asked, decoded from the ids."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
-        ids_of: dict[bytes, bytes] = {}
-        for packed, ids in zip(table.column("words").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            words, raw = zlib.decompress(packed).split(), zlib.decompress(ids)
-            at = len(words) * 4
-            ends = at + 4 * np.cumsum(np.frombuffer(raw[:at], "<u4"), dtype=np.int64)
-            for w, e in zip(words, ends.tolist(), strict=True):
-                ids_of[w] = raw[at:e]
-                at = e
         if not docs.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-        out = [b"".join(map(ids_of.__getitem__, t.split())) for t in texts(docs.column("text").combine_chunks())]
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+            names = ["doc_id", "ids"] + ["decoded"] * decode
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.binary(), pa.string())][: len(names)], names)
+        ids, bodies = unpacked(docs)
+        parts, ids_of = bucketed_words(bodies, buckets), {}
+        for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True):
+            words, raw = parts[bucket], np.frombuffer(zlib.decompress(packed), np.uint8)
+            n = 4 * len(words)
+            sizes = raw[:n].reshape(4, -1).T.copy().view("<u4").reshape(-1)
+            flat = raw[n:].reshape(4, -1).T.tobytes()
+            at = 0
+            for w, end in zip(words, (4 * np.cumsum(sizes, dtype=np.int64)).tolist(), strict=True):
+                ids_of[w] = flat[at:end]
+                at = end
+        out = [b"".join(map(ids_of.__getitem__, b.split())) for b in bodies]
+        del ids_of, bodies, parts
+        cols = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())}
+        return pa.table(cols | ({"decoded": _decoded(load(tokenizer.value), out)} if decode else {}))
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, ids) per row: ids of the whole text as little-endian unsigned 32-bit integers, without special tokens added.
+def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20, decode: bool = False) -> DataFrame:
+    """(doc_id, ids) per row, with `decoded` as decode_documents gives it if asked for: ids of the whole text as little-endian unsigned 32-bit integers, without special tokens added.
 
     Text is split into words at spaces and 0x09-0x0D, over which no step of the tokenizer reaches, so a text's ids are
     its words' ids end to end. Documents are dealt into chunks of about chunk_bytes; a chunk sends each of its distinct
@@ -117,13 +174,11 @@ def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20) ->
     Null and empty texts have no ids. Repeated rows and null ids are kept row by row; other columns are ignored.
     """
     tokenizer = tokenizer_file(docs, path)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(16, -(-int(size) // chunk_bytes))
-    by_chunk = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).groupBy("chunk")
+    packed, chunks = chunked(docs, chunk_bytes)
+    by_chunk = packed.groupBy("chunk")
     words = by_chunk.applyInArrow(_words(chunks), "bucket int, chunk int, words binary")
-    table = words.groupBy("bucket").applyInArrow(_encode(tokenizer), "chunk int, words binary, ids binary")
-    return by_chunk.cogroup(table.groupBy("chunk")).applyInArrow(_place(), "doc_id long, ids binary")
+    table = words.groupBy("bucket").applyInArrow(_encode(tokenizer), "chunk int, bucket int, ids binary")
+    return by_chunk.cogroup(table.groupBy("chunk")).applyInArrow(_place(chunks, tokenizer, decode), "doc_id long, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -135,9 +190,8 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer.value)
-        pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
         for batch in batches:
-            out = [None if b is None else " ".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            out = _decoded(tok, batch.column("ids").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, "doc_id long, ids binary, decoded string")

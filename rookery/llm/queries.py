@@ -68,8 +68,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
-    decoded = bpe.decode_documents(encoded, tokenizer_path())
+    decoded = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), decode=True)
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

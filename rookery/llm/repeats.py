@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rookery.llm.near_dup import texts
+from rookery.llm.chunks import chunked, unpacked
 from rookery.llm.words import WordHashes, window_hashes
 
 #: Words of the short prefix by which suffixes are first split.
@@ -26,36 +26,34 @@ def anchors(words: np.ndarray, depth: int, prefix: int = PREFIX) -> np.ndarray:
 
 
 class Chunk:
-    """The documents of one chunk end to end, in order of doc_id: word hashes, and the windows that lie inside one document."""
-
-    def __init__(self, table: pa.Table, depth: int, hashes: WordHashes):
-        ids = table.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i], i))
-        bodies = texts(table.column("text").combine_chunks())
-        self.ids = [ids[i] for i in order]
-        self.words = [bodies[i].split() for i in order]
+    """The documents of one chunk by doc_id: words, and for each window of `depth` words in one document its path and its anchor, as asked for."""
+
+    def __init__(self, table: pa.Table, depth: int, paths: bool = False, with_anchors: bool = False):
+        self.ids, bodies = unpacked(table)
+        self.words = [b.split() for b in bodies]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.depth = depth
-        path, anchor, doc, at = [], [], [], []
-        for d, w in enumerate(self.words):
+        hashes, path, anchor = WordHashes(), [], []
+        for w in self.words:
             if len(w) >= depth:
                 h = hashes.of(w)
-                path.append(window_hashes(h, depth))
-                anchor.append(anchors(h, depth))
-                doc.append(np.full(len(w) - depth + 1, d, np.int64))
-                at.append(np.arange(len(w) - depth + 1, dtype=np.int64))
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.path, self.anchor = join(path, np.uint64), join(anchor, np.uint64)
-        self.doc, self.at = join(doc, np.int64), join(at, np.int64)
+                if paths:
+                    path.append(window_hashes(h, depth))
+                if with_anchors:
+                    anchor.append(anchors(h, depth))
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
+        self.path, self.anchor = join(path), join(anchor)
+        n = np.maximum(self.sizes - depth + 1, 0)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        self.at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
-    def first_leaves(self) -> np.ndarray:
-        """Index of the earliest window of each distinct path of this chunk; windows stand in order of (doc, at)."""
-        return np.unique(self.path, return_index=True)[1]
+    def first_leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct paths, index of the earliest window of each); windows stand in order of (doc, at)."""
+        return np.unique(self.path, return_index=True)
 
 
 def _prefixes(depth: int):
     def run(chunk: pa.Table) -> pa.Table:
-        found = np.unique(Chunk(chunk, depth, WordHashes()).anchor).view(np.int64)
+        found = np.unique(Chunk(chunk, depth, with_anchors=True).anchor).view(np.int64)
         return pa.table({"chunk": pa.array(np.full(len(found), chunk.column("chunk")[0].as_py()), pa.int32()), "prefix": found})
 
     return run
@@ -66,8 +64,8 @@ def _leaves(depth: int):
         empty = pa.table({"chunk": pa.array([], pa.int32()), "path": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "at": pa.array([], pa.int32())})
         if not docs.num_rows or not shared.num_rows:
             return empty
-        c = Chunk(docs, depth, WordHashes())
-        first = c.first_leaves()
+        c = Chunk(docs, depth, paths=True, with_anchors=True)
+        first = c.first_leaves()[1]
         wanted = np.sort(np.asarray(shared.column("prefix"), np.int64).view(np.uint64))
         place = np.minimum(np.searchsorted(wanted, c.anchor[first]), len(wanted) - 1)
         first = first[wanted[place] == c.anchor[first]]
@@ -84,13 +82,12 @@ def _removals(depth: int):
     def run(docs: pa.Table, later: pa.Table) -> pa.Table:
         ids, n, removed, digests, kept_texts = [], [], [], [], []
         if docs.num_rows:
-            c = Chunk(docs, depth, WordHashes())
+            c = Chunk(docs, depth, paths=True)
+            paths, first = c.first_leaves()
+            again = np.zeros(len(paths), bool)
+            again[np.searchsorted(paths, np.asarray(later.column("path"), np.int64).view(np.uint64))] = True
             gone = np.ones(len(c.path), bool)
-            gone[c.first_leaves()] = False
-            known = np.sort(np.asarray(later.column("path"), np.int64).view(np.uint64))
-            if len(known):
-                place = np.minimum(np.searchsorted(known, c.path), len(known) - 1)
-                gone |= known[place] == c.path
+            gone[first] = again
             base = np.concatenate([[0], np.cumsum(c.sizes)])
             edge = np.zeros(base[-1] + 1, np.int32)
             start = base[c.doc[gone]] + c.at[gone]
@@ -109,7 +106,7 @@ def _removals(depth: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) per row: words covered by a run of `depth` words that also starts earlier are removed.
 
     Earlier is a smaller doc_id, or the same document and an earlier start. All is judged on the input.
@@ -125,11 +122,7 @@ def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 8 << 20)
     Documents are dealt into chunks of about chunk_bytes by doc_id. Rows with equal doc_ids share a chunk and are taken in
     the order they come, null ids last. Null texts have no words. Hashes of 64 bits stand for words and paths.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(16, -(-int(size) // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    by_chunk = dealt.groupBy("chunk")
+    by_chunk = chunked(docs, chunk_bytes)[0].groupBy("chunk")
     prefixes = by_chunk.applyInArrow(_prefixes(depth), "chunk int, prefix long")
     shared = prefixes.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("prefix"))).where("n > 1").select("chunk", "prefix")
     leaves = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_leaves(depth), "chunk int, path long, doc_id long, at int")
