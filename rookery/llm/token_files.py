@@ -21,8 +21,36 @@ from rookery.llm.words import MULT
 SHARD_IDS = 1 << 20
 #: A rule is made for pairs seen this often, at most RULES in a round; a round that saves too little is the last.
 LEAST, RULES, ROUNDS, SAVING = 8, 8192, 8, 0.02
-#: Words whose ids a task remembers; beyond it, it forgets them all and goes on.
-REMEMBER = 500_000
+#: Words whose ids a Python worker remembers at most, twice over: see Known.
+REMEMBER = 400_000
+
+
+class Known:
+    """Ids of words met lately, kept by a worker from task to task: a full table becomes the old one, and only words
+    asked for again move on to the next, so that memory is bounded and frequent words stay."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, tok, words: list[list[bytes]]) -> dict[bytes, bytes]:
+        """A table that has all these words."""
+        if len(self.new) > REMEMBER:
+            self.old, self.new = self.new, {}
+        asked = dict.fromkeys(w for ws in words for w in ws if w not in self.new)
+        missing = []
+        for w in asked:
+            ids = self.old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                self.new[w] = ids
+        self.new.update(zip(missing, word_ids(tok, missing), strict=True))
+        return self.new
+
+
+#: By the tokenizer's text.
+WORKERS: dict[str, tuple] = {}
 
 
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,11 +71,16 @@ def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         often = pair[np.bincount(slot, minlength=1 << 20)[slot] >= LEAST]
         found, times = np.unique(often, return_counts=True)
         top = np.argsort(-times, kind="stable")[:RULES]
-        found = np.sort(found[top[times[top] >= LEAST]])
+        found = found[top[times[top] >= LEAST]]
         if not len(found):
             break
-        place = np.minimum(np.searchsorted(found, pair), len(found) - 1)
-        at = np.flatnonzero(found[place] == pair)
+        # of pairs that share a slot the most frequent is taken now, others in a later round
+        table = np.full(1 << 20, -1, np.int32)
+        of = ((found * MULT) >> np.uint64(44)).astype(np.intp)
+        table[of[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]
+        place = table[slot]
+        at = np.flatnonzero(place >= 0)
+        at = at[found[place[at]] == pair[at]]
         new_run = np.concatenate([[True], np.diff(at) > 1])
         run_start = np.maximum.accumulate(np.where(new_run, at, 0))
         at = at[(at - run_start) % 2 == 0]
@@ -118,19 +151,19 @@ def _shard_rows(tokenizer, end_id: int, shard_ids: int):
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, known, end = load(tokenizer.value), {}, np.array([end_id], "<u4").tobytes()
+        if tokenizer.value not in WORKERS:
+            WORKERS.clear()
+            WORKERS[tokenizer.value] = load(tokenizer.value), Known()
+        (tok, table), end = WORKERS[tokenizer.value], np.array([end_id], "<u4").tobytes()
         part, shard, docs, sizes, raw, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
-            bodies = texts(batch.column("text"))
-            for lo in range(0, len(bodies), 256):
-                words = [t.split() for t in bodies[lo : lo + 256]]
-                if len(known) > REMEMBER:
-                    known = {}
-                new = [w for w in dict.fromkeys(w for ws in words for w in ws) if w not in known]
-                known.update(zip(new, word_ids(tok, new), strict=True))
-                for i, ws in enumerate(words, lo):
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                words = [t.split() for t in texts(some.column("text"))]
+                known = table.of(tok, words)
+                for i, ws in zip(some.column("doc_id").to_pylist(), words, strict=True):
                     ids = b"".join(map(known.__getitem__, ws)) + end
-                    docs.append(batch.column("doc_id")[i].as_py())
+                    docs.append(i)
                     sizes.append(len(ids) // 4)
                     raw.append(ids)
                     held += sizes[-1]
