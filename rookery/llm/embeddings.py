@@ -1,100 +1,125 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by projection passes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rookery.llm.components import connected_components
 from rookery.llm.storage import cut, join_dictionary
 
 
-def _signatures(passes: int, bits: int, seed: int):
-    """(id, v, copy, sigs): v of unit length in double precision, copy its bytes, all null for a vector that links with nothing, one sort key per pass."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, v, copy): v of unit length in double precision, copy its bytes, both null for a vector that links with nothing."""
+    for batch in batches:
+        ids, vs, raw = [], [], []
+        for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a = np.asarray([np.nan] if not v or any(x is None for x in v) else v, np.float64)
+            with np.errstate(over="ignore"):
+                size = np.sqrt(a @ a) if np.isfinite(a).all() else 0.0
+            good = np.isfinite(size) and size > 0
+            ids.append(i)
+            vs.append(a / size if good else None)
+            raw.append(a.tobytes() if good else None)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(raw, pa.binary())], ["id", "v", "copy"])
+
+
+def _signed(passes: int, bits: int, seed: int):
+    """(id, v, n, dim, keys): keys has one number of `bits` signs of random projections for each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        weights = 1 << np.arange(bits, dtype=np.int64)[::-1]
         for batch in batches:
-            ids, vs, raw, sigs = [], [], [], []
-            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                a = np.asarray([np.nan] if not v or any(x is None for x in v) else v, np.float64)
-                with np.errstate(over="ignore"):
-                    size = np.sqrt(a @ a) if np.isfinite(a).all() else 0.0
-                ids.append(i)
-                if not np.isfinite(size) or size == 0:
-                    vs.append(None)
-                    raw.append(None)
-                    sigs.append(None)
-                    continue
-                u = a / size
-                if len(u) not in planes:
-                    planes[len(u)] = np.random.default_rng([seed, len(u)]).standard_normal((passes * bits, len(u)))
-                s = (planes[len(u)] @ u >= 0).reshape(passes, bits)
-                vs.append(u)
-                raw.append(a.tobytes())
-                sigs.append([int("".join("01"[b] for b in row), 2) for row in s.astype(int)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(raw, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], ["id", "v", "copy", "sigs"]
-            )
+            keys = []
+            for v in batch.column("v").to_pylist():
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((passes * bits, len(v)))
+                keys.append((planes[len(v)] @ np.asarray(v) >= 0).reshape(passes, bits) @ weights)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["id", "v", "n", "dim", "keys"])
 
     return run
 
 
-def _compare(threshold: float, window: int, passes: int):
-    """One stretch of one pass: links of its own rows to the rows up to `window` places further on.
+def plan_passes(n: int, threshold: float, passes: int, bits: int, window: int, miss: float) -> tuple[int, int]:
+    """(passes, signs in a key) with the least work for n vectors such that a pair at the threshold, which shares a sign
+    with probability 1 - angle / pi, meets in no pass with probability `miss` at most. (1, 0) compares all with all."""
+    p = min(1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 0.999)
+    best, least = (1, 0), float(n)
+    for b in range(1, bits + 1):
+        if p <= 0 or n / 2**b < 1:
+            break
+        k = max(passes, math.ceil(math.log(miss) / math.log1p(-(p**b))))
+        work = k * (n / 2**b + 2 * window)
+        if work < least:
+            best, least = (k, b), work
+    return best
 
-    A pair is counted in the first pass that brings it within the window, which the ranks of all passes tell. Emits (id,
-    links) and, for the components, the pairs that join parts of this stretch not joined before."""
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("rank")
-        k = part.column("pass")[0].as_py()
-        dim = len(part.column("v")[0])
-        v = np.asarray(part.column("v").combine_chunks().flatten(), np.float64)
-        ranks = np.asarray(part.column("ranks").combine_chunks().flatten(), np.int64).reshape(-1, passes)
-        ids = np.asarray(part.column("id"), np.int64)
-        copies = np.asarray(part.column("n"), np.int64)
-        own = np.asarray(part.column("own"), bool)
-        v = v.reshape(-1, dim)
-        n_links = np.zeros(len(ids), np.int64)
-        parent = list(range(len(ids)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def _compare(threshold: float, tile: int = 512):
+    """Two blocks of one bucket of one pass, or one block with itself: every pair is compared.
+
+    A pair is counted in the first pass whose key it shares; tiles that an earlier pass has settled whole are passed over.
+    Emits (id, links) and, for the components, the pairs that join parts of these blocks not joined before."""
 
+    def run(part: pa.Table) -> pa.Table:
+        k, lo, hi = (part.column(c)[0].as_py() for c in ("pass", "lo", "hi"))
+        keys = np.asarray(part.column("keys").combine_chunks().flatten(), np.int64).reshape(part.num_rows, -1)[:, :k]
+        order = np.lexsort(keys.T[::-1]) if k else np.arange(part.num_rows)
+        keys = keys[order]
+        v = np.asarray(part.column("v").combine_chunks().flatten(), np.float64).reshape(part.num_rows, -1)[order]
+        ids = np.asarray(part.column("id"), np.int64)[order]
+        copies = np.asarray(part.column("n"), np.float64)[order]
+        block = np.asarray(part.column("block"), np.int64)[order]
+        n_links = np.zeros(len(ids))
+        label = np.arange(len(ids))
         edges = []
-        for lo in range(0, len(ids), 256):
-            mine = np.flatnonzero(own[lo : lo + 256]) + lo
-            if not len(mine):
-                continue
-            hi = min(len(ids), lo + 256 + window)
-            ok = v[mine] @ v[lo:hi].T >= threshold
-            gap = ranks[lo:hi, k][None, :] - ranks[mine, k][:, None]
-            ok &= (gap > 0) & (gap <= window)
-            x, y = np.nonzero(ok)
-            x, y = mine[x], y + lo
-            new = (np.abs(ranks[x, :k] - ranks[y, :k]) > window).all(axis=1)
-            x, y = x[new], y[new]
-            np.add.at(n_links, x, copies[y])
-            np.add.at(n_links, y, copies[x])
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[b] = a
-                    edges.append((ids[i], ids[j]))
+
+        def tiles(rows: np.ndarray) -> list[tuple]:
+            out = []
+            for at in range(0, len(rows), tile):
+                t = rows[at : at + tile]
+                first, last = keys[t].min(axis=0), keys[t].max(axis=0)
+                out.append((t, v[t], np.where(first == last, first, -1)))
+            return out
+
+        left = tiles(np.flatnonzero(block == lo))
+        right = left if lo == hi else tiles(np.flatnonzero(block == hi))
+        for i, (x, vx, one) in enumerate(left):
+            for j in range(i if lo == hi else 0, len(right)):
+                y, vy, other = right[j]
+                if ((one == other) & (one >= 0)).any():
+                    continue
+                ok = vx @ vy.T >= threshold
+                if lo == hi and i == j:
+                    ok = np.triu(ok, 1)
+                for c in range(k):
+                    if not ok.any():
+                        break
+                    ok &= keys[x, c][:, None] != keys[y, c][None, :]
+                if not ok.any():
+                    continue
+                n_links[x] += ok @ copies[y]
+                n_links[y] += copies[x] @ ok
+                while True:
+                    apart = ok & (label[x][:, None] != label[y][None, :])
+                    rows = np.flatnonzero(apart.any(axis=1))
+                    if not len(rows):
+                        break
+                    for a, b in zip(x[rows].tolist(), y[apart[rows].argmax(axis=1)].tolist(), strict=True):
+                        if label[a] != label[b]:
+                            label[label == label[b]] = label[a]
+                            edges.append((int(ids[a]), int(ids[b])))
         seen = np.flatnonzero(n_links)
         return pa.table({
-            "a": pa.array([*ids[seen].tolist(), *(int(e[0]) for e in edges)], pa.int64()),
-            "b": pa.array([None] * len(seen) + [int(e[1]) for e in edges], pa.int64()),
-            "links": pa.array([*n_links[seen].tolist(), *([0] * len(edges))], pa.int64()),
+            "a": pa.array([*ids[seen].tolist(), *(e[0] for e in edges)], pa.int64()),
+            "b": pa.array([None] * len(seen) + [e[1] for e in edges], pa.int64()),
+            "links": pa.array([*n_links[seen].astype(np.int64).tolist(), *([0] * len(edges))], pa.int64()),
         })
 
     return run
@@ -102,15 +127,17 @@ def _compare(threshold: float, window: int, passes: int):
 
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.95, passes: int = 10, bits: int = 48, window: int = 512, stretch: int = 2048, seed: int = 3,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 1e-6,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Equal vectors form a class that goes on as its smallest id; its members are linked with each other. In each pass the
-    classes are ordered by the signs of `bits` random projections, read from left to right, then id. Every vector is
-    compared with the next `window` ones in double precision, and pairs with cosine >= threshold are links. Ranges of
-    the order with their row counts give each row its rank; rows are dealt by rank into stretches, and a stretch also
-    gets the first `window` rows of the next one, so that no task holds more than stretch + window vectors.
+    signs of some random projections put the classes into buckets, and all pairs of a bucket are compared in double
+    precision, however large it is; pairs with cosine >= threshold are links. The numbers of passes (`passes` at least)
+    and signs (`bits` at most) follow from the counted classes (plan_passes): a pair at the threshold is missed with
+    probability `miss` at most, at any size, and small tables are compared whole. `window` is half the comparisons that
+    bringing a vector into a bucket is reckoned to cost. A bucket of more than `stretch` classes is dealt into blocks by
+    hash, and each task compares one pair of blocks of a bounded number of components, and gives back counts.
     n_links counts vectors, copies included, over the pairs found in any pass, each once. component_id is the smallest
     id reachable by links.
 
@@ -120,35 +147,29 @@ def near_duplicate_vectors(
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    signed = rows.mapInArrow(_signatures(passes, bits, seed), "id long, v array<double>, copy binary, sigs array<long>")
-    signed = cut(signed, "signed")
-    groups = signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep IS NOT NULL")
+    units = cut(rows.mapInArrow(_units, "id long, v array<double>, copy binary"), "units")
+    groups = units.where("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep IS NOT NULL")
     groups = cut(groups, "groups")
     main = groups.groupBy(F.col("rep").alias("id")).agg(F.min("copy").alias("copy"), F.min_by("n", "copy").alias("n"))
-    reps = signed.join(main, ["copy", "id"]).dropDuplicates(["id"])
-    reps = cut(reps.select("id", "v", "n", "sigs", F.size("v").alias("dim")), "reps")
-    keys = reps.select("id", "dim", F.posexplode("sigs").alias("pass", "sig"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(keys.repartitionByRange(parts, "pass", "dim", "sig", "id").withColumn("part", F.spark_partition_id()), "order")
-    counts = dealt.groupBy("pass", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("pass").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    firsts = cut(counts.select(F.struct("pass", "part").alias("cell"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
-    inside = W.partitionBy("pass", "part").orderBy("dim", "sig", "id")
-    ranked = dealt.withColumn("k", F.row_number().over(inside) - 1).withColumn("cell", F.struct("pass", "part"))
-    ranked = join_dictionary(ranked, firsts, "cell").select("id", "pass", (F.col("first") + F.col("k")).alias("rank"))
-    ranks = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "rank"))), lambda s: s["rank"]).alias("ranks"))
-    known = cut(reps.drop("sigs").join(ranks, "id"), "ranked")
-    spread = known.select("id", "v", "n", "dim", "ranks", F.posexplode("ranks").alias("pass", "rank"))
-    piece = F.floor(F.col("rank") / stretch)
-    also = (F.col("rank") % stretch < window) & (piece > 0)
-    spread = spread.withColumn("at", F.explode(F.when(also, F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own")), F.struct((piece - 1).alias("piece"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(piece.alias("piece"), F.lit(True).alias("own"))))))
-    spread = spread.select("id", "v", "n", "dim", "ranks", "pass", "rank", "at.piece", "at.own")
-    found = spread.groupBy("pass", "dim", "piece").applyInArrow(_compare(threshold, window, passes), "a long, b long, links long")
+    reps = units.join(main, ["copy", "id"]).dropDuplicates(["id"])
+    reps = cut(reps.select("id", "v", "n", F.size("v").alias("dim")), "reps")
+    most = reps.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
+    n_passes, n_bits = plan_passes(most, threshold, passes, bits, window, miss)
+    signed = cut(reps.mapInArrow(_signed(n_passes, n_bits, seed), "id long, v array<double>, n long, dim int, keys array<long>"), "signed")
+    spread = signed.select("id", "v", "n", "dim", "keys", F.posexplode("keys").alias("pass", "key")).withColumn("cell", F.struct("pass", "dim", "key"))
+    large = signed.select("dim", F.posexplode("keys").alias("pass", "key")).groupBy("pass", "dim", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > stretch)
+    # 16 blocks make 136 tasks of a bucket, more keep what a task holds bounded
+    blocks = F.greatest(F.lit(16), F.ceil(F.col("size") * F.greatest("dim", F.lit(64)) / (64 * 8 * stretch)))
+    large = cut(large.select(F.struct("pass", "dim", "key").alias("cell"), blocks.alias("blocks")), "large")
+    spread = join_dictionary(spread, large, "cell").drop("cell").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("id", "v", "n", "keys", "pass", "dim", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = spread.groupBy("pass", "dim", "key", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long, links long")
     found = cut(found, "found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "rep")
     told = groups.join(links, "rep", "left").join(comps, "rep", "left")
     told = told.select("copy", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "copy").join(told, "copy", "left")
+    out = units.select("id", "copy").join(told, "copy", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

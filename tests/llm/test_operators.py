@@ -191,6 +191,18 @@ def test_near_vectors_recall_and_edges(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_in_large_groups(spark):
+    """Every link of a group of different near copies far larger than all windows of all passes together, and of a bucket in many blocks."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(16)
+    vecs = [(i, (centre + 0.1 * rng.standard_normal(16)).tolist()) for i in range(600)] + [(i, rng.standard_normal(16).tolist()) for i in range(600, 900)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    want = brute.vectors(vecs)
+    assert max(w[0] for w in want.values()) > 400
+    for window, passes in ((8, 2), (2000, 1)):
+        assert by_id(embeddings.near_duplicate_vectors(df, window=window, passes=passes, stretch=64), "n_links", "component_id", "kept") == want
+
+
 def test_quality_rules(spark, sf, docs):
     got = by_id(queries.op6_quality_rules(spark, sf), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {i: brute.quality_base(t) for i, t in docs}
