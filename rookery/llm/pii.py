@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rookery.llm.storage import BROADCAST_ROWS, cut
+from rookery.llm.storage import BROADCAST_ROWS, cut, join_dictionary
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns with possessive repeats, which match the same and need no stack; the look-behinds
@@ -69,64 +70,65 @@ def pattern_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _context_terms(text: Column, span: Column, reach: int, shortest: int) -> Column:
-    """Terms wholly within `reach` code points before or after a span, on its line: array<struct<term,start,end>>."""
-    left_at = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    cut_left = F.regexp_replace(left, r"(?s)^.*\n", "")
-    cut_left = F.when((left_at > 0) & (F.length(cut_left) == F.length(left)), F.regexp_replace(left, r"^[\p{L}\p{M}\p{N}]+", "")).otherwise(cut_left)
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(reach)), r"(?s)\n.*$", "")
-    right_full = F.length(right) == reach
-    cut_right = F.when(right_full, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}]+$", "")).otherwise(right)
-    term = lambda base: lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"))
-    both = F.concat(
-        F.transform(matches(cut_left, TERM), term(span["start"] - F.length(cut_left))),
-        F.transform(matches(cut_right, TERM), term(span["end"])),
-    )
-    return F.filter(both, lambda t: (F.length(t["term"]) >= shortest) & t["term"].rlike(r"\p{L}"))
+def _occurrences(texts: DataFrame, shortest: int) -> DataFrame:
+    """(copy, term, start, end): every term of texts (copy, text, spans) that no span touches, in code points.
+
+    Places are running sums over a text's terms; a span touches a term if, of those that start before its end, one ends after its start."""
+    values = F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1))
+    steps = F.transform(F.regexp_extract_all("text", F.lit(rf"(?s)(\G.*?{TERM})"), F.lit(1)), F.length)
+    terms = texts.select("copy", F.posexplode(F.arrays_zip(values.alias("value"), steps.alias("step"))).alias("k", "m")).select("copy", "k", "m.value", "m.step")
+    so_far = W.partitionBy("copy").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    terms = terms.withColumn("end", F.sum("step").over(so_far).cast("int")).withColumn("start", (F.col("end") - F.length("value")).cast("int"))
+    terms = terms.select("copy", F.lower("value").alias("term"), "start", "end", F.col("end").alias("at"), F.lit(0).alias("is_span"))
+    spans = texts.select("copy", F.explode("spans").alias("s")).select("copy", F.lit(None).cast("string").alias("term"), "s.start", "s.end", F.col("s.start").alias("at"), F.lit(1).alias("is_span"))
+    before = W.partitionBy("copy").orderBy("at", "is_span").rowsBetween(W.unboundedPreceding, 0)
+    both = terms.unionByName(spans).withColumn("covered", F.max(F.when(F.col("is_span") == 1, F.col("end"))).over(before))
+    free = both.where((F.col("is_span") == 0) & (F.coalesce("covered", F.lit(0)) <= F.col("start")) & (F.length("term") >= shortest))
+    return free.select("copy", "term", "start", "end")
 
 
-def revealing_terms(found: DataFrame, docs_texts: DataFrame, reach: int, shortest: int, threshold: float, support: int) -> DataFrame:
-    """(key, start, end): occurrences of terms beside a protected value that they give away.
+def revealing_terms(found: DataFrame, docs_texts: DataFrame, shortest: int, threshold: float, support: int) -> DataFrame:
+    """(copy, marks): all occurrences of terms that give a protected value away, in each text that holds the value.
 
-    found has (key, text, spans). For a value e and a term t near it, the information t carries about e is
-    PMI = log(n(t,e) N / (n(t) n(e))), in documents; over the self-information log(N / n(e)) it is the share of e
-    that t discloses. A term is revealing for e at `threshold` or more, if `support` different texts hold the pair.
+    found has (copy, text, spans), a row per document, copy telling its text. For a value e and a term t anywhere in the
+    documents that hold e, the information t carries about e is PMI = log(n(t,e) N / (n(t) n(e))), in documents; over the
+    self-information log(N / n(e)) it is the share of e that t discloses. A term is revealing for e at `threshold` or
+    more, if `support` different texts hold the pair; so only texts with a value that `support` texts hold are taken apart.
     """
-    span_rows = found.select("key", "text", F.explode("spans").alias("span"), "spans").where(F.col("span.kind").isin(*KINDS))
-    near = span_rows.select(
-        "key", F.md5("text").alias("copy"), F.concat_ws(":", F.col("span.kind"), F.lower("span.value")).alias("e"),
-        F.explode(F.filter(_context_terms(F.col("text"), F.col("span"), reach, shortest), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))).alias("t"),
-    ).select("key", "copy", "e", "t.term", "t.start", "t.end")
-    near = cut(near, "near")
-    by_copy = near.groupBy("term", "e", "copy").agg(F.count_distinct("key").alias("n"))
-    pairs = cut(by_copy.groupBy("term", "e").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= support), "pairs")
+    texts = cut(found.groupBy("copy").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("spans").alias("spans")), "texts")
+    names = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    held = texts.select("copy", "n", F.explode(names).alias("e"))
+    shared = cut(held.groupBy("e").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= support).drop("copies"), "shared")
+    none = texts.select("copy", F.array().cast("array<struct<start:int,end:int>>").alias("marks")).limit(0)
+    if shared.isEmpty():
+        return none
+    held = cut(join_dictionary(held, shared, "e", "inner"), "held")
+    free = cut(_occurrences(texts.join(held.select("copy").distinct(), "copy", "left_semi"), shortest), "terms")
+    near = cut(free.select("copy", "term").distinct().join(held, "copy"), "near")
+    pairs = near.groupBy("term", "e").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("copies"), F.first("n_e").alias("n_e"))
+    pairs = cut(pairs.where(F.col("copies") >= support), "pairs")
     if pairs.isEmpty():
-        return near.select("key", "start", "end").limit(0)
-    terms = cut(pairs.select(F.col("term").alias("w")).distinct(), "terms")
-    words = docs_texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), F.lit(1)))).alias("w"))
+        return none
+    terms = cut(pairs.select(F.col("term").alias("w")).distinct(), "words")
+    words = docs_texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), F.lower))).alias("w"))
     n_t = words.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))  # counted before it meets the terms: frequent ones are one row by then
     n_t = n_t.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "w", "left_semi")
-    n_e = near.groupBy("e").agg(F.count_distinct("key").alias("n_e"))
     n_docs = docs_texts.count()
-    told = pairs.join(n_t, pairs["term"] == n_t["w"]).join(n_e, "e")
+    # one row per word against the values of its pairs: a word in very many pairs is spread over tasks
+    told = join_dictionary(pairs, cut(n_t.withColumnRenamed("w", "term"), "n_t"), "term", "inner")
     self_information = F.log(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
     pmi = F.log(F.col("n_te") * float(n_docs) / (F.col("n_t").cast("double") * F.col("n_e")))
-    told = told.where((self_information > 0) & (pmi >= threshold * self_information)).select("term", "e")
-    return near.join(told, ["term", "e"], "left_semi").select("key", "start", "end").distinct()
-
-
-def _key(doc_id: Column, text: Column) -> Column:
-    return F.concat_ws(":", doc_id.cast("string"), F.md5(text))
+    told = cut(told.where((self_information > 0) & (pmi >= threshold * self_information)).select(F.struct("term", "e").alias("pair")).withColumn("told", F.lit(True)), "told")
+    hits = join_dictionary(near.select("copy", "term", F.struct("term", "e").alias("pair")), told, "pair", "inner").select("copy", "term").distinct()
+    return free.join(hits, ["copy", "term"], "left_semi").groupBy("copy").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("marks"))
 
 
-def _searched(docs: DataFrame, reach: int, shortest: int, threshold: float, support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows (doc_id, text), those with pattern spans (key, doc_id, text, spans), and (key, marks) of those beside which terms reveal a value."""
+def _searched(docs: DataFrame, shortest: int, threshold: float, support: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (doc_id, text), those with pattern spans (copy, doc_id, text, spans), and (copy, marks) of the texts in which terms reveal a value."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = rows.withColumn("spans", pattern_spans(F.col("text"))).where(F.size("spans") > 0)
-    found = cut(based.select(_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", "text", "spans"), "found")
-    marks = revealing_terms(found, rows, reach, shortest, threshold, support)
-    return rows, found, cut(marks.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("marks")), "marks")
+    found = cut(based.select(F.md5("text").alias("copy"), "doc_id", "text", "spans"), "found")
+    return rows, found, cut(revealing_terms(found, rows, shortest, threshold, support), "marks")
 
 
 def _term_spans() -> Column:
@@ -134,16 +136,16 @@ def _term_spans() -> Column:
     return F.transform(marks, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lit("").alias("value"))).cast(f"array<{SPAN}>")
 
 
-def find_personal_data(docs: DataFrame, reach: int = 64, shortest: int = 3, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, shortest: int = 1, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """docs' doc_id and text with spans array<SPAN>: pattern spans by kind and start, then `term` spans by start.
 
     Every whole text is searched; null texts are empty. Counts cover all documents, copies included, while support counts
-    different texts, so that a page copied a thousand times proves nothing. Terms are marked only beside a value
-    found in the same document: a document without personal data stays as it is. Repeated rows and equal doc_ids get
+    different texts, so that a page copied a thousand times proves nothing. A term is marked wherever it stands in a
+    document that holds the value it gives away: a document without personal data stays as it is. Repeated rows and equal doc_ids get
     the spans of their own text. An empty table gives an empty result.
     """
-    rows, found, marks = _searched(docs, reach, shortest, threshold, support)
-    with_pii = found.join(marks, "key", "left").select("doc_id", "text", F.concat("spans", _term_spans()).alias("spans"))
+    rows, found, marks = _searched(docs, shortest, threshold, support)
+    with_pii = found.join(marks, "copy", "left").select("doc_id", "text", F.concat("spans", _term_spans()).alias("spans"))
     clean = rows.where(~has_personal_data(F.col("text"))).select("doc_id", "text", F.array().cast(f"array<{SPAN}>").alias("spans"))
     return with_pii.unionByName(clean)
 
@@ -165,14 +167,14 @@ def redact(text: Column, spans: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
-def redacted_documents(docs: DataFrame, reach: int = 64, shortest: int = 3, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def redacted_documents(docs: DataFrame, shortest: int = 1, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """docs, all columns, with found spans replaced in text and n_chars, if there is one, set to the new length.
 
     Rows without personal data are passed on as they are, null texts too."""
-    marks = _searched(docs, reach, shortest, threshold, support)[2].withColumnRenamed("key", "__key")
+    marks = _searched(docs, shortest, threshold, support)[2].withColumnRenamed("copy", "__copy")
     spanned = docs.withColumn("__spans", F.coalesce(pattern_spans(F.col("text")), F.array().cast(f"array<{SPAN}>")))
     clean, dirty = spanned.where("size(__spans) = 0"), spanned.where("size(__spans) > 0")
-    dirty = dirty.withColumn("__key", _key(F.col("doc_id"), F.col("text"))).join(marks, "__key", "left")
+    dirty = dirty.withColumn("__copy", F.md5("text")).join(marks, "__copy", "left")
     dirty = dirty.withColumn("text", redact(F.col("text"), F.concat("__spans", _term_spans())))
     if "n_chars" in docs.columns:
         dirty = dirty.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

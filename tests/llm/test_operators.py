@@ -171,6 +171,21 @@ def test_revealing_terms(spark):
     assert "<TERM> <TERM> from <EMAIL> with" in {r.doc_id: r.text for r in pii.redacted_documents(df).collect()}[0]
 
 
+def test_revealing_terms_anywhere(spark):
+    """A name on another line, a short one far away and a number, all of their occurrences, but not where the value is missing."""
+    far = "plain words " * 20
+    rows = [(i, f"Name: Quagga {i}x\nEmail: jo@ex.am\n{far}by Bo, plot 4711. QUAGGA quagga@ex.am-quagga {i}y") for i in range(4)]
+    rows += [(i, f"name and email by {far} plot {i}x") for i in range(4, 300)]
+    df = spark.createDataFrame([*rows, (300, rows[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    for i in (0, 1, 2, 3, 300):
+        text = got[i].text
+        assert [text[s.start : s.end] for s in got[i].spans if s.kind == "term"] == ["Quagga", "Bo", "4711", "QUAGGA"]
+    assert not any(got[i].spans for i in range(4, 300))
+    out = {r.doc_id: r.text for r in pii.redacted_documents(df).collect()}
+    assert out[1] == f"Name: <TERM> 1x\nEmail: <EMAIL>\n{far}by <TERM>, plot <TERM>. <TERM> <EMAIL> 1y"
+
+
 def test_near_vectors(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert by_id(queries.op5_near_vectors(spark, sf), "n_links", "component_id", "kept") == brute.vectors(rows)
