@@ -2,111 +2,218 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from rookery.llm.chunks import chunked, unpacked
+from rookery.llm.chunks import chunked, tasks_for, unpacked
 
 #: A tokenizer file is sent to all tasks; none larger than this is taken.
 TOKENIZER_BYTES = 64 << 20
 #: Pieces encoded in one call.
 CALL = 4096
-#: Between an ASCII letter and an ASCII sign other than the apostrophe, either way round.
-SIGN = rb"[!-&(-/:-@\[-`{-~]"
-CUT = re.compile(rb"(?<=[A-Za-z])(?=" + SIGN + rb")|(?<=" + SIGN + rb")(?=[A-Za-z])")
+#: Pieces whose ids a Python worker remembers at most, twice over: a full table becomes the old one, and only pieces met again move on.
+PIECES = 300_000
+#: The steps before the model for which word by word is the same as the whole text: no step reaches over white space.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Letters below this (Latin, Greek, Cyrillic) are the same in all versions of Unicode in use.
+SETTLED = 0x530
 
 
 def tokenizer_file(docs: DataFrame, path: str):
-    """The file's text as a broadcast, after a check of its size."""
+    """The file's text as a broadcast, after a check of its size, and that it may be applied word by word: other files are refused."""
     with open(path, encoding="utf-8") as f:
         text = f.read(TOKENIZER_BYTES + 1)
     if len(text) > TOKENIZER_BYTES:
         raise ValueError(f"{path}: a tokenizer file of over {TOKENIZER_BYTES} bytes isn't broadcast")
+    spec = json.loads(text)
+    model = spec["model"]
+    if spec["normalizer"] != NORMALIZER or (spec["pre_tokenizer"] or {}).get("pretokenizers") != SPLITTERS or model["type"] != "BPE" or model.get("dropout"):
+        raise ValueError(f"{path}: its normalizer, pre-tokenizer or model may reach over white space, so words can't be encoded apart")
     return docs.sparkSession.sparkContext.broadcast(text)
 
 
-#: The tokenizer that this Python worker used last, by its file's text: one is built per worker, not per group.
-LOADED: dict[str, Tokenizer] = {}
+#: The encoder that this Python worker used last, by its file's text: one is built per worker, not per group.
+LOADED: dict[str, WordEncoder] = {}
 
 
-def load(text: str) -> Tokenizer:
-    """The tokenizer with truncation and padding off, on one thread. Special tokens whose text has a letter beside a sign, as
-    `<|endoftext|>`, must be found whole, so words that hold one aren't cut: see word_ids."""
+def load(text: str) -> WordEncoder:
     if text not in LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         LOADED.clear()
-        tok = LOADED[text] = Tokenizer.from_str(text)
-        tok.no_truncation()
-        tok.no_padding()
+        LOADED[text] = WordEncoder(text)
     return LOADED[text]
 
 
-def _joined_ids(tok: Tokenizer, pieces: list[bytes]) -> list[bytes]:
-    """Ids of each piece, from one text of all pieces with spaces between; offsets tell whose each id is."""
-    out = []
-    for lo in range(0, len(pieces), CALL):
-        part = [p.decode() for p in pieces[lo : lo + CALL]]
-        e = tok.encode(" ".join(part), add_special_tokens=False)
-        sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
-        at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-        owner = np.searchsorted(np.cumsum(sizes) - sizes, at, side="right") - 1
-        raw, end = np.array(e.ids, "<u4").tobytes(), 0
-        for n in (4 * np.bincount(owner, minlength=len(part))).tolist():
-            out.append(raw[end : end + n])
-            end += n
-    return out
-
-
-def word_ids(tok: Tokenizer, words: list[bytes]) -> list[bytes]:
-    """Ids of each word as little-endian 32-bit integers.
-
-    A word is cut where an ASCII letter meets an ASCII sign: the tokenizer cuts there too, whatever stands around, so
-    words share pieces. Pieces of ASCII letters alone go to its model as they are, in lower case; all others through
-    the whole tokenizer.
+def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches flat[first : first + n], end to end."""
+    stop = np.cumsum(n)
+    return flat[np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+
+
+def strings(a: pa.Array) -> list[str]:
+    """Python strings of a large_string array without nulls, sliced from one."""
+    stop = np.cumsum(np.asarray(pc.utf8_length(a), np.int64)).tolist()
+    if not len(a):
+        return []
+    _, edges, data = a.buffers()
+    edges = np.frombuffer(edges, np.int64)[a.offset : a.offset + len(a) + 1]
+    text = data.slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes().decode()
+    return [text[x:y] for x, y in zip([0, *stop], stop, strict=False)]
+
+
+class WordEncoder:
+    """Ids of words, as the tokenizer gives them wherever the word stands in a text; truncation and padding are off.
+
+    Words of ASCII and settled letters are taken to pieces by Arrow, with the file's own pattern, and each distinct piece
+    goes to the file's model; what a letter becomes on the way there is asked of the file's normalizer and pre-tokenizer.
+    All other words, and those that hold a special token's text, go through the whole tokenizer.
     """
-    special = [t.content.encode() for t in tok.get_added_tokens_decoder().values()]
-    whole = lambda w: w.isalpha() or any(t in w for t in special)
-    cut = [[w] if whole(w) else CUT.split(w) for w in words]
-    cut = [[p.lower() if p.isascii() else p for p in ps] for ps in cut]
-    ids: dict[bytes, bytes] = dict.fromkeys(p for ps in cut for p in ps)
-    plain, rest = [], []
-    for p in ids:
-        (plain if p.isalpha() and p.isascii() else rest).append(p)
-    model = tok.model
-    for p in plain:
-        ids[p] = np.array([t.id for t in model.tokenize(p.decode())], "<u4").tobytes()
-    ids.update(zip(rest, _joined_ids(tok, rest), strict=True))
-    return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
-
-
-def bucketed_words(bodies: list[bytes], buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words of a chunk, sorted, by the bucket of the word table that each hashes to."""
-    found: set[bytes] = set()
-    for b in bodies:
-        found.update(b.split())
-    parts: dict[int, list[bytes]] = {}
-    for w in sorted(found):
-        parts.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
-    return parts
+
+    def __init__(self, text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tok = Tokenizer.from_str(text)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        settled, self.byte = "", {}
+        for c in map(chr, range(0x80, SETTLED)):
+            low = self.tok.normalizer.normalize_str(c)
+            cut = self.tok.pre_tokenizer.pre_tokenize_str(low)
+            if c.isalpha() and low.isalpha() and len(low) == len(cut) == 1 and pc.utf8_lower(pa.scalar(c)).as_py() == low:
+                settled += c
+                self.byte[ord(low)] = cut[0][0]
+        self.plain = f"^[!-~{settled}]+$"
+        self.cut = f"('s|'t|'re|'ve|'m|'ll|'d|[a-z{settled}]+|[0-9]|[^a-z0-9{settled}]+)"
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = "|".join(special) or "^$"
+
+    def _piece_ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct pieces end to end, number of ids of each)."""
+        names = strings(pieces)
+        if len(self.pieces) > PIECES:
+            self.old, self.pieces = self.pieces, {"": b""}
+        known, old, tokenize, byte = self.pieces, self.old, self.tok.model.tokenize, self.byte
+        out = list(map(known.get, names))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            p = names[i]
+            x = old.get(p)
+            if x is None:
+                x = array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(byte))]).tobytes()
+            known[p] = out[i] = x
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each word's), from texts of many words with spaces between; offsets tell whose each id is."""
+        ids, n = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), CALL):
+            part = words[lo : lo + CALL]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            at = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            owner = np.searchsorted(np.cumsum(sizes) - sizes, at, side="right") - 1
+            ids.append(np.array(e.ids, "<u4"))
+            n.append(np.bincount(owner, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, first, n): word i has the ids flat[first[i] : first[i] + n[i]]; words is a large_string array without nulls."""
+        plain = pc.and_not(pc.match_substring_regex(words, self.plain), pc.match_substring_regex(words, self.special))
+        one = np.asarray(pc.and_(plain, pc.utf8_is_alpha(words)))
+        plain = np.asarray(plain)
+        single, signs, odd = (np.flatnonzero(m) for m in (one, plain & ~one, ~plain))
+        low = pc.utf8_lower(words.take(pa.array(np.concatenate([single, signs]))))
+        marked = pc.split_pattern(pc.replace_substring_regex(low.slice(len(single)), self.cut, "\\1\x00"), "\x00")
+        coded = pa.concat_arrays([low.slice(0, len(single)), marked.flatten()]).dictionary_encode()
+        ids, size = self._piece_ids(coded.dictionary)
+        piece = np.asarray(coded.indices)
+        own = size[piece]
+        flat = gathered(ids, (np.cumsum(size) - size)[piece], own)
+        edge = np.concatenate([np.arange(len(single)), np.asarray(marked.offsets, np.int64) - marked.offsets[0].as_py() + len(single)])
+        stop = np.concatenate([[0], np.cumsum(own)])[edge]
+        rest, n_rest = self._whole(strings(words.take(pa.array(odd))))
+        n = np.zeros(len(words), np.int64)
+        first = np.zeros(len(words), np.int64)
+        at = np.concatenate([single, signs])
+        n[at], first[at] = np.diff(stop), stop[:-1]
+        n[odd], first[odd] = n_rest, len(flat) + np.cumsum(n_rest) - n_rest
+        return np.concatenate([flat, rest]), first, n
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each). Null texts have none. Arrow splits the texts and numbers their distinct words."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        coded = lists.flatten().dictionary_encode()
+        flat, first, n = self.encode(coded.dictionary)
+        word = np.asarray(coded.indices)
+        own = n[word]
+        ends = np.asarray(lists.offsets, np.int64)
+        return gathered(flat, first[word], own), np.diff(np.concatenate([[0], np.cumsum(own)])[ends - ends[0]])
+
+
+def packed_words(words: pa.Array) -> bytes:
+    """Words, which hold no space, as one compressed text; and back."""
+    return zlib.compress(" ".join(words.to_pylist()).encode(), 1)
+
+
+def unpacked_words(body: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([zlib.decompress(body).decode()], pa.large_string()), " ").flatten()
+
+
+def packed_numbers(*parts: np.ndarray) -> bytes:
+    """32-bit integers as four runs of bytes, lowest bytes first, compressed: the empty high bytes come together."""
+    return zlib.compress(b"".join(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in parts), 1)
+
+
+def unpacked_numbers(body: np.ndarray) -> np.ndarray:
+    return body.reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
+class ChunkWords:
+    """A chunk's texts as numbers of its distinct words, which stand by bucket of the word table, then by code points."""
+
+    def __init__(self, bodies: list[bytes], buckets: int):
+        lists = pc.ascii_split_whitespace(pa.array(bodies, pa.large_binary()).cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        ordered = pc.sort_indices(coded.dictionary)
+        names = coded.dictionary.take(ordered)
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in strings(names)), np.int64, len(names))
+        order = np.argsort(bucket, kind="stable")
+        self.words, self.bucket = names.take(pa.array(order)), bucket[order]
+        place = np.empty(len(order), np.int64)
+        place[np.asarray(ordered, np.int64)[order]] = np.arange(len(order))
+        self.word = place[np.asarray(coded.indices)]
+        self.ends = np.asarray(lists.offsets, np.int64)
+
+    def runs(self) -> list[tuple[int, int, int]]:
+        """(bucket, first word, end)."""
+        edge = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1)).tolist() if len(self.bucket) else [0]
+        return [(int(self.bucket[a]), a, b) for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def _words(buckets: int):
     """A row per bucket: the chunk's distinct words there, compressed."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        parts = bucketed_words(unpacked(chunk)[1], buckets)
-        c = chunk.column("chunk")[0].as_py()
+        c = ChunkWords(unpacked(chunk)[1], buckets)
+        runs = c.runs()
         return pa.table({
-            "bucket": pa.array(list(parts), pa.int32()), "chunk": pa.array([c] * len(parts), pa.int32()),
-            "words": pa.array([zlib.compress(b" ".join(p), 1) for p in parts.values()], pa.binary()),
+            "bucket": pa.array([r[0] for r in runs], pa.int32()), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(runs), pa.int32()),
+            "words": pa.array([packed_words(c.words.slice(a, b - a)) for _, a, b in runs], pa.binary()),
         })
 
     return run
@@ -116,16 +223,14 @@ def _encode(tokenizer):
     """A bucket of the table of distinct words: each is encoded once, and each chunk gets the ids of its words back in its order."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        tok = load(tokenizer.value)
-        lists = [zlib.decompress(b).split() for b in bucket.column("words").to_pylist()]
-        distinct = sorted(set().union(*lists))
-        ids = dict(zip(distinct, word_ids(tok, distinct), strict=True))
-        out = []
-        for words in lists:
-            mine = [ids[w] for w in words]
-            sizes = np.array([len(x) // 4 for x in mine], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-            flat = np.frombuffer(b"".join(mine), np.uint8).reshape(-1, 4).T.tobytes()
-            out.append(zlib.compress(sizes + flat, 1))
+        lists = [unpacked_words(b) for b in bucket.column("words").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        flat, first, n = load(tokenizer.value).encode(coded.dictionary)
+        word, at, out = np.asarray(coded.indices), 0, []
+        for own in lists:
+            mine = word[at : at + len(own)]
+            at += len(own)
+            out.append(packed_numbers(n[mine], gathered(flat, first[mine], n[mine])))
         return pa.table({"chunk": bucket.column("chunk"), "bucket": bucket.column("bucket"), "ids": pa.array(out, pa.binary())})
 
     return run
@@ -133,37 +238,41 @@ def _encode(tokenizer):
 
 def _decoded(tok: Tokenizer, raw: list[bytes | None]) -> pa.Array:
     """Each list of ids joined to the table of pieces by id, in order."""
-    pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
-    return pa.array([None if b is None else " ".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in raw], pa.string())
+    pieces = pa.array([tok.id_to_token(i) for i in range(tok.get_vocab_size())], pa.string())
+    ids = np.frombuffer(b"".join(b or b"" for b in raw), "<u4")
+    ends = np.cumsum([0, *(len(b or b"") // 4 for b in raw)])
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.take(pa.array(ids))), " ")
+    return pc.if_else(pa.array([b is not None for b in raw], pa.bool_()), text, pa.scalar(None, pa.string()))
 
 
 def _place(buckets: int, tokenizer, decode: bool):
     """Ids joined back to a chunk's documents, word by word; then, if asked, decoded from the ids."""
 
     def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        names = ["doc_id", "ids"] + ["decoded"] * decode
         if not docs.num_rows:
-            names = ["doc_id", "ids"] + ["decoded"] * decode
             return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.binary(), pa.string())][: len(names)], names)
         ids, bodies = unpacked(docs)
-        parts, ids_of = bucketed_words(bodies, buckets), {}
-        for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            words, raw = parts[bucket], np.frombuffer(zlib.decompress(packed), np.uint8)
-            n = 4 * len(words)
-            sizes = raw[:n].reshape(4, -1).T.copy().view("<u4").reshape(-1)
-            flat = raw[n:].reshape(4, -1).T.tobytes()
-            at = 0
-            for w, end in zip(words, (4 * np.cumsum(sizes, dtype=np.int64)).tolist(), strict=True):
-                ids_of[w] = flat[at:end]
-                at = end
-        out = [b"".join(map(ids_of.__getitem__, b.split())) for b in bodies]
-        del ids_of, bodies, parts
-        cols = {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())}
-        return pa.table(cols | ({"decoded": _decoded(load(tokenizer.value), out)} if decode else {}))
+        c = ChunkWords(bodies, buckets)
+        del bodies
+        size = {b: y - x for b, x, y in c.runs()}
+        n, flat = [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for b, body in sorted(zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True)):
+            raw = np.frombuffer(zlib.decompress(body), np.uint8)
+            n.append(unpacked_numbers(raw[: 4 * size[b]]).astype(np.int64))
+            flat.append(unpacked_numbers(raw[4 * size[b] :]))
+        n, flat = np.concatenate(n), np.concatenate(flat)
+        own = n[c.word]
+        all_ids = gathered(flat, (np.cumsum(n) - n)[c.word], own).astype("<u4").tobytes()
+        ends = (4 * np.concatenate([[0], np.cumsum(own)])[c.ends]).tolist()
+        out = [all_ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        cols = [pa.array(ids, pa.int64()), pa.array(out, pa.binary())]
+        return pa.Table.from_arrays(cols + [_decoded(load(tokenizer.value).tok, out)] * decode, names)
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20, decode: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 4 << 20, decode: bool = False) -> DataFrame:
     """(doc_id, ids) per row, with `decoded` as decode_documents gives it if asked for: ids of the whole text as little-endian unsigned 32-bit integers, without special tokens added.
 
     Text is split into words at spaces and 0x09-0x0D, over which no step of the tokenizer reaches, so a text's ids are
@@ -177,8 +286,9 @@ def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20, dec
     packed, chunks = chunked(docs, chunk_bytes)
     by_chunk = packed.groupBy("chunk")
     words = by_chunk.applyInArrow(_words(chunks), "bucket int, chunk int, words binary")
-    table = words.groupBy("bucket").applyInArrow(_encode(tokenizer), "chunk int, bucket int, ids binary")
-    return by_chunk.cogroup(table.groupBy("chunk")).applyInArrow(_place(chunks, tokenizer, decode), "doc_id long, ids binary" + ", decoded string" * decode)
+    n = tasks_for(chunks)
+    table = words.repartition(n, "bucket").groupBy("bucket").applyInArrow(_encode(tokenizer), "chunk int, bucket int, ids binary")
+    return by_chunk.cogroup(table.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_place(chunks, tokenizer, decode), "doc_id long, ids binary" + ", decoded string" * decode)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -189,7 +299,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     tokenizer = tokenizer_file(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(tokenizer.value)
+        tok = load(tokenizer.value).tok
         for batch in batches:
             out = _decoded(tok, batch.column("ids").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])

@@ -33,18 +33,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Chunks that a task of a shuffle by chunk is meant to take, one after the other.
+TASK_CHUNKS = 4
+
+
+def tasks_for(chunks: int) -> int:
+    """Partitions of a shuffle by chunk: their number follows the data."""
+    return max(8, -(-chunks // TASK_CHUNKS))
+
+
 def chunked(docs: DataFrame, chunk_bytes: int, least: int = 16) -> tuple[DataFrame, int]:
-    """(docs as packed rows by chunk, number of chunks). A document's chunk is drawn by its doc_id; there are as many chunks as
-    keep one at about chunk_bytes of text, `least` at least. Null texts are empty."""
+    """(docs as packed rows, shuffled by chunk; number of chunks). There are as many chunks as keep one at about chunk_bytes of
+    text, `least` at least. A row's chunk is drawn by its doc_id, its text and the partition it is read in, so rows of one doc_id,
+    of none, or copies of one row don't gather in one chunk, and a task that runs again deals alike. Null texts are empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(least, -(-int(size) // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    return dealt.mapInArrow(_pack, SCHEMA), chunks
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    return dealt.mapInArrow(_pack, SCHEMA).repartition(tasks_for(chunks), "chunk"), chunks
 
 
 def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
-    """doc_ids and texts of a chunk, by doc_id, null last, then as they were read."""
+    """doc_ids and texts of a chunk, by doc_id, null last, then by text: an order that doesn't depend on how rows arrive."""
     ids, bodies = [], []
     for own, sizes, body in zip(table.column("doc_ids").to_pylist(), table.column("sizes").to_pylist(), table.column("body").to_pylist(), strict=True):
         text, at = zlib.decompress(body), 0
@@ -52,5 +62,5 @@ def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
             ids.append(i)
             bodies.append(text[at : at + n])
             at += n
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, k))
+    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, bodies[k]))
     return [ids[k] for k in order], [bodies[k] for k in order]

@@ -12,98 +12,97 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from rookery.llm.bpe import load, tokenizer_file, word_ids
-from rookery.llm.near_dup import texts
+from rookery.llm.bpe import load, tokenizer_file
 from rookery.llm.storage import cut, join_dictionary
 from rookery.llm.words import MULT
 
 #: Ids of about this many make a shard with a grammar of its own; a document isn't divided.
 SHARD_IDS = 1 << 20
-#: A rule is made for pairs seen this often, at most RULES in a round; a round that saves too little is the last.
-LEAST, RULES, ROUNDS, SAVING = 8, 8192, 8, 0.02
-#: Words whose ids a Python worker remembers at most, twice over: see Known.
-REMEMBER = 400_000
-
-
-class Known:
-    """Ids of words met lately, kept by a worker from task to task: a full table becomes the old one, and only words
-    asked for again move on to the next, so that memory is bounded and frequent words stay."""
-
-    def __init__(self):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def of(self, tok, words: list[list[bytes]]) -> dict[bytes, bytes]:
-        """A table that has all these words."""
-        if len(self.new) > REMEMBER:
-            self.old, self.new = self.new, {}
-        asked = dict.fromkeys(w for ws in words for w in ws if w not in self.new)
-        missing = []
-        for w in asked:
-            ids = self.old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                self.new[w] = ids
-        self.new.update(zip(missing, word_ids(tok, missing), strict=True))
-        return self.new
-
-
-#: By the tokenizer's text.
-WORKERS: dict[str, tuple] = {}
-
-
-def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+#: A rule takes 12 bytes (two symbols and its length) and each use saves 4: it pays for itself from this many uses on.
+PAYS = 4
+
+
+def _frequent(pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of entries whose pair occurs `least` times or more, that pair's number among them), pairs numbered from the most frequent on."""
+    slot = ((pair * MULT) >> np.uint64(44)).astype(np.int32)  # 2**20 slots: an upper bound on each pair's count
+    at = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least) if len(pair) > 4096 else np.arange(len(pair))
+    coded = pa.array(pair[at]).dictionary_encode()
+    where, found = np.asarray(coded.indices), np.asarray(coded.dictionary)
+    times = np.bincount(where)
+    often = np.flatnonzero(times >= least)
+    # equally frequent ones in scattered order: a long passage's pairs would else give way to each other one by one
+    scattered = ((found[often] * MULT) >> np.uint64(44)).astype(np.int64)
+    rank = np.full(len(times), -1, np.int32)
+    rank[often[np.argsort(scattered - (times[often] << 20), kind="stable")]] = np.arange(len(often))
+    rank = rank[where]
+    kept = rank >= 0
+    return at[kept], rank[kept]
+
+
+def _apart(at: np.ndarray, rank: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ranks) of pairs that may be replaced together: every second one of a run of one pair, then, where pairs
+    overlap, the more frequent one. Of the pairs left, those with fewer than `least` places wait for a later round."""
+    same = (np.diff(at, prepend=-2) == 1) & (np.diff(rank, prepend=-1) == 0)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+    odd = (np.arange(len(at)) - first) % 2 == 1
+    at, rank = at[~odd], rank[~odd]
+    enough = np.bincount(rank)[rank] >= least
+    at, rank = at[enough], rank[enough]
+    if not len(at):
+        return at, rank
+    touch = np.diff(at) == 1
+    beaten = np.zeros(len(at), bool)
+    beaten[1:] |= touch & (rank[1:] > rank[:-1])
+    beaten[:-1] |= touch & (rank[:-1] > rank[1:])
+    at, rank = at[~beaten], rank[~beaten]
+    enough = np.bincount(rank)[rank] >= least
+    return at[enough], rank[enough]
+
+
+def compress(ids: np.ndarray, least: int = PAYS) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(base, symbols, rules, lengths) of an array of ids.
 
-    Nonterminals are numbered from base, one above the largest id. A round finds the most frequent pairs of neighbours,
-    gives each a nonterminal, and replaces them from left to right without overlap. Rule k is the pair rules[k]; it
-    names ids and earlier nonterminals only and stands for lengths[k] ids.
+    Nonterminals are numbered from base, one above the largest id. A round counts pairs of neighbours, gives each that
+    occurs `least` times or more without overlap a nonterminal, and replaces them, the more frequent ones first where
+    they overlap. Rounds go on until no pair is left that a rule would pay for: there is no other stop. Rule k is the
+    pair rules[k]; it names ids and earlier nonterminals only and stands for lengths[k] ids.
+
+    After the first round only pairs that hold a new nonterminal, or that lost a place to an overlap, can have become
+    worth a rule, so later rounds look at those places alone.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     seq = ids.astype(np.uint64)
-    rules, lengths = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        slot = ((pair * MULT) >> np.uint64(44)).astype(np.intp)  # 2**20 slots: an upper bound on each pair's count
-        often = pair[np.bincount(slot, minlength=1 << 20)[slot] >= LEAST]
-        found, times = np.unique(often, return_counts=True)
-        top = np.argsort(-times, kind="stable")[:RULES]
-        found = found[top[times[top] >= LEAST]]
-        if not len(found):
-            break
-        # of pairs that share a slot the most frequent is taken now, others in a later round
-        table = np.full(1 << 20, -1, np.int32)
-        of = ((found * MULT) >> np.uint64(44)).astype(np.intp)
-        table[of[::-1]] = np.arange(len(found), dtype=np.int32)[::-1]
-        place = table[slot]
-        at = np.flatnonzero(place >= 0)
-        at = at[found[place[at]] == pair[at]]
-        new_run = np.concatenate([[True], np.diff(at) > 1])
-        run_start = np.maximum.accumulate(np.where(new_run, at, 0))
-        at = at[(at - run_start) % 2 == 0]
-        used = np.bincount(place[at], minlength=len(found))
-        at = at[used[place[at]] >= LEAST // 2]
-        kept = np.flatnonzero(used >= LEAST // 2)
+    rules, lengths = [np.zeros((0, 2), np.uint64)], np.zeros(0, np.int64)
+    look = np.arange(max(0, len(seq) - 1))
+    made = base
+    while len(look):
+        pair = (seq[look] << np.uint64(32)) | seq[look + 1]
+        index, rank = _frequent(pair, least)
+        candidates = look[index]
+        at, rank = _apart(candidates, rank, least)
         if not len(at):
             break
-        number = np.zeros(len(found), np.uint64)
-        number[kept] = base + len(rules) + np.arange(len(kept))
-        seq[at] = number[place[at]]
-        rest = np.ones(len(seq), bool)
-        rest[at + 1] = False
-        more = np.stack([found[kept] >> np.uint64(32), found[kept] & np.uint64(0xFFFFFFFF)], axis=1)
-        size = np.concatenate([lengths, np.zeros(0, np.int64)])
-        long = lambda s: np.where(s < base, 1, size[np.maximum(s.astype(np.int64) - base, 0)] if len(size) else 1)  # noqa: B023, E731
-        lengths = np.concatenate([lengths, long(more[:, 0]) + long(more[:, 1])])
-        rules = np.concatenate([rules, more])
-        saved = len(at) / len(seq)
-        seq = seq[rest]
-        if saved < SAVING:
-            break
-    return base, seq.astype("<u4"), rules.astype("<u4"), lengths.astype("<u4")
+        used, where = np.unique(rank, return_inverse=True)
+        one = np.zeros(len(used), np.int64)
+        one[where] = at
+        more = np.stack([seq[one], seq[one + 1]], axis=1)
+        size = lambda s: np.where(s < base, 1, lengths[np.maximum(s.astype(np.int64) - base, 0)] if len(lengths) else 1)  # noqa: B023, E731
+        lengths = np.concatenate([lengths, size(more[:, 0]) + size(more[:, 1])])
+        rules.append(more)
+        seq[at] = (made + where).astype(np.uint64)
+        made += len(used)
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        open_again = np.zeros(len(seq), bool)
+        open_again[candidates] = True  # those that lost a place, where they still stand
+        open_again[at] = True
+        # a pair begins at the symbol before a new one too
+        before = np.maximum(np.where(stays[at - 1], at - 1, at - 2), 0)
+        open_again[before] = True
+        seq = seq[stays]
+        look = np.flatnonzero(open_again[stays])
+        look = look[look < len(seq) - 1]
+    return base, seq.astype("<u4"), np.concatenate(rules).astype("<u4"), lengths.astype("<u4")
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
@@ -151,21 +150,17 @@ def _shard_rows(tokenizer, end_id: int, shard_ids: int):
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer.value not in WORKERS:
-            WORKERS.clear()
-            WORKERS[tokenizer.value] = load(tokenizer.value), Known()
-        (tok, table), end = WORKERS[tokenizer.value], np.array([end_id], "<u4").tobytes()
+        encoder, end = load(tokenizer.value), np.array([end_id], "<u4").tobytes()
         part, shard, docs, sizes, raw, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                words = [t.split() for t in texts(some.column("text"))]
-                known = table.of(tok, words)
-                for i, ws in zip(some.column("doc_id").to_pylist(), words, strict=True):
-                    ids = b"".join(map(known.__getitem__, ws)) + end
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.slice(lo, 2048)
+                ids, n = encoder.documents(some.column("text"))
+                ids, stop = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
+                for i, a, b in zip(some.column("doc_id").to_pylist(), (stop - 4 * n).tolist(), stop.tolist(), strict=True):
                     docs.append(i)
-                    sizes.append(len(ids) // 4)
-                    raw.append(ids)
+                    sizes.append((b - a) // 4 + 1)
+                    raw += (ids[a:b], end)
                     held += sizes[-1]
                     if held >= shard_ids:
                         yield packed(part, shard, docs, sizes, raw)

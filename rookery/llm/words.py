@@ -14,7 +14,7 @@ MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX_2 = np.uint64(0x94D049BB133111EB)
 
 #: Words remembered per task; the memory is emptied beyond it and refills.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class WordHashes(dict):
