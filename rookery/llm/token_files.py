@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from rookery.llm.bpe import load, tokenizer_file
+from rookery.llm.bpe import gathered, load, tokenizer_file
 from rookery.llm.storage import cut, join_dictionary
 from rookery.llm.words import MULT
 
@@ -106,16 +106,33 @@ def compress(ids: np.ndarray, least: int = PAYS) -> tuple[int, np.ndarray, np.nd
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids that the symbols stand for."""
+    """The ids that the symbols stand for. Rules that the symbols need are written out once each, those of ids alone first,
+    then those that need written ones only; the symbols' ids are then copied from there."""
     seq = symbols.astype(np.int64)
-    while (deep := seq >= base).any():
-        at = np.arange(len(seq)) + np.concatenate([[0], np.cumsum(deep)[:-1]])
-        out = np.empty(len(seq) + int(deep.sum()), np.int64)
-        pair = rules[seq[deep] - base].astype(np.int64)
-        out[at[~deep]] = seq[~deep]
-        out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq.astype("<u4")
+    left, right = rules[:, 0].astype(np.int64), rules[:, 1].astype(np.int64)
+    need = np.zeros(len(rules), bool)
+    fresh = np.unique(seq[seq >= base]) - base
+    while len(fresh):
+        need[fresh] = True
+        parts = np.unique(np.concatenate([left[fresh], right[fresh]]))
+        parts = parts[parts >= base] - base
+        fresh = parts[~need[parts]]
+    # slot 0 .. base-1 are ids, which stand for themselves
+    used = np.unique(np.concatenate([seq[seq < base], left[need & (left < base)], right[need & (right < base)]]))
+    first, n = np.zeros(base + len(rules), np.int64), np.zeros(base + len(rules), np.int64)
+    first[used], n[used] = np.arange(len(used)), 1
+    flat, held = [used.astype("<u4")], len(used)
+    todo = np.flatnonzero(need)
+    while len(todo):
+        done = (n[left[todo]] > 0) & (n[right[todo]] > 0)
+        now, todo = todo[done], todo[~done]
+        both = np.stack([left[now], right[now]], axis=1).reshape(-1)
+        store = flat[0] if len(flat) == 1 else np.concatenate(flat)
+        more = gathered(store, first[both], n[both])
+        n[base + now] = n[both].reshape(-1, 2).sum(axis=1)
+        first[base + now] = held + np.cumsum(n[base + now]) - n[base + now]
+        flat, held = [store, more], held + len(more)
+    return gathered(np.concatenate(flat), first[seq], n[seq]).astype("<u4")
 
 
 def expand_range(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -176,13 +193,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     Documents are dealt into ranges of doc_id (part) and sorted; about shard_ids ids make a shard. A shard is one row
     of the FORMAT, in Parquet files: the grammar's symbols, rules and expansion lengths, and the documents with their
-    numbers of ids. (part, shard) is the order of the ids. Null doc_ids come first; rows with one doc_id stand in any
-    order, but together. Null texts are empty: end_id alone. An empty table gives files without rows.
+    numbers of ids. (part, shard) is the order of the ids. Null doc_ids come first; rows with one doc_id stand together,
+    in an order drawn from their texts, so that very many of them are dealt over several ranges. Null texts are empty: end_id alone. An empty table gives files without rows.
     """
     tokenizer = tokenizer_file(docs, tokenizer_path)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", F.spark_partition_id()).alias("tie"))
+    # rows of one doc_id may be dealt over several ranges, so that none grows with them
+    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(_shard_rows(tokenizer, end_id, shard_ids), FORMAT).write.option("compression", "zstd").parquet(path)
 
 
@@ -216,9 +234,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
-    """Ids of one document, by expanding only the symbols that cover it; None if it isn't there."""
-    files = spark.read.schema(FORMAT).parquet(path).where(F.array_contains("doc_ids", doc_id)).limit(1).collect()
+def read_document(spark: SparkSession, path: str, doc_id: int | None) -> list[int] | None:
+    """Ids of one document, null doc_ids included, by expanding only the symbols that cover it; None if it isn't there.
+    Of rows that share a doc_id the one that stands first in the files is read."""
+    held = F.exists("doc_ids", lambda i: i.eqNullSafe(F.lit(doc_id).cast("long")))
+    files = spark.read.schema(FORMAT).parquet(path).where(held).orderBy("part", "shard").limit(1).collect()
     if not files:
         return None
     r = files[0]
