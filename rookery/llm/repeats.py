@@ -1,131 +1,326 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees."""
+"""Removal of repeated passages by suffix trees over anchored suffixes, split by prefixes of variable length."""
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rookery.llm.chunks import chunked, unpacked
-from rookery.llm.words import WordHashes, window_hashes
+from rookery.llm.bpe import strings
+from rookery.llm.chunks import chunked, tasks_for, unpacked
+from rookery.llm.storage import cut
+from rookery.llm.words import mix, window_hashes
 
-#: Words of the short prefix by which suffixes are first split.
+#: Words of the shortest prefix.
 PREFIX = 8
+#: Suffixes that a tree, and so a task, is meant to hold: a prefix that more suffixes share is lengthened.
+GROUP = 32_768
+#: Lengths of prefixes: PREFIX, half-way to the depth, and the depth itself.
+LEVELS = 3
+LEFT, OTHER = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
+KEYS = "chunk int, level int, key long, n long"
+PACKS = "bucket int, chunk int, no binary, doc binary, first binary, ids array<long>, anchor binary, windows binary, texts binary"
+WINDOWS = "k1 long, k2 long, lost boolean, doc_id long, chunk int, doc int, first int"
+MARKS = "chunk int, docs array<int>, firsts array<int>, masks array<int>"
 
-def anchors(words: np.ndarray, depth: int, prefix: int = PREFIX) -> np.ndarray:
-    """For each window of `depth` words, the hash of its smallest inner run of `prefix` words. Equal windows have equal anchors."""
-    grams = window_hashes(words, prefix)
-    if len(words) < depth:
-        return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.sliding_window_view(grams, depth - prefix + 1).min(axis=1)
+
+def _u4(a: np.ndarray) -> bytes:
+    return a.astype("<u4").tobytes()
 
 
 class Chunk:
-    """The documents of one chunk by doc_id: words, and for each window of `depth` words in one document its path and its anchor, as asked for."""
+    """The documents of one chunk by doc_id, as numbers of words.
+
+    A window is `depth` words of one document. Its anchor is the run of PREFIX words inside it with the smallest hash, the
+    leftmost of equal ones, so equal windows have equal anchors at equal places. Windows side by side mostly share their
+    anchor: such a run of windows is a part, and its words are the suffix that begins at the anchor, as far as its
+    windows reach, with what they need of the words before it.
+    """
 
-    def __init__(self, table: pa.Table, depth: int, paths: bool = False, with_anchors: bool = False):
+    def __init__(self, table: pa.Table, depth: int, hashed: bool = True):
+        self.depth, self.span = depth, depth - PREFIX
         self.ids, bodies = unpacked(table)
-        self.words = [b.split() for b in bodies]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        hashes, path, anchor = WordHashes(), [], []
-        for w in self.words:
-            if len(w) >= depth:
-                h = hashes.of(w)
-                if paths:
-                    path.append(window_hashes(h, depth))
-                if with_anchors:
-                    anchor.append(anchors(h, depth))
-        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
-        self.path, self.anchor = join(path), join(anchor)
+        lists = pc.ascii_split_whitespace(pa.array(bodies, pa.large_binary()).cast(pa.large_string()))
+        flat = lists.flatten()
+        real = pc.greater(pc.binary_length(flat), 0)
+        so_far = np.concatenate([[0], np.cumsum(np.asarray(real), dtype=np.int64)])
+        self.base = so_far[np.asarray(lists.offsets, np.int64)]
+        self.sizes = np.diff(self.base)
+        self.words = flat.filter(real)
+        if not hashed:
+            return
+        coded = self.words.dictionary_encode()
+        names = np.fromiter(map(xxhash.xxh3_64_intdigest, strings(coded.dictionary)), np.uint64, len(coded.dictionary))
+        self.h = names[np.asarray(coded.indices)]
         n = np.maximum(self.sizes - depth + 1, 0)
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        doc = np.repeat(np.arange(len(n)), n)
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + self.base[doc]
+        grams = window_hashes(self.h, PREFIX)
+        if len(start):
+            near = np.lib.stride_tricks.sliding_window_view(grams, self.span + 1)
+            anchor = start + near.argmin(axis=1)[start]
+            new = (np.diff(anchor, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+            begins = np.flatnonzero(new)
+            self.start, self.n = start[begins], np.diff(np.append(begins, len(start)))
+            self.anchor, self.doc = anchor[begins], doc[begins]
+        else:
+            self.start = self.n = self.anchor = self.doc = np.zeros(0, np.int64)
+        self.key = grams[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64)
+
+    def parts(self, told: dict[int, tuple[np.ndarray, np.ndarray]], level: int) -> tuple[np.ndarray, ...]:
+        """(start, windows, anchor, doc, key) of the parts of a level; beyond the first, of those whose shorter prefix was too frequent.
+
+        On the second level the prefix grows to the right for windows that reach far enough there, and to the left for the
+        others, and a part is cut in two accordingly. On the last it is the whole window.
+        """
+        start, n, anchor, doc, key = self.start, self.n, self.anchor, self.doc, self.key
+        if level == 0:
+            return start, n, anchor, doc, key
+        hot = _is_in(key, told[0][1])
+        start, n, anchor, doc = start[hot], n[hot], anchor[hot], doc[hot]
+        step = self.span // 2
+        long = window_hashes(self.h, PREFIX + step)
+        turn = np.clip(anchor - (self.span - step) - start, 0, n)  # windows before this one reach further to the left
+        left = turn > 0
+        right = turn < n
+        k_left = mix(long[np.maximum(anchor - step, 0)[left]] ^ LEFT)
+        k_right = long[np.minimum(anchor, len(long) - 1)[right]] if len(long) else np.zeros(0, np.uint64)
+        start, n, anchor, doc, key = (
+            np.concatenate(x) for x in ((start[left], (start + turn)[right]), (turn[left], (n - turn)[right]), (anchor[left], anchor[right]), (doc[left], doc[right]), (k_left, k_right))
+        )
+        if level == 1:
+            return start, n, anchor, doc, key
+        hot = _is_in(key, told[1][1])
+        start, n, doc = start[hot], n[hot], doc[hot]
+        at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        whole = window_hashes(self.h, self.depth)
+        return at, np.ones(len(at), np.int64), at, np.repeat(doc, n), whole[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def _is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _told(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By level: (keys of groups that have a tree, keys whose prefix is lengthened), sorted."""
+    level, key, hot = (np.asarray(table.column(c)) for c in ("level", "key", "hot"))
+    key = key.astype(np.int64).view(np.uint64)
+    return {x: tuple(np.sort(key[(level == x) & (hot == h)]) for h in (False, True)) for x in range(LEVELS)}
+
+
+def _keys(depth: int, level: int):
+    """The chunk's distinct prefixes of a level, with their numbers of parts."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.int64())], ["chunk", "level", "key", "n"])
+        found, n = np.unique(Chunk(docs, depth).parts(_told(told), level)[4], return_counts=True)
+        whole = lambda x: pa.array(np.full(len(found), x), pa.int32())
+        return pa.table({"chunk": whole(docs.column("chunk")[0].as_py()), "level": whole(level), "key": found.view(np.int64), "n": n})
+
+    return run
 
-    def first_leaves(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct paths, index of the earliest window of each); windows stand in order of (doc, at)."""
-        return np.unique(self.path, return_index=True)
 
+def _packs(depth: int, buckets: int):
+    """The parts of the chunk that go to trees, by bucket of prefixes: equal words are sent once."""
 
-def _prefixes(depth: int):
-    def run(chunk: pa.Table) -> pa.Table:
-        found = np.unique(Chunk(chunk, depth, with_anchors=True).anchor).view(np.int64)
-        return pa.table({"chunk": pa.array(np.full(len(found), chunk.column("chunk")[0].as_py()), pa.int32()), "prefix": found})
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["bucket", "chunk", "no", "doc", "first", "ids", "anchor", "windows", "texts"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        rows = []
+        if docs.num_rows and told.num_rows:
+            c, known = Chunk(docs, depth), _told(told)
+            levels = [c.parts(known, x) for x in (0, 1) if len(known[x][0])]
+            mine = [tuple(a[_is_in(p[4], known[x][0])] for a in p) for x, p in zip([x for x in (0, 1) if len(known[x][0])], levels, strict=True)]
+            start, n, anchor, doc, key = (np.concatenate(x) for x in zip(*mine, strict=True)) if mine else [np.zeros(0, np.int64)] * 5
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(c.words)], pa.int32()), c.words.cast(pa.string())), " ")[0].as_py().encode()
+            edge = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(c.words), np.int64) + 1)])
+            lo, hi = edge[start].tolist(), (edge[start + n + depth - 1] - 1).tolist()
+            bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((start, bucket))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
+            pack, chunk = zstandard.ZstdCompressor(level=3).compress, docs.column("chunk")[0].as_py()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[a:b]
+                number: dict[bytes, int] = {}
+                no = np.array([number.setdefault(joined[lo[i] : hi[i]], len(number)) for i in own.tolist()])
+                each = own[np.unique(no, return_index=True)[1]]
+                rows.append((
+                    int(bucket[own[0]]), chunk, _u4(no), _u4(doc[own]), _u4(start[own] - c.base[doc[own]]), [c.ids[d] for d in doc[own].tolist()],
+                    _u4(anchor[each] - start[each]), _u4(n[each]), pack(b"\n".join(number)),
+                ))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return run
 
 
-def _leaves(depth: int):
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = pa.table({"chunk": pa.array([], pa.int32()), "path": pa.array([], pa.int64()), "doc_id": pa.array([], pa.int64()), "at": pa.array([], pa.int32())})
-        if not docs.num_rows or not shared.num_rows:
-            return empty
-        c = Chunk(docs, depth, paths=True, with_anchors=True)
-        first = c.first_leaves()[1]
-        wanted = np.sort(np.asarray(shared.column("prefix"), np.int64).view(np.uint64))
-        place = np.minimum(np.searchsorted(wanted, c.anchor[first]), len(wanted) - 1)
-        first = first[wanted[place] == c.anchor[first]]
-        ids = pa.array(c.ids, pa.int64()).take(pa.array(c.doc[first]))
-        return pa.table({
-            "chunk": pa.array(np.full(len(first), docs.column("chunk")[0].as_py()), pa.int32()), "path": pa.array(c.path[first].view(np.int64)),
-            "doc_id": ids, "at": pa.array(c.at[first], pa.int32()),
-        })
+def _nodes(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows of m, common length of each with the one before): a suffix array with its LCPs; -1 ends a row."""
+    order = np.lexsort(m.T[::-1])
+    same = (m[order][1:] == m[order][:-1]) & (m[order][1:] >= 0)
+    return order, np.concatenate([[0], np.cumprod(same, axis=1).sum(axis=1)])
+
+
+def _node_at(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
+    """For each row the number of the tree's node, or edge, that it passes at a depth: rows that agree so far have one number."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(lcp < depth)
+    return out
+
+
+def later_windows(texts: list[bytes], anchor: np.ndarray, windows: np.ndarray, depth: int) -> np.ndarray:
+    """For each text, in order of first appearance, the bits of those of its windows that an earlier text has too.
+
+    The texts' suffixes from the anchor on are sorted, and so are the words before it, read backwards. Two windows that
+    begin o words before their anchors are equal if both pass the same node at depth - o words to the right and at o
+    words to the left: an internal node there, `depth` words deep together, is a repeat.
+    """
+    coded = np.asarray(pc.split_pattern(pa.array([b" ".join(texts).decode()], pa.large_string()), " ").flatten().dictionary_encode().indices, np.int64)
+    size = windows + depth - 1
+    begin = np.cumsum(size) - size
+    to_right = anchor[:, None] + np.arange(depth)
+    to_left = anchor[:, None] - 1 - np.arange(depth - PREFIX)
+    take = lambda to: np.where((to >= 0) & (to < size[:, None]), coded[np.clip(begin[:, None] + to, 0, len(coded) - 1)], -1)
+    right, left = _nodes(take(to_right)), _nodes(take(to_left))
+    out = np.zeros(len(texts), np.int64)
+    for o in range(depth - PREFIX + 1):
+        at = anchor - o
+        has = np.flatnonzero((at >= 0) & (at < windows))
+        node = _node_at(*right, depth - o)[has] * (len(texts) + 1) + _node_at(*left, o)[has]
+        again = np.ones(len(has), bool)
+        again[np.unique(node, return_index=True)[1]] = False
+        out[has[again]] |= 1 << at[has[again]]
+    return out
+
+
+def _trees(depth: int):
+    """One group: the trees of its prefixes, and which windows of which chunk are found earlier."""
+
+    def run(group: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        anchors, counts, cols = [], [], []
+        unpack = zstandard.ZstdDecompressor().decompress
+        for r in group.to_pylist():
+            own = [number.setdefault(t, len(number)) for t in unpack(r["texts"]).split(b"\n")]
+            if len(number) > len(anchors):
+                new = np.array(own) >= len(anchors)
+                anchors += np.frombuffer(r["anchor"], "<u4")[new].tolist()
+                counts += np.frombuffer(r["windows"], "<u4")[new].tolist()
+            no, doc, first = (np.frombuffer(r[c], "<u4").astype(np.int64) for c in ("no", "doc", "first"))
+            lost = np.array([i is None for i in r["ids"]])
+            ids = np.array([i or 0 for i in r["ids"]], np.int64)
+            cols.append((np.array(own)[no], np.full(len(no), r["chunk"]), doc, first, ids, lost))
+        text, chunk, doc, first, ids, lost = (np.concatenate(x) for x in zip(*cols, strict=True))
+        order = np.lexsort((first, doc, chunk, ids, lost))
+        seen = np.unique(text[order], return_index=True)[1]  # of text 0, 1, ...: its first place in the order
+        by_age = np.argsort(seen)
+        names = list(number)
+        mask = np.empty(len(names), np.int64)
+        mask[by_age] = later_windows([names[i] for i in by_age.tolist()], np.array(anchors)[by_age], np.array(counts)[by_age], depth)
+        out = (1 << np.array(counts, np.int64))[text] - 1
+        earliest = order[seen]
+        out[earliest] = mask[text[earliest]]
+        kept = np.flatnonzero(out)
+        kept = kept[np.argsort(chunk[kept], kind="stable")]
+        edge = np.flatnonzero(np.diff(chunk[kept], prepend=-1, append=-1)) if len(kept) else np.zeros(1, np.int64)
+        lists = lambda a: pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(a[kept], pa.int32()))
+        return pa.Table.from_arrays([pa.array(chunk[kept][edge[:-1]], pa.int32()), lists(doc), lists(first), lists(out)], ["chunk", "docs", "firsts", "masks"])
+
+    return run
+
+
+def _windows(depth: int):
+    """The windows whose prefixes are frequent at every shorter length, each by 128 bits of its words."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["k1", "k2", "lost", "doc_id", "chunk", "doc", "first"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        known = _told(told) if told.num_rows else {}
+        if not docs.num_rows or not known or not len(known[2][0]):
+            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        c = Chunk(docs, depth)
+        start, _, _, doc, key = c.parts(known, 2)
+        kept = _is_in(key, known[2][0])
+        start, doc, key = start[kept], doc[kept], key[kept]
+        other = window_hashes(mix(c.h ^ OTHER), depth)[start]
+        ids = [c.ids[d] for d in doc.tolist()]
+        cols = [key.view(np.int64), other.view(np.int64), [i is None for i in ids], ids, np.full(len(doc), docs.column("chunk")[0].as_py()), doc, start - c.base[doc]]
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
 def _removals(depth: int):
-    def run(docs: pa.Table, later: pa.Table) -> pa.Table:
-        ids, n, removed, digests, kept_texts = [], [], [], [], []
-        if docs.num_rows:
-            c = Chunk(docs, depth, paths=True)
-            paths, first = c.first_leaves()
-            again = np.zeros(len(paths), bool)
-            again[np.searchsorted(paths, np.asarray(later.column("path"), np.int64).view(np.uint64))] = True
-            gone = np.ones(len(c.path), bool)
-            gone[first] = again
-            base = np.concatenate([[0], np.cumsum(c.sizes)])
-            edge = np.zeros(base[-1] + 1, np.int32)
-            start = base[c.doc[gone]] + c.at[gone]
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + depth, -1)
-            covered = np.cumsum(edge)[:-1] > 0
-            for d, words in enumerate(c.words):
-                off = covered[base[d] : base[d + 1]]
-                left = [w for w, o in zip(words, off.tolist(), strict=True) if not o] if off.any() else words
-                ids.append(c.ids[d])
-                n.append(len(words))
-                removed.append(len(words) - len(left))
-                kept_texts.append(b" ".join(left).decode())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept_texts, pa.string())})
+    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        names = ["doc_id", "n_words", "n_removed", "kept_text"]
+        if not docs.num_rows:
+            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())], names)
+        c = Chunk(docs, depth, hashed=False)
+        doc, first, mask = (np.asarray(marks.column(x).combine_chunks().flatten(), np.int64) for x in ("docs", "firsts", "masks"))
+        which, bit = np.nonzero(mask[:, None] >> np.arange(depth - PREFIX + 1) & 1)
+        start = (c.base[doc] + first)[which] + bit
+        edge = np.zeros(len(c.words) + 1, np.int32)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + depth, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        left = np.concatenate([[0], np.cumsum(~gone)])[c.base]
+        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), c.words.filter(pa.array(~gone)).cast(pa.string())), " ")
+        return pa.Table.from_arrays([pa.array(c.ids, pa.int64()), pa.array(c.sizes), pa.array(c.sizes - np.diff(left)), kept], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 4 << 20, group: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) per row: words covered by a run of `depth` words that also starts earlier are removed.
 
     Earlier is a smaller doc_id, or the same document and an earlier start. All is judged on the input.
 
-    Every position with `depth` words ahead is a suffix, a leaf of the tree. Suffixes are split by prefixes of variable
-    length. First a short one: a suffix goes by the smallest run of PREFIX words within its first `depth`; a short
-    prefix that lies in one chunk of documents only is a group that this chunk settles alone. The suffixes of the
-    others are split by their first `depth` words, down to groups of one path each; every chunk sends only its
-    earliest leaf of a path, so a group is at most as large as the number of chunks, however frequent the passage.
-    A path with several leaves is an internal node at that depth or deeper: all its leaves but the earliest are
-    repeats, and neighbouring repeats of a document join to maximal ones when the covered words are marked.
+    Suffixes begin at the anchors of windows (see Chunk): every window hangs at one anchor, and equal windows at equal
+    anchors, so the trees of these suffixes hold all repeats of `depth` words or more. They are split by prefixes of
+    variable length: PREFIX words first; chunks tell their prefixes with their numbers of suffixes, and prefixes that only
+    one suffix of the corpus has are done. A prefix with more than `group` suffixes is lengthened half-way, one that still has
+    more to the whole depth. The others are put together into groups of about `group` suffixes, each one task: it sorts
+    its suffixes' words, finds their common lengths, and the internal nodes that are deep enough, `depth` words with what
+    stands before the anchor, are the repeats; neighbouring ones join to maximal repeats when the covered words are marked.
+    At the whole depth a prefix has a single leaf, and the earliest of its windows is an aggregate, made on the map side first.
 
-    Documents are dealt into chunks of about chunk_bytes by doc_id. Rows with equal doc_ids share a chunk and are taken in
-    the order they come, null ids last. Null texts have no words. Hashes of 64 bits stand for words and paths.
+    Documents are dealt into chunks of about chunk_bytes. Rows with equal doc_ids are different documents, in an order drawn
+    from their texts; null ids come last. Null and empty texts have no words. Words are compared as words, at the whole depth
+    by 128 bits.
     """
-    by_chunk = chunked(docs, chunk_bytes)[0].groupBy("chunk")
-    prefixes = by_chunk.applyInArrow(_prefixes(depth), "chunk int, prefix long")
-    shared = prefixes.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("prefix"))).where("n > 1").select("chunk", "prefix")
-    leaves = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_leaves(depth), "chunk int, path long, doc_id long, at int")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).over(W.partitionBy("path"))
-    later = leaves.withColumn("first", first).where("NOT (first.doc_id <=> doc_id AND first.at = at)").select("chunk", "path")
-    return by_chunk.cogroup(later.groupBy("chunk")).applyInArrow(_removals(depth), "doc_id long, n_words long, n_removed long, kept_text string")
+    if not PREFIX < depth <= PREFIX + 31:
+        raise ValueError(f"depth must be between {PREFIX + 1} and {PREFIX + 31}")
+    spark = docs.sparkSession
+    packed, chunks = chunked(docs, chunk_bytes)
+    by_chunk, n = packed.groupBy("chunk"), tasks_for(chunks)
+    told = spark.createDataFrame([], "chunk int, level int, key long, hot boolean")
+    suffixes = 0
+    for level in range(LEVELS):
+        keys = by_chunk.cogroup(told.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_keys(depth, level), KEYS)
+        # counted before they meet their chunks again, so that a prefix of very many chunks is one row
+        shared = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
+        hot = F.lit(False) if level == LEVELS - 1 else F.col("total") > group
+        found = cut(keys.join(shared, "key").select("chunk", "level", "key", hot.alias("hot"), "n"), "prefixes")
+        told = told.unionByName(found.drop("n"))
+        counted = found.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.count_if("hot")).first()
+        suffixes += (counted[0] or 0) if level < LEVELS - 1 else 0
+        if not counted[1]:
+            break
+    told = told.repartition(n, "chunk").groupBy("chunk")
+    buckets = max(1, -(-suffixes // group))
+    packs = by_chunk.cogroup(told).applyInArrow(_packs(depth, buckets), PACKS)
+    marks = packs.repartition(tasks_for(buckets), "bucket").groupBy("bucket").applyInArrow(_trees(depth), MARKS)
+    if level == LEVELS - 1:
+        windows = cut(by_chunk.cogroup(told).applyInArrow(_windows(depth), WINDOWS), "windows")
+        place = F.struct("lost", "doc_id", "chunk", "doc", "first")
+        earliest = windows.groupBy("k1", "k2").agg(F.min(place).alias("earliest"))
+        later = windows.join(earliest, ["k1", "k2"]).where(place != F.col("earliest"))
+        marks = marks.unionByName(later.select("chunk", F.array("doc").alias("docs"), F.array("first").alias("firsts"), F.array(F.lit(1)).alias("masks")))
+    return by_chunk.cogroup(marks.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_removals(depth), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -301,6 +301,25 @@ def test_repeated_passages_edges(spark, edge, none):
     assert {r.doc_id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(df, chunk_bytes=512).collect()} == {k: v[:2] for k, v in want.items()}
 
 
+def test_repeated_passages_with_prefixes_of_every_length(spark, docs):
+    """Groups so small that prefixes are lengthened half-way (64) and to the whole window (1), over many chunks."""
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {k: v[:2] for k, v in brute.repeats(docs).items()}
+    for group in (64, 1):
+        assert {r.doc_id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(df, chunk_bytes=100_000, group=group).collect()} == want
+
+
+def test_repeats_of_rows_with_one_id(spark):
+    """Different rows under one doc_id, and none: each is a document, reruns and partitions change nothing."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, f"{a} x"), (1, f"y {a}"), (1, b), (None, b), (None, f"{a} {b}"), (0, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, repeats.remove_repeats(d).collect()), key=str) for d in (df, df.orderBy("text"))]
+    for got in found:
+        assert len(got) == 6 and sum(r[2] for r in got) == 40 + 40 + 30 + 30
+        assert all(r[2] == r[1] or r[2] >= 30 for r in got if r[0] is None)
+
+
 def test_bpe_round_trip(spark, sf, docs):
     want = brute.encoded(docs, Tokenizer.from_file(PATH))
     got = by_id(queries.op9_bpe_round_trip(spark, sf), "n_tokens", "ids_sha256", "decoded_sha256")
