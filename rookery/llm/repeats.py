@@ -17,13 +17,11 @@ from rookery.llm.words import mix, window_hashes
 
 #: Words of the shortest prefix.
 PREFIX = 8
-#: Suffixes that a tree, and so a task, is meant to hold: a prefix that more suffixes share is lengthened.
-GROUP = 32_768
-#: Lengths of prefixes: PREFIX, half-way to the depth, and the depth itself.
-LEVELS = 3
-LEFT, OTHER = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Suffixes that a tree, and so a task, is meant to hold, about 150 MB: a prefix that more suffixes share is lengthened.
+GROUP = 131_072
+OTHER = np.uint64(0xE7037ED1A0B428DB)
 
-KEYS = "chunk int, level int, key long, n long"
+KEYS = "chunk int, key long, n long"
 PACKS = "bucket int, chunk int, no binary, doc binary, first binary, ids array<long>, anchor binary, windows binary, texts binary"
 WINDOWS = "k1 long, k2 long, lost boolean, doc_id long, chunk int, doc int, first int"
 MARKS = "chunk int, docs array<int>, firsts array<int>, masks array<int>"
@@ -72,35 +70,6 @@ class Chunk:
             self.start = self.n = self.anchor = self.doc = np.zeros(0, np.int64)
         self.key = grams[self.anchor] if len(self.anchor) else np.zeros(0, np.uint64)
 
-    def parts(self, told: dict[int, tuple[np.ndarray, np.ndarray]], level: int) -> tuple[np.ndarray, ...]:
-        """(start, windows, anchor, doc, key) of the parts of a level; beyond the first, of those whose shorter prefix was too frequent.
-
-        On the second level the prefix grows to the right for windows that reach far enough there, and to the left for the
-        others, and a part is cut in two accordingly. On the last it is the whole window.
-        """
-        start, n, anchor, doc, key = self.start, self.n, self.anchor, self.doc, self.key
-        if level == 0:
-            return start, n, anchor, doc, key
-        hot = _is_in(key, told[0][1])
-        start, n, anchor, doc = start[hot], n[hot], anchor[hot], doc[hot]
-        step = self.span // 2
-        long = window_hashes(self.h, PREFIX + step)
-        turn = np.clip(anchor - (self.span - step) - start, 0, n)  # windows before this one reach further to the left
-        left = turn > 0
-        right = turn < n
-        k_left = mix(long[np.maximum(anchor - step, 0)[left]] ^ LEFT)
-        k_right = long[np.minimum(anchor, len(long) - 1)[right]] if len(long) else np.zeros(0, np.uint64)
-        start, n, anchor, doc, key = (
-            np.concatenate(x) for x in ((start[left], (start + turn)[right]), (turn[left], (n - turn)[right]), (anchor[left], anchor[right]), (doc[left], doc[right]), (k_left, k_right))
-        )
-        if level == 1:
-            return start, n, anchor, doc, key
-        hot = _is_in(key, told[1][1])
-        start, n, doc = start[hot], n[hot], doc[hot]
-        at = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        whole = window_hashes(self.h, self.depth)
-        return at, np.ones(len(at), np.int64), at, np.repeat(doc, n), whole[at] if len(at) else np.zeros(0, np.uint64)
-
 
 def _is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
@@ -108,22 +77,18 @@ def _is_in(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
-def _told(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By level: (keys of groups that have a tree, keys whose prefix is lengthened), sorted."""
-    level, key, hot = (np.asarray(table.column(c)) for c in ("level", "key", "hot"))
-    key = key.astype(np.int64).view(np.uint64)
-    return {x: tuple(np.sort(key[(level == x) & (hot == h)]) for h in (False, True)) for x in range(LEVELS)}
+def _told(table: pa.Table, hot: bool) -> np.ndarray:
+    """Sorted keys of prefixes that have a tree, or (hot) of those that are lengthened."""
+    key = np.asarray(table.column("key"), np.int64).view(np.uint64)
+    return np.sort(key[np.asarray(table.column("hot"), bool) == hot])
 
 
-def _keys(depth: int, level: int):
-    """The chunk's distinct prefixes of a level, with their numbers of parts."""
+def _keys(depth: int):
+    """The chunk's distinct prefixes, with their numbers of suffixes."""
 
-    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.Table.from_arrays([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.int64())], ["chunk", "level", "key", "n"])
-        found, n = np.unique(Chunk(docs, depth).parts(_told(told), level)[4], return_counts=True)
-        whole = lambda x: pa.array(np.full(len(found), x), pa.int32())
-        return pa.table({"chunk": whole(docs.column("chunk")[0].as_py()), "level": whole(level), "key": found.view(np.int64), "n": n})
+    def run(docs: pa.Table) -> pa.Table:
+        found, n = np.unique(Chunk(docs, depth).key, return_counts=True)
+        return pa.table({"chunk": pa.array(np.full(len(found), docs.column("chunk")[0].as_py()), pa.int32()), "key": found.view(np.int64), "n": n})
 
     return run
 
@@ -136,14 +101,13 @@ def _packs(depth: int, buckets: int):
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         rows = []
         if docs.num_rows and told.num_rows:
-            c, known = Chunk(docs, depth), _told(told)
-            levels = [c.parts(known, x) for x in (0, 1) if len(known[x][0])]
-            mine = [tuple(a[_is_in(p[4], known[x][0])] for a in p) for x, p in zip([x for x in (0, 1) if len(known[x][0])], levels, strict=True)]
-            start, n, anchor, doc, key = (np.concatenate(x) for x in zip(*mine, strict=True)) if mine else [np.zeros(0, np.int64)] * 5
+            c = Chunk(docs, depth)
+            mine = _is_in(c.key, _told(told, False))
+            start, n, anchor, doc, key = (a[mine] for a in (c.start, c.n, c.anchor, c.doc, c.key))
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(c.words)], pa.int32()), c.words.cast(pa.string())), " ")[0].as_py().encode()
             edge = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(c.words), np.int64) + 1)])
             lo, hi = edge[start].tolist(), (edge[start + n + depth - 1] - 1).tolist()
-            bucket = (mix(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((start, bucket))
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
             pack, chunk = zstandard.ZstdCompressor(level=3).compress, docs.column("chunk")[0].as_py()
@@ -182,12 +146,12 @@ def later_windows(texts: list[bytes], anchor: np.ndarray, windows: np.ndarray, d
     begin o words before their anchors are equal if both pass the same node at depth - o words to the right and at o
     words to the left: an internal node there, `depth` words deep together, is a repeat.
     """
-    coded = np.asarray(pc.split_pattern(pa.array([b" ".join(texts).decode()], pa.large_string()), " ").flatten().dictionary_encode().indices, np.int64)
+    coded = np.asarray(pc.split_pattern(pa.array([b" ".join(texts).decode()], pa.large_string()), " ").flatten().dictionary_encode().indices, np.int32)
     size = windows + depth - 1
     begin = np.cumsum(size) - size
     to_right = anchor[:, None] + np.arange(depth)
     to_left = anchor[:, None] - 1 - np.arange(depth - PREFIX)
-    take = lambda to: np.where((to >= 0) & (to < size[:, None]), coded[np.clip(begin[:, None] + to, 0, len(coded) - 1)], -1)
+    take = lambda to: np.where((to >= 0) & (to < size[:, None]), coded[np.clip(begin[:, None] + to, 0, len(coded) - 1)], np.int32(-1))
     right, left = _nodes(take(to_right)), _nodes(take(to_left))
     out = np.zeros(len(texts), np.int64)
     for o in range(depth - PREFIX + 1):
@@ -237,21 +201,21 @@ def _trees(depth: int):
 
 
 def _windows(depth: int):
-    """The windows whose prefixes are frequent at every shorter length, each by 128 bits of its words."""
+    """The windows whose short prefixes are too frequent, each by 128 bits of its words."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         names = ["k1", "k2", "lost", "doc_id", "chunk", "doc", "first"]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        known = _told(told) if told.num_rows else {}
-        if not docs.num_rows or not known or not len(known[2][0]):
+        hot = _told(told, True) if told.num_rows else ()
+        if not docs.num_rows or not len(hot):
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
         c = Chunk(docs, depth)
-        start, _, _, doc, key = c.parts(known, 2)
-        kept = _is_in(key, known[2][0])
-        start, doc, key = start[kept], doc[kept], key[kept]
-        other = window_hashes(mix(c.h ^ OTHER), depth)[start]
+        mine = _is_in(c.key, hot)
+        start, n, doc = c.start[mine], c.n[mine], np.repeat(c.doc[mine], c.n[mine])
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys = [window_hashes(h, depth)[at].view(np.int64) for h in (c.h, mix(c.h ^ OTHER))]
         ids = [c.ids[d] for d in doc.tolist()]
-        cols = [key.view(np.int64), other.view(np.int64), [i is None for i in ids], ids, np.full(len(doc), docs.column("chunk")[0].as_py()), doc, start - c.base[doc]]
+        cols = [*keys, [i is None for i in ids], ids, np.full(len(doc), docs.column("chunk")[0].as_py()), doc, at - c.base[doc]]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
 
     return run
@@ -285,11 +249,11 @@ def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 4 << 20,
     Suffixes begin at the anchors of windows (see Chunk): every window hangs at one anchor, and equal windows at equal
     anchors, so the trees of these suffixes hold all repeats of `depth` words or more. They are split by prefixes of
     variable length: PREFIX words first; chunks tell their prefixes with their numbers of suffixes, and prefixes that only
-    one suffix of the corpus has are done. A prefix with more than `group` suffixes is lengthened half-way, one that still has
-    more to the whole depth. The others are put together into groups of about `group` suffixes, each one task: it sorts
-    its suffixes' words, finds their common lengths, and the internal nodes that are deep enough, `depth` words with what
-    stands before the anchor, are the repeats; neighbouring ones join to maximal repeats when the covered words are marked.
-    At the whole depth a prefix has a single leaf, and the earliest of its windows is an aggregate, made on the map side first.
+    one suffix of the corpus has are done. Prefixes are put together into groups of about `group` suffixes, each one task:
+    it sorts its suffixes' words, finds their common lengths, and the internal nodes that are deep enough, `depth` words with
+    what stands before the anchor, are the repeats; neighbouring ones join to maximal repeats when the covered words are
+    marked. A prefix with more than `group` suffixes would not fit, so it is lengthened to the whole depth, where it has a
+    single leaf, and the earliest of its windows is an aggregate, made on the map side first.
 
     Documents are dealt into chunks of about chunk_bytes. Rows with equal doc_ids are different documents, in an order drawn
     from their texts; null ids come last. Null and empty texts have no words. Words are compared as words, at the whole depth
@@ -297,27 +261,18 @@ def remove_repeats(docs: DataFrame, depth: int = 20, chunk_bytes: int = 4 << 20,
     """
     if not PREFIX < depth <= PREFIX + 31:
         raise ValueError(f"depth must be between {PREFIX + 1} and {PREFIX + 31}")
-    spark = docs.sparkSession
     packed, chunks = chunked(docs, chunk_bytes)
     by_chunk, n = packed.groupBy("chunk"), tasks_for(chunks)
-    told = spark.createDataFrame([], "chunk int, level int, key long, hot boolean")
-    suffixes = 0
-    for level in range(LEVELS):
-        keys = by_chunk.cogroup(told.repartition(n, "chunk").groupBy("chunk")).applyInArrow(_keys(depth, level), KEYS)
-        # counted before they meet their chunks again, so that a prefix of very many chunks is one row
-        shared = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
-        hot = F.lit(False) if level == LEVELS - 1 else F.col("total") > group
-        found = cut(keys.join(shared, "key").select("chunk", "level", "key", hot.alias("hot"), "n"), "prefixes")
-        told = told.unionByName(found.drop("n"))
-        counted = found.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.count_if("hot")).first()
-        suffixes += (counted[0] or 0) if level < LEVELS - 1 else 0
-        if not counted[1]:
-            break
-    told = told.repartition(n, "chunk").groupBy("chunk")
-    buckets = max(1, -(-suffixes // group))
+    keys = by_chunk.applyInArrow(_keys(depth), KEYS)
+    # counted before they meet their chunks again, so that a prefix of very many chunks is one row
+    shared = keys.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
+    told = cut(keys.join(shared, "key").select("chunk", "key", (F.col("total") > group).alias("hot"), "n"), "prefixes")
+    suffixes, hot = told.agg(F.sum(F.when(~F.col("hot"), F.col("n"))), F.count_if("hot")).first()
+    told = told.drop("n").repartition(n, "chunk").groupBy("chunk")
+    buckets = max(1, -(-(suffixes or 0) // group))
     packs = by_chunk.cogroup(told).applyInArrow(_packs(depth, buckets), PACKS)
     marks = packs.repartition(tasks_for(buckets), "bucket").groupBy("bucket").applyInArrow(_trees(depth), MARKS)
-    if level == LEVELS - 1:
+    if hot:
         windows = cut(by_chunk.cogroup(told).applyInArrow(_windows(depth), WINDOWS), "windows")
         place = F.struct("lost", "doc_id", "chunk", "doc", "first")
         earliest = windows.groupBy("k1", "k2").agg(F.min(place).alias("earliest"))

@@ -301,8 +301,8 @@ def test_repeated_passages_edges(spark, edge, none):
     assert {r.doc_id: (r.n_words, r.n_removed) for r in repeats.remove_repeats(df, chunk_bytes=512).collect()} == {k: v[:2] for k, v in want.items()}
 
 
-def test_repeated_passages_with_prefixes_of_every_length(spark, docs):
-    """Groups so small that prefixes are lengthened half-way (64) and to the whole window (1), over many chunks."""
+def test_repeated_passages_with_prefixes_of_both_lengths(spark, docs):
+    """Groups so small that some prefixes (64) or all (1) are lengthened to the whole window, over many chunks."""
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = {k: v[:2] for k, v in brute.repeats(docs).items()}
     for group in (64, 1):
