@@ -14,34 +14,43 @@ from rookery.llm.components import connected_components
 from rookery.llm.storage import cut, join_dictionary
 
 
+def unit_vector(v: list[float | None] | None) -> tuple[np.ndarray | None, bytes | None]:
+    """(v of length 1, v's bytes), or nulls for a vector that links with nothing. It is scaled by its largest component first,
+    so that squares of very large or small ones neither overflow nor vanish."""
+    a = np.asarray([np.nan] if not v or any(x is None for x in v) else v, np.float64)
+    most = np.abs(a).max()
+    if not np.isfinite(most) or most == 0:
+        return None, None
+    scaled = a / most
+    return scaled / np.sqrt(scaled @ scaled), a.tobytes()
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, v, copy): v of unit length in double precision, copy its bytes, both null for a vector that links with nothing."""
+    """(id, v, copy): v of unit length in double precision, copy its bytes."""
     for batch in batches:
-        ids, vs, raw = [], [], []
-        for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            a = np.asarray([np.nan] if not v or any(x is None for x in v) else v, np.float64)
-            with np.errstate(over="ignore"):
-                size = np.sqrt(a @ a) if np.isfinite(a).all() else 0.0
-            good = np.isfinite(size) and size > 0
-            ids.append(i)
-            vs.append(a / size if good else None)
-            raw.append(a.tobytes() if good else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(raw, pa.binary())], ["id", "v", "copy"])
+        both = [unit_vector(v) for v in batch.column("v").to_pylist()]
+        cols = [batch.column("id").cast(pa.int64()), pa.array([x[0] for x in both], pa.list_(pa.float64())), pa.array([x[1] for x in both], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "v", "copy"])
 
 
 def _signed(passes: int, bits: int, seed: int):
-    """(id, v, n, dim, keys): keys has one number of `bits` signs of random projections for each pass."""
+    """(id, v, n, dim, keys): keys has one number of `bits` signs of random projections for each pass; one product per batch and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype=np.int64)[::-1]
         for batch in batches:
-            keys = []
-            for v in batch.column("v").to_pylist():
-                if len(v) not in planes:
-                    planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((passes * bits, len(v)))
-                keys.append((planes[len(v)] @ np.asarray(v) >= 0).reshape(passes, bits) @ weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], ["id", "v", "n", "dim", "keys"])
+            dim = np.asarray(batch.column("dim"), np.int64)
+            flat, end = np.asarray(batch.column("v").flatten(), np.float64), np.cumsum(dim)
+            keys = np.zeros((len(dim), passes), np.int64)
+            for d in np.unique(dim).tolist():
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * bits))
+                at = np.flatnonzero(dim == d)
+                v = flat[(end[at] - d)[:, None] + np.arange(d)]
+                keys[at] = (v @ planes[d] >= 0).reshape(len(at), passes, bits) @ weights
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dim) + 1) * passes, pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["id", "v", "n", "dim", "keys"])
 
     return run
 

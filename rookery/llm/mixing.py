@@ -136,13 +136,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: flo
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, whole copies only, in docs' own columns.
 
-    Rows that share a doc_id each get their common number of copies divided among them, rounded up.
+    Rows that agree in doc_id, source and size share their copies as evenly as whole numbers allow, the odd ones by order of
+    their texts' hashes; all other rows, those that share a doc_id only too, get their own.
     """
     sized = sized_rows(docs)
     copies = pivotal_copies(sized, source_targets(sized, weights, most), seed, split_last=False)
-    copies = copies.groupBy("id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    names = docs.columns
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]), "inner")
-    # rows that share a doc_id share its copies as evenly as whole numbers allow
-    nth = F.when(F.col("__rows") == 1, F.col("__copies")).otherwise(F.ceil(F.col("__copies") / F.col("__rows")))
-    return joined.select(*[docs[c] for c in names], F.explode(F.array_repeat(F.lit(1), nth.cast("int"))).alias("__copy")).drop("__copy")
+    copies = copies.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    copies = cut(copies.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")), "copies")
+    same_id = docs["doc_id"].eqNullSafe(copies["__id"])
+    unique = copies.groupBy("__id").count().where("count > 1").isEmpty() and copies.where("__rows > 1").isEmpty()
+    if unique:
+        joined = docs.join(copies.where("__copies > 0"), same_id)
+        nth = F.col("__copies")
+    else:
+        counted = docs.withColumn("__words", word_count(F.col("text")))
+        same = same_id & counted["source"].eqNullSafe(copies["__source"]) & (counted["__words"] == copies["__size"])
+        joined = counted.join(copies.where("__copies > 0"), same)
+        place = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text"), "text"))
+        nth = F.floor(F.col("__copies") / F.col("__rows")) + F.when(place <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+        joined = joined.withColumn("__nth", nth)
+        nth = F.col("__nth")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), nth.cast("int"))).alias("__copy")).drop("__copy")

@@ -37,23 +37,55 @@ def _sketches(words: int, bands: int, rows: int):
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(sketcher.band_keys(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n", "fp", "keys"],
+                [batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "hash", "n", "fp", "keys"],
             )
 
     return run
 
 
 def _sets(words: int):
+    """(id, s) of the rows whose text has the class's fingerprint: rows of other texts under the same doc_id fall out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(hashes.of(t.lower().split()), words).view(np.int64) for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            sets = [shingle_set(hashes.of(t.lower().split()), words) for t in texts(batch.column("text"))]
+            own = [xxhash.xxh3_128_digest(s.tobytes()) == fp for s, fp in zip(sets, batch.column("fp").to_pylist(), strict=True)]
+            kept = [s.view(np.int64) for s, o in zip(sets, own, strict=True) if o]
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(own, pa.bool_())), pa.array(kept, pa.list_(pa.int64()))], ["id", "s"])
+
+    return run
+
+
+def _star(percent: int):
+    """Links of one block of a hub's members: the hub's set is there once."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, hub = block.column("id").to_pylist(), block.column("a")[0].as_py()
+        sets = {i: np.asarray(s.values, np.int64) for i, s in zip(ids, block.column("s"), strict=True)}
+        own = sets.get(hub)
+        found = []
+        for i, s in sets.items():
+            if own is not None and i != hub:
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(s) - both):
+                    found.append(i)
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
     return run
 
 
+def verified_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of hubs and members whose whole sets are similar enough. A hub's members are dealt into blocks of about
+    BLOCK, and the hub's set goes to each block once, so a hub of very many members meets in no one task."""
+    blocks = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = stars.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"), F.col("b").alias("id"))
+    hubs = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("id"))
+    filled = dealt.unionByName(hubs).join(sets, "id")
+    return filled.groupBy("a", "block").applyInArrow(_star(percent), "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
@@ -107,19 +139,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shingle; no words, an empty or a null text are an empty set that is linked with nothing. Documents are linked when
     the similarity of their sets is percent/100 or more. component_id is the smallest doc_id reachable over links.
 
-    Equal sets form a class that goes on as its smallest doc_id. Classes sketched with bands * rows coordinates meet in
+    Equal sets form a class with a number of its own, whatever its doc_ids are. Classes sketched with bands * rows coordinates meet in
     buckets of equal bands; at similarity 0.8 a pair misses all of 32 bands of 4 once in 20 million. Every bucket's
     members are first verified against its most central one, the member that meets most others: near copies of one
     text hang together after that. Only buckets that still hold several components compare the rest: small ones as
     pairs, larger ones as pairs of blocks inside tasks, where members of one component aren't compared.
     No candidate is dropped.
 
-    Rows with equal doc_ids get their own n_shingles; a null doc_id has no component but that of its class.
+    Rows with equal doc_ids are judged each by its own text, and may be of different components. A null doc_id links like any
+    other; a component without any doc_id has a null component_id, and its rows are kept.
     """
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(rows_in.mapInArrow(_sketches(words, bands, rows), "doc_id long, n long, fp binary, keys array<long>"), "sketches")
-    classes = known.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    classes = classes.where("rep IS NOT NULL")
+    return grouped(docs, words, percent, bands, rows).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def grouped(docs: DataFrame, words: int, percent: int, bands: int = 32, rows: int = 4) -> DataFrame:
+    """(doc_id, hash, n_shingles, group, component_id) per row of docs: hash is that of the text, group numbers the component, null
+    for an empty set. See near_duplicates."""
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    known = cut(rows_in.mapInArrow(_sketches(words, bands, rows), "doc_id long, hash long, n long, fp binary, keys array<long>"), "sketches")
+    classes = known.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     banded = classes.select(F.explode("keys").alias("key"), "rep")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(banded.join(sizes, "key"), "members")
@@ -128,10 +167,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     scored = members.join(score, "rep")
     hubs = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
     stars = cut(scored.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    asked = rows_in.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(asked.mapInArrow(_sets(words), "id long, s array<long>"), "sets")
-    links = cut(verified(stars, sets, percent), "links")
+    wanted = classes.join(members.select("rep").distinct(), "rep").select("low", "fp", F.col("rep").alias("id"))
+    asked = rows_in.join(wanted, F.col("doc_id").eqNullSafe(F.col("low"))).select("id", "fp", "text")
+    sets = asked.mapInArrow(_sets(words), "id long, s array<long>")
+    repeated = known.where("fp IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sets = cut(sets if repeated.isEmpty() else sets.dropDuplicates(["id"]), "sets")
+    links = cut(verified_stars(stars, sets, percent), "links")
     parts = connected_components(links, "a", "b")
     placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "m", "rep", "comp")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -148,16 +189,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     filled = cells.join(sets, "id")
     more = more.union(filled.groupBy("key", "i", "j").applyInArrow(_cell(percent), "a long, b long"))
     found = connected_components(links.union(cut(more, "more")), "a", "b")
-    classes = classes.select("fp", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("comp"))
-    out = known.select("doc_id", "n", "fp").join(classes, "fp", "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    classes = classes.select("fp", "rep", "low").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    least = classes.groupBy("group").agg(F.min("low").alias("component_id"))
+    named = classes.join(least, "group").select("fp", "group", "component_id")
+    out = known.select("doc_id", "hash", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
+    alone = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "hash", "n_shingles", "group", alone.alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs less all but one document of each group. Of rows with one doc_id any one stays.
-    Rows without a doc_id are kept."""
-    kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    null_ids = out.where("doc_id IS NULL")
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(null_ids)
+    """docs less all but one document of each group: that of the smallest doc_id, null last, and among rows of one doc_id that of
+    the smallest hash of its text; of rows alike in both one stays. Documents without words are in no group: all stay."""
+    judged = grouped(docs, words, percent).where("group IS NOT NULL")
+    least = judged.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "hash")).alias("k"))
+    least = cut(least.select(F.col("k.doc_id").alias("__id"), F.col("k.hash").alias("__hash")), "kept")
+    filled = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = docs.where(filled).join(least, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_semi")
+    if not judged.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        chosen = chosen.withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return chosen.unionByName(docs.where(~filled))

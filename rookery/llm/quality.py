@@ -114,11 +114,11 @@ def training_lines(text: bytes, good: bool) -> tuple[np.ndarray, np.ndarray]:
     return f, ((f[:, FEATURES.index("repeated")] == 0) & good).astype(int)
 
 
-def fit_line_crf(docs: DataFrame, labels: DataFrame | None, sample: int = 400, longest: int = 400) -> LineCrf:
+def fit_line_crf(docs: DataFrame, labels: DataFrame | None, sample: int = 400, longest: int = 400, most_bytes: int = 50_000) -> LineCrf:
     """A CRF fitted on at most `sample` labelled documents of each class, drawn by a hash of doc_id.
 
-    The bound on what comes to the driver is 2 * sample documents; those of more than `longest` lines are left out of the
-    sample. With fewer than 10 documents of a class the default weights are used.
+    What comes to the driver is bounded by 2 * sample texts, one per doc_id, of at most most_bytes bytes each; those of more
+    bytes or more than `longest` lines are left out of the sample. With fewer than 10 documents of a class the default weights are used.
     """
     if labels is None:
         return LineCrf.default()
@@ -129,7 +129,8 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame | None, sample: int = 400, l
         return LineCrf.default()
     asked = docs.select("doc_id", "text").where(F.col("doc_id").isin([r.doc_id for r in rows]) & F.col("text").isNotNull())
     quality = {r.doc_id: r.quality for r in rows}
-    few = asked.where(F.size(F.split("text", "\n")) <= longest).collect()
+    small = asked.where((F.octet_length("text") <= most_bytes) & (F.size(F.split("text", "\n")) <= longest))
+    few = small.groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     found = [training_lines(r.text.encode(), quality[r.doc_id] == 1) for r in sorted(few, key=lambda r: (r.doc_id, r.text))]
     if min(sum(bool(y.any()) == q for _, y in found) for q in (False, True)) < 10:
         return LineCrf.default()

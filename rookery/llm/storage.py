@@ -15,7 +15,8 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder named by spark.checkpoint.dir. Where none is named, a session on one machine gets a temporary one, and any
+    other an error: executors elsewhere couldn't read it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = sc._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="rookery-")
     sc.setCheckpointDir(own)
     return own

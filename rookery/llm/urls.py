@@ -36,11 +36,35 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return rule, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """path without . and .. segments, which go up from what stands before them."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(path, "/")
+    kept = F.array_join(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step), "/")
+    folder = path.rlike(r"/\.\.?$")  # a path that ends in a dot segment names a folder
+    return F.when(path.contains("/."), F.concat(kept, F.when(folder, "/").otherwise(""))).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
-    """What two spellings of one address share: no scheme and no fragment, host in lower case; null if there is no host."""
+    """What spellings of one address share: no scheme, no fragment, no dot segments, host in lower case; null if there is no host."""
     host, path = host_and_path(url)
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*+(\?[^#]*+)", 1)
-    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path), query))
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(without_dots(path)), query))
+
+
+#: Character references that stand in addresses, the ampersand last.
+REFERENCES = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references resolved."""
+    for name, sign in REFERENCES:
+        value = F.replace(value, F.lit(name), F.lit(sign))
+    return value
 
 
 def link_targets(html: Column) -> Column:
@@ -49,7 +73,7 @@ def link_targets(html: Column) -> Column:
     value = r"""\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))"""
 
     def attribute(tag: Column, name: str) -> Column:
-        return F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}{value}", i) for i in (1, 2, 3)])
+        return decoded(F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}{value}", i) for i in (1, 2, 3)]))
 
     def target(tag: Column) -> Column:
         canonical = F.lower(F.trim(attribute(tag, "rel"))) == "canonical"
@@ -62,14 +86,19 @@ def link_targets(html: Column) -> Column:
 
 
 def absolute(link: Column, url: Column) -> Column:
-    """The link as seen from url: absolute, //host/path, /path, or else relative to url's folder."""
+    """The link as seen from url, by the rules for relative references: a scheme of its own, //host/path, /path, ?query, #fragment,
+    or a path below url's folder. Dot segments stay; alias_key takes them out."""
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*+)", 1)
+    page = F.regexp_extract(url, r"(?s)^(.*?://[^?#]*+)", 1)
+    whole = F.regexp_extract(url, r"(?s)^([^#]*+)", 1)
     folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*+[^?#]*/)", 1)
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .when(link.startswith("#"), F.concat(whole, link))
         .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link))
     )
 

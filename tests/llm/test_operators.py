@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rookery.llm import bpe, components, embeddings, mixing, near_dup, pii, queries, quality, repeats, sharding, token_files, urls
@@ -69,6 +70,9 @@ def test_mixture_edges(edge, none):
     assert len(rows) == len(EDGE) + 1 and all(r.copies * r.size + r.part <= 3 * r.size for r in rows)
     assert mixing.mix_sources(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(edge).columns == edge.columns
+    # each row has its own copies: together they are those of the mix, repeated rows and ids included
+    mixed, sized = mixing.mixed_documents(edge), mixing.pivotal_copies(mixing.sized_rows(edge), mixing.source_targets(mixing.sized_rows(edge)), split_last=False)
+    assert mixed.count() == sum(r.copies for r in sized.collect())
 
 
 def test_pivotal_tree_has_several_levels(spark):
@@ -119,11 +123,23 @@ def test_near_duplicates_edges(edge, none):
     want = brute.near_duplicates(dict(EDGE).items())
     assert {k: v for k, v in got.items() if k is not None} == want
     assert near_dup.near_duplicates(none).count() == 0
+    assert got[None] == (0, None, True)
     kept = near_dup.without_near_duplicates(edge, 4)
     assert kept.columns == edge.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted(k for k, v in want.items() if v[2])
 
 
+def test_near_duplicates_under_one_id_and_none(spark):
+    """Different texts under one doc_id are judged each for itself, and rows without a doc_id link like others."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (None, b), (None, c), (None, c), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in near_dup.near_duplicates(df, 4).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (0, 1, False), (0, None, True), (0, None, True), (5, 5, True), (5, 5, True)], key=str)
+    kept = sorted(map(tuple, near_dup.without_near_duplicates(df, 4).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (5, None), (5, "")], key=str)
+
+
 def test_near_copies_in_one_large_group(spark):
     """A group whose members link in chains only, larger than a block."""
     rng = np.random.default_rng(0)
@@ -204,6 +220,9 @@ def test_near_vectors_recall_and_edges(spark):
     assert np.mean([got[i][1] == want[i][1] for i in want]) >= 0.9
     assert all(got[i] == (0, i, True) for i in range(2000, 2006)) and got[2006] == (1, 2006, True) and got[2007] == (1, 2006, False)
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
+    ends = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [-1e-200, 0.0])]
+    wide = spark.createDataFrame(ends, "vec_id long, embedding array<double>")
+    assert by_id(embeddings.near_duplicate_vectors(wide), "n_links", "component_id") == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (2, 1), 7: (0, 7)}
 
 
 def test_near_vectors_in_large_groups(spark):
@@ -287,6 +306,21 @@ def test_url_aliases(spark):
     assert by_id(urls.url_verdicts(df, redirects=extra), "verdict")[2] == ("block",)
 
 
+def test_links_are_resolved(spark):
+    """Relative references from a base with path and query, and character references."""
+    base = "https://a.org/b/c/d;p?q#z"
+    cases = {
+        "g": "a.org/b/c/g", "./g": "a.org/b/c/g", "g/": "a.org/b/c/g/", "/g": "a.org/g", "//g": "g/", "?y": "a.org/b/c/d;p?y", "g?y": "a.org/b/c/g?y", "#s": "a.org/b/c/d;p?q",
+        ".": "a.org/b/c/", "./": "a.org/b/c/", "..": "a.org/b/", "../": "a.org/b/", "../g": "a.org/b/g", "../..": "a.org/", "../../g": "a.org/g", "../../../g": "a.org/g",
+        "/./g": "a.org/g", "/../g": "a.org/g", "g.": "a.org/b/c/g.", "..g": "a.org/b/c/..g", "./../g": "a.org/b/g", "g/./h": "a.org/b/c/g/h", "g/../h": "a.org/b/c/h",
+        "?a=1&amp;b=2": "a.org/b/c/d;p?a=1&b=2", "http://X.org/&#x26;": "x.org/&", "mailto:x@y": None,
+    }
+    df = spark.createDataFrame([(k, base) for k in cases], "link string, url string")
+    tag = F.concat(F.lit('<link rel="canonical" href="'), "link", F.lit('">'))
+    got = {r.link: r.key for r in df.select("link", urls.alias_key(urls.absolute(urls.link_targets(tag)[0], F.col("url"))).alias("key")).collect()}
+    assert got == cases
+
+
 def test_repeated_passages(spark, sf, docs):
     assert by_id(queries.op8_repeated_passages(spark, sf), "n_words", "n_removed", "kept_sha256") == brute.repeats(docs)
 
