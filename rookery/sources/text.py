@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from rookery.operators.ratings import RESULTS
 
-NUMBER = r"[-+]?(?:\d*\.\d+|\d+\.?)(?:[Ee][+-]?\d+)?"
-PROGRESS = rf"Epoch (\d+).*?(\d+)/(\d+).*?({NUMBER})it/s, (?:train_)?loss=({NUMBER}|nan|inf|-inf)"
-
-
 def parse_game_text(df: DataFrame, text: str = "value") -> DataFrame:
     """(white, black, result) from one game's tag lines per row: the last White and Black tags count; rows without both,
     or with a result that isn't one of the three, are dropped."""
@@ -58,16 +54,30 @@ def write_rating_table(standings: DataFrame, path: str, anchor: str = "master")
 
 
 def parse_training_log(df: DataFrame, text: str = "value") -> DataFrame:
-    """df's lines as (epoch, step, steps_total, rate, loss, message, out_of_memory): progress lines have the first five, with `loss` or
-    `train_loss` before the number; others are messages."""
+    """df's lines as (epoch, step, steps_total, rate, loss, message, out_of_memory). A progress line has the first five:
+    `Epoch N ... step/total [times, R it/s, loss=L, ...]`, with `loss` or `train_loss`; all others are messages.
+
+    A line is cut at its bracket, the part before it at blanks and bars, the part behind it at commas and equal signs.
+    """
     line = F.col(text)
-    part = lambda i: F.nullif(F.regexp_extract(line, PROGRESS, i), F.lit(""))
+    halves = F.split(line, r"\[", 2)
+    head = F.filter(F.split(F.get(halves, F.lit(0)), r"[ |]"), lambda w: w != "")
+    fields = F.transform(F.split(F.replace(F.get(halves, F.lit(1)), F.lit("]"), F.lit("")), ","), lambda f: F.trim(f))
+    rate = F.get(F.filter(fields, lambda f: f.endswith("it/s")), F.lit(0))
+    loss = F.get(F.filter(fields, lambda f: F.substring_index(f, "=", 1).isin("loss", "train_loss")), F.lit(0))
+    done = F.split(F.element_at(head, -1), "/")
+    parts = {
+        "epoch": F.when(F.get(head, F.lit(0)) == "Epoch", F.rtrim(F.get(head, F.lit(1)), F.lit(":"))).try_cast("int"),
+        "step": F.get(done, F.lit(0)).try_cast("bigint"), "steps_total": F.get(done, F.lit(1)).try_cast("bigint"),
+        "rate": F.substring_index(rate, "it/s", 1).try_cast("double"), "loss": F.substring_index(loss, "=", -1).try_cast("double"),
+    }
+    rows = df.withColumn("__p", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    whole = F.lit(True)
+    for n in parts:
+        whole = whole & F.col(f"__p.{n}").isNotNull()
     oom = line.contains("CUDA_ERROR_OUT_OF_MEMORY") | line.contains("CUDA out of memory")
     other = [c for c in df.columns if c != text]
-    return df.select(
-        *other, part(1).try_cast("int").alias("epoch"), part(2).try_cast("bigint").alias("step"), part(3).try_cast("bigint").alias("steps_total"),
-        part(4).try_cast("double").alias("rate"), part(5).try_cast("double").alias("loss"), F.when(part(1).isNull(), line).alias("message"), oom.alias("out_of_memory"),
-    )
+    return rows.select(*other, *[F.when(whole, F.col(f"__p.{n}")).alias(n) for n in parts], F.when(~whole, line).alias("message"), oom.alias("out_of_memory"))
 
 
 def read_training_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -77,10 +87,20 @@ def read_training_log(spark: SparkSession, path: str, stream: bool = False) -> D
 
 
 def parse_match_progress(df: DataFrame, text: str = "value") -> DataFrame:
-    """(run_id, epoch, wins, losses, draws, score_rate) of `Score of master vs net: losses - wins - draws` lines, as the net sees it."""
-    pattern = r"Score of .*?run_(\d+).*?nn-epoch(\d+)\.nnue: (\d+) - (\d+) - (\d+)"
-    part = lambda i: F.nullif(F.regexp_extract(F.col(text), pattern, i), F.lit("")).try_cast("int")
-    rows = df.select(part(1).alias("run_id"), part(2).alias("epoch"), part(4).alias("wins"), part(3).alias("losses"), part(5).alias("draws")).where("wins IS NOT NULL")
+    """(run_id, epoch, wins, losses, draws, score_rate) of `Score of master vs net: losses - wins - draws` lines, as the net sees it.
+
+    A line is cut at its colon; the net's name before it is cut at slashes, the counts behind it at blanks.
+    """
+    halves = F.split(F.col(text), ": ", 2)
+    named = F.split(F.substring_index(F.get(halves, F.lit(0)), " ", -1), "/")
+    count = F.split(F.trim(F.get(halves, F.lit(1))), " +")
+    after = lambda start: F.get(F.filter(named, lambda x: x.startswith(start)), F.lit(0))
+    number = lambda i: F.get(count, F.lit(i)).try_cast("int")
+    rows = df.where(F.col(text).startswith("Score of ") & (F.get(count, F.lit(1)) == "-") & (F.get(count, F.lit(3)) == "-")).select(
+        F.substring(after("run_"), 5, 20).try_cast("int").alias("run_id"), F.replace(F.substring(after("nn-epoch"), 9, 40), F.lit(".nnue"), F.lit("")).try_cast("int").alias("epoch"),
+        number(2).alias("wins"), number(0).alias("losses"), number(4).alias("draws"),
+    )
+    rows = rows.where("run_id IS NOT NULL AND epoch IS NOT NULL AND wins IS NOT NULL AND losses IS NOT NULL AND draws IS NOT NULL")
     n = F.col("wins") + F.col("losses") + F.col("draws")
     return rows.withColumn("score_rate", F.when(n > 0, (F.col("wins") + F.col("draws") * F.lit(0.5)) / n))
 
@@ -92,10 +112,12 @@ def read_match_progress(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, epoch, step, name, value) from CSV files whose headers differ; missing and unreadable values give no row.
 
-    Files are read as lines; the first line of each file names its columns, and every other line meets it in a join by path.
+    Files are read as lines, once for each use; the line that names the columns is that at a file's start, and every other line
+    meets it in a join by path.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where("trim(line) <> ''")
-    head = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.split("value", r"\r?\n")[0], ",").alias("names"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line")).where("trim(line) <> ''")
+    heads = lines.where("block = 0").groupBy("path").agg(F.min_by("line", "k").alias("line"))
+    head = heads.select("path", F.split(F.regexp_replace("line", r"\r$", ""), ",").alias("names"))
     rows = lines.join(head, "path").withColumn("values", F.split(F.regexp_replace("line", r"\r$", ""), ",")).where("values <> names")
     cells = rows.select("path", F.map_from_arrays(F.slice("names", F.lit(1), F.least(F.size("names"), F.size("values"))), F.slice("values", F.lit(1), F.least(F.size("names"), F.size("values")))).alias("m"))
     long = cells.select("path", F.col("m")["epoch"].try_cast("int").alias("epoch"), F.col("m")["step"].try_cast("bigint").alias("step"), F.explode("m").alias("name", "text"))
