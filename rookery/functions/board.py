@@ -79,6 +79,78 @@ def is_capture(board: Column, move_from: Column, move_to: Column) -> Column:
     return (target >= 0) & (target % 2 != mover % 2)
 
 
+#: Steps (file, rank): four along files and ranks, then four along diagonals.
+STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
+JUMPS = tuple((a, b) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if abs(a) != abs(b))
+
+
+def _beside(sq: int, step: tuple[int, int]) -> int | None:
+    x, y = sq % 8 + step[0], sq // 8 + step[1]
+    return y * 8 + x if 0 <= x < 8 and 0 <= y < 8 else None
+
+
+def ray(sq: int, step: tuple[int, int]) -> list[int]:
+    """Squares from sq on, nearest first."""
+    out, at = [], _beside(sq, step)
+    while at is not None:
+        out.append(at)
+        at = _beside(at, step)
+    return out
+
+
+def around(sq: int, steps: tuple[tuple[int, int], ...]) -> list[int]:
+    return sorted(q for q in (_beside(sq, s) for s in steps) if q is not None)
+
+
+def pawn_targets(colour: int, sq: int) -> list[int]:
+    """Squares that a pawn attacks; pawns stand on ranks 2 to 7."""
+    up = 1 - 2 * colour
+    return around(sq, ((-1, up), (1, up))) if 0 < sq // 8 < 7 else []
+
+
+def literal(values: list) -> Column:
+    """Numbers, or lists of numbers, as one literal."""
+    text = lambda v: f"array({','.join(map(text, v))})" if isinstance(v, list) else f"{v}L" if abs(v) >= 1 << 31 else str(v)
+    return F.expr(text(values))
+
+
+def rays() -> Column:
+    """array<array<int>>: entry 8 * sq + d is the ray from sq in direction d."""
+    return literal([ray(sq, d) for sq in range(64) for d in STEPS])
+
+
+def knight_jumps() -> Column:
+    return literal([around(sq, JUMPS) for sq in range(64)])
+
+
+def first_on(board: Column, squares_of_ray: Column) -> Column:
+    """The nearest occupied square of a ray, null without one."""
+    return F.get(F.filter(squares_of_ray, lambda q: F.get(board, q) >= 0), F.lit(0))
+
+
+def is_attacked(board: Column, square: Column, by: Column) -> Column:
+    """Whether a piece of colour `by` attacks the square, pins aside; false where there is no square (-1)."""
+    pawns = literal([[q for q in range(64) if sq in pawn_targets(c, q)] for c in (0, 1) for sq in range(64)])
+    kings = literal([around(sq, STEPS) for sq in range(64)])
+
+    def attacked(x: Column) -> Column:
+        stands = lambda where, kind: F.exists(where, lambda q: F.get(x["board"], q) == kind * 2 + x["by"])
+
+        def slides(d: Column) -> Column:
+            piece = F.get(x["board"], first_on(x["board"], F.get(rays(), x["sq"] * 8 + d))) - x["by"]
+            return F.coalesce((piece == 8) | (piece == F.when(d < 4, 6).otherwise(4)), F.lit(False))
+
+        near = stands(F.get(knight_jumps(), x["sq"]), 1) | stands(F.get(kings, x["sq"]), 5) | stands(F.get(pawns, x["by"] * 64 + x["sq"]), 0)
+        return F.when(x["sq"] < 0, False).otherwise(near | F.exists(F.sequence(F.lit(0), F.lit(7)), slides))
+
+    return let(F.struct(board.alias("board"), square.cast("int").alias("sq"), by.cast("int").alias("by")), attacked)
+
+
+def mover_in_check(df_board: Column, white_to_move: Column, white_king: Column, black_king: Column) -> Column:
+    king = F.when(white_to_move, white_king).otherwise(black_king)
+    return is_attacked(df_board, king, white_to_move.cast("int"))
+
+
 def parse_fen(df: DataFrame, fen: str = "fen") -> DataFrame:
     """df with board, white_to_move, piece_count, occ, wk, bk and rest (the FEN's fields after the side to move).
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rookery.functions.board import is_capture, king_bucket, mirror_king_left, mirror_king_right, squares
+from rookery.functions.board import first_on, is_capture, king_bucket, knight_jumps, literal, mirror_king_left, mirror_king_right, mover_in_check, pawn_targets, rays, squares
 from rookery.functions.lambdas import let
 
 #: How many kinds of target each attacker type has, and their slots by (attacker, target) type; -1 is none.
@@ -46,45 +45,22 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >= 1 << 63 else bits
 
 
-def attack_rows(kings: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """(piece, from, to, squares between, rank of `to` in the attack set) on an empty board: 13 216 rows and the kings'."""
-    rows = []
-    for piece in range(12 if kings else 10):
-        for sq in range(64):
-            reach = _reach(piece // 2, piece % 2, sq)
-            rows += [(piece, sq, to, _signed(reach[to]), n) for n, to in enumerate(sorted(reach))]
-    return rows
-
-
-def attack_table(spark: SparkSession, kings: bool = False) -> DataFrame:
-    """attack_rows as a table; its size is fixed by the rules, so it may be broadcast."""
-    return spark.createDataFrame(attack_rows(kings), "piece int, sq int, to int, between bigint, nth int")
-
-
-def threat_table(spark: SparkSession) -> DataFrame:
-    """(piece, sq, to, between, perspective, mirror, base, per_slot, forward): what a threat's index needs besides its target.
-
-    perspective swaps colours and flips ranks, mirror is 0 or 7. index = base + (target colour * half + slot) * per_slot.
-    Four orientations of the attack table: a fixed size."""
-    first, per_slot, before = {}, {}, {}
+def threat_layout() -> tuple[list[int], list[int], list[int], list[int]]:
+    """(first, per_slot by piece; before, attacked by piece * 64 + square): where a threat's index begins. An index is first + (target
+    colour * half + slot) * per_slot + before + the rank of the target among the squares the piece attacks on an empty board."""
+    first, per_slot, before, attacked = [0] * 10, [0] * 10, [0] * 640, [0] * 640
     at = 0
     for colour in (0, 1):
         for kind in range(5):
             piece, total = kind * 2 + colour, 0
             for sq in range(64):
-                before[piece, sq] = total
-                total += len(_reach(kind, colour, sq))
+                reach = _reach(kind, colour, sq)
+                before[piece * 64 + sq] = total
+                attacked[piece * 64 + sq] = _signed(sum(1 << to for to in reach))
+                total += len(reach)
             first[piece], per_slot[piece] = at, total
             at += TARGETS[kind] * total
-    nth = {(p, s, t): n for p, s, t, _, n in attack_rows()}
-    rows = []
-    for piece, sq, to, between, _ in attack_rows():
-        for persp in (0, 1):
-            for mirror in (0, 7):
-                o = persp * 56 ^ mirror
-                seen = piece ^ persp
-                rows.append((piece, sq, to, between, persp, mirror, first[seen] + before[seen, sq ^ o] + nth[seen, sq ^ o, to ^ o], per_slot[seen], (sq ^ o) < (to ^ o)))
-    return spark.createDataFrame(rows, "piece int, sq int, to int, between bigint, persp int, mirror int, base int, per_slot int, forward boolean")
+    return first, per_slot, before, attacked
 
 
 def halfka_array(board: Column, king: Column, perspective: int) -> Column:
@@ -115,52 +91,64 @@ def pawn_pair_array(board: Column, king: Column, perspective: int) -> Column:
     return let(let(F.struct(board.alias("board"), orient.alias("orient")), numbered), pairs)
 
 
-def _in_row(positions: DataFrame, row_id: str, array: Callable) -> DataFrame:
-    both = F.array(*[F.struct(F.lit(p).alias("perspective"), array(F.col("board"), F.col("wk" if p == 0 else "bk"), p).alias("xs")) for p in (0, 1)])
-    rows = positions.select(F.col(row_id).alias("row_id"), F.explode(both).alias("p"))
-    return rows.select("row_id", F.col("p.perspective").alias("perspective"), F.explode(F.col("p.xs").cast("array<int>")).alias("feature"))
+def attacks_in(board: Column) -> Column:
+    """array<struct<p,f,t,g>>: piece p on square f attacks piece g on square t, kings left out on both ends. Sliders are followed to the
+    first piece on each ray, so the row's own board is all that is needed."""
+    pawns = literal([pawn_targets(c, sq) for c in (0, 1) for sq in range(64)])
+    directions = literal([[], [], [4, 5, 6, 7], [0, 1, 2, 3], [0, 1, 2, 3, 4, 5, 6, 7]])
 
+    def of_board(b: Column) -> Column:
+        def hits(q: Column) -> Column:
+            def of_piece(p: Column) -> Column:
+                kind = F.floor(p / 2).cast("int")
+                slid = F.transform(F.get(directions, kind), lambda d: first_on(b, F.get(rays(), q * 8 + d)))
+                reached = F.when(kind == 0, F.get(pawns, p * 64 + q)).when(kind == 1, F.get(knight_jumps(), q)).otherwise(slid)
+                pieces = F.filter(reached, lambda t: F.get(b, t).between(0, 9))
+                return F.transform(pieces, lambda t: F.struct(p.alias("p"), q.alias("f"), t.alias("t"), F.get(b, t).alias("g")))
 
-def halfka_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    return _in_row(positions, row_id, halfka_array)
+            return let(F.get(b, q), of_piece)
 
+        return F.flatten(F.transform(F.filter(squares(), lambda q: F.get(b, q).between(0, 9)), hits))
 
-def pawn_pair_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    return _in_row(positions, row_id, pawn_pair_array)
+    return let(board, of_board)
 
 
-def threat_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Attacker and target pairs seen from both sides. Kings neither attack nor are targets; of pieces of one kind only one
-    direction counts. The table of attacks is broadcast, and the target is read from the row's own board."""
-    table = threat_table(positions.sparkSession)
-    pieces = F.filter(squares(), lambda q: F.get("board", q).between(0, 9))
-    rows = positions.select(F.col(row_id).alias("row_id"), "board", "occ", "wk", "bk", F.explode(pieces).alias("sq"))
-    rows = rows.select("row_id", "board", "occ", F.get("board", "sq").alias("piece"), "sq", F.explode(F.array(F.struct(F.lit(0).alias("persp"), F.col("wk").alias("king")), F.struct(F.lit(1).alias("persp"), F.col("bk").alias("king")))).alias("p"))
-    rows = rows.select("*", "p.persp", F.when(F.col("p.king") % 8 >= 4, 7).otherwise(0).alias("mirror")).drop("p")
-    hits = rows.join(F.broadcast(table), ["piece", "sq", "persp", "mirror"]).withColumn("target", F.get("board", "to"))
-    hits = hits.where(F.col("target").between(0, 9) & (F.col("occ").bitwiseAND(F.col("between")) == 0))
-    kind, other = F.floor(F.col("piece") / 2).cast("int"), F.floor(F.col("target") / 2).cast("int")
-    slots = F.array(*[F.lit(s) for line in SLOTS for s in line])
-    half = F.get(F.array(*[F.lit(t // 2) for t in TARGETS]), kind)
-    enemy = F.col("piece") % 2 != F.col("target") % 2
-    twice = (kind == other) & (enemy | (kind != 0)) & F.col("forward")
-    hits = hits.withColumn("slot", F.get(slots, kind * 6 + other)).where((F.col("slot") >= 0) & ~twice)
-    colour = (F.col("target") % 2).bitwiseXOR(F.col("persp"))
-    return hits.select("row_id", F.col("persp").alias("perspective"), (F.col("base") + (colour * half + F.col("slot")) * F.col("per_slot")).cast("int").alias("feature"))
+def threat_array(hits: Column, king: Column, perspective: int) -> Column:
+    """Indices of attacks_in seen from a side. Of pieces of one kind only one direction counts."""
+    first, per_slot, before, attacked = map(literal, threat_layout())
+    slots, half = literal([s for line in SLOTS for s in line]), literal([t // 2 for t in TARGETS])
+
+    def seen(o: Column) -> Column:
+        side = F.lit(perspective)
+        turned = F.transform(hits, lambda h: F.struct(h["p"].bitwiseXOR(side).alias("p"), h["f"].bitwiseXOR(o).alias("f"), h["t"].bitwiseXOR(o).alias("t"), h["g"].bitwiseXOR(side).alias("g")))
+        kind, other = (lambda h: F.floor(h["p"] / 2).cast("int")), (lambda h: F.floor(h["g"] / 2).cast("int"))
+        slot = lambda h: F.get(slots, kind(h) * 6 + other(h))
+        twice = lambda h: (kind(h) == other(h)) & ((h["p"] % 2 != h["g"] % 2) | (kind(h) != 0)) & (h["f"] < h["t"])
+        rank = lambda h: F.bit_count(F.get(attacked, h["p"] * 64 + h["f"]).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), h["t"]))))
+        index = lambda h: F.get(first, h["p"]) + (h["g"] % 2 * F.get(half, kind(h)) + slot(h)) * F.get(per_slot, h["p"]) + F.get(before, h["p"] * 64 + h["f"]) + rank(h)
+        return F.transform(F.filter(turned, lambda h: (slot(h) >= 0) & ~twice(h)), lambda h: index(h).cast("int"))
 
+    return let(mirror_king_left(king, perspective), seen)
 
-#: name -> (number of inputs, most active at once, function of (positions, row_id)).
-REGISTRY: dict[str, tuple[int, int, Callable]] = {}
 
+def _king(perspective: int) -> Column:
+    return F.col("bk" if perspective else "wk")
 
-def register_feature(name: str, inputs: int, max_active: int, fn: Callable[[DataFrame, str], DataFrame]) -> None:
-    """Make a feature set known to compose_features; fn returns (row_id, perspective, feature)."""
-    REGISTRY[name] = (inputs, max_active, fn)
 
+#: name -> (number of inputs, most active at once, array<int> by perspective over the columns of parse_fen and `hits`).
+REGISTRY: dict[str, tuple[int, int, Callable[[int], Column]]] = {}
 
-register_feature("Full_Threats", THREAT_INPUTS, 128, threat_features)
-register_feature("PP_3Wide", PAWN_PAIR_INPUTS, 128, pawn_pair_features)
-register_feature("HalfKAv2_hm", HALFKA_INPUTS, 32, halfka_features)
+
+def register_feature(name: str, inputs: int, max_active: int, array: Callable[[int], Column]) -> None:
+    """Make a feature set known to compose_features; array(perspective) gives array<int> from the columns of parse_fen and `hits`
+    (attacks_in), so that any composition is one projection."""
+    REGISTRY[name] = (inputs, max_active, array)
+
+
+register_feature("Full_Threats", THREAT_INPUTS, 128, lambda p: threat_array(F.col("hits"), _king(p), p))
+register_feature("PP_3Wide", PAWN_PAIR_INPUTS, 128, lambda p: pawn_pair_array(F.col("board"), _king(p), p))
+register_feature("HalfKAv2_hm", HALFKA_INPUTS, 32, lambda p: halfka_array(F.col("board"), _king(p), p))
+ALL_FEATURES = "Full_Threats+PP_3Wide+HalfKAv2_hm"
 
 
 def feature_layout(name: str) -> list[tuple[str, int, int, int]]:
@@ -174,31 +162,65 @@ def feature_layout(name: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def compose_features(positions: DataFrame, name: str = "Full_Threats+PP_3Wide+HalfKAv2_hm", row_id: str = "row_id") -> DataFrame:
-    """Features of all parts with each part's offset added."""
-    parts = [REGISTRY[p][2](positions, row_id).withColumn("feature", F.col("feature") + offset) for p, offset, *_ in feature_layout(name)]
-    return reduce(DataFrame.unionByName, parts)
+def feature_arrays(positions: DataFrame, name: str = ALL_FEATURES) -> DataFrame:
+    """positions with `white` and `black`: the features of all parts, each with its offset added, in one projection."""
+
+    def side(perspective: int) -> Column:
+        moved = lambda by: lambda f: f + F.lit(by)
+        parts = [F.transform(REGISTRY[p][2](perspective), moved(offset)) for p, offset, *_ in feature_layout(name)]
+        return F.concat(*parts).cast("array<int>")
 
+    prepared = positions.withColumn("hits", attacks_in(F.col("board")))
+    return prepared.select(*positions.columns, side(0).alias("white"), side(1).alias("black"))
 
-def pack_features(features: DataFrame, max_active: int) -> DataFrame:
-    """(row_id, perspective, features, n_active): sorted, padded with -1 to max_active; more active ones are an error."""
-    rows = features.groupBy("row_id", "perspective").agg(F.sort_array(F.collect_list("feature")).alias("xs"))
-    n = F.size("xs")
-    packed = F.concat("xs", F.array_repeat(F.lit(-1), max_active - n))
-    return rows.select("row_id", "perspective", F.when(n <= max_active, packed).otherwise(F.raise_error(F.lit("too many active features"))).alias("features"), n.alias("n_active"))
+
+def _both_sides(arrays: DataFrame, row_id: str) -> DataFrame:
+    sides = F.array(*[F.struct(F.lit(p).alias("perspective"), F.col(c).alias("xs")) for p, c in enumerate(("white", "black"))])
+    return arrays.select(F.col(row_id).alias("row_id"), F.explode(sides).alias("p")).select("row_id", "p.perspective", "p.xs")
+
+
+def compose_features(positions: DataFrame, name: str = ALL_FEATURES, row_id: str = "row_id") -> DataFrame:
+    """(row_id, perspective, feature), a row per active feature: one scan, no shuffle."""
+    return _both_sides(feature_arrays(positions, name), row_id).select("row_id", "perspective", F.explode("xs").alias("feature"))
+
+
+def halfka_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
+    return compose_features(positions, "HalfKAv2_hm", row_id)
+
+
+def pawn_pair_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
+    return compose_features(positions, "PP_3Wide", row_id)
+
+
+def threat_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Attacker and target pairs seen from both sides; see attacks_in and threat_array."""
+    return compose_features(positions, "Full_Threats", row_id)
+
+
+def padded(xs: Column, max_active: int) -> Column:
+    """xs sorted and filled up with -1 to max_active; more active ones are an error."""
+    n = F.size(xs)
+    full = F.concat(F.sort_array(xs), F.array_repeat(F.lit(-1), F.greatest(F.lit(max_active) - n, F.lit(0))))
+    return F.when(n <= max_active, full).otherwise(F.raise_error(F.lit("too many active features")).cast("array<int>"))
+
+
+def pack_features(positions: DataFrame, name: str = ALL_FEATURES, row_id: str = "row_id") -> DataFrame:
+    """(row_id, perspective, features, n_active): sorted, padded with -1 to the most that can be active. No shuffle."""
+    most = sum(n for *_, n in feature_layout(name))
+    return _both_sides(feature_arrays(positions, name), row_id).select("row_id", "perspective", padded(F.col("xs"), most).alias("features"), F.size("xs").alias("n_active"))
 
 
 def in_check(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """(row_id) of positions whose side to move is in check: a left semi join of its king with the broadcast attacks on it."""
-    table = attack_table(positions.sparkSession, kings=True)
-    attackers = F.filter(squares(), lambda q: (F.get("board", q) >= 0) & ((F.get("board", q) % 2 == 1) == F.col("white_to_move")))
-    king = F.when(F.col("white_to_move"), F.col("wk")).otherwise(F.col("bk"))
-    rows = positions.select(F.col(row_id).alias("row_id"), "board", "occ", king.alias("to"), F.explode(attackers).alias("sq"))
-    rows = rows.withColumn("piece", F.get("board", "sq"))
-    return rows.join(F.broadcast(table), ["piece", "sq", "to"]).where(F.col("occ").bitwiseAND(F.col("between")) == 0).select("row_id").distinct()
-
-
-def keep_quiet(positions: DataFrame, row_id: str, move_from: str, move_to: str) -> DataFrame:
-    """positions less those whose move captures and those in check (left anti join)."""
-    calm = positions.where(~is_capture(F.col("board"), F.col(move_from), F.col(move_to)))
-    return calm.join(in_check(calm, row_id).withColumnRenamed("row_id", row_id), row_id, "left_anti")
+    """(row_id) of positions whose side to move is in check, told from each row's own board."""
+    checked = mover_in_check(F.col("board"), F.col("white_to_move"), F.col("wk"), F.col("bk"))
+    return positions.where(checked).select(F.col(row_id).alias("row_id"))
+
+
+def is_quiet(move_from: Column, move_to: Column) -> Column:
+    """No capture and no check, over the columns of parse_fen."""
+    return ~is_capture(F.col("board"), move_from, move_to) & ~mover_in_check(F.col("board"), F.col("white_to_move"), F.col("wk"), F.col("bk"))
+
+
+def keep_quiet(positions: DataFrame, move_from: str, move_to: str) -> DataFrame:
+    """positions less those whose move captures and those in check: a filter of columns."""
+    return positions.where(is_quiet(F.col(move_from), F.col(move_to)))

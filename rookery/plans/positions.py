@@ -76,7 +76,7 @@ def _(v):
 
 @query("keep_quiet", "positions", f"WITH {CHECKED} SELECT event_id FROM kings WHERE NOT {CAPTURE} AND fen_id NOT IN (SELECT fen_id FROM checked)")
 def _(v):
-    return X.keep_quiet(parsed(v), "event_id", "move_from", "move_to").select("event_id")
+    return X.keep_quiet(parsed(v), "move_from", "move_to").select("event_id")
 
 
 @query("king_orientation", "positions", f"WITH {BOARD} SELECT event_id, CASE WHEN wk % 8 < 4 THEN 7 ELSE 0 END AS white_xor, xor(56, CASE WHEN bk % 8 < 4 THEN 7 ELSE 0 END) AS black_xor, CAST(4 * (7 - xor(wk, CASE WHEN wk % 8 < 4 THEN 7 ELSE 0 END) // 8) + 7 - xor(wk, CASE WHEN wk % 8 < 4 THEN 7 ELSE 0 END) % 8 AS INT) AS white_bucket FROM kings")
@@ -135,4 +135,14 @@ def _(v):
 
 @query("pack_features", "positions", f"WITH {BOARD}, {HALFKA} SELECT row_id, perspective, array_to_string(list_concat(list_sort(list(feature)), list_transform(range(32 - count(*)), lambda x: -1::INT)), ',') AS features, CAST(count(*) AS INT) AS n_active FROM halfka GROUP BY 1, 2")
 def _(v):
-    return X.pack_features(X.halfka_features(parsed(v), "event_id"), 32).withColumn("features", F.array_join(C("features").cast("array<string>"), ","))
+    return X.pack_features(parsed(v), "HalfKAv2_hm", "event_id").withColumn("features", F.array_join(C("features").cast("array<string>"), ","))
+
+
+PACKED = f"""{ALL}, packed AS (SELECT row_id, perspective, array_to_string(list_concat(list_sort(list(feature)), list_transform(range(288 - count(*)), lambda x: -1::INT)), ',') AS features, CAST(count(*) AS INT) AS n_active FROM allrows GROUP BY 1, 2)"""
+
+
+@query("pack_composed_features", "positions", PACKED + " SELECT row_id, perspective, md5(features) AS features_md5, n_active FROM packed")
+def _(v):
+    """All parts at once, told by the digest of the padded array."""
+    packed = X.pack_features(parsed(v), row_id="event_id")
+    return packed.select("row_id", "perspective", F.md5(F.array_join(C("features").cast("array<string>"), ",")).alias("features_md5"), "n_active")
