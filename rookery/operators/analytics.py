@@ -63,8 +63,9 @@ def compare_evals(pairs: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c[:2] != "__"], r2(F.col("__res"), F.col("__tot")).alias("r2_score"), r2(F.col("__resq"), F.col("__totq")).alias("r2_q"))
 
 
-def error_quantiles(pairs: DataFrame, shares: tuple[float, ...] = SIGMAS, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """(share, abs_err, q_err): quantiles with linear interpolation, or approximate ones in one mergeable pass."""
+def error_quantiles(pairs: DataFrame, shares: tuple[float, ...] = SIGMAS, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """(share, abs_err, q_err): approximate quantiles in one mergeable pass of bounded memory, or (exact) with linear interpolation,
+    which keeps every distinct error in one place."""
     e = with_errors(pairs)
     q = (lambda c, p: F.percentile(c, F.lit(p))) if exact else (lambda c, p: F.percentile_approx(c, F.lit(p), accuracy))
     row = e.agg(*[q(c, p).alias(f"{c}_{i}") for i, p in enumerate(shares) for c in ("abs_err", "q_err")])

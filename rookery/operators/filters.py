@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rookery.functions.board import material_eval, parse_fen
 from rookery.functions.evalmath import NO_SCORE, result_prob
 from rookery.functions.hashing import stable_uniform
+from rookery.operators.features import is_quiet
 
 #: A piece count is thinned to no less than this share.
 LEAST_SHARE = 0.025
@@ -138,7 +140,7 @@ def rebalance_by_piece_count(df: DataFrame, key: str, y: tuple[float, ...] = Ski
     return df.join(F.broadcast(rates), F.col(pc) == F.col("__pc")).where(stable_uniform(key, salt) < F.col("keep_rate")).drop("__pc", "keep_rate")
 
 
-def reject_reason(cfg: SkipConfig, key: str, placeholder: Column | None, quiet: Column | None, material: Column | None) -> Column:
+def reject_reason(cfg: SkipConfig, key: str | Column, placeholder: Column | None, quiet: Column | None, material: Column | None) -> Column:
     """Name of the first rule that rejects a row, null if none does. Columns score, result and ply are read."""
     score, ply = F.col("score"), F.col("ply")
     out = F.when(score == NO_SCORE, "no_score")
@@ -160,28 +162,56 @@ def reject_reason(cfg: SkipConfig, key: str, placeholder: Column | None, quiet:
     return out
 
 
-def apply_skip_config(df: DataFrame, cfg: SkipConfig, key: str, game: str | None = "game_id", quiet: Column | None = None, material: Column | None = None, audit: bool = False) -> DataFrame:
+def _prepared(df: DataFrame, cfg: SkipConfig, quiet: Column | None, material: Column | None) -> tuple[DataFrame, Column | None, Column | None]:
+    """(df with what the rules that are on need, quiet, material): worked out from board columns or the FEN where it isn't given."""
+    asks = {"quiet": cfg.quiet and quiet is None, "material": cfg.least_material > 0 and material is None, "piece_count": cfg.balance and "piece_count" not in df.columns}
+    if not any(asks.values()):
+        return df, quiet, material
+    parsed = {"board", "white_to_move", "wk", "bk", "piece_count"}
+    if not parsed <= set(df.columns):
+        if "fen" not in df.columns:
+            raise ValueError(f"these rules are on, but there is neither a column for them nor a fen: {', '.join(k for k, v in asks.items() if v)}")
+        held = "piece_count" in df.columns
+        df = parse_fen(df.withColumnRenamed("piece_count", "__given") if held else df)
+        df = df.drop("piece_count").withColumnRenamed("__given", "piece_count") if held else df
+    if asks["quiet"]:
+        if {"move_from", "move_to"} <= set(df.columns):
+            ends = F.col("move_from"), F.col("move_to")
+        elif "move" in df.columns:
+            ends = F.col("move")["from"], F.col("move")["to"]
+        else:
+            raise ValueError("the rule of quiet positions needs a column quiet, or move_from and move_to, or move")
+        quiet = is_quiet(*ends)
+    if asks["material"]:
+        material = material_eval(F.col("board"), F.col("white_to_move"))
+    return df, quiet, material
+
+
+def apply_skip_config(df: DataFrame, cfg: SkipConfig, key: str | list[str], game: str | None = "game_id", quiet: Column | None = None, material: Column | None = None, audit: bool = False) -> DataFrame:
     """df less the rows that the rules reject, or with reject_reason for all rows (audit).
 
-    Rules in order: no score, placeholder zero (needs game), early, random, quiet, result, material, soft early, then the
-    balance of piece counts over the rows left. quiet and material are columns of df's rows; a rule whose column isn't
-    given is left out. One pass decides the first eight; the balance adds a histogram of 33 counts.
+    key names the column, or columns, that tell rows apart: draws depend on it. Rules in order: no score, placeholder zero
+    (needs game), early, random, quiet, result, material, soft early, then the balance of piece counts over the rows left.
+    quiet and material may be given as columns; otherwise they, and piece_count, come from the columns of parse_fen or
+    from `fen`, and a rule that is on and can't be judged is an error. One pass decides the first eight; the balance adds
+    a histogram of 33 counts.
     """
     if cfg.off:
         return df.withColumn("reject_reason", F.lit(None).cast("string")) if audit else df
-    placeholder = is_placeholder_zero(F.col("score"), F.col("result"), F.col(game), F.col("ply")) if game else None
-    flagged = df.withColumn("__placeholder", placeholder) if placeholder is not None else df
-    reason = reject_reason(cfg, key, F.col("__placeholder") if placeholder is not None else None, quiet, material)
-    flagged = flagged.withColumn("reject_reason", reason).drop("__placeholder")
-    if cfg.balance and "piece_count" in df.columns:
+    names = df.columns
+    drawn = F.concat_ws("/", *key) if isinstance(key, list) else F.col(key)
+    placeholder = is_placeholder_zero(F.col("score"), F.col("result"), F.col(game), F.col("ply")) if game else F.lit(False)
+    flagged, quiet, material = _prepared(df.withColumn("__placeholder", placeholder), cfg, quiet, material)
+    flagged = flagged.withColumn("reject_reason", reject_reason(cfg, drawn, F.col("__placeholder"), quiet, material))
+    if cfg.balance:
         rates = piece_count_rates(flagged.where("reject_reason IS NULL"), cfg.piece_count_y).withColumnRenamed("piece_count", "__pc")
         flagged = flagged.join(F.broadcast(rates), F.col("piece_count") == F.col("__pc"), "left")
-        gone = F.coalesce(stable_uniform(key, "pieces") >= F.col("keep_rate"), F.lit(True))
-        flagged = flagged.withColumn("reject_reason", F.coalesce("reject_reason", F.when(gone, "piece_count"))).drop("__pc", "keep_rate")
-    return flagged if audit else flagged.where("reject_reason IS NULL").drop("reject_reason")
+        gone = F.coalesce(stable_uniform(drawn, "pieces") >= F.col("keep_rate"), F.lit(True))
+        flagged = flagged.withColumn("reject_reason", F.coalesce("reject_reason", F.when(gone, "piece_count")))
+    return flagged.select(*names, "reject_reason") if audit else flagged.where("reject_reason IS NULL").select(*names)
 
 
-def skip_audit(df: DataFrame, cfg: SkipConfig, key: str, **columns) -> DataFrame:
+def skip_audit(df: DataFrame, cfg: SkipConfig, key: str | list[str], **columns) -> DataFrame:
     """Rows per reason, `kept` among them."""
     reasons = apply_skip_config(df, cfg, key, audit=True, **columns)
     return reasons.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))

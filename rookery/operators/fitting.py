@@ -11,22 +11,37 @@ from rookery.functions.evalmath import sigmoid
 START = 1 / 361
 
 
-def fit_sigmoid_scale(performance: DataFrame, start: float = START, steps: int = 30, tolerance: float = 1e-12) -> tuple[float, float]:
-    """(k, 1/k) of sigmoid(k * bucket) fitted to means with sigma 1/n, by Gauss-Newton steps: a bucket weighs n squared.
+#: Damping of the first step, and by what it grows and falls.
+DAMPING, CHANGE = 1e-3, 10.0
 
-    performance is score_bucket_performance's table, small and read once per step; it is cached while the fit runs.
+
+def fit_sigmoid_scale(performance: DataFrame, start: float = START, steps: int = 60, tolerance: float = 1e-12) -> tuple[float, float]:
+    """(k, 1/k) of sigmoid(k * bucket) fitted to means with sigma 1/n: a bucket weighs n squared.
+
+    Gauss-Newton steps with damping: a step that doesn't lower the sum of squares is taken back, and the next is shorter, so
+    the fit stands still at a minimum and doesn't run off. performance is score_bucket_performance's table, small and read
+    once per step; it is cached while the fit runs. Without buckets k stays at `start`.
     """
     rows = performance.select(F.col("bucket").cast("double").alias("x"), "mean", F.col("n").cast("double").alias("n")).cache()
-    k = start
+
+    def at(k: float) -> tuple[float, float, float]:
+        s = sigmoid(F.col("x") * k)
+        slope, off, n2 = F.col("x") * s * (1 - s), F.col("mean") - s, F.col("n") * F.col("n")
+        return tuple(rows.agg(F.sum(n2 * off * off), F.sum(n2 * slope * off), F.sum(n2 * slope * slope)).first())
+
+    k, damping = start, DAMPING
     try:
+        cost, a, b = at(k)
         for _ in range(steps):
-            s = sigmoid(F.col("x") * k)
-            slope = F.col("x") * s * (1 - s)
-            got = rows.agg(F.sum(F.col("n") * F.col("n") * slope * (F.col("mean") - s)).alias("a"), F.sum(F.col("n") * F.col("n") * slope * slope).alias("b")).first()
-            if not got.b:
+            if not b:
                 break
-            k += got.a / got.b
-            if abs(got.a / got.b) < tolerance * abs(k):
+            step = a / (b * (1 + damping))
+            there = at(k + step)
+            if there[0] < cost:
+                k, (cost, a, b), damping = k + step, there, damping / CHANGE
+            else:
+                damping *= CHANGE
+            if abs(step) < tolerance * abs(k):
                 break
     finally:
         rows.unpersist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rookery.functions import evalmath as M
 from rookery.functions.hashing import stable_uniform
 from rookery.operators import analytics, batching, filters, fitting, sequence
+from rookery.plans.positions import CAPTURE, CHECKED, MATERIAL
 from rookery.plans.registry import query
 from rookery.plans.sqltext import LOSS, REMAP, RESULT_PROB, SOFT, TARGETS, WIN, expected, u
 
@@ -28,9 +29,9 @@ def _(v):
     return v("evals").select("event_id", M.piece_bucket(C("piece_count")).alias("bucket"))
 
 
-@query("wdl_prob", "evals", f"SELECT event_id, round({WIN}, 6) AS w, round(1 - {WIN} - {LOSS}, 6) AS d, round({LOSS}, 6) AS l FROM evals")
+@query("wdl_prob", "evals", f"SELECT event_id, round({WIN}, 6) AS w, round(1 - {WIN} - {LOSS}, 6) + 0.0e0 AS d, round({LOSS}, 6) AS l FROM evals")
 def _(v):
-    return v("evals").select("event_id", M.wdl_prob(C("score"), C("ply")).alias("p")).select("event_id", *[F.round(f"p.{x}", 6).alias(x) for x in "wdl"])
+    return v("evals").select("event_id", M.wdl_prob(C("score"), C("ply")).alias("p")).select("event_id", *[(F.round(f"p.{x}", 6) + F.lit(0.0)).alias(x) for x in "wdl"])
 
 
 @query("result_prob", "evals", f"SELECT event_id, round({RESULT_PROB}, 6) AS p FROM evals")
@@ -184,12 +185,34 @@ def _step(i: int) -> str:
     return f"k{i} AS (SELECT {i} AS step, any_value(k{i - 1}.k) + sum(n * n * {slope} * (mean - {s})) / sum(n * n * {slope} * {slope}) AS k FROM perf, k{i - 1})"
 
 
-@query("fit_sigmoid_scale", "evals", f"WITH {BUCKETS}, k0 AS (SELECT 0 AS step, 1 / 361.0e0 AS k), {_step(1)}, {_step(2)}, {_step(3)} SELECT step, round(k, 9) AS k, round(1 / k, 4) AS inv_k FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)")
+@query("sigmoid_scale_steps", "evals", f"WITH {BUCKETS}, k0 AS (SELECT 0 AS step, 1 / 361.0e0 AS k), {_step(1)}, {_step(2)}, {_step(3)} SELECT step, round(k, 9) AS k, round(1 / k, 4) AS inv_k FROM (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)")
 def _(v):
     perf = analytics.score_bucket_performance(v("evals").where(VALID))
     return fitting.sigmoid_scale_steps(perf, 3).select("step", F.round("k", 9).alias("k"), F.round(1 / C("k"), 4).alias("inv_k"))
 
 
+def _damped(i: int) -> str:
+    """One step of the damped fit: what the sums are at the next k, and whether it is taken."""
+    s = "(CASE WHEN bucket * k >= 0 THEN 1 / (1 + exp(-bucket * k)) ELSE exp(bucket * k) / (1 + exp(bucket * k)) END)"
+    at = f"SELECT k, any_value(mu) AS mu, sum(n * n * (mean - {s}) * (mean - {s})) AS cost, sum(n * n * bucket * {s} * (1 - {s}) * (mean - {s})) AS a, sum(n * n * bucket * {s} * (1 - {s}) * bucket * {s} * (1 - {s})) AS b FROM perf, "
+    if i == 0:
+        return f"d0 AS MATERIALIZED ({at} (SELECT 1 / 361.0e0 AS k, 0.001e0 AS mu) s GROUP BY k)"
+    was = f"d{i - 1}"
+    take = lambda c: f"CASE WHEN t.cost < w.cost THEN t.{c} ELSE w.{c} END AS {c}"
+    return (
+        f"t{i} AS MATERIALIZED ({at} (SELECT k + a / (b * (1 + mu)) AS k, mu FROM {was}) s GROUP BY k), "
+        f"d{i} AS MATERIALIZED (SELECT {', '.join(map(take, ('k', 'cost', 'a', 'b')))}, CASE WHEN t.cost < w.cost THEN w.mu / 10 ELSE w.mu * 10 END AS mu FROM {was} w, t{i} t)"
+    )
+
+
+@query("fit_sigmoid_scale", "evals", f"WITH {BUCKETS}, {', '.join(map(_damped, range(31)))} SELECT round(k, 7) AS k FROM d30")
+def _(v):
+    """The fit until it stands still; its SQL takes thirty steps, which is beyond that point."""
+    perf = analytics.score_bucket_performance(v("evals").where(VALID))
+    k, _inverse = fitting.fit_sigmoid_scale(perf)
+    return perf.agg(F.round(F.max(F.lit(k)), 7).alias("k"))
+
+
 @query("distribution", "evals", """WITH x AS (SELECT 'piece_count' AS what, least(piece_count, 33) AS value FROM evals UNION ALL SELECT 'ply', least(ply, 61) FROM evals)
 SELECT what, value, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY what) AS DOUBLE), 6) AS share FROM x GROUP BY 1, 2""")
 def _(v):
@@ -224,7 +247,13 @@ def _(v):
 
 @query("error_quantiles", "evals", PAIRS + "SELECT share, round(quantile_cont(abs_err, 0.6827), 6) AS abs_err, round(quantile_cont(q_err, 0.6827), 6) AS q_err FROM e, (SELECT 0.6827e0 AS share) GROUP BY share UNION ALL SELECT 0.9545e0, round(quantile_cont(abs_err, 0.9545), 6), round(quantile_cont(q_err, 0.9545), 6) FROM e UNION ALL SELECT 0.9973e0, round(quantile_cont(abs_err, 0.9973), 6), round(quantile_cont(q_err, 0.9973), 6) FROM e")
 def _(v):
-    return analytics.error_quantiles(pairs(v)).select("share", *r6("abs_err", "q_err"))
+    return analytics.error_quantiles(pairs(v), exact=True).select("share", *r6("abs_err", "q_err"))
+
+
+@query("error_quantiles_approx", "evals", PAIRS + "SELECT share, round(quantile_disc(abs_err, 0.6827), 6) AS abs_err, round(quantile_disc(q_err, 0.6827), 6) AS q_err FROM e, (SELECT 0.6827e0 AS share) GROUP BY share UNION ALL SELECT 0.9545e0, round(quantile_disc(abs_err, 0.9545), 6), round(quantile_disc(q_err, 0.9545), 6) FROM e UNION ALL SELECT 0.9973e0, round(quantile_disc(abs_err, 0.9973), 6), round(quantile_disc(q_err, 0.9973), 6) FROM e")
+def _(v):
+    """One mergeable pass; with this accuracy the sketch is exact up to half a million pairs."""
+    return analytics.error_quantiles(pairs(v), accuracy=1_000_000).select("share", *r6("abs_err", "q_err"))
 
 
 @query("worst_offenders", "evals", PAIRS + " SELECT event_id, ref, cmp, round(rel_err, 6) AS rel_err FROM e ORDER BY e.rel_err DESC, event_id LIMIT 5")
@@ -258,7 +287,39 @@ def _(v):
     return batching.repeat_epochs(v("evals"), 3, "event_id").select("event_id", "pass", F.round("shuffle_key", 9).alias("shuffle_key"))
 
 
-@query("concat_sources", "evals", "SELECT event_id, ply FROM evals WHERE ply < 5 UNION ALL SELECT event_id, NULL FROM evals WHERE ply > 50")
+@query("concat_sources", "evals", "SELECT event_id, ply FROM evals WHERE ply < 25 UNION ALL SELECT event_id, NULL FROM evals WHERE ply >= 25")
 def _(v):
     e = v("evals")
-    return batching.concat_sources([e.where("ply < 5").select("event_id", "ply"), e.where("ply > 50").select("event_id")])
+    return batching.concat_sources([e.where("ply < 25").select("event_id", "ply"), e.where("ply >= 25").select("event_id")])
+
+
+TRAIN = f"WITH s AS (SELECT event_id, {u('event_id', chr(39) + 'shuffle0' + chr(39))} AS u0, {u('event_id', chr(39) + 'shuffle1' + chr(39))} AS u1 FROM evals)"
+
+
+@query("train_validation", "evals", TRAIN + """ SELECT 'train' AS part, event_id, CAST((row_number() OVER (ORDER BY u0, event_id) - 1) // 256 AS BIGINT) AS batch_id FROM s
+UNION ALL SELECT 'validation', event_id, b FROM (SELECT event_id, CAST((row_number() OVER (ORDER BY u1, event_id) - 1) // 128 AS BIGINT) AS b FROM s) WHERE b < 7""")
+def _(v):
+    train, validation = batching.train_validation(v("evals"), None, "event_id", 256, 128, 1000)
+    rows = [df.select(F.lit(n).alias("part"), "event_id", "batch_id") for n, df in (("train", train), ("validation", validation))]
+    return rows[0].unionByName(rows[1])
+
+
+SAMPLING = filters.activation_sampling_config(filters.SkipConfig(by_result=False, balance=False, soft_early=0))
+
+
+@query("activation_sampling_config", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, {PLACE.replace('game_id', 'fen_id')} AS p FROM kings)
+SELECT event_id FROM flagged WHERE score <> 32002 AND NOT p AND {u('event_id', chr(39) + 'random' + chr(39))} >= 10 / 11.0e0 AND NOT {CAPTURE} AND fen_id NOT IN (SELECT fen_id FROM checked)""")
+def _(v):
+    return filters.apply_skip_config(v("positions"), SAMPLING, "event_id", game="fen_id").select("event_id")
+
+
+FULL = filters.SkipConfig(thin_random=1, early=3, least_material=100)
+
+
+@query("apply_skip_config_to_positions", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, CAST(len(list_filter(board, lambda p: p >= 0)) AS INT) AS piece_count, {PLACE.replace('game_id', 'fen_id')} AS p FROM kings),
+kept AS (SELECT * FROM flagged WHERE score <> 32002 AND NOT p AND ply > 3 AND {u('event_id', chr(39) + 'random' + chr(39))} >= 0.5e0 AND NOT {CAPTURE} AND fen_id NOT IN (SELECT fen_id FROM checked)
+  AND {u('event_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND abs({MATERIAL}) >= 100 AND NOT (ply < 20 AND {u('event_id', chr(39) + 'soft' + chr(39))} >= {SOFT})), {RATES}
+SELECT event_id FROM kept JOIN rates USING (piece_count) WHERE {u('event_id', chr(39) + 'pieces' + chr(39))} < keep_rate""")
+def _(v):
+    """Every rule on, with board, material and piece count worked out from the FEN."""
+    return filters.apply_skip_config(v("positions"), FULL, "event_id", game="fen_id").select("event_id")
