@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from rookery.plans import experiments, nets, positions, records, streams  # noqa: F401
+from rookery.plans import experiments, files, nets, positions, records, streams  # noqa: F401
 from rookery.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,13 +1,20 @@
-"""Readers of packed position records: 40-byte records, and chunks of delta-coded games."""
+"""Readers of packed position records: 40-byte records, and chunks of delta-coded games.
+
+Files are opened with Arrow's file systems (local paths, hdfs, s3, gs), so tasks seek to what they need.
+"""
 
 from __future__ import annotations
 
+import operator
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from rookery.sources.chess_rules import BLACK_LONG, BLACK_SHORT, WHITE_LONG, WHITE_SHORT, Board
 
@@ -15,6 +22,10 @@ RECORD = 40
 MAGIC, HEAD, STEM = b"BINP", 8, 34
 #: Fixed value: a chunk header that claims more is an error.
 LARGEST_CHUNK = 100 << 20
+#: A game's number is file << FILE_SHIFT | chunk << CHUNK_SHIFT | stem: 2**19 files of 2**22 chunks; a chunk can't hold 2**22 stems.
+FILE_SHIFT, CHUNK_SHIFT = 44, 22
+#: Chunks that make a partition of the data source, in bytes.
+PARTITION_BYTES = 64 << 20
 MOVE = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("type", pa.string()), ("promo", pa.int32())])
 SCHEMA = "game_id long, ply int, fen string, move struct<from:int,to:int,type:string,promo:int>, score int, result int, path string, chunk_no long, pos_in_chunk int"
 #: Move types by the two bits of either format.
@@ -62,52 +73,67 @@ def fixed_record(raw: bytes) -> tuple[str, tuple[int, int, str, int], int, int,
     return board.fen(), (frm, to, kind, promoted), score, ply, result
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path in it) of a path as Spark writes it."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path)
+
+
 def read_fixed_records(spark: SparkSession, path: str) -> DataFrame:
     """Rows of SCHEMA from files of 40-byte records; files are split between tasks. A record knows no game, chunk or path: those are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for raw in batch.column("raw").to_pylist():
-                fen, move, score, ply, result = fixed_record(raw)
-                rows.append((None, ply, fen, _move(move), score, result, None, None, None))
-            yield _table(rows)
+            decoded = map(fixed_record, batch.column("raw").to_pylist())
+            yield _table([(None, ply, fen, _move(move), score, result, None, None, None) for fen, move, score, ply, result in decoded])
 
-    records = spark.sparkContext.binaryRecords(path, RECORD).map(lambda b: (bytes(b),))
-    return spark.createDataFrame(records, "raw binary").mapInArrow(run, SCHEMA)
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).map(lambda b: (bytearray(b),)), "raw binary")
+    return records.mapInArrow(run, SCHEMA)
 
 
-def chunk_heads(body: bytes) -> Iterator[tuple[int, int, int]]:
-    """(chunk_no, offset of the payload, size) of each chunk; a wrong magic or size is an error."""
+def chunk_heads(file, length: int) -> Iterator[tuple[int, int, int]]:
+    """(chunk_no, offset of the payload, size) of each chunk of an open file: heads are read, payloads skipped; a wrong magic or
+    size is an error."""
     at = n = 0
-    while at < len(body):
-        if body[at : at + 4] != MAGIC:
+    while at < length:
+        file.seek(at)
+        head = file.read(HEAD)
+        if head[:4] != MAGIC:
             raise ValueError(f"no chunk begins at {at}")
-        size = int.from_bytes(body[at + 4 : at + 8], "little")
-        if size > LARGEST_CHUNK or at + HEAD + size > len(body):
+        size = int.from_bytes(head[4:8], "little")
+        if len(head) < HEAD or size > LARGEST_CHUNK or at + HEAD + size > length:
             raise ValueError(f"the chunk at {at} claims {size} bytes")
         yield n, at + HEAD, size
         at, n = at + HEAD + size, n + 1
 
 
-def _chunks(spark: SparkSession, paths: str | list[str], payload: bool) -> DataFrame:
-    """(path, chunk_no, offset, size[, payload]): files come through Spark's binary reader, so any store it reads will do."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file_no, path, length): one row per file, numbered by path. Contents aren't read."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    return files.withColumn("file_no", F.row_number().over(W.orderBy("path")) - 1)
+
+
+def _index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    files = _files(spark, paths)
+    dealt = files.repartition(max(1, min(files.count(), 4096)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, body in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                for n, at, size in chunk_heads(body):
-                    cols = [pa.array([path]), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([size], pa.int64())]
-                    names = ["path", "chunk_no", "offset", "size"]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array([body[at : at + size]], pa.binary())] * payload, names + ["payload"] * payload)
+            for no, path, length in zip(*(batch.column(c).to_pylist() for c in ("file_no", "path", "length")), strict=True):
+                fs, name = opened(path)
+                with fs.open_input_file(name) as f:
+                    heads = list(chunk_heads(f, length))
+                for lo in range(0, len(heads), 100_000):
+                    n, at, size = zip(*heads[lo : lo + 100_000], strict=True)
+                    yield pa.RecordBatch.from_pydict({"file_no": pa.array([no] * len(n), pa.int32()), "path": [path] * len(n), "chunk_no": pa.array(n, pa.int64()), "offset": pa.array(at, pa.int64()), "size": pa.array(size, pa.int64())})
 
-    return files.mapInArrow(run, "path string, chunk_no long, offset long, size long" + ", payload binary" * payload)
+    return dealt.select("file_no", "path", "length").mapInArrow(run, "file_no int, path string, chunk_no long, offset long, size long")
 
 
 def binpack_chunk_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, chunk_no, offset, size) of all chunks, from their headers."""
-    return _chunks(spark, paths, False)
+    """(path, chunk_no, offset, size) of all chunks, from their heads alone, each file walked by one task; files may be of any size."""
+    return _index(spark, paths).drop("file_no")
 
 
 def stem(raw: bytes) -> tuple[Board, tuple[int, int, str, int], int, int]:
@@ -193,37 +219,125 @@ def _next_move(board: Board, bits: _Bits) -> tuple[int, int, str, int]:
     return (sq, to[n], "normal", -1) if n < len(to) else (sq, rooks[n - len(to)], "castle", -1)
 
 
-def chunk_rows(payload: bytes) -> Iterator[tuple[int, int, str, tuple, int, int]]:
-    """(stem_no, ply, fen, move, score, result) of a chunk: stems, each followed by its number of further plies and their
-    moves. A score is coded as its difference from the negative of the one before; the result turns its sign every ply."""
-    at = n = 0
+def chunk_rows(payload: bytes, keep: Callable[[int, int, int], bool] | None = None) -> Iterator[tuple[int, int, int, str, tuple, int, int]]:
+    """(stem_no, place, ply, fen, move, score, result) of a chunk: stems, each followed by its number of further plies and their
+    moves. A score is coded as its difference from the negative of the one before; the result turns its sign every ply.
+    Rows for which keep(ply, score, result) is false are passed over without a FEN; moves are played all the same."""
+    at = n = place = 0
     while at + STEM <= len(payload):
         board, move, score, result = stem(payload[at : at + 32])
         plies = int.from_bytes(payload[at + 32 : at + STEM], "big")
         at += STEM
-        yield n, board.ply, board.fen(), move, score, result
         bits = _Bits(payload, at)
-        for _ in range(plies):
-            board.play(move)
-            move = _next_move(board, bits)
-            score = (-score + _signed(bits.number()) + 0x8000 & 0xFFFF) - 0x8000
-            result = -result
-            yield n, board.ply, board.fen(), move, score, result
+        for k in range(plies + 1):
+            if k:
+                board.play(move)
+                move = _next_move(board, bits)
+                score = (-score + _signed(bits.number()) + 0x8000 & 0xFFFF) - 0x8000
+                result = -result
+            if keep is None or keep(board.ply, score, result):
+                yield n, place, board.ply, board.fen(), move, score, result
+            place += 1
         at, n = bits.end(), n + 1
 
 
+def _game_id(file_no: int, chunk_no: int, stem_no: int) -> int:
+    if file_no >= 1 << 63 - FILE_SHIFT or chunk_no >= 1 << FILE_SHIFT - CHUNK_SHIFT:
+        raise ValueError("too many files, or chunks in a file, for one numbering of games")
+    return file_no << FILE_SHIFT | chunk_no << CHUNK_SHIFT | stem_no
+
+
+def _chunk_batches(file, file_no: int, path: str, chunk_no: int, offset: int, size: int, keep=None) -> Iterator[pa.RecordBatch]:
+    file.seek(offset)
+    rows = []
+    for stem_no, place, ply, fen, move, score, result in chunk_rows(file.read(size), keep):
+        rows.append((_game_id(file_no, chunk_no, stem_no), ply, fen, _move(move), score, result, path, chunk_no, place))
+        if len(rows) == 10_000:
+            yield _table(rows)
+            rows = []
+    if rows:
+        yield _table(rows)
+
+
 def read_binpack(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Rows of SCHEMA from chunk files: chunks are dealt over the tasks and decoded apart. game_id numbers the stems of a file's chunks:
-    chunk_no * 2**24 + stem. Write the result as Parquet before filtering it again and again: filters don't reach into the decoder."""
+    """Rows of SCHEMA from chunk files: the index of chunks is dealt over tasks, and each reads and decodes its chunks' bytes. game_id
+    is unique over all files read together. Write the result as Parquet before filtering it again and again, or read with the
+    data source (ChunkSource), into which filters of ply, score and result reach."""
+    index = _index(spark, paths)
+    key = F.xxhash64("path", "chunk_no")
+    dealt = index.repartition(partitions, key) if partitions else index.repartition(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, n, payload in zip(batch.column("path").to_pylist(), batch.column("chunk_no").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                rows = [((n << 24) + stem_no, ply, fen, _move(move), score, result, path, n, k) for k, (stem_no, ply, fen, move, score, result) in enumerate(chunk_rows(payload))]
-                for lo in range(0, len(rows), 10_000):
-                    yield _table(rows[lo : lo + 10_000])
+            for r in sorted(batch.to_pylist(), key=lambda r: (r["path"], r["offset"])):
+                fs, name = opened(r["path"])
+                with fs.open_input_file(name) as f:
+                    yield from _chunk_batches(f, r["file_no"], r["path"], r["chunk_no"], r["offset"], r["size"])
+
+    return dealt.mapInArrow(run, SCHEMA)
+
+
+class ChunkRange(InputPartition):
+    """Chunks of one file, next to each other: (chunk_no, offset, size) each."""
+
+    def __init__(self, file_no: int, path: str, chunks: list[tuple[int, int, int]]):
+        self.file_no, self.path, self.chunks = file_no, path, chunks
+
+
+class ChunkReader(DataSourceReader):
+    """Partitions are ranges of chunks of about PARTITION_BYTES; comparisons of ply, score and result with a number are pushed."""
+
+    COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+    PLACE = {"ply": 0, "score": 1, "result": 2}
+
+    def __init__(self, path: str):
+        self.path, self.pushed = path, []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in self.COMPARE and len(f.attribute) == 1 and f.attribute[0] in self.PLACE and isinstance(f.value, int):
+                self.pushed.append((self.PLACE[f.attribute[0]], type(f), f.value))
+            else:
+                yield f
+
+    def partitions(self) -> list[ChunkRange]:
+        fs, root = opened(self.path)
+        found = fs.get_file_info(root)
+        files = [found] if found.is_file else [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file]
+        out = []
+        for no, info in enumerate(sorted(files, key=lambda i: i.path)):
+            held, size = [], 0
+            with fs.open_input_file(info.path) as f:
+                for chunk in chunk_heads(f, info.size):
+                    if held and size + chunk[2] > PARTITION_BYTES:
+                        out.append(ChunkRange(no, info.path, held))
+                        held, size = [], 0
+                    held.append(chunk)
+                    size += chunk[2]
+            if held:
+                out.append(ChunkRange(no, info.path, held))
+        return out
 
-    chunks = _chunks(spark, paths, True)
-    key = F.xxhash64("path", "chunk_no")
-    dealt = chunks.repartition(partitions, key) if partitions else chunks.repartition(key)
-    return dealt.select("path", "chunk_no", "payload").mapInArrow(run, SCHEMA)
+    def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
+        tests = [(i, self.COMPARE[kind], value) for i, kind, value in self.pushed]
+        keep = (lambda *row: all(test(row[i], value) for i, test, value in tests)) if tests else None
+        fs, _ = opened(self.path)
+        with fs.open_input_file(partition.path) as f:
+            for n, offset, size in partition.chunks:
+                yield from _chunk_batches(f, partition.file_no, partition.path, n, offset, size, keep)
+
+
+class ChunkSource(DataSource):
+    """spark.dataSource.register(ChunkSource); spark.read.format("binpack").load(path): rows of SCHEMA from a chunk file or a folder of
+    them. The driver walks the heads; for very many files use read_binpack, whose tasks do. Filters are pushed where
+    spark.sql.python.filterPushdown.enabled is on."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "binpack"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> ChunkReader:
+        return ChunkReader(self.options["path"])

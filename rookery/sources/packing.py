@@ -1,0 +1,133 @@
+"""Writers of packed records, the counterparts of the readers in binary.py. Chunk files hold single positions, not games."""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rookery.functions.board import LETTERS
+from rookery.sources.binary import FIXED_TYPES, MAGIC, PACKED_TYPES, opened
+
+RIGHTS = "KQkq"
+
+
+def fen_parts(fen: str) -> tuple[list[int], int, str, int, int, int]:
+    """(piece ids by square, side, rights, en-passant square or -1, halfmove clock, full moves)."""
+    field, side, rights, ep, clock, full = fen.split()
+    pieces = [-1] * 64
+    for rank, row in enumerate(field.split("/")):
+        file = 0
+        for c in row:
+            if c.isdigit():
+                file += int(c)
+            else:
+                pieces[(7 - rank) * 8 + file] = LETTERS.index(c)
+                file += 1
+    return pieces, int(side == "b"), rights, "abcdefgh".index(ep[0]) + 8 * (int(ep[1]) - 1) if ep != "-" else -1, int(clock), int(full)
+
+
+class _Bits:
+    """Numbers put one after the other, each from its lowest bit on."""
+
+    def __init__(self):
+        self.value = self.used = 0
+
+    def put(self, number: int, width: int) -> None:
+        self.value |= number << self.used
+        self.used += width
+
+
+def fixed_bytes(fen: str, move_from: int, move_to: int, kind: str, score: int, ply: int, result: int, promo: int = -1) -> bytes:
+    """A 40-byte record."""
+    pieces, side, rights, ep, clock, full = fen_parts(fen)
+    bits = _Bits()
+    bits.put(side, 1)
+    for king in (10, 11):
+        bits.put(pieces.index(king), 6)
+    for sq in (r * 8 + f for r in range(7, -1, -1) for f in range(8)):
+        if pieces[sq] < 0:
+            bits.put(0, 1)
+        elif pieces[sq] < 10:
+            bits.put(1 | pieces[sq] // 2 << 1 | pieces[sq] % 2 << 4, 5)
+    for r in RIGHTS:
+        bits.put(int(r in rights), 1)
+    bits.put(int(ep >= 0), 1)
+    if ep >= 0:
+        bits.put(ep, 6)
+    for number, width in ((clock & 63, 6), (full & 255, 8), (full >> 8, 8), (clock >> 6, 1)):
+        bits.put(number, width)
+    packed = FIXED_TYPES.index(kind) << 14 | (promo // 2 - 1 if promo >= 0 else 0) << 12 | move_from << 6 | move_to
+    return bits.value.to_bytes(32, "little") + struct.pack("<hHHbB", score, packed, ply, result, 0)
+
+
+def _unsigned(v: int) -> int:
+    return 2 * -v - 1 if v < 0 else 2 * v
+
+
+def stem_bytes(fen: str, move_from: int, move_to: int, kind: str, score: int, ply: int, result: int, promo: int = -1) -> bytes:
+    """A stem without further plies: 34 bytes."""
+    pieces, side, rights, ep, clock, _ = fen_parts(fen)
+    rooks = {7: "K", 0: "Q", 63: "k", 56: "q"}
+    occupied, nibbles = 0, []
+    for sq, p in enumerate(pieces):
+        if p < 0:
+            continue
+        occupied |= 1 << sq
+        pushed = ep >= 0 and p // 2 == 0 and sq == (ep + 8 if ep // 8 == 2 else ep - 8)
+        if pushed:
+            p = 12
+        elif p in (6, 7) and rooks.get(sq, "-") in rights and p == 6 + (sq >= 56) and sq in rooks:
+            p = 13 + (sq >= 56)
+        elif p == 11 and side:
+            p = 15
+        nibbles.append(p)
+    nibbles += [0] * (32 - len(nibbles))
+    packed = PACKED_TYPES.index(kind) << 14 | move_from << 8 | move_to << 2 | (promo // 2 - 1 if promo >= 0 else 0)
+    pairs = bytes(a | b << 4 for a, b in zip(nibbles[::2], nibbles[1::2], strict=True))
+    return occupied.to_bytes(8, "big") + pairs + struct.pack(">HHHHH", packed, _unsigned(score), ply | _unsigned(result) << 14, clock, 0)
+
+
+def _write_files(df: DataFrame, path: str, file: str, order: str, suffix: str, body) -> int:
+    """A file per value of `file`, written by one task under a name of its own attempt and then renamed: (number of files)."""
+    need = ["fen", "move_from", "move_to", "score", "ply", "result"]
+
+    def run(group: pa.Table) -> pa.Table:
+        import uuid
+
+        rows = group.sort_by(order).to_pylist()
+        fs, root = opened(path)
+        fs.create_dir(root, recursive=True)
+        name, own = f"{root}/{rows[0]['file']}{suffix}", f"{root}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(own) as out:
+            for part in body(rows):
+                out.write(part)
+        fs.move(own, name)
+        return pa.table({"name": [name]})
+
+    asked = df.select(F.col(file).alias("file"), F.col(order).alias(order), *need)
+    return asked.groupBy("file").applyInArrow(run, "name string").count()
+
+
+def write_fixed_records(df: DataFrame, path: str, file: str, order: str) -> int:
+    """Rows (fen, move_from, move_to, score, ply, result) as 40-byte records, a `.bin` file per value of `file`, by order. A file's rows meet in one task."""
+
+    def body(rows: list[dict]) -> Iterator[bytes]:
+        for r in rows:
+            yield fixed_bytes(r["fen"], r["move_from"], r["move_to"], "normal", r["score"], r["ply"], r["result"])
+
+    return _write_files(df, path, file, order, ".bin", body)
+
+
+def write_binpack(df: DataFrame, path: str, file: str, order: str, chunk_rows: int = 256) -> int:
+    """The same rows as chunks of chunk_rows stems, a `.binpack` file per value of `file`."""
+
+    def body(rows: list[dict]) -> Iterator[bytes]:
+        for lo in range(0, len(rows), chunk_rows):
+            stems = b"".join(stem_bytes(r["fen"], r["move_from"], r["move_to"], "normal", r["score"], r["ply"], r["result"]) for r in rows[lo : lo + chunk_rows])
+            yield MAGIC + len(stems).to_bytes(4, "little") + stems
+
+    return _write_files(df, path, file, order, ".binpack", body)
