@@ -140,7 +140,7 @@ def one_per_step(v):
 
 @query("decayed_average", "train_log", f"WITH {ONE}, k AS (SELECT *, count(*) OVER (PARTITION BY run_id) - row_number() OVER (PARTITION BY run_id ORDER BY step) AS d, count(*) OVER (PARTITION BY run_id) AS n FROM one) SELECT run_id, any_value(n) AS n, round(sum(train_loss * pow(0.995e0, d)) / sum(pow(0.995e0, d)), 6) AS average FROM k GROUP BY 1")
 def _(v):
-    return sequence.decayed_average(one_per_step(v), "run_id", ["step"], "train_loss").select("run_id", "n", *r6("average"))
+    return sequence.decayed_average(one_per_step(v), "run_id", ["step"], "train_loss", buckets=F.floor(C("step") / 4096)).select("run_id", "n", *r6("average"))
 
 
 @query("throughput", "train_log", f"WITH {ONE}, s AS (SELECT *, step - lag(step) OVER w AS ds, (epoch_us(ts::TIMESTAMP) - epoch_us(lag(ts) OVER w)) / 1000000.0e0 AS dt FROM one WHERE step % 10 = 0 WINDOW w AS (PARTITION BY run_id ORDER BY ts, step)) SELECT run_id, step, round(ds / dt, 9) AS rate, round((100000 - step) / (ds / dt), 3) AS eta_s FROM s WHERE ds > 0 AND dt > 0")

@@ -32,9 +32,15 @@ def _(v):
     return A.swap_gain_matrix(v("acts"))
 
 
-@query("best_swaps", "acts", f"WITH {GAINS} SELECT a.i, a.j, CAST(a.gain + b.gain AS BIGINT) AS gain FROM gains a JOIN gains b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j AND a.i // 4 <> a.j // 4 ORDER BY 3 DESC, 1, 2 LIMIT 10")
+@query("best_swaps", "acts", f"WITH {GAINS} SELECT a.i, a.j, CAST(a.gain + b.gain AS BIGINT) AS gain FROM gains a JOIN gains b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j AND a.i // 4 <> a.j // 4")
 def _(v):
-    return A.best_swaps(A.swap_gain_matrix(v("acts"))).orderBy(C("gain").desc(), "i", "j").limit(10)
+    return A.best_swaps(A.swap_gain_matrix(v("acts")))
+
+
+@query("best_swap", "acts", f"WITH {GAINS} SELECT a.i, a.j, CAST(a.gain + b.gain AS BIGINT) AS gain FROM gains a JOIN gains b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j AND a.i // 4 <> a.j // 4 AND a.gain + b.gain > 0 ORDER BY 3 DESC, 1, 2 LIMIT 1")
+def _(v):
+    """The first move of the first round of find_permutation."""
+    return A.best_swap(A.swap_gain_matrix(v("acts")))
 
 
 PERM = [(p * 5 + 3) % 64 for p in range(64)]
@@ -70,6 +76,15 @@ def _(v):
     return S.sparse_linear(f, w, f, w.where("feature = 0").select("out_idx", C("w").alias("b"))).select("row_id", "out_idx", *r6("value"))
 
 
+@query("sparse_linear_matrix", "sample_features weights", f"WITH {LINEAR}, b AS (SELECT out_idx, w AS b FROM weights WHERE feature = 0) SELECT row_id, out_idx, round(value + b, 6) AS value FROM lin JOIN b USING (out_idx)")
+def _(v):
+    """The same sums from packed rows, with the weights as a matrix that is sent to every task after a check of its size."""
+    packed = v("sample_features").groupBy(C("event_id").alias("row_id")).agg(F.collect_list("feature").alias("features"))
+    matrix = S.weight_matrix(v("weights"))
+    out = S.sparse_linear_matrix(packed, matrix, matrix[0])
+    return out.select("row_id", F.posexplode("values").alias("out_idx", "value")).select("row_id", "out_idx", *r6("value"))
+
+
 HALVES = f"{LINEAR}, halves AS (SELECT row_id, out_idx % 32 AS out_idx, product(greatest(0.0e0, least(255 / 256.0e0, value))) AS value FROM lin GROUP BY 1, 2)"
 
 
@@ -184,10 +199,16 @@ def _(v):
     return N.average_checkpoints(w, 1, ["in_idx", "out_idx"]).select("in_idx", "out_idx", *r6("w"))
 
 
-@query("weight_diff", "weights", "WITH a AS (SELECT feature // 4 AS in_idx, out_idx, w FROM weights WHERE feature % 4 = 1), b AS (SELECT feature // 4 AS in_idx, out_idx, w FROM weights WHERE feature % 4 = 0 AND feature > 8) SELECT coalesce(a.in_idx, b.in_idx) AS in_idx, coalesce(a.out_idx, b.out_idx) AS out_idx, round(coalesce(a.w, 0) - coalesce(b.w, 0), 6) AS diff FROM a FULL JOIN b ON a.in_idx = b.in_idx AND a.out_idx = b.out_idx")
+DIFF = " UNION ALL ".join(f"SELECT {k} AS net, coalesce(a.in_idx, b.in_idx) AS in_idx, coalesce(a.out_idx, b.out_idx) AS out_idx, round(coalesce(b.w, 0) - coalesce(a.w, 0), 6) + 0.0e0 AS diff FROM n{k} a FULL JOIN n{k + 1} b ON a.in_idx = b.in_idx AND a.out_idx = b.out_idx" for k in range(3))
+PARTS = ", ".join(f"n{k} AS (SELECT feature // 4 AS in_idx, out_idx, w FROM weights WHERE feature % 4 = {k})" for k in range(4))
+
+
+@query("weight_diff", "weights", f"WITH {PARTS} {DIFF}")
 def _(v):
-    part = lambda cond: v("weights").where(cond).select(F.floor(C("feature") / 4).alias("in_idx"), "out_idx", "w")
-    return N.weight_diff(part("feature % 4 = 1"), part("feature % 4 = 0 AND feature > 8"), ["in_idx", "out_idx"]).select("in_idx", "out_idx", *r6("diff"))
+    """Each of four nets against the one before."""
+    part = lambda k: v("weights").where(C("feature") % 4 == k).select(F.floor(C("feature") / 4).alias("in_idx"), "out_idx", "w")
+    diffs = [N.weight_diff(part(k + 1), part(k), ["in_idx", "out_idx"]).select(F.lit(k).alias("net"), "in_idx", "out_idx", (F.round("diff", 6) + F.lit(0.0)).alias("diff")) for k in range(3)]
+    return diffs[0].unionByName(diffs[1]).unionByName(diffs[2])
 
 
 @query("rank_neurons", "weights", "WITH n AS (SELECT out_idx, sum(abs(w)) AS norm FROM weights GROUP BY 1) SELECT out_idx, round(norm, 6) AS norm, CAST(row_number() OVER (ORDER BY round(norm, 6) DESC, out_idx) AS INT) AS place FROM n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,11 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "positions": f"SELECT e.event_id, f.fen_id, f.fen, f.move_from, f.move_to, e.score, e.ply, e.result FROM evals e JOIN (SELECT * FROM ({_SQUARES}) t(fen_id, fen, move_from, move_to)) f ON f.fen_id = e.event_id % 4",
     "acts": (
         "SELECT vec_id AS sample_id, p AS neuron, v <= 0 AS is_zero FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, v",
-        "SELECT vec_id AS sample_id, CAST(p-1 AS INT) AS neuron, embedding[p] <= 0 AS is_zero FROM embeddings, range(1,65) r(p)",
+        "SELECT sample_id, CAST(p AS INT) AS neuron, v <= 0 AS is_zero FROM (SELECT vec_id AS sample_id, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings) e",
     ),
     "weights": (
         "SELECT vec_id AS feature, p AS out_idx, CAST(v AS DOUBLE) AS w FROM embeddings LATERAL VIEW posexplode(embedding) t AS p, v",
-        "SELECT vec_id AS feature, CAST(p-1 AS INT) AS out_idx, CAST(embedding[p] AS DOUBLE) AS w FROM embeddings, range(1,65) r(p)",
+        "SELECT feature, CAST(p AS INT) AS out_idx, CAST(v AS DOUBLE) AS w FROM (SELECT vec_id AS feature, unnest(range(64)) AS p, unnest(embedding) AS v FROM embeddings) e",
     ),
     "sample_features": """SELECT event_id, slot, CASE WHEN event_id % 5 = 0 AND slot >= 6 THEN -1 ELSE CAST((event_id * 13 + slot * 71) % 200 AS INT) END AS feature
         FROM events CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) t(slot)) s""",
@@ -46,14 +47,13 @@ TABLES = ("events", "orders", "lineitem", "embeddings")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of VIEWS over the Parquet tables of sf_dir."""
+    """A view of VIEWS over the Parquet tables of sf_dir. Tables go into the text as frames, so no view of the session is replaced."""
     text = VIEWS[name] if isinstance(VIEWS[name], str) else VIEWS[name][0]
-    for table in TABLES:
-        if f" {table}" in text:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    for need in NEEDS.get(name, ()):
-        view(spark, sf_dir, need).createOrReplaceTempView(need)
-    return spark.sql(text)
+    frames = {n: view(spark, sf_dir, n) for n in NEEDS.get(name, ())}
+    frames |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in text}
+    for n in frames:
+        text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+    return spark.sql(text, **{n: f for n, f in frames.items() if f"{{{n}}}" in text})
 
 
 def _with(names: list[str]) -> str:

@@ -2,58 +2,86 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.functions.folders import shared_folder
 from rookery.operators.filters import SkipConfig
 from rookery.plans.experiments import ONE, STANDINGS, one_per_step, r6
+from rookery.plans.positions import PACKED
 from rookery.plans.records import PLACE, RESULT_PROB, SOFT
 from rookery.plans.registry import query
-from rookery.plans.sqltext import u
+from rookery.plans.sqltext import TARGETS, u
 from rookery.streaming import streams
 
 C = F.col
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder in the one that executors share, or a local one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rookery-")
-    return f"{root.rstrip('/')}/rookery/{name}-{uuid.uuid4().hex}"
-
-
-def landed(df: DataFrame, name: str, files: int = 4) -> tuple[DataFrame, str]:
-    """df written as files, and a stream that reads two of them at a time."""
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A file lands with about this many rows; waves of files are no larger than this.
+FILE_ROWS, WAVE_ROWS = 250_000, 1_000_000
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that operators with state need, for as long as the streams run; the session's own setting comes back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def landed(df: DataFrame, name: str, least: int = 4) -> tuple[DataFrame, str]:
+    """df written as files, `least` at least, and a stream that reads two of them at a time."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    root = work_dir(spark, name)
-    df.repartition(files).write.parquet(f"{root}/in")
+    root = shared_folder(spark, name)
+    df.repartition(max(least, -(-df.count() // FILE_ROWS))).write.parquet(f"{root}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), root
 
 
-def finished(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
-    """What a stream sends to Parquet until its input is done."""
-    spark = stream.sparkSession
+def put_to(stream: DataFrame, root: str, mode: str = "append"):
+    """A query that sends a stream to Parquet until its input is done."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
-    else:
-        put = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{root}/out")
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        return out.format("parquet").option("path", f"{root}/out").start()
+    put = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{root}/out")
+    return out.foreachBatch(put).start()
+
+
+def in_waves(df: DataFrame, name: str, position: Column, operator: Callable[[DataFrame], DataFrame], mode: str = "append", least: int = 3) -> DataFrame:
+    """What a stream with state leaves when its files arrive in waves, in order of `position`: after each wave the query is started
+    again from its checkpoint and takes the wave in one trigger, so state goes from trigger to trigger and from start to start."""
+    spark = df.sparkSession
+    root = shared_folder(spark, name)
+    rows = df.withColumn("__at", position)
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("__at"), F.max("__at")).first()
+    waves = max(least, -(-n // WAVE_ROWS))
+    wave = F.least(F.floor((F.col("__at") - F.lit(low)) * waves / (high - low + 1)), F.lit(waves - 1))
+    with rocks_state(spark):
+        for i in range(waves):
+            rows.where(wave == i).drop("__at").write.mode("append").parquet(f"{root}/in")
+            put_to(operator(spark.readStream.schema(df.schema).parquet(f"{root}/in")), root, mode).awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
-@query("stream_training_rows", "positions", f"""SELECT event_id, CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 1.0e0 ELSE 0.0e0 END AS us, score FROM positions WHERE score <> 32002 AND NOT {u('event_id', chr(39) + 'random' + chr(39))} < 0.5e0
-  AND {u('event_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND NOT (ply < 20 AND {u('event_id', chr(39) + 'soft' + chr(39))} >= {SOFT})""")
+@query("stream_training_rows", "positions", f"""{PACKED}, chosen AS (SELECT event_id, CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 1.0e0 ELSE 0.0e0 END AS us, score FROM positions WHERE score <> 32002 AND NOT {u('event_id', chr(39) + 'random' + chr(39))} < 0.5e0
+  AND {u('event_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND NOT (ply < 20 AND {u('event_id', chr(39) + 'soft' + chr(39))} >= {SOFT}))
+SELECT event_id, us, score, md5(w.features) AS white_md5, md5(b.features) AS black_md5 FROM chosen JOIN packed w ON w.row_id = event_id AND w.perspective = 0 JOIN packed b ON b.row_id = event_id AND b.perspective = 1""")
 def _(v):
+    """Whole feature arrays, told by their digests."""
     p = v("positions")
-    root = work_dir(p.sparkSession, "rows")
-    p.repartition(4).write.parquet(f"{root}/in")
+    root = shared_folder(p.sparkSession, "rows")
+    p.repartition(max(4, -(-p.count() // FILE_ROWS))).write.parquet(f"{root}/in")
     cfg = SkipConfig(quiet=False, thin_random=1)
     streams.stream_training_rows(p.sparkSession, f"{root}/in", p.schema, f"{root}/out", f"{root}/cp", cfg, "event_id", 2).awaitTermination()
-    return p.sparkSession.read.parquet(f"{root}/out").select("event_id", "us", "score")
+    digest = lambda c: F.md5(F.array_join(C(c).cast("array<string>"), ",")).alias(f"{c}_md5")
+    return p.sparkSession.read.parquet(f"{root}/out").select("event_id", "us", "score", digest("white"), digest("black"))
 
 
 @query("stream_standings", "games", f"WITH {STANDINGS} SELECT player, wins, draws, losses, round(elo, 6) AS elo, place FROM standings")
@@ -65,14 +93,9 @@ def _(v):
 
 @query("stream_decayed_average", "train_log", f"WITH {ONE}, k AS (SELECT *, count(*) OVER (PARTITION BY run_id) - row_number() OVER (PARTITION BY run_id ORDER BY step) AS d, count(*) OVER (PARTITION BY run_id) AS n FROM one) SELECT run_id, any_value(n) AS n, round(sum(train_loss * pow(0.995e0, d)) / sum(pow(0.995e0, d)), 6) AS average FROM k GROUP BY 1")
 def _(v):
-    """The log lands in four files in order of step, as a growing log does; the last row of each run is its average."""
+    """The log grows in waves of steps; the row of most values of each run is its average."""
     rows = one_per_step(v).withColumnRenamed("train_loss", "value")
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    root = work_dir(spark, "average")
-    rows.repartitionByRange(4, "step").sortWithinPartitions("step").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(f"{root}/in")
-    out = finished(streams.stream_decayed_average(stream), root, "update")
+    out = in_waves(rows, "average", C("step"), streams.stream_decayed_average, "update")
     return out.groupBy("run_id").agg(F.max_by(F.struct("n", "average"), "n").alias("a")).select("run_id", "a.n", F.round("a.average", 6).alias("average"))
 
 
@@ -80,25 +103,28 @@ def _(v):
 def _(v):
     spoiled = v("train_log").select("run_id", "step", F.when(C("step") % 97 == 0, float("nan")).otherwise(C("train_loss")).alias("loss"))
     stream, root = landed(spoiled, "alarm")
-    return finished(streams.stream_nan_alarm(stream), root).select("run_id")
+    put_to(streams.stream_nan_alarm(stream), root).awaitTermination()
+    return stream.sparkSession.read.parquet(f"{root}/out").select("run_id")
 
 
 @query("stream_placeholder_filter", "evals", f"SELECT event_id, score FROM (SELECT *, {PLACE} AS p FROM evals) WHERE NOT p AND score <> 32002")
 def _(v):
-    """All records of a game come in one trigger here; its rows are put in order of ply inside it."""
-    e = v("evals")
-    spark = e.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    root = work_dir(spark, "placeholder")
-    e.repartition(4, "game_id").write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-    return finished(streams.stream_placeholder_filter(stream), root).select("event_id", "score")
+    """Games go on from wave to wave: a game's last score is carried over."""
+    return in_waves(v("evals"), "placeholder", C("ply"), streams.stream_placeholder_filter).select("event_id", "score")
+
+
+#: Counts are halved after every 10 000th record of a shard; instead, later records weigh twice as much here, which leaves all shares as they are.
+RUNNING = f"""WITH {TARGETS},
+numbered AS (SELECT CAST(event_id % 4 AS INT) AS shard, event_id AS row_id, piece_count, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS n, {u('event_id', chr(39) + 'pieces' + chr(39))} AS u FROM evals),
+weighed AS (SELECT *, pow(2.0e0, (n - 1) // 10000) AS x, n IN (100, 500, 1000, 2500, 5000) OR n % 10000 = 0 AS anew FROM numbered),
+running AS (SELECT *, sum(x) OVER (PARTITION BY shard ORDER BY n) AS every, sum(x) OVER (PARTITION BY shard, piece_count ORDER BY n) AS own, max(CASE WHEN anew THEN n END) OVER (PARTITION BY shard ORDER BY n) AS since FROM weighed),
+hist AS (SELECT r.shard, r.n AS since, w.piece_count, sum(w.x) AS c FROM weighed r JOIN weighed w ON w.shard = r.shard AND w.n <= r.n WHERE r.anew GROUP BY 1, 2, 3),
+shares AS (SELECT shard, since, w, sum(c) OVER (PARTITION BY shard, since) * w / (total * c) AS ratio FROM hist JOIN targets USING (piece_count)),
+factors AS (SELECT shard, since, 0.025e0 / min(ratio) AS factor FROM shares WHERE w > 0 GROUP BY 1, 2)"""
 
 
-@query("stream_rebalance", "evals")
+@query("stream_rebalance", "evals", f"{RUNNING} SELECT r.shard, row_id, r.piece_count FROM running r JOIN targets t ON t.piece_count = r.piece_count LEFT JOIN factors f ON f.shard = r.shard AND f.since = r.since WHERE u < least(1.0e0, CASE WHEN w > 0 THEN coalesce(factor, 1.0e0) * every * w / (total * own) ELSE 0.0e0 END)")
 def _(v):
-    """Rows kept per shard and piece count; the running counts depend on the order of files, so there is no SQL."""
+    """Running counts go on from wave to wave."""
     rows = v("evals").select((C("event_id") % 4).cast("int").alias("shard"), C("event_id").alias("row_id"), "piece_count")
-    stream, root = landed(rows, "rebalance")
-    kept = finished(streams.stream_rebalance(stream), root)
-    return kept.groupBy("shard", "piece_count").agg(F.count(F.lit(1)).alias("n"))
+    return in_waves(rows, "rebalance", C("row_id"), streams.stream_rebalance).select("shard", "row_id", "piece_count")

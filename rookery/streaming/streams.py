@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rookery.functions.board import parse_fen
+from rookery.functions.board import material_eval, parse_fen
 from rookery.functions.hashing import stable_uniform
-from rookery.operators.features import halfka_array
+from rookery.operators.features import ALL_FEATURES, feature_arrays, feature_layout, is_quiet, padded
 from rookery.operators.filters import NO_SCORE, SkipConfig, piece_count_weight, reject_reason
 from rookery.operators.ratings import both_perspectives, rate
 
@@ -20,20 +20,23 @@ REFRESH = (100, 500, 1000, 2500, 5000)
 HALVE = 10_000
 
 
-def training_rows(records: DataFrame, cfg: SkipConfig, key: str) -> DataFrame:
-    """Rules that look at one record only, then white's and black's feature arrays: no state, so the same for batch and stream."""
-    kept = records.where(reject_reason(cfg, key, None, None, None).isNull())
-    p = parse_fen(kept)
-    return p.select(
-        key, F.col("white_to_move").cast("int").cast("double").alias("us"), "score", "result", "piece_count",
-        halfka_array(F.col("board"), F.col("wk"), 0).alias("white"), halfka_array(F.col("board"), F.col("bk"), 1).alias("black"),
-    )
+def training_rows(records: DataFrame, cfg: SkipConfig, key: str, name: str = ALL_FEATURES) -> DataFrame:
+    """(key, us, score, result, piece_count, white, black): rules that look at one record only, then each side's features, sorted and
+    padded with -1: no state and no shuffle, so the same for batch and stream. The rule of quiet positions reads move_from and move_to."""
+    kept = parse_fen(records.where(reject_reason(cfg, key, None, None, None).isNull()))
+    if cfg.quiet:
+        kept = kept.where(is_quiet(F.col("move_from"), F.col("move_to")))
+    if cfg.least_material > 0:
+        kept = kept.where(F.abs(material_eval(F.col("board"), F.col("white_to_move"))) >= cfg.least_material)
+    most = sum(n for *_, n in feature_layout(name))
+    us = F.col("white_to_move").cast("int").cast("double").alias("us")
+    return feature_arrays(kept, name).select(key, us, "score", "result", "piece_count", *[padded(F.col(c), most).alias(c) for c in ("white", "black")])
 
 
-def stream_training_rows(spark: SparkSession, source: str, schema, out: str, checkpoint: str, cfg: SkipConfig, key: str, files_per_trigger: int = 64):
+def stream_training_rows(spark: SparkSession, source: str, schema, out: str, checkpoint: str, cfg: SkipConfig, key: str, files_per_trigger: int = 64, name: str = ALL_FEATURES):
     """Record files of a folder, as they arrive, to Parquet training rows, each exactly once; stops when what is there is done."""
     records = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    rows = training_rows(records, cfg, key)
+    rows = training_rows(records, cfg, key, name)
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -68,7 +71,8 @@ class DecayedAverage(StatefulProcessor):
 
 
 def stream_decayed_average(log: DataFrame, decay: float = 0.995) -> DataFrame:
-    """(run_id, n, average) of a streaming log (run_id, step, value): a row per run and trigger; the newest is the run's average."""
+    """(run_id, n, average) of a streaming log (run_id, step, value): a row per run and trigger; the newest is the run's average. Rows of
+    a trigger are put in order of step and held in memory, so triggers must be bounded and come in that order."""
     rows = log.select(F.col("run_id").cast("int").alias("run_id"), F.col("step").cast("bigint").alias("step"), F.col("value").cast("double").alias("value"))
     return rows.groupBy("run_id").transformWithStateInPandas(DecayedAverage(decay), "run_id int, n bigint, average double", "Update", "None")
 
