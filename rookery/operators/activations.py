@@ -70,31 +70,51 @@ def apply_permutation(df: DataFrame, perm: list[int], neuron: str = "neuron") ->
     return df.withColumn(neuron, (F.col(neuron) - F.col(neuron) % n + new).cast(dict(df.dtypes)[neuron]))
 
 
+def _disjoint(gain: np.ndarray, moves: np.ndarray, block: int) -> list[tuple[int, ...]]:
+    """Moves (rows of neurons) in order of falling gain, ties by their neurons, that share no block with one taken before."""
+    out, used = [], set()
+    for m in moves[np.lexsort((*moves.T[::-1], -gain))].tolist():
+        blocks = {x // block for x in m}
+        if not blocks & used:
+            out.append(tuple(m))
+            used |= blocks
+    return out
+
+
 def _moves(g: np.ndarray, block: int) -> list[tuple[int, ...]]:
-    """Disjoint swaps of positive gain, largest first; with none, disjoint rotations i to j to k to i over three blocks."""
+    """Disjoint swaps of positive gain, largest first; with none, disjoint rotations i to j to k to i over three blocks. Of the
+    rotations over the same three blocks only the best is kept, so there are at most (n / block) ** 3 / 3 of them."""
     n = len(g)
     of = np.arange(n) // block
     two = np.triu(np.where(of[:, None] != of[None, :], g + g.T, 0), 1)
-    order = sorted(zip(*np.nonzero(two > 0), strict=True), key=lambda p: (-two[p], *p))
-    moves, used = [], set()
-    for i, j in order:
-        if not {of[i], of[j]} & used:
-            moves.append((int(i), int(j)))
-            used |= {of[i], of[j]}
-    if moves:
-        return moves
-    found = []
-    for i in range(n):  # i goes to j's place, j to k's and k to i's
-        three = g[i, :, None] + g + g[None, :, i].reshape(1, n)
-        ok = (of[:, None] != of[None, :]) & (of != of[i])[:, None] & (of != of[i])[None, :] & (three > 0)
-        for j, k in zip(*np.nonzero(ok), strict=True):
-            if i < j and i < k:
-                found.append((-three[j, k], i, int(j), int(k)))
-    for _, i, j, k in sorted(found):
-        if not {of[i], of[j], of[k]} & used:
-            moves.append((i, j, k))
-            used |= {of[i], of[j], of[k]}
-    return moves
+    swaps = np.argwhere(two > 0)
+    if len(swaps):
+        return _disjoint(two[swaps[:, 0], swaps[:, 1]], swaps, block)
+    blocks = n // block
+    gains, found = [], []
+    for first in range(blocks):
+        own = np.arange(first * block, (first + 1) * block)
+        rest = np.arange((first + 1) * block, n)  # a rotation is named from its lowest block on
+        if len(rest) < 2 * block:
+            break
+        # i goes to j's place, j to k's and k to i's; axes: i, block and place of j, block and place of k
+        three = g[own][:, rest][:, :, None] + g[rest][:, rest][None] + g[rest][:, own].T[:, None, :]
+        m = len(rest) // block
+        three = three.reshape(block, m, block, m, block).transpose(1, 3, 0, 2, 4).reshape(m, m, -1)
+        at, top = three.argmax(axis=2), three.max(axis=2)
+        np.fill_diagonal(top, 0)
+        for a, b in np.argwhere(top > 0).tolist():
+            i, j, k = np.unravel_index(at[a, b], (block,) * 3)
+            gains.append(top[a, b])
+            found.append((own[i], rest[a * block + j], rest[b * block + k]))
+    return _disjoint(np.array(gains), np.array(found), block) if found else []
+
+
+def best_swap(gains: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row (i, j, gain): the swap that gains most, the first by its neurons among equals; none if no swap gains."""
+    swaps = best_swaps(gains, block).where("gain > 0")
+    best = swaps.agg(F.max_by(F.struct("i", "j", "gain"), F.struct("gain", -F.col("i"), -F.col("j"))).alias("b"))
+    return best.where("b IS NOT NULL").select("b.*")
 
 
 def find_permutation(acts: DataFrame, n: int, block: int = BLOCK, rounds: int = 50) -> list[int]:

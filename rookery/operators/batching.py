@@ -34,8 +34,14 @@ def global_index(df: DataFrame, order: list[str | Column], buckets: Column, name
     return rows.withColumn("__k", inside).join(offsets, "__bucket").withColumn(name, F.col("__first") + F.col("__k")).drop("__bucket", "__k", "__first")
 
 
-def assign_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, runs: int = 64) -> DataFrame:
-    """df with batch_id: consecutive rows of the shuffled order, batch_size each, the last one short."""
+#: Rows that a task numbers, or that go to one file, are meant to be about this many.
+TASK_ROWS = 1_000_000
+
+
+def assign_batches(df: DataFrame, key: str, batch_size: int, seed: int = 0, runs: int | None = None) -> DataFrame:
+    """df with batch_id: consecutive rows of the shuffled order, batch_size each, the last one short. The order is cut into runs,
+    by default as many as keep one at about TASK_ROWS: that takes a count of df."""
+    runs = runs or max(1, -(-df.count() // TASK_ROWS))
     drawn = df.withColumn("__u", stable_uniform(key, f"shuffle{seed}"))
     indexed = global_index(drawn, ["__u", key], F.floor(F.col("__u") * runs).cast("int"))
     return indexed.withColumn("batch_id", F.floor(F.col("row_index") / batch_size).cast("bigint")).drop("__u", "row_index")
@@ -71,6 +77,10 @@ def train_validation(train: DataFrame, validation: DataFrame | None, key: str, b
     return rows, source.where(F.col("batch_id") < batches_per_epoch(validation_size, validation_batch))
 
 
-def write_training_shards(df: DataFrame, path: str, shard: str = "shard") -> None:
-    """One folder per shard, each written by the tasks that hold its rows."""
-    df.repartition(shard).write.partitionBy(shard).parquet(path)
+def write_training_shards(df: DataFrame, path: str, shard: str = "shard", file_rows: int = TASK_ROWS) -> None:
+    """One folder per shard, with a file per about file_rows rows: each shard's rows are dealt over as many tasks as its count asks for."""
+    files = df.groupBy(F.col(shard).alias("__shard")).agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("__files"))
+    most = files.agg(F.max("__files")).first()[0] or 1
+    tasks = files.agg(F.sum("__files")).first()[0] or 1
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(most)))
+    salted.repartition(int(tasks), shard, "__salt").drop("__salt").write.partitionBy(shard).parquet(path)

@@ -61,19 +61,18 @@ def pending_conversions(artifacts: DataFrame) -> DataFrame:
 
 
 def match_ratings(nets: DataFrame, ratings: DataFrame, path: str = "path") -> DataFrame:
-    """(path, elo, elo_error) for each net file: the last rating whose net name is part of the path, else -500 and 1000.
+    """(path, elo, elo_error) for each net file: the last rating whose net name stands anywhere in the path, else -500 and 1000.
 
-    A net's name ends its path, so both are cut down to `run/file` and joined on that; ratings without a folder match by file.
+    Names have few different lengths; every stretch of a path that is as long as some name is looked up among the names, so
+    the match is an equal join whatever the names are. Empty names match nothing.
     """
-    tail = lambda c, n: F.array_join(F.slice(F.split(c, "/"), -n, n), "/")
     files = nets.select(F.col(path).alias("path"))
-    parts = F.size(F.split("net", "/"))
-    rated = ratings.withColumn("__n", parts)
-    lengths = F.array(F.lit(1), F.lit(2), F.lit(3))
-    keyed = files.select("path", F.explode(F.filter(lengths, lambda n: n <= F.size(F.split("path", "/")))).alias("__n"))
-    keyed = keyed.withColumn("__key", F.when(F.col("__n") == 1, tail(F.col("path"), 1)).when(F.col("__n") == 2, tail(F.col("path"), 2)).otherwise(tail(F.col("path"), 3)))
-    best = keyed.join(rated.select(F.col("net").alias("__key"), "__n", "elo", "elo_error", "line_no"), ["__key", "__n"])
-    best = best.groupBy("path").agg(F.max_by(F.struct("elo", "elo_error"), "line_no").alias("r"))
+    named = ratings.where(F.length("net") > 0)
+    lengths = named.agg(F.collect_set(F.length("net")).alias("__lengths"))  # one row, no longer than the longest path
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substring(F.col("path"), i, n))
+    fitting = F.filter("__lengths", lambda n: n <= F.length("path"))
+    keyed = files.distinct().crossJoin(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(F.flatten(F.transform(fitting, parts)))).alias("net"))
+    best = keyed.join(named, "net").groupBy("path").agg(F.max_by(F.struct("elo", "elo_error"), "line_no").alias("r"))
     out = files.join(best, "path", "left")
     return out.select("path", F.coalesce("r.elo", F.lit(-500.0)).alias("elo"), F.coalesce("r.elo_error", F.lit(1000.0)).alias("elo_error"))
 

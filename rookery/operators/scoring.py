@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,33 @@ def sparse_linear(features: DataFrame, weights: DataFrame, rows: DataFrame, bias
     return full.select(row_id, out, (F.coalesce("value", F.lit(0.0)) + F.col("__b")).alias("value"))
 
 
+def weight_matrix(weights: DataFrame, feature: str = "feature", out: str = "out_idx", w: str = "w") -> np.ndarray:
+    """inputs x outputs, absent entries 0. The size is checked before anything comes to the driver."""
+    size = weights.agg((F.max(feature) + 1).alias("inputs"), (F.max(out) + 1).alias("outputs"), F.count(F.lit(1)).alias("n")).first()
+    if not size.n:
+        return np.zeros((0, 0))
+    if size.inputs * size.outputs > MATRIX_ENTRIES or size.n > MATRIX_ENTRIES:
+        raise ValueError("the weights are too many for one matrix; use sparse_linear")
+    rows = weights.select(F.col(feature).cast("long").alias("i"), F.col(out).cast("long").alias("j"), F.col(w).cast("double").alias("w")).toArrow()
+    matrix = np.zeros((size.inputs, size.outputs))
+    matrix[np.asarray(rows["i"]), np.asarray(rows["j"])] = np.asarray(rows["w"])
+    return matrix
+
+
+def summed_rows(matrix: np.ndarray, features: pa.Array, step: int = 512) -> np.ndarray:
+    """For each list of features the sum of their rows; negative and null ones are padding."""
+    out = np.zeros((len(features), matrix.shape[1]))
+    for lo in range(0, len(features), step):
+        part = features.slice(lo, step)
+        size = np.asarray(pc.fill_null(pc.list_value_length(part), 0), np.int64)
+        xs = np.asarray(pc.fill_null(part.flatten().cast(pa.int64()), -1), np.int64)
+        row = np.repeat(np.arange(len(part)), size)
+        np.add.at(out, lo + row[xs >= 0], matrix[xs[xs >= 0]])
+    return out
+
+
 def sparse_linear_matrix(rows: DataFrame, matrix: np.ndarray, bias: np.ndarray | None = None, row_id: str = "row_id", features: str = "features") -> DataFrame:
-    """(row_id, values array<double>) from rows of packed features, with the matrix (inputs x outputs) sent to every task."""
+    """(row_id, values array<double>) from rows of packed features, with the matrix (inputs x outputs) sent to every task: no shuffle."""
     if matrix.size > MATRIX_ENTRIES:
         raise ValueError("the matrix is too large to be sent to every task; use sparse_linear")
     sent = rows.sparkSession.sparkContext.broadcast((matrix, bias))
@@ -41,13 +67,11 @@ def sparse_linear_matrix(rows: DataFrame, matrix: np.ndarray, bias: np.ndarray |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, b = sent.value
         for batch in batches:
-            values = []
-            for xs in batch.column("features").to_pylist():
-                xs = np.asarray([x for x in xs or () if x is not None and x >= 0], int)
-                values.append(m[xs].sum(axis=0) + (0 if b is None else b))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(values, pa.list_(pa.float64()))], ["row_id", "values"])
+            values = summed_rows(m, batch.column("features")) + (0 if b is None else b)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * m.shape[1], pa.int32()), pa.array(values.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), lists], ["row_id", "values"])
 
-    return rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(features).alias("features")).mapInArrow(run, "row_id long, values array<double>")
+    return rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(features).cast("array<long>").alias("features")).mapInArrow(run, "row_id long, values array<double>")
 
 
 def pairwise_activation(acc: DataFrame, half: int, value: str = "value") -> DataFrame:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,20 +20,20 @@ def assign_game_id(df: DataFrame, partition: str, order: list[str], result: str
     return begins.withColumn("game_no", F.sum("__begins").over(w)).drop("__begins")
 
 
-def decayed_average(df: DataFrame, run: str, order: list[str], value: str, decay: float = 0.995) -> DataFrame:
+def decayed_average(df: DataFrame, run: str, order: list[str], value: str, decay: float = 0.995, buckets: Column | None = None) -> DataFrame:
     """(run, n, average): values of each run weighted by decay ** (rows since), null values left out.
 
-    A run's rows meet in one task, where a log of one run fits; runs spread over tasks.
+    `buckets`, which must not fall as the order rises, cuts each run into stretches: their counts, one row each, tell how many
+    rows come later, so that no task needs a whole run; sums are made on the map side first.
     """
-    kind = dict(df.dtypes)[run]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        w = decay ** np.arange(len(v) - 1, -1, -1)
-        return pd.DataFrame({run: [pdf[run].iloc[0]], "n": [len(v)], "average": [float((v * w).sum() / w.sum()) if len(v) else np.nan]})
-
-    asked = df.select(run, *order, value).where(F.col(value).isNotNull())
-    return asked.groupBy(run).applyInPandas(one, f"`{run}` {kind}, n bigint, average double")
+    rows = df.where(F.col(value).isNotNull()).select(run, *order, F.col(value).cast("double").alias("__v"), (buckets if buckets is not None else F.lit(0)).alias("__b"))
+    counts = rows.groupBy(run, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    later = F.sum("__n").over(W.partitionBy(run).orderBy(F.col("__b").desc()).rowsBetween(W.unboundedPreceding, 0))
+    inside = F.row_number().over(W.partitionBy(run, "__b").orderBy(*order))
+    aged = rows.withColumn("__k", inside).join(counts.withColumn("__later", later).drop("__n"), [run, "__b"])
+    weight = F.pow(F.lit(decay), F.col("__later") - F.col("__k"))
+    sums = aged.groupBy(run).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__v") * weight).alias("__s"), F.sum(weight).alias("__w"))
+    return sums.select(run, "n", (F.col("__s") / F.col("__w")).alias("average"))
 
 
 def throughput(df: DataFrame, run: str = "run_id", step: str = "step", ts: str = "ts", total: str | None = None, every: int = 10) -> DataFrame:
