@@ -159,6 +159,17 @@ def test_chunks(spark, tmp_path):
     df = binary.read_binpack(spark, str(tmp_path / "a.binpack"), 3)
     assert got(df.orderBy("chunk_no", "pos_in_chunk")) == want
     assert df.select("game_id").distinct().count() == len(games)
+    # two files with the same chunks: no game is numbered twice
+    (tmp_path / "b.binpack").write_bytes((tmp_path / "a.binpack").read_bytes())
+    both = binary.read_binpack(spark, [str(tmp_path / "a.binpack"), str(tmp_path / "b.binpack")])
+    assert both.select("game_id").distinct().count() == 2 * len(games) and both.count() == 2 * len(want)
+    spark.dataSource.register(binary.ChunkSource)
+    source = spark.read.format("binpack").load(str(tmp_path / "a.binpack"))
+    assert got(source.orderBy("chunk_no", "pos_in_chunk")) == want
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = spark.read.format("binpack").load(str(tmp_path / "a.binpack")).where("ply > 20 AND score <= 100 AND fen LIKE '%w%'")
+    assert sorted(got(some)) == sorted(r for r in want if r[3] > 20 and r[2] <= 100 and "w" in r[0])
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     (tmp_path / "bad.binpack").write_bytes(b"BINX" + bytes(9))
     with pytest.raises(Exception, match="no chunk begins"):
         binary.binpack_chunk_index(spark, str(tmp_path / "bad.binpack")).collect()

@@ -34,11 +34,21 @@ def test_query_equals_sql(spark, sf, duck, name):
     got, want = QUERIES[name](spark, sf).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     cols = sorted(got.columns)
-    # what counts is the value: DuckDB's nulls and Spark's are brought to one form
-    plain = lambda df: df[cols].astype(object).where(df[cols].notna(), None).sort_values(cols, key=lambda c: c.astype(str)).reset_index(drop=True)
+    floats = [c for c in cols if pd.api.types.is_float_dtype(got[c]) or pd.api.types.is_float_dtype(want[c])]
+    # what counts is the value: nulls and zeros of either sign are brought to one form, and rows paired by their exact columns first
+    def plain(df):
+        df = df[cols].copy()
+        for c in floats:
+            df[c] = df[c].astype(float) + 0.0
+        text = df.astype(object).where(df.notna(), None).astype(str)
+        for c in floats:
+            text[c] = df[c].map(lambda x: f"{x:.5f}".replace("-0.00000", "0.00000"))
+        order = text.sort_values([c for c in cols if c not in floats] + floats).index
+        return df.astype(object).where(df.notna(), None).loc[order].reset_index(drop=True)
+
     a, b = plain(got), plain(want)
     for c in cols:
-        if pd.api.types.is_float_dtype(got[c]) or pd.api.types.is_float_dtype(want[c]):
+        if c in floats:
             assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=0, atol=1e-9, equal_nan=True), c
         else:
             assert a[c].astype(str).tolist() == b[c].astype(str).tolist(), c
@@ -126,7 +136,38 @@ def test_permutation_raises_the_zero_rate(spark):
     perm = activations.find_permutation(acts, 16)
     assert sorted(perm) == list(range(16))
     before, after = (activations.zero_block_rate(a).first().rate for a in (acts, activations.apply_permutation(acts, perm)))
-    assert after > before + 0.1 and {p % 4 for p in perm[:4]} == {p % 4 for p in perm[:1]} or after > before
+    assert after > before + 0.1
+
+    def rounds(order):
+        """Greedy rounds of swaps alone, stated plainly."""
+        while True:
+            y = z[:, order]
+            full = y.reshape(len(y), -1, 4).all(axis=2).sum(axis=0)
+            gains = {}
+            for i in range(16):
+                for j in range(i + 1, 16):
+                    if i // 4 != j // 4:
+                        w = y.copy()
+                        w[:, [i, j]] = w[:, [j, i]]
+                        both = w.reshape(len(w), -1, 4).all(axis=2).sum(axis=0)
+                        gains[i, j] = int(both[i // 4] + both[j // 4] - full[i // 4] - full[j // 4])
+            used, order, moved = set(), list(order), False
+            for (i, j), g in sorted(gains.items(), key=lambda x: (-x[1], x[0])):
+                if g > 0 and not {i // 4, j // 4} & used:
+                    order[i], order[j], moved = order[j], order[i], True
+                    used |= {i // 4, j // 4}
+            if not moved:
+                return order
+
+    swapped = rounds(list(range(16)))
+    rate = lambda order: z[:, order].reshape(200, -1, 4).all(axis=2).mean()
+    assert rate(perm) >= rate(swapped) > rate(range(16))
+    # rotations: of each three blocks the best, found by trying all
+    g = rng.integers(-5, 6, (12, 12)).astype(float)
+    g = np.minimum(g, -g.T)  # no swap gains
+    of = np.arange(12) // 4
+    best = max((g[i, j] + g[j, k] + g[k, i], -i, -j, -k) for i in range(4) for j in range(4, 12) for k in range(4, 12) if of[j] != of[k])
+    assert activations._moves(g, 4) == ([tuple(-x for x in best[1:])] if best[0] > 0 else [])
 
 
 def test_batches_and_validation(spark):
@@ -138,6 +179,49 @@ def test_batches_and_validation(spark):
     assert batching.batches_per_epoch(100, 16384) == 1
 
 
+def test_own_feature_set(spark, positions):
+    """A registered set takes part in compositions under its name, with its offset."""
+    features.register_feature("Kings", 128, 2, lambda p: F.array(F.col("wk"), F.col("bk") + 64))
+    try:
+        rows = features.compose_features(positions, "HalfKAv2_hm+Kings").where("feature >= 24576").collect()
+        assert {(r.row_id, r.feature - 24576) for r in rows if r.perspective == 0} == {(0, 4), (0, 124), (1, 4), (1, 124), (2, 19), (2, 108), (3, 4), (3, 124)}
+        packed = features.pack_features(positions, "Kings").where("row_id = 2 AND perspective = 1").first()
+        assert packed.features == [19, 108] and packed.n_active == 2
+    finally:
+        del features.REGISTRY["Kings"]
+
+
+def test_skip_rules_come_from_the_position(spark, positions):
+    """The rules of the first example in the README: worked out from the FEN, and an error where they can't be."""
+    rows = positions.select("row_id", "fen").withColumns({"score": F.lit(10), "ply": F.lit(40), "result": F.lit(0), "game_id": F.col("row_id"), "move": F.struct(F.lit(12).alias("from"), F.lit(28).alias("to"))})
+    cfg = filters.SkipConfig(by_result=False, soft_early=0, balance=False)
+    assert sorted(r.row_id for r in filters.apply_skip_config(rows, cfg, ["game_id", "ply"]).collect()) == [0, 1, 2]  # 3 is in check
+    even = filters.SkipConfig(by_result=False, soft_early=0, balance=False, quiet=False, early=0, least_material=100)
+    assert sorted(r.row_id for r in filters.apply_skip_config(rows, even, "row_id").collect()) == [1, 2]
+    assert filters.apply_skip_config(rows, filters.SkipConfig(), "row_id").columns == rows.columns
+    for bare in (rows.drop("fen"), rows.drop("move")):
+        with pytest.raises(ValueError):
+            filters.apply_skip_config(bare, cfg, "row_id")
+
+
+def test_fit_and_jitter(spark):
+    """The fit against brute force over k, and the jitter's spread."""
+    from rookery.operators.fitting import fit_sigmoid_scale
+
+    perf = spark.createDataFrame([(b, 1 / (1 + np.exp(-b / 300)) + 0.01 * (b % 3), 50 + b % 7) for b in range(-800, 801, 16)], "bucket int, mean double, n int")
+    k, inverse = fit_sigmoid_scale(perf)
+    x, m, n = (np.array([r[i] for r in perf.collect()], float) for i in range(3))
+    cost = lambda c: (n**2 * (m - 1 / (1 + np.exp(-x * c))) ** 2).sum()
+    grid = np.linspace(0.8, 1.2, 4001) * k
+    assert abs(grid[np.argmin([cost(c) for c in grid])] - k) < 2e-4 * k and inverse == pytest.approx(1 / k)
+
+
+def test_any_part_of_a_path_matches_a_rating(spark):
+    nets = spark.createDataFrame([("exp/run_1/nn-epoch19.nnue",), ("exp/run_12/nn-epoch19.nnue",), ("other/x.nnue",), ("a",)], "path string")
+    rated = spark.createDataFrame([("run_1/nn-epoch19.nnue", 1.0, 9.0, 1), ("n_1", 2.0, 9.0, 2), ("xp/run_12/nn", 3.0, 9.0, 3), ("", 4.0, 9.0, 4), ("x.nnue", 5.0, 9.0, 6), ("ther/x", 6.0, 9.0, 5)], "net string, elo double, elo_error double, line_no int")
+    assert {r.path: r.elo for r in ratings.match_ratings(nets, rated).collect()} == {"exp/run_1/nn-epoch19.nnue": 2.0, "exp/run_12/nn-epoch19.nnue": 3.0, "other/x.nnue": 5.0, "a": -500.0}
+
+
 def test_files(spark, tmp_path):
     games = spark.createDataFrame([("run_1/nn-epoch19.nnue", "master", "1-0"), ("master", "run_1/nn-epoch19.nnue", "1/2-1/2"), ("master", "run_2/nn-epoch39.nnue", "0-1"), ("a", "b", "*")], "white string, black string, result string")
     pgn = "".join(f'[Event "g"]\n[White "{g.white}"]\n[Black "{g.black}"]\n[Result "{g.result}"]\n\n1. e4 *\n\n' for g in games.collect())
