@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -125,3 +126,75 @@ def score_positions(acc: DataFrame, positions: DataFrame, net: dict[str, DataFra
         us = positions.select("row_id", F.when(F.col("white_to_move"), 0.5).otherwise(-0.5).alias("__us"))
         out = out.join(psqt, "row_id").join(us, "row_id").withColumn("total", F.col("total") + (F.col("white") - F.col("black")) * F.col("__us"))
     return out.select("row_id", (F.col("total") * TO_SCORE).alias("score"))
+
+
+#: Scales of integer inference for weights, by part of a net, and of activations; the output is turned from
+#: 1 / OUT_FROM into 1 / OUT_TO by an integer division.
+WEIGHT_SCALES = {"ft": 256.0, "psqt": 9600.0, "ft_b": 256.0, "l1": 128.0, "l1_b": 128.0 * 128, "l2": 64.0, "l2_b": 64.0 * 128, "out": 128.0, "out_b": 128.0 * 128}
+ACTIVATION_SCALE, ROUND_DOWN_SLACK, OUT_FROM, OUT_TO = 128.0, 1e-5, 32768, 9600
+
+
+@dataclass(frozen=True)
+class NetMatrices:
+    """A whole net. ft and psqt: inputs x width and inputs x buckets, with ft_b (width); l1, l2 and out: bucket x inputs x outputs,
+    with l1_b, l2_b and out_b (bucket x outputs). l1 reads width inputs, l2 twice l1's outputs, out twice l1's and twice l2's."""
+
+    ft: np.ndarray
+    psqt: np.ndarray
+    ft_b: np.ndarray
+    l1: np.ndarray
+    l1_b: np.ndarray
+    l2: np.ndarray
+    l2_b: np.ndarray
+    out: np.ndarray
+    out_b: np.ndarray
+
+    def quantized(self) -> NetMatrices:
+        """Weights as they are after rounding to the integers that are stored."""
+        return NetMatrices(**{k: np.rint(getattr(self, k) * scale) / scale for k, scale in WEIGHT_SCALES.items()})
+
+    def scores(self, white: pa.Array, black: pa.Array, us: np.ndarray, bucket: np.ndarray, quantize: bool) -> np.ndarray:
+        """Scores of positions from their features; us is 1 where white moves, else 0. quantize rounds activations as integer
+        inference does; weights are taken as they are, see quantized()."""
+        down = (lambda v: np.floor(v * ACTIVATION_SCALE + ROUND_DOWN_SLACK) / ACTIVATION_SCALE) if quantize else (lambda v: v)
+        kept = lambda v: np.clip(v, 0.0, HIDDEN_MAX)
+        layer = lambda x, w, b: np.einsum("ni,nio->no", x, w[bucket]) + b[bucket]
+        half = self.ft.shape[1] // 2
+        sides = []
+        for features in (white, black):
+            held = np.clip(summed_rows(self.ft, features) + self.ft_b, 0.0, FT_MAX)
+            sides.append(down(held[:, :half] * held[:, half:]))
+        mover = us[:, None] > 0.5
+        x = np.concatenate([np.where(mover, sides[0], sides[1]), np.where(mover, sides[1], sides[0])], axis=1)
+        first = layer(x, self.l1, self.l1_b)
+        skip = first[:, -2] - first[:, -1]
+        one = kept(np.concatenate([down(first * first), down(first)], axis=1))
+        second = layer(one, self.l2, self.l2_b)
+        two = kept(np.concatenate([down(second * second), down(second)], axis=1))
+        total = layer(np.concatenate([one, two], axis=1), self.out, self.out_b)[:, 0] + skip
+        if quantize:
+            steps = np.rint(total * OUT_FROM) * OUT_TO
+            total = np.trunc(steps / OUT_FROM) / OUT_TO
+        row = np.arange(len(bucket))
+        material = (summed_rows(self.psqt, white) - summed_rows(self.psqt, black))[row, bucket]
+        return (total + material * (us - 0.5)) * TO_SCORE
+
+
+def score_rows(rows: DataFrame, net: NetMatrices, quantize: bool = False, row_id: str = "row_id") -> DataFrame:
+    """(row_id, score) of rows (row_id, white, black, us, bucket) of packed features, with and without the rounding of integer
+    inference. The net's matrices go to every task after a check of their size, so there is no shuffle whatever the number of rows;
+    score_positions does the same with joins for nets beyond that."""
+    if net.ft.size + net.psqt.size > MATRIX_ENTRIES:
+        raise ValueError("the net is too large to be sent to every task; use score_positions")
+    sent = rows.sparkSession.sparkContext.broadcast(net.quantized() if quantize else net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                b = batch.slice(lo, 1024)
+                us, bucket = np.asarray(b.column("us"), float), np.asarray(b.column("bucket"), int)
+                score = sent.value.scores(b.column("white"), b.column("black"), us, bucket, quantize)
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(score)], ["row_id", "score"])
+
+    lists = [F.col(c).cast("array<long>").alias(c) for c in ("white", "black")]
+    return rows.select(F.col(row_id).cast("long").alias("row_id"), *lists, F.col("us").cast("double").alias("us"), F.col("bucket").cast("int").alias("bucket")).mapInArrow(run, "row_id long, score double")

@@ -11,12 +11,10 @@ from rookery.plans.registry import query
 from rookery.sources import binary, packing, text
 
 C = F.col
-#: The views' positions by files of 2000 event_ids.
-FILE = F.floor(C("event_id") / 2000)
 
 
 def written(v, writer, name: str) -> tuple:
-    rows = v("positions").withColumn("file", FILE)
+    rows = v("positions").withColumn("file", F.floor(C("event_id") / 2000))
     root = shared_folder(rows.sparkSession, name)
     writer(rows, root, "file", "event_id")
     return rows.sparkSession, root

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rookery.functions.evalmath import fake_quantize
@@ -138,6 +139,53 @@ def _(v):
     return S.score_positions(both_sides(v), movers(v), layers(v("weights")), 32, 8).select("row_id", F.round("score", 4).alias("score"))
 
 
+def net_matrices(w):
+    """A net cut from the weight table: 200 inputs to 16 and 4 buckets; 16 to 4, 8 to 4 and 16 to 1 in each bucket."""
+    m = S.weight_matrix(w.where("feature < 260"))
+    stack = lambda first, inputs, outputs: np.stack([m[first + b : first + 4 * outputs : 4, :inputs].T for b in range(4)])
+    bias = lambda first, outputs: np.stack([m[first + b : first + 4 * outputs : 4, 63] for b in range(4)])
+    return S.NetMatrices(m[:200, :16], m[:200, 16:20], m[200, :16], stack(210, 16, 4), bias(210, 4), stack(230, 8, 4), bias(230, 4), stack(250, 16, 1), bias(250, 1))
+
+
+def _net_sql(name: str, quantize: bool) -> str:
+    """The same net by joins, with every value rounded as integer inference does, or none."""
+    w = lambda x, scale: f"(round_even({x} * {scale}e0, 0) / {scale}e0)" if quantize else f"({x})"
+    down = lambda x: f"(floor(({x}) * 128.0e0 + 0.00001e0) / 128.0e0)" if quantize else f"({x})"
+    kept = lambda x: f"greatest(0.0e0, least(127 / 128.0e0, {x}))"
+    ft = "greatest(0.0e0, least(255 / 256.0e0, {}))"
+    out = "(trunc(CAST(round_even(y * 32768, 0) AS BIGINT) * 9600 / 32768.0e0) / 9600.0e0)" if quantize else "y"
+
+    def layer(to: str, source: str, first: int, outputs: int, scale: int) -> str:
+        return f"""{name}{to} AS (SELECT x.row_id, x.bucket, (w.feature - {first}) // 4 AS o, sum(x.v * {w('w.w', scale)}) + any_value({w('b.w', scale * 128)}) AS v FROM {name}{source} x
+  JOIN weights w ON w.feature BETWEEN {first} AND {first + 4 * outputs - 1} AND (w.feature - {first}) % 4 = x.bucket AND w.out_idx = x.i JOIN weights b ON b.feature = w.feature AND b.out_idx = 63 GROUP BY 1, 2, 3)"""
+
+    both = lambda to, source, at: f"""{name}{to} AS (SELECT row_id, bucket, o + {at} AS i, {kept(down('v * v'))} AS v FROM {name}{source} UNION ALL SELECT row_id, bucket, o + 4 + {at}, {kept(down('v'))} FROM {name}{source})"""
+    return f"""{name}acc AS (SELECT row_id, persp, w.out_idx AS o, sum(CASE WHEN w.out_idx < 16 THEN {w('w.w', 256)} ELSE {w('w.w', 9600)} END) + any_value(CASE WHEN w.out_idx < 16 THEN {w('b.w', 256)} ELSE 0.0e0 END) AS v
+  FROM sided JOIN weights w ON w.feature = f AND w.out_idx < 20 JOIN weights b ON b.feature = 200 AND b.out_idx = w.out_idx GROUP BY 1, 2, 3),
+{name}x0 AS (SELECT a.row_id, a.row_id % 4 AS bucket, a.o + CASE WHEN (a.persp = 0) = (a.row_id % 2 = 0) THEN 0 ELSE 8 END AS i, {down(ft.format('a.v') + ' * ' + ft.format('b.v'))} AS v
+  FROM {name}acc a JOIN {name}acc b ON b.row_id = a.row_id AND b.persp = a.persp AND b.o = a.o + 8 WHERE a.o < 8),
+{layer('d1', 'x0', 210, 4, 128)}, {both('x1', 'd1', 0)}, {layer('d2', 'x1', 230, 4, 64)}, {both('x2', 'd2', 8)},
+{name}x3 AS (SELECT * FROM {name}x1 UNION ALL SELECT * FROM {name}x2), {layer('d3', 'x3', 250, 1, 128)},
+{name}y AS (SELECT d.row_id, d.v + p.v - q.v AS y FROM {name}d3 d JOIN {name}d1 p ON p.row_id = d.row_id AND p.o = 2 JOIN {name}d1 q ON q.row_id = d.row_id AND q.o = 3),
+{name}s AS (SELECT y.row_id, ({out} + (a.v - b.v) * CASE WHEN y.row_id % 2 = 0 THEN 0.5e0 ELSE -0.5e0 END) * 600.0e0 AS score FROM {name}y y
+  JOIN {name}acc a ON a.row_id = y.row_id AND a.persp = 0 AND a.o = 16 + y.row_id % 4 JOIN {name}acc b ON b.row_id = y.row_id AND b.persp = 1 AND b.o = 16 + y.row_id % 4)"""
+
+
+SIDED = "sided AS (SELECT event_id AS row_id, 0 AS persp, feature AS f FROM sample_features WHERE feature >= 0 UNION ALL SELECT event_id, 1, (feature + 100) % 200 FROM sample_features WHERE feature >= 0)"
+
+
+@query("score_rows", "sample_features weights", f"WITH {SIDED}, {_net_sql('p', False)}, {_net_sql('q', True)} SELECT row_id, round(p.score, 6) + 0.0e0 AS plain, round(q.score, 6) + 0.0e0 AS quantized FROM ps p JOIN qs q USING (row_id)")
+def _(v):
+    """A whole net with material term, as trained and as rounded for integer inference."""
+    f = v("sample_features")
+    other = F.when(C("feature") >= 0, (C("feature") + 100) % 200).otherwise(-1)
+    rows = f.groupBy(C("event_id").alias("row_id")).agg(F.collect_list("feature").alias("white"), F.collect_list(other).alias("black"))
+    rows = rows.withColumns({"us": F.when(C("row_id") % 2 == 0, 1.0).otherwise(0.0), "bucket": (C("row_id") % 4).cast("int")})
+    net = net_matrices(v("weights"))
+    plain, rounded = (S.score_rows(rows, net, q).select("row_id", (F.round("score", 6) + F.lit(0.0)).alias(n)) for q, n in ((False, "plain"), (True, "quantized")))
+    return plain.join(rounded, "row_id")
+
+
 KEYED = "w AS (SELECT feature AS in_idx, out_idx, w FROM weights)"
 
 
