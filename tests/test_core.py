@@ -213,6 +213,9 @@ def test_fit_and_jitter(spark):
     x, m, n = (np.array([r[i] for r in perf.collect()], float) for i in range(3))
     cost = lambda c: (n**2 * (m - 1 / (1 + np.exp(-x * c))) ** 2).sum()
     grid = np.linspace(0.8, 1.2, 4001) * k
+    steps = spark.range(2000).select(M.lambda_jitter(F.lit(0.5), 0.1, 3).alias("j"), M.lambda_jitter(F.lit(0.5), 0.1, 3, F.lit(0.0)).alias("still"), M.lambda_jitter(F.lit(0.99), 1.0, 4).alias("cut"))
+    got = steps.toPandas()
+    assert abs(got.j.mean() - 0.5) < 0.01 and abs(got.j.std() - 0.1) < 0.01 and (got.still == 0.5).all() and got.cut.between(0, 1).all() and got.cut.max() == 1
     assert abs(grid[np.argmin([cost(c) for c in grid])] - k) < 2e-4 * k and inverse == pytest.approx(1 / k)
 
 
