@@ -171,9 +171,9 @@ def _prepared(df: DataFrame, cfg: SkipConfig, quiet: Column | None, material: Co
     if not parsed <= set(df.columns):
         if "fen" not in df.columns:
             raise ValueError(f"these rules are on, but there is neither a column for them nor a fen: {', '.join(k for k, v in asks.items() if v)}")
-        held = "piece_count" in df.columns
-        df = parse_fen(df.withColumnRenamed("piece_count", "__given") if held else df)
-        df = df.drop("piece_count").withColumnRenamed("__given", "piece_count") if held else df
+        given = {c: F.col(c) for c in ("piece_count",) if c in df.columns}
+        df = parse_fen(df).withColumns({"__given_" + c: F.col(f"__row.{c}") for c in given})
+        df = df.withColumns({c: F.col("__given_" + c) for c in given})
     if asks["quiet"]:
         if {"move_from", "move_to"} <= set(df.columns):
             ends = F.col("move_from"), F.col("move_to")
@@ -201,14 +201,16 @@ def apply_skip_config(df: DataFrame, cfg: SkipConfig, key: str | list[str], game
     names = df.columns
     drawn = F.concat_ws("/", *key) if isinstance(key, list) else F.col(key)
     placeholder = is_placeholder_zero(F.col("score"), F.col("result"), F.col(game), F.col("ply")) if game else F.lit(False)
-    flagged, quiet, material = _prepared(df.withColumn("__placeholder", placeholder), cfg, quiet, material)
+    # the row as it came is kept aside: what the rules need may have names of its own
+    held = df.withColumn("__placeholder", placeholder).withColumn("__row", F.struct(*names))
+    flagged, quiet, material = _prepared(held, cfg, quiet, material)
     flagged = flagged.withColumn("reject_reason", reject_reason(cfg, drawn, F.col("__placeholder"), quiet, material))
     if cfg.balance:
         rates = piece_count_rates(flagged.where("reject_reason IS NULL"), cfg.piece_count_y).withColumnRenamed("piece_count", "__pc")
         flagged = flagged.join(F.broadcast(rates), F.col("piece_count") == F.col("__pc"), "left")
         gone = F.coalesce(stable_uniform(drawn, "pieces") >= F.col("keep_rate"), F.lit(True))
         flagged = flagged.withColumn("reject_reason", F.coalesce("reject_reason", F.when(gone, "piece_count")))
-    return flagged.select(*names, "reject_reason") if audit else flagged.where("reject_reason IS NULL").select(*names)
+    return flagged.select("__row.*", "reject_reason") if audit else flagged.where("reject_reason IS NULL").select("__row.*")
 
 
 def skip_audit(df: DataFrame, cfg: SkipConfig, key: str | list[str], **columns) -> DataFrame:

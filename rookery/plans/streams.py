@@ -61,6 +61,7 @@ def in_waves(df: DataFrame, name: str, position: Column, operator: Callable[[Dat
     root = shared_folder(spark, name)
     rows = df.withColumn("__at", position)
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("__at"), F.max("__at")).first()
+    low, high = (low, high) if n else (0, 0)
     waves = max(least, -(-n // WAVE_ROWS))
     wave = F.least(F.floor((F.col("__at") - F.lit(low)) * waves / (high - low + 1)), F.lit(waves - 1))
     with rocks_state(spark):

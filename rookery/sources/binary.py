@@ -285,7 +285,7 @@ class ChunkRange(InputPartition):
 
 
 class ChunkReader(DataSourceReader):
-    """Partitions are ranges of chunks of about PARTITION_BYTES; comparisons of ply, score and result with a number are pushed."""
+    """Partitions are ranges of chunks of about PARTITION_BYTES."""
 
     COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
     PLACE = {"ply": 0, "score": 1, "result": 2}
@@ -293,13 +293,6 @@ class ChunkReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.pushed = path, []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if type(f) in self.COMPARE and len(f.attribute) == 1 and f.attribute[0] in self.PLACE and isinstance(f.value, int):
-                self.pushed.append((self.PLACE[f.attribute[0]], type(f), f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[ChunkRange]:
         fs, root = opened(self.path)
         found = fs.get_file_info(root)
@@ -327,10 +320,21 @@ class ChunkReader(DataSourceReader):
                 yield from _chunk_batches(f, partition.file_no, partition.path, n, offset, size, keep)
 
 
+class FilteringReader(ChunkReader):
+    """Takes comparisons of ply, score and result with a number into the decoder, which passes over other rows before their FEN is made."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if type(f) in self.COMPARE and len(f.attribute) == 1 and f.attribute[0] in self.PLACE and isinstance(f.value, int):
+                self.pushed.append((self.PLACE[f.attribute[0]], type(f), f.value))
+            else:
+                yield f
+
+
 class ChunkSource(DataSource):
     """spark.dataSource.register(ChunkSource); spark.read.format("binpack").load(path): rows of SCHEMA from a chunk file or a folder of
-    them. The driver walks the heads; for very many files use read_binpack, whose tasks do. Filters are pushed where
-    spark.sql.python.filterPushdown.enabled is on."""
+    them. The driver walks the heads; for very many files use read_binpack, whose tasks do. With the option push = true, filters
+    reach the decoder; Spark asks for spark.sql.python.filterPushdown.enabled then."""
 
     @classmethod
     def name(cls) -> str:
@@ -340,4 +344,5 @@ class ChunkSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ChunkReader:
-        return ChunkReader(self.options["path"])
+        kind = FilteringReader if self.options.get("push", "false").lower() == "true" else ChunkReader
+        return kind(self.options["path"])
