@@ -1,5 +1,6 @@
 """Packed records written by a small encoder and read back."""
 
+import pathlib
 import random
 import struct
 
@@ -167,9 +168,27 @@ def test_chunks(spark, tmp_path):
     source = spark.read.format("binpack").load(str(tmp_path / "a.binpack"))
     assert got(source.orderBy("chunk_no", "pos_in_chunk")) == want
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    some = spark.read.format("binpack").load(str(tmp_path / "a.binpack")).where("ply > 20 AND score <= 100 AND fen LIKE '%w%'")
+    some = spark.read.format("binpack").option("push", "true").load(str(tmp_path / "a.binpack")).where("ply > 20 AND score <= 100 AND fen LIKE '%w%'")
     assert sorted(got(some)) == sorted(r for r in want if r[3] > 20 and r[2] <= 100 and "w" in r[0])
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     (tmp_path / "bad.binpack").write_bytes(b"BINX" + bytes(9))
     with pytest.raises(Exception, match="no chunk begins"):
         binary.binpack_chunk_index(spark, str(tmp_path / "bad.binpack")).collect()
+
+
+def test_first_example_of_the_readme(spark, tmp_path):
+    """It runs as it stands, but for the paths, and every rule of the default settings takes part."""
+    games = [game(f, 40, seed) for seed, f in enumerate(FENS * 5)]
+    body = b"".join(g for g, _ in games)
+    (tmp_path / "a.binpack").write_bytes(b"BINP" + len(body).to_bytes(4, "little") + body)
+    readme = pathlib.Path(__file__).parent.parent / "README.md"
+    code = readme.read_text().split("```python\n")[1].split("```")[0]
+    names = {"spark": spark}
+    exec(code.replace("games/*.binpack", f"{tmp_path}/*.binpack").replace('"records"', f'"{tmp_path}/records"'), names)  # noqa: S102
+    kept, features = names["kept"], names["features"]
+    assert 0 < kept.count() < sum(len(rows) for _, rows in games)
+    assert features.select("row_id").distinct().count() == kept.count() and features.columns == ["row_id", "perspective", "feature"]
+    from rookery.operators.filters import SkipConfig, apply_skip_config
+
+    reasons = {r.reject_reason for r in apply_skip_config(spark.read.parquet(f"{tmp_path}/records"), SkipConfig(), key=["game_id", "ply"], audit=True).collect()}
+    assert {"not_quiet", "result", "soft_early", "piece_count", None} <= reasons

@@ -197,8 +197,10 @@ def test_skip_rules_come_from_the_position(spark, positions):
     cfg = filters.SkipConfig(by_result=False, soft_early=0, balance=False)
     assert sorted(r.row_id for r in filters.apply_skip_config(rows, cfg, ["game_id", "ply"]).collect()) == [0, 1, 2]  # 3 is in check
     even = filters.SkipConfig(by_result=False, soft_early=0, balance=False, quiet=False, early=0, least_material=100)
-    assert sorted(r.row_id for r in filters.apply_skip_config(rows, even, "row_id").collect()) == [1, 2]
+    assert sorted(r.row_id for r in filters.apply_skip_config(rows, even, "row_id").collect()) == [2]
     assert filters.apply_skip_config(rows, filters.SkipConfig(), "row_id").columns == rows.columns
+    odd = rows.withColumns({"board": F.lit("mine"), "rest": F.lit(7), "piece_count": F.lit(32)})  # own columns with clashing names stay
+    assert {(r.board, r.rest, r.piece_count) for r in filters.apply_skip_config(odd, cfg, "row_id").collect()} == {("mine", 7, 32)}
     for bare in (rows.drop("fen"), rows.drop("move")):
         with pytest.raises(ValueError):
             filters.apply_skip_config(bare, cfg, "row_id")
@@ -208,7 +210,7 @@ def test_fit_and_jitter(spark):
     """The fit against brute force over k, and the jitter's spread."""
     from rookery.operators.fitting import fit_sigmoid_scale
 
-    perf = spark.createDataFrame([(b, 1 / (1 + np.exp(-b / 300)) + 0.01 * (b % 3), 50 + b % 7) for b in range(-800, 801, 16)], "bucket int, mean double, n int")
+    perf = spark.createDataFrame([(b, float(1 / (1 + np.exp(-b / 300)) + 0.01 * (b % 3)), 50 + b % 7) for b in range(-800, 801, 16)], "bucket int, mean double, n int")
     k, inverse = fit_sigmoid_scale(perf)
     x, m, n = (np.array([r[i] for r in perf.collect()], float) for i in range(3))
     cost = lambda c: (n**2 * (m - 1 / (1 + np.exp(-x * c))) ** 2).sum()
