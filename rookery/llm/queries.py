@@ -47,7 +47,7 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(pii.KINDS).cast("binary"), 256).alias("base_sha256"), joined(pii.ORDER).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(pii.KINDS).cast("binary"), 256).alias("base_sha256"), joined(pii.ORDER).alias("spans"), count("term"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,39 @@ def quality_base(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(marked), n < 10 or 100 * len(marked) > 20 * n
 
 
+def source_targets(sizes, weights=(1, 2, 3), most=3.0):
+    """sizes: source -> words. Shares of all words by weight; a source over `most` times its size stops there, the excess is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    stopped = {}
+    while True:
+        rest = {s for s in order if s not in stopped}
+        left = sum(sizes.values()) - sum(stopped.values())
+        share = {s: left * w[s] / sum(w[r] for r in rest) for s in rest}
+        over = {s for s in rest if share[s] > most * sizes[s]}
+        if not over:
+            return stopped | share
+        stopped |= {s: most * sizes[s] for s in over}
+
+
+def best_states(features, emit, move):
+    """The best path of two states by dynamic programming over whole tables; content (1) where two paths score the same."""
+    n = len(features)
+    if not n:
+        return []
+    gain = [float(f @ emit) for f in features]
+    score, back = [[0.0, gain[0]]], []
+    for g in gain[1:]:
+        a, b = score[-1]
+        options = [[a + move[0][s], b + move[1][s]] for s in (0, 1)]
+        back.append([int(o[1] >= o[0]) for o in options])
+        score.append([max(options[0]), max(options[1]) + g])
+    states = [int(score[-1][1] >= score[-1][0])]
+    for step in reversed(back):
+        states.append(step[states[-1]])
+    return states[::-1]
+
+
 def repeats(docs, depth=20):
     seen, out = set(), {}
     for i, t in sorted(docs):

@@ -1,5 +1,6 @@
 """Each query against plain Python over the small tables, and edge cases of each operator."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -55,7 +56,10 @@ def test_mixture_meets_targets(spark, sf):
         target[source[r.doc_id]] = r.target
         assert r.taken <= 3 * r.size
     assert all(abs(taken[s] - target[s]) <= 1 for s in taken)
-    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    words = {}
+    for i, n in sizes.items():
+        words[source[i]] = words.get(source[i], 0) + n
+    assert target == pytest.approx(brute.source_targets(words)) and {r.doc_id: r.source_size for r in rows} == {i: words[source[i]] for i in sizes}
     assert {r.doc_id: r.taken for r in queries.op1_mix_sources(spark, sf).repartition(3).collect()} == {r.doc_id: r.taken for r in rows}
 
 
@@ -155,12 +159,13 @@ def test_near_copies_in_one_large_group(spark):
 
 
 def test_personal_data(spark, sf, docs):
-    got = by_id(queries.op4_personal_data(spark, sf), "n_email", "n_ip", "n_card", "n_phone", "spans")
+    got = by_id(queries.op4_personal_data(spark, sf), "n_email", "n_ip", "n_card", "n_phone", "spans", "base_sha256")
     for i, t in docs:
         s = brute.spans(t)
         assert got[i][:4] == tuple(sum(k == x[0] for x in s) for k in brute.PLAIN)
         base = [x for x in got[i][4].split(",") if x and not x.startswith("term:")]
         assert base == [f"{a}:{b}:{c}" for a, b, c in s]
+        assert got[i][5] == hashlib.sha256(",".join(base).encode()).hexdigest()
 
 
 def test_personal_data_edges(spark, edge, none):
@@ -242,6 +247,19 @@ def test_quality_rules(spark, sf, docs):
     assert got == {i: brute.quality_base(t) for i, t in docs}
 
 
+def test_quality_verdicts_are_those_of_the_best_path(spark, sf, docs):
+    """Each verdict from the fitted weights by a plain search for the best path over the document's lines."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    crf = quality.fit_line_crf(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = by_id(queries.op6_quality_rules(spark, sf), "base_failed", "kept")
+    for i, t in docs:
+        lines = (t or "").encode().split(b"\n")
+        states = brute.best_states(quality.line_features(lines), crf.emit, crf.move)
+        n = [len(line.split()) for line in lines]
+        share = sum(a for a, s in zip(n, states, strict=True) if s) / sum(n) if sum(n) else 1.0
+        assert got[i][1] == (not got[i][0] and share >= 0.5)
+
+
 def test_quality_verdicts_follow_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").collect()

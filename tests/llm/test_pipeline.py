@@ -35,8 +35,9 @@ def test_stages_in_order(spark, sf, tmp_path):
     texts = {r.doc_id: r.text for r in mixed}
     last = outs[4].collect()
     assert len(last) == len(mixed)
-    for r in last[:50]:
-        assert np.frombuffer(r.ids, "<u4").tolist() == tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+    for r in last:
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids) and r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
 def test_run_and_empty_tables(spark, sf, tmp_path):
