@@ -307,19 +307,19 @@ def _(v):
 SAMPLING = filters.activation_sampling_config(filters.SkipConfig(by_result=False, balance=False, soft_early=0))
 
 
-@query("activation_sampling_config", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, {PLACE.replace('game_id', 'fen_id')} AS p FROM kings)
+@query("activation_sampling_config", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, {PLACE.replace('game_id', 'event_id')} AS p FROM kings)
 SELECT event_id FROM flagged WHERE score <> 32002 AND NOT p AND {u('event_id', chr(39) + 'random' + chr(39))} >= 10 / 11.0e0 AND NOT {CAPTURE} AND fen_id NOT IN (SELECT fen_id FROM checked)""")
 def _(v):
-    return filters.apply_skip_config(v("positions"), SAMPLING, "event_id", game="fen_id").select("event_id")
+    return filters.apply_skip_config(v("positions"), SAMPLING, "event_id", game="event_id").select("event_id")
 
 
 FULL = filters.SkipConfig(thin_random=1, early=3, least_material=100)
 
 
-@query("apply_skip_config_to_positions", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, CAST(len(list_filter(board, lambda p: p >= 0)) AS INT) AS piece_count, {PLACE.replace('game_id', 'fen_id')} AS p FROM kings),
+@query("apply_skip_config_to_positions", "positions", f"""WITH {CHECKED}, flagged AS (SELECT *, CAST(len(list_filter(board, lambda p: p >= 0)) AS INT) AS piece_count, {PLACE.replace('game_id', 'event_id')} AS p FROM kings),
 kept AS (SELECT * FROM flagged WHERE score <> 32002 AND NOT p AND ply > 3 AND {u('event_id', chr(39) + 'random' + chr(39))} >= 0.5e0 AND NOT {CAPTURE} AND fen_id NOT IN (SELECT fen_id FROM checked)
   AND {u('event_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND abs({MATERIAL}) >= 100 AND NOT (ply < 20 AND {u('event_id', chr(39) + 'soft' + chr(39))} >= {SOFT})), {RATES}
 SELECT event_id FROM kept JOIN rates USING (piece_count) WHERE {u('event_id', chr(39) + 'pieces' + chr(39))} < keep_rate""")
 def _(v):
     """Every rule on, with board, material and piece count worked out from the FEN."""
-    return filters.apply_skip_config(v("positions"), FULL, "event_id", game="fen_id").select("event_id")
+    return filters.apply_skip_config(v("positions"), FULL, "event_id", game="event_id").select("event_id")
