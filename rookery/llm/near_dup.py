@@ -26,10 +26,17 @@ def texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that only so many texts stand in memory as Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _sketches(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sketcher = WordHashes(), Sketcher(bands, rows)
-        for batch in batches:
+        for batch in small(batches):
             n, fp, keys = [], [], []
             for text in texts(batch.column("text")):
                 s = shingle_set(hashes.of(text.lower().split()), words)
@@ -49,7 +56,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             sets = [shingle_set(hashes.of(t.lower().split()), words) for t in texts(batch.column("text"))]
             own = [xxhash.xxh3_128_digest(s.tobytes()) == fp for s, fp in zip(sets, batch.column("fp").to_pylist(), strict=True)]
             kept = [s.view(np.int64) for s, o in zip(sets, own, strict=True) if o]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.near_dup import texts
+from rookery.llm.near_dup import small, texts
 from rookery.llm.words import WordHashes, window_hashes
 
 SPACES = b" \t\n\x0b\f\r"
@@ -180,7 +180,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, least_share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), LineCrf(np.array(emit), np.array(move))
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in texts(batch.column("text")):
                 m = measures(text, len(text.decode()), hashes)
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, labels: DataFrame | None = None, least_share: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = WordHashes(), LineCrf(np.array(emit), np.array(move))
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for text in texts(batch.column("text")):
                 m = measures(text, len(text.decode()), hashes)
