@@ -112,7 +112,8 @@ def revealing_terms(found: DataFrame, docs_texts: DataFrame, shortest: int, thre
     terms = cut(pairs.select(F.col("term").alias("w")).distinct(), "words")
     words = docs_texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), F.lower))).alias("w"))
     n_t = words.groupBy("w").agg(F.count(F.lit(1)).alias("n_t"))  # counted before it meets the terms: frequent ones are one row by then
-    n_t = n_t.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "w", "left_semi")
+    # terms are distinct, so an inner join gives the same rows; a semi join would be moved below the count
+    n_t = n_t.join(F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms, "w")
     n_docs = docs_texts.count()
     # one row per word against the values of its pairs: a word in very many pairs is spread over tasks
     told = join_dictionary(pairs, cut(n_t.withColumnRenamed("w", "term"), "n_t"), "term", "inner")
