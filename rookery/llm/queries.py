@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, embeddings, mixing, near_dup, pii, quality, repeats, sharding, token_files, urls
+from rookery.llm import bpe, embeddings, mixing, near_dup, pieces, pii, quality, repeats, sharding, token_files, urls
 from rookery.llm.storage import table_path
 
 
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix_sources(table(spark, sf_dir, "documents"))
     taken = F.col("copies") * F.col("size") + F.col("part")
@@ -80,8 +84,17 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents"), piece_model_path(), end_id=2, decode=True)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards]
+    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards, op11_piece_round_trip]
     return {f.__name__: f for f in found}
 
 
