@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, embeddings, mixing, near_dup, pieces, pii, quality, repeats, sharding, token_files, urls
+from rookery.llm import bpe, embeddings, filter_audit, mixing, near_dup, pieces, pii, quality, repeats, sharding, token_files, urls
 from rookery.llm.storage import table_path
 
 
@@ -93,8 +93,12 @@ def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards, op11_piece_round_trip]
+    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards, op11_piece_round_trip, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -120,5 +124,38 @@ WITH parts AS (
 )
 SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.k = 1
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE orders(o) AS (
+  SELECT '' UNION ALL SELECT o || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS t(f) WHERE length(o) < 5 AND NOT contains(o, f)
+), marks AS (
+  SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS low
+  FROM documents
+), failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > low THEN 'E' ELSE '' END) AS fails
+  FROM texts LEFT JOIN marks USING (doc_id)
+), sets AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, fails
+), steps AS (
+  SELECT o AS filter_order, CAST(step AS INTEGER) AS step, substr(o, CAST(step AS INTEGER), 1) AS own, substr(o, 1, CAST(step AS INTEGER) - 1) AS before
+  FROM orders, range(1, 6) AS r(step) WHERE length(o) = 5
+), judged AS (
+  SELECT *, contains(fails, own) AS now, len(list_filter(string_split(before, ''), lambda x: x <> '' AND contains(fails, x))) > 0 AS earlier FROM sets, steps
+), told AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT now AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (now AND NOT earlier), 0) AS removed,
+    coalesce(sum(n) FILTER (now AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (now AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (now AND NOT earlier), 0) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
 """,
 }
