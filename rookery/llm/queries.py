@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rookery.llm import bpe, embeddings, filter_audit, mixing, near_dup, pieces, pii, quality, repeats, sharding, token_files, urls
+from rookery.llm import bpe, embeddings, filter_audit, mixing, near_dup, pieces, pii, prefix_trie, quality, repeats, sharding, token_files, urls
 from rookery.llm.storage import table_path
 
 
@@ -93,12 +93,16 @@ def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards, op11_piece_round_trip, op13_filter_audit]
+    found = [op1_mix_sources, op2_token_files, op3_near_duplicates, op4_personal_data, op5_near_vectors, op6_quality_rules, op7_url_rules, op8_repeated_passages, op9_bpe_round_trip, op10_byte_shards, op11_piece_round_trip, op12_prefix_trie, op13_filter_audit]
     return {f.__name__: f for f in found}
 
 
@@ -124,6 +128,42 @@ WITH parts AS (
 )
 SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM named n LEFT JOIN fits f ON f.page_id = n.page_id AND f.k = 1
+""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE bits(n, i, c) AS (
+  SELECT n, 0, n FROM range(256) AS r(n)
+  UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8
+), crc_table AS (
+  SELECT list(c ORDER BY n) AS entries FROM bits WHERE i = 8
+), crcs(conv_id, rest, crc) AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR), 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL SELECT conv_id, substr(rest, 2), xor(entries[(xor(crc, ascii(rest)) & 255) + 1], crc >> 8) FROM crcs, crc_table WHERE rest <> ''
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM crcs WHERE rest = ''
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(text, '') AS text,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT c.conv_id, pos, 0 AS tail, text, id FROM convs c JOIN turns t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, 1, text, id FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos > h
+), members AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS chars, string_agg(id, ',') OVER w AS node FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY tail, pos)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), named AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(node) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM members
+), nodes AS (
+  SELECT node, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs, min(conv_id) AS conv_id, (count(*) - 1) * any_value(chars) AS saved,
+    bool_and(ends) AS childless, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM named GROUP BY node
+), subtrees AS (
+  SELECT m.node, sum(n.saved) AS saved_tokens, count(*) FILTER (n.childless) AS n_leaves FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.node
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s USING (node) LEFT JOIN children c USING (node) LEFT JOIN nodes p ON p.node = n.parent
 """,
     "op13_filter_audit": r"""
 WITH RECURSIVE orders(o) AS (
