@@ -18,11 +18,11 @@ from rookery.llm.bpe import gathered, strings
 #: A model file is sent to all tasks; none larger than this is taken.
 MODEL_BYTES = 64 << 20
 #: Words whose ids a Python worker remembers at most, twice over: a full table becomes the old one, and only words met again move on.
-WORDS = 300_000
+WORDS = 200_000
 #: Words compared with the library in one call.
 CALL = 512
 #: Bytes of text taken at a time; a longer text is taken alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Put before a text: nothing, and then what parts it from the text.
 NOTHING, GAP = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
 #: What a space becomes.
