@@ -6,148 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rookery.functions.board import first_on, is_capture, king_bucket, knight_jumps, literal, mirror_king_left, mirror_king_right, mover_in_check, pawn_targets, rays, squares
-from rookery.functions.lambdas import let
-
-#: How many kinds of target each attacker type has, and their slots by (attacker, target) type; -1 is none.
-TARGETS = (4, 10, 8, 8, 10, 0)
-SLOTS = (
-    (-1, 0, -1, 1, -1, -1),
-    (0, 1, 2, 3, 4, -1),
-    (0, 1, 2, 3, -1, -1),
-    (0, 1, 2, 3, -1, -1),
-    (0, 1, 2, 3, 4, -1),
-    (-1, -1, -1, -1, -1, -1),
-)
-HALFKA_INPUTS, THREAT_INPUTS, PAWN_PAIR_INPUTS = 24576, 59808, 4560
-
-
-def _reach(kind: int, colour: int, sq: int) -> dict[int, int]:
-    """Square -> squares strictly between, of one piece on an empty board; pawns only from ranks 2 to 7."""
-    x, y = sq % 8, sq // 8
-    lines = [(1, 1), (1, -1), (-1, 1), (-1, -1)] * (kind in (2, 4)) + [(1, 0), (-1, 0), (0, 1), (0, -1)] * (kind in (3, 4))
-    jumps = {0: [(1, 1 - 2 * colour), (-1, 1 - 2 * colour)] * (0 < y < 7), 1: [(a, b) for a in (-2, -1, 1, 2) for b in (-2, -1, 1, 2) if abs(a) != abs(b)], 5: [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]}.get(kind, [])
-    out = {}
-    for dx, dy in jumps:
-        if 0 <= x + dx < 8 and 0 <= y + dy < 8:
-            out[(y + dy) * 8 + x + dx] = 0
-    for dx, dy in lines:
-        between, a, b = 0, x + dx, y + dy
-        while 0 <= a < 8 and 0 <= b < 8:
-            out[b * 8 + a] = between
-            between |= 1 << (b * 8 + a)
-            a, b = a + dx, b + dy
-    return out
-
-
-def _signed(bits: int) -> int:
-    return bits - (1 << 64) if bits >= 1 << 63 else bits
-
-
-def threat_layout() -> tuple[list[int], list[int], list[int], list[int]]:
-    """(first, per_slot by piece; before, attacked by piece * 64 + square): where a threat's index begins. An index is first + (target
-    colour * half + slot) * per_slot + before + the rank of the target among the squares the piece attacks on an empty board."""
-    first, per_slot, before, attacked = [0] * 10, [0] * 10, [0] * 640, [0] * 640
-    at = 0
-    for colour in (0, 1):
-        for kind in range(5):
-            piece, total = kind * 2 + colour, 0
-            for sq in range(64):
-                reach = _reach(kind, colour, sq)
-                before[piece * 64 + sq] = total
-                attacked[piece * 64 + sq] = _signed(sum(1 << to for to in reach))
-                total += len(reach)
-            first[piece], per_slot[piece] = at, total
-            at += TARGETS[kind] * total
-    return first, per_slot, before, attacked
-
-
-def halfka_array(board: Column, king: Column, perspective: int) -> Column:
-    """One feature per piece: oriented square + 64 * (type * 2 + whether it's the other side's) + 768 * king bucket."""
-
-    def index(x: Column) -> Column:
-        occupied = F.filter(squares(), lambda q: F.get(x["board"], q) >= 0)
-        return F.transform(occupied, lambda q: q.bitwiseXOR(x["orient"]) + F.get(x["board"], q).bitwiseXOR(F.lit(perspective)) * 64 + x["base"])
-
-    orient, base = mirror_king_right(king, perspective), king_bucket(king, perspective) * 768
-    return let(F.struct(board.alias("board"), orient.alias("orient"), base.alias("base")), index)
-
-
-def pawn_pair_array(board: Column, king: Column, perspective: int) -> Column:
-    """Unordered pairs of pawns on the same or neighbouring files."""
-    numbered = lambda x: F.transform(
-        F.filter(F.sequence(F.lit(8), F.lit(55)), lambda q: F.get(x["board"], q).between(0, 1)),
-        lambda q: F.struct(q.alias("sq"), (48 * F.get(x["board"], q).bitwiseXOR(F.lit(perspective)) + q.bitwiseXOR(x["orient"]) - 8).alias("id")),
-    )
-
-    def index(a: Column, b: Column) -> Column:
-        hi, lo = F.greatest(a["id"], b["id"]), F.least(a["id"], b["id"])
-        return F.floor(hi * (hi - 1) / 2).cast("int") + lo
+from rookery.functions.board import is_capture, mover_in_check
+from rookery.operators import board_kernel
 
-    near = lambda pawns, a: F.filter(pawns, lambda b: (b["sq"] < a["sq"]) & (F.abs(a["sq"] % 8 - b["sq"] % 8) <= 1))
-    pairs = lambda pawns: F.flatten(F.transform(pawns, lambda a: F.transform(near(pawns, a), lambda b: index(a, b))))
-    orient = mirror_king_left(king, perspective)
-    return let(let(F.struct(board.alias("board"), orient.alias("orient")), numbered), pairs)
-
-
-def attacks_in(board: Column) -> Column:
-    """array<struct<p,f,t,g>>: piece p on square f attacks piece g on square t, kings left out on both ends. Sliders are followed to the
-    first piece on each ray, so the row's own board is all that is needed."""
-    pawns = literal([pawn_targets(c, sq) for c in (0, 1) for sq in range(64)])
-    directions = literal([[], [], [4, 5, 6, 7], [0, 1, 2, 3], [0, 1, 2, 3, 4, 5, 6, 7]])
-
-    def of_board(b: Column) -> Column:
-        def hits(q: Column) -> Column:
-            def of_piece(p: Column) -> Column:
-                kind = F.floor(p / 2).cast("int")
-                slid = F.transform(F.get(directions, kind), lambda d: first_on(b, F.get(rays(), q * 8 + d)))
-                reached = F.when(kind == 0, F.get(pawns, p * 64 + q)).when(kind == 1, F.get(knight_jumps(), q)).otherwise(slid)
-                pieces = F.filter(reached, lambda t: F.get(b, t).between(0, 9))
-                return F.transform(pieces, lambda t: F.struct(p.alias("p"), q.alias("f"), t.alias("t"), F.get(b, t).alias("g")))
-
-            return let(F.get(b, q), of_piece)
-
-        return F.flatten(F.transform(F.filter(squares(), lambda q: F.get(b, q).between(0, 9)), hits))
-
-    return let(board, of_board)
-
-
-def threat_array(hits: Column, king: Column, perspective: int) -> Column:
-    """Indices of attacks_in seen from a side. Of pieces of one kind only one direction counts."""
-    first, per_slot, before, attacked = map(literal, threat_layout())
-    slots, half = literal([s for line in SLOTS for s in line]), literal([t // 2 for t in TARGETS])
-
-    def seen(o: Column) -> Column:
-        side = F.lit(perspective)
-        turned = F.transform(hits, lambda h: F.struct(h["p"].bitwiseXOR(side).alias("p"), h["f"].bitwiseXOR(o).alias("f"), h["t"].bitwiseXOR(o).alias("t"), h["g"].bitwiseXOR(side).alias("g")))
-        kind, other = (lambda h: F.floor(h["p"] / 2).cast("int")), (lambda h: F.floor(h["g"] / 2).cast("int"))
-        slot = lambda h: F.get(slots, kind(h) * 6 + other(h))
-        twice = lambda h: (kind(h) == other(h)) & ((h["p"] % 2 != h["g"] % 2) | (kind(h) != 0)) & (h["f"] < h["t"])
-        rank = lambda h: F.bit_count(F.get(attacked, h["p"] * 64 + h["f"]).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("bigint"), h["t"]))))
-        index = lambda h: F.get(first, h["p"]) + (h["g"] % 2 * F.get(half, kind(h)) + slot(h)) * F.get(per_slot, h["p"]) + F.get(before, h["p"] * 64 + h["f"]) + rank(h)
-        return F.transform(F.filter(turned, lambda h: (slot(h) >= 0) & ~twice(h)), lambda h: index(h).cast("int"))
-
-    return let(mirror_king_left(king, perspective), seen)
-
-
-def _king(perspective: int) -> Column:
-    return F.col("bk" if perspective else "wk")
+HALFKA_INPUTS, THREAT_INPUTS, PAWN_PAIR_INPUTS = 24576, 59808, 4560
 
 
-#: name -> (number of inputs, most active at once, array<int> by perspective over the columns of parse_fen and `hits`).
-REGISTRY: dict[str, tuple[int, int, Callable[[int], Column]]] = {}
+#: name -> (number of inputs, most active at once, kernel over a batch of boards or None, array<int> column by perspective or None).
+REGISTRY: dict[str, tuple[int, int, Callable | None, Callable[[int], Column] | None]] = {}
 
 
-def register_feature(name: str, inputs: int, max_active: int, array: Callable[[int], Column]) -> None:
-    """Make a feature set known to compose_features; array(perspective) gives array<int> from the columns of parse_fen and `hits`
-    (attacks_in), so that any composition is one projection."""
-    REGISTRY[name] = (inputs, max_active, array)
+def register_feature(name: str, inputs: int, max_active: int, array: Callable[[int], Column] | None = None, kernel: Callable | None = None) -> None:
+    """Make a feature set known to compose_features: by array(perspective), array<int> from the columns of parse_fen, or by
+    kernel(boards, perspective), the (row, feature) of a batch (board_kernel.Boards)."""
+    if (array is None) == (kernel is None):
+        raise ValueError("give a column or a kernel")
+    REGISTRY[name] = (inputs, max_active, kernel, array)
 
 
-register_feature("Full_Threats", THREAT_INPUTS, 128, lambda p: threat_array(F.col("hits"), _king(p), p))
-register_feature("PP_3Wide", PAWN_PAIR_INPUTS, 128, lambda p: pawn_pair_array(F.col("board"), _king(p), p))
-register_feature("HalfKAv2_hm", HALFKA_INPUTS, 32, lambda p: halfka_array(F.col("board"), _king(p), p))
+register_feature("Full_Threats", THREAT_INPUTS, 128, kernel=board_kernel.threats)
+register_feature("PP_3Wide", PAWN_PAIR_INPUTS, 128, kernel=board_kernel.pawn_pairs)
+register_feature("HalfKAv2_hm", HALFKA_INPUTS, 32, kernel=board_kernel.half_king)
 ALL_FEATURES = "Full_Threats+PP_3Wide+HalfKAv2_hm"
 
 
@@ -162,16 +43,20 @@ def feature_layout(name: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def feature_arrays(positions: DataFrame, name: str = ALL_FEATURES) -> DataFrame:
-    """positions with `white` and `black`: the features of all parts, each with its offset added, in one projection."""
-
-    def side(perspective: int) -> Column:
-        moved = lambda by: lambda f: f + F.lit(by)
-        parts = [F.transform(REGISTRY[p][2](perspective), moved(offset)) for p, offset, *_ in feature_layout(name)]
-        return F.concat(*parts).cast("array<int>")
-
-    prepared = positions.withColumn("hits", attacks_in(F.col("board")))
-    return prepared.select(*positions.columns, side(0).alias("white"), side(1).alias("black"))
+def feature_arrays(positions: DataFrame, name: str = ALL_FEATURES, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of positions (all by default) with `white` and `black`: each side's active features of all parts, offsets added,
+    in order. Batches of boards go through one kernel: one scan, no join, no shuffle. A row without a board, and a side without a king,
+    has no features of the built-in sets."""
+    keep = positions.columns if keep is None else keep
+    parts, own = [], []
+    for i, (part, offset, *_) in enumerate(feature_layout(name)):
+        kernel, array = REGISTRY[part][2:]
+        parts.append((offset, kernel or f"_own{i}"))
+        if kernel is None:
+            own += [array(p).cast("array<int>").alias(f"_own{i}_{p}") for p in (0, 1)]
+    needs = [c for c in ("board", "wk", "bk") if c not in keep]
+    schema = T.StructType([*positions.select(*keep).schema, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("white", "black"))])
+    return positions.select(*keep, *needs, *own).mapInArrow(board_kernel.active_features(parts, keep), schema)
 
 
 def _both_sides(arrays: DataFrame, row_id: str) -> DataFrame:
@@ -181,7 +66,7 @@ def _both_sides(arrays: DataFrame, row_id: str) -> DataFrame:
 
 def compose_features(positions: DataFrame, name: str = ALL_FEATURES, row_id: str = "row_id") -> DataFrame:
     """(row_id, perspective, feature), a row per active feature: one scan, no shuffle."""
-    return _both_sides(feature_arrays(positions, name), row_id).select("row_id", "perspective", F.explode("xs").alias("feature"))
+    return _both_sides(feature_arrays(positions, name, [row_id]), row_id).select("row_id", "perspective", F.explode("xs").alias("feature"))
 
 
 def halfka_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -193,7 +78,7 @@ def pawn_pair_features(positions: DataFrame, row_id: str = "row_id") -> DataFram
 
 
 def threat_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Attacker and target pairs seen from both sides; see attacks_in and threat_array."""
+    """Attacker and target pairs seen from both sides."""
     return compose_features(positions, "Full_Threats", row_id)
 
 
@@ -207,7 +92,7 @@ def padded(xs: Column, max_active: int) -> Column:
 def pack_features(positions: DataFrame, name: str = ALL_FEATURES, row_id: str = "row_id") -> DataFrame:
     """(row_id, perspective, features, n_active): sorted, padded with -1 to the most that can be active. No shuffle."""
     most = sum(n for *_, n in feature_layout(name))
-    return _both_sides(feature_arrays(positions, name), row_id).select("row_id", "perspective", padded(F.col("xs"), most).alias("features"), F.size("xs").alias("n_active"))
+    return _both_sides(feature_arrays(positions, name, [row_id]), row_id).select("row_id", "perspective", padded(F.col("xs"), most).alias("features"), F.size("xs").alias("n_active"))
 
 
 def in_check(positions: DataFrame, row_id: str = "row_id") -> DataFrame:

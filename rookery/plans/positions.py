@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rookery.functions import board as B
 from rookery.operators import features as X
 from rookery.operators import filters
+from rookery.operators.board_kernel import SLOTS
 from rookery.plans.registry import query
 from rookery.plans.sqltext import ATTACKS, BOARD, FREE
 
@@ -105,7 +106,7 @@ def _(v):
     return X.pawn_pair_features(parsed(v), "event_id")
 
 
-THREATS = f"""{ATTACKS}, slots(kind, other, slot) AS (SELECT * FROM (VALUES {', '.join(f'({a},{b},{s})' for a, line in enumerate(X.SLOTS) for b, s in enumerate(line) if s >= 0)}) t),
+THREATS = f"""{ATTACKS}, slots(kind, other, slot) AS (SELECT * FROM (VALUES {', '.join(f'({a},{b},{s})' for a, line in enumerate(SLOTS) for b, s in enumerate(line) if s >= 0)}) t),
 kinds(kind, n) AS (SELECT * FROM (VALUES (0,4),(1,10),(2,8),(3,8),(4,10)) t),
 counts AS (SELECT piece, sq, count(*) AS n FROM attack WHERE piece < 10 GROUP BY 1, 2),
 froms AS (SELECT q.piece, q.sq, CAST(coalesce(sum(c.n) OVER (PARTITION BY q.piece ORDER BY q.sq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS before FROM (SELECT CAST(p AS INT) AS piece, sq FROM range(10) t(p), sqs) q LEFT JOIN counts c ON c.piece = q.piece AND c.sq = q.sq),
