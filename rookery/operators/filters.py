@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,19 +78,12 @@ def drop_balanced_material(df: DataFrame, material: Column, least: int) -> DataF
 
 
 def soft_early_rates(cfg: SkipConfig) -> list[float]:
-    """Keep rate of each ply below cfg.soft_early: straight lines through the points and (soft_early, 1)."""
-    points = [*cfg.soft_points, (float(cfg.soft_early), 1.0)]
-    out = []
-    for ply in range(max(cfg.soft_early, 0) + 1):
-        if ply <= points[0][0]:
-            rate = points[0][1]
-        elif ply >= points[-1][0]:
-            rate = points[-1][1]
-        else:
-            (x0, y0), (x1, y1) = next(((a, b) for a, b in zip(points, points[1:], strict=False) if a[0] <= ply <= b[0]), ((0.0, 1.0), (1.0, 1.0)))
-            rate = y0 if x1 == x0 else y0 + (ply - x0) / (x1 - x0) * (y1 - y0)
-        out.append(min(1.0, max(0.0, rate)))
-    return out
+    """Keep rate of each ply up to cfg.soft_early: linear between the points, constant before the first, 1 from soft_early on."""
+    at, rate = (list(c) for c in zip(*cfg.soft_points, strict=True))
+    if cfg.soft_early > at[-1]:
+        at, rate = [*at, cfg.soft_early], [*rate, 1.0]
+    rates = np.interp(np.arange(max(cfg.soft_early, 0)), at, rate)
+    return [*np.clip(rates, 0.0, 1.0).tolist(), 1.0]
 
 
 def thin_soft_early(df: DataFrame, key: str, cfg: SkipConfig = SkipConfig(), ply: str = "ply", salt: str = "soft") -> DataFrame:

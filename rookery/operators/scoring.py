@@ -8,13 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The largest activations, and score units per unit of output.
 FT_MAX, HIDDEN_MAX, TO_SCORE = 255 / 256, 127 / 128, 600.0
-#: A weight matrix is sent to the tasks up to this many entries; larger ones are joined.
+#: A weight matrix is sent to the tasks up to this many entries; larger ones are multiplied in blocks of outputs.
 MATRIX_ENTRIES = 64_000_000
+#: Outputs in a block, and rows that meet a block in one task.
+BLOCK_OUTPUTS, BLOCK_ROWS = 128, 1 << 16
 
 
 def sparse_linear(features: DataFrame, weights: DataFrame, rows: DataFrame, bias: DataFrame | None = None, row_id: str = "row_id", feature: str = "feature", out: str = "out_idx", w: str = "w") -> DataFrame:
@@ -40,7 +42,7 @@ def weight_matrix(weights: DataFrame, feature: str = "feature", out: str = "out_
     if not size.n:
         return np.zeros((0, 0))
     if size.inputs * size.outputs > MATRIX_ENTRIES or size.n > MATRIX_ENTRIES:
-        raise ValueError("the weights are too many for one matrix; use sparse_linear")
+        raise ValueError("the weights are too many for one matrix; use sparse_linear_blocks")
     rows = weights.select(F.col(feature).cast("long").alias("i"), F.col(out).cast("long").alias("j"), F.col(w).cast("double").alias("w")).toArrow()
     matrix = np.zeros((size.inputs, size.outputs))
     matrix[np.asarray(rows["i"]), np.asarray(rows["j"])] = np.asarray(rows["w"])
@@ -48,21 +50,24 @@ def weight_matrix(weights: DataFrame, feature: str = "feature", out: str = "out_
 
 
 def summed_rows(matrix: np.ndarray, features: pa.Array, step: int = 512) -> np.ndarray:
-    """For each list of features the sum of their rows; negative and null ones are padding."""
+    """For each list of features the sum of their rows, in double precision; negative and null ones, and those beyond the matrix, are padding."""
     out = np.zeros((len(features), matrix.shape[1]))
     for lo in range(0, len(features), step):
         part = features.slice(lo, step)
         size = np.asarray(pc.fill_null(pc.list_value_length(part), 0), np.int64)
-        xs = np.asarray(pc.fill_null(part.flatten().cast(pa.int64()), -1), np.int64)
-        row = np.repeat(np.arange(len(part)), size)
-        np.add.at(out, lo + row[xs >= 0], matrix[xs[xs >= 0]])
+        xs = np.asarray(pc.fill_null(part.flatten(), -1), np.int64)
+        ok = (xs >= 0) & (xs < len(matrix))
+        row, xs = np.repeat(np.arange(len(part)), size)[ok], xs[ok]
+        if len(xs):
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[lo + row[first]] = np.add.reduceat(matrix[xs], first, axis=0, dtype=float)
     return out
 
 
 def sparse_linear_matrix(rows: DataFrame, matrix: np.ndarray, bias: np.ndarray | None = None, row_id: str = "row_id", features: str = "features") -> DataFrame:
     """(row_id, values array<double>) from rows of packed features, with the matrix (inputs x outputs) sent to every task: no shuffle."""
     if matrix.size > MATRIX_ENTRIES:
-        raise ValueError("the matrix is too large to be sent to every task; use sparse_linear")
+        raise ValueError("the matrix is too large to be sent to every task; use sparse_linear_blocks")
     sent = rows.sparkSession.sparkContext.broadcast((matrix, bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +80,72 @@ def sparse_linear_matrix(rows: DataFrame, matrix: np.ndarray, bias: np.ndarray |
     return rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(features).cast("array<long>").alias("features")).mapInArrow(run, "row_id long, values array<double>")
 
 
+def weight_vectors(weights: DataFrame, width: int, feature: str = "feature", out: str = "out_idx", w: str = "w") -> DataFrame:
+    """(feature, values array<float>) from a long weight table: a row per feature with its `width` outputs, absent entries 0."""
+    given = weights.groupBy(F.col(feature).cast("long").alias("feature")).agg(F.map_from_entries(F.collect_list(F.struct(F.col(out).cast("int"), F.col(w).cast("float")))).alias("m"))
+    value = lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0).cast("float"))
+    return given.select("feature", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value).alias("values"))
+
+
+def _gathered(vectors: pa.Table, features: int) -> np.ndarray:
+    """features x outputs from rows (feature, values)."""
+    values = np.asarray(vectors.column("values").combine_chunks().flatten(), np.float32)
+    matrix = np.zeros((features, len(values) // max(vectors.num_rows, 1)), np.float32)
+    matrix[np.asarray(vectors.column("feature"), np.int64)] = values.reshape(vectors.num_rows, -1)
+    return matrix
+
+
+def in_blocks(rows: DataFrame, vectors: DataFrame, width: int, work, schema: str, columns: list[str], block: int = BLOCK_OUTPUTS, halves: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """work(block number, matrix of the block's outputs, rows as a table) for every block of outputs and about block_rows rows.
+
+    vectors is (feature, values array<float> of `width` outputs). Each row goes once to each block, with its list of features, and
+    each part of a feature's vector once to each of the groups that rows are dealt over, so a task holds one block of the matrix
+    and a bounded number of rows, however large the net or the table. With `halves` a block has outputs j.. and width / 2 + j.., so
+    that what is multiplied pair by pair stands in one block. columns are those of rows that work needs, row_id first.
+    """
+    groups = max(1, -(-rows.count() // block_rows))
+    inputs = (vectors.agg(F.max("feature")).first()[0] or 0) + 1
+    span = width // 2 if halves else width
+    step = block // 2 if halves else block
+    starts = list(range(0, span, step))
+
+    def part(start: int) -> Column:
+        taken = F.slice("values", start + 1, min(step, span - start))
+        return F.concat(taken, F.slice("values", span + start + 1, min(step, span - start))) if halves else taken
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    cells = vectors.select("feature", F.posexplode(F.array(*map(part, starts))).alias("block", "values")).withColumn("group", every)
+    dealt = rows.select(*columns, F.pmod(F.xxhash64(columns[0]), F.lit(groups)).cast("int").alias("of"))
+    dealt = dealt.withColumn("into", F.explode(F.sequence(F.lit(0), F.lit(len(starts) - 1))))
+
+    def run(part: pa.Table, cell: pa.Table) -> pa.Table:
+        k = part.column("into")[0].as_py() if part.num_rows else 0
+        return work(k, _gathered(cell, inputs if part.num_rows else 0) if cell.num_rows else None, part)
+
+    n = len(starts) * groups  # a partition a cell, as a cell is what a task holds
+    dealt, cells = dealt.repartition(n, "into", "of"), cells.repartition(n, "block", "group")
+    return dealt.groupBy("into", "of").cogroup(cells.groupBy("block", "group")).applyInArrow(run, schema)
+
+
+def sparse_linear_blocks(rows: DataFrame, vectors: DataFrame, width: int, bias: np.ndarray | None = None, row_id: str = "row_id", features: str = "features", block: int = BLOCK_OUTPUTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(row_id, values array<double>) from rows of packed features and weights as vectors (weight_vectors), for matrices of any size: the
+    product goes in blocks of outputs, and what is shuffled per row is a vector a block, not a row per output. Sums are in double
+    precision. Negative and null features are padding, as are features without a vector; row_id must tell rows apart."""
+    b = np.zeros(width) if bias is None else np.asarray(bias, float)
+
+    def work(k: int, matrix: np.ndarray | None, part: pa.Table) -> pa.Table:
+        lo, hi = k * block, min((k + 1) * block, width)
+        lists = part.column("features").combine_chunks()
+        values = (np.zeros((part.num_rows, hi - lo)) if matrix is None else summed_rows(matrix, lists)) + b[lo:hi]
+        vector = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * (hi - lo), pa.int32()), pa.array(values.reshape(-1)))
+        return pa.table({"row_id": part.column("row_id"), "block": pa.array([k] * part.num_rows, pa.int32()), "values": vector})
+
+    given = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(features).cast("array<int>").alias("features"))
+    parts = in_blocks(given, vectors, width, work, "row_id long, block int, values array<double>", ["row_id", "features"], block, block_rows=block_rows)
+    whole = parts.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("block", "values"))).alias("parts"))
+    return whole.select("row_id", F.flatten("parts.values").alias("values"))
+
+
 def pairwise_activation(acc: DataFrame, half: int, value: str = "value") -> DataFrame:
     """(row_id, perspective, out_idx, value) of one half: both halves kept within 0 and FT_MAX, then multiplied pair by pair."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(FT_MAX), F.col(value)))
@@ -134,6 +205,25 @@ WEIGHT_SCALES = {"ft": 256.0, "psqt": 9600.0, "ft_b": 256.0, "l1": 128.0, "l1_b"
 ACTIVATION_SCALE, ROUND_DOWN_SLACK, OUT_FROM, OUT_TO = 128.0, 1e-5, 32768, 9600
 
 
+def rounded_down(quantize: bool):
+    """How integer inference rounds activations, or nothing."""
+    return (lambda v: np.floor(v * ACTIVATION_SCALE + ROUND_DOWN_SLACK) / ACTIVATION_SCALE) if quantize else (lambda v: v)
+
+
+def first_layer(ft: np.ndarray, ft_b: np.ndarray, own: np.ndarray, other: np.ndarray, white: pa.Array, black: pa.Array, us: np.ndarray, bucket: np.ndarray, quantize: bool) -> np.ndarray:
+    """Sums of the first layer over the pairs of outputs that ft has (its first half times its second half): own and other are the
+    layer's weights (bucket x pairs x outputs) for the mover's side and the other one."""
+    half, mover, out = ft.shape[1] // 2, us > 0.5, np.zeros((len(bucket), own.shape[2]))
+    for features, moves in ((white, mover), (black, ~mover)):
+        held = np.clip(summed_rows(ft, features) + ft_b, 0.0, FT_MAX)
+        x = rounded_down(quantize)(held[:, :half] * held[:, half:])
+        for b in np.unique(bucket).tolist():
+            for side, w in ((moves, own), (~moves, other)):
+                at = np.flatnonzero((bucket == b) & side)
+                out[at] += x[at] @ w[b]
+    return out
+
+
 @dataclass(frozen=True)
 class NetMatrices:
     """A whole net. ft and psqt: inputs x width and inputs x buckets, with ft_b (width); l1, l2 and out: bucket x inputs x outputs,
@@ -156,17 +246,17 @@ class NetMatrices:
     def scores(self, white: pa.Array, black: pa.Array, us: np.ndarray, bucket: np.ndarray, quantize: bool) -> np.ndarray:
         """Scores of positions from their features; us is 1 where white moves, else 0. quantize rounds activations as integer
         inference does; weights are taken as they are, see quantized()."""
-        down = (lambda v: np.floor(v * ACTIVATION_SCALE + ROUND_DOWN_SLACK) / ACTIVATION_SCALE) if quantize else (lambda v: v)
+        half = self.ft.shape[1] // 2
+        first = first_layer(self.ft, self.ft_b, self.l1[:, :half], self.l1[:, half:], white, black, us, bucket, quantize)
+        material = summed_rows(self.psqt, white) - summed_rows(self.psqt, black)
+        return self.finished(first, material[np.arange(len(bucket)), bucket], us, bucket, quantize)
+
+    def finished(self, first: np.ndarray, material: np.ndarray, us: np.ndarray, bucket: np.ndarray, quantize: bool) -> np.ndarray:
+        """Scores from the first layer's sums, without its bias, and the material of each row's bucket."""
+        down = rounded_down(quantize)
         kept = lambda v: np.clip(v, 0.0, HIDDEN_MAX)
         layer = lambda x, w, b: np.einsum("ni,nio->no", x, w[bucket]) + b[bucket]
-        half = self.ft.shape[1] // 2
-        sides = []
-        for features in (white, black):
-            held = np.clip(summed_rows(self.ft, features) + self.ft_b, 0.0, FT_MAX)
-            sides.append(down(held[:, :half] * held[:, half:]))
-        mover = us[:, None] > 0.5
-        x = np.concatenate([np.where(mover, sides[0], sides[1]), np.where(mover, sides[1], sides[0])], axis=1)
-        first = layer(x, self.l1, self.l1_b)
+        first = first + self.l1_b[bucket]
         skip = first[:, -2] - first[:, -1]
         one = kept(np.concatenate([down(first * first), down(first)], axis=1))
         second = layer(one, self.l2, self.l2_b)
@@ -175,17 +265,15 @@ class NetMatrices:
         if quantize:
             steps = np.rint(total * OUT_FROM) * OUT_TO
             total = np.trunc(steps / OUT_FROM) / OUT_TO
-        row = np.arange(len(bucket))
-        material = (summed_rows(self.psqt, white) - summed_rows(self.psqt, black))[row, bucket]
         return (total + material * (us - 0.5)) * TO_SCORE
 
 
 def score_rows(rows: DataFrame, net: NetMatrices, quantize: bool = False, row_id: str = "row_id") -> DataFrame:
     """(row_id, score) of rows (row_id, white, black, us, bucket) of packed features, with and without the rounding of integer
     inference. The net's matrices go to every task after a check of their size, so there is no shuffle whatever the number of rows;
-    score_positions does the same with joins for nets beyond that."""
+    score_rows_blocks does the same for nets beyond that."""
     if net.ft.size + net.psqt.size > MATRIX_ENTRIES:
-        raise ValueError("the net is too large to be sent to every task; use score_positions")
+        raise ValueError("the net is too large to be sent to every task; use score_rows_blocks")
     sent = rows.sparkSession.sparkContext.broadcast(net.quantized() if quantize else net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,3 +286,49 @@ def score_rows(rows: DataFrame, net: NetMatrices, quantize: bool = False, row_id
 
     lists = [F.col(c).cast("array<long>").alias(c) for c in ("white", "black")]
     return rows.select(F.col(row_id).cast("long").alias("row_id"), *lists, F.col("us").cast("double").alias("us"), F.col("bucket").cast("int").alias("bucket")).mapInArrow(run, "row_id long, score double")
+
+
+def score_rows_blocks(rows: DataFrame, vectors: DataFrame, head: NetMatrices, quantize: bool = False, row_id: str = "row_id", block: int = BLOCK_OUTPUTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """score_rows for nets whose first matrix is too large to be sent to every task. vectors is (feature, values array<float>): that
+    matrix as a table, the width of head.ft_b. head holds the rest of the net; its ft has no entries, and its psqt, inputs x buckets, is
+    sent to every task after a check of its size.
+
+    The matrix is multiplied in blocks of pairs of outputs. A block's pairs are multiplied and taken through its share of the next
+    layer where they are, so what is shuffled for a row and block is that layer's few sums; they are added up per row, and the
+    small layers finish. row_id must tell rows apart."""
+    if head.psqt.size > MATRIX_ENTRIES:
+        raise ValueError("the material matrix is too large to be sent to every task")
+    width, sums = len(head.ft_b), head.l1.shape[2]
+    half, step = width // 2, block // 2
+    net = head.quantized() if quantize else head
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+    scale = WEIGHT_SCALES["ft"]
+
+    def work(k: int, matrix: np.ndarray | None, part: pa.Table) -> pa.Table:
+        n, b = part.num_rows, sent.value
+        lo, hi = k * step, min((k + 1) * step, half)
+        first = np.zeros((0, sums))
+        if n:
+            ft = np.zeros((0, 2 * (hi - lo))) if matrix is None else np.rint(matrix.astype(float) * scale) / scale if quantize else matrix
+            ft_b = np.concatenate([b.ft_b[lo:hi], b.ft_b[half + lo : half + hi]])
+            white, black = (part.column(c).combine_chunks() for c in ("white", "black"))
+            us, bucket = np.asarray(part.column("us"), float), np.asarray(part.column("bucket"), int)
+            first = np.concatenate([
+                first_layer(ft, ft_b, b.l1[:, lo:hi], b.l1[:, half + lo : half + hi], white.slice(i, 4096), black.slice(i, 4096), us[i : i + 4096], bucket[i : i + 4096], quantize) for i in range(0, n, 4096)
+            ])
+        return pa.table({"row_id": part.column("row_id"), **{f"s{i}": pa.array(np.ascontiguousarray(first[:, i])) for i in range(sums)}})
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = sent.value
+        for batch in batches:
+            first = np.stack([np.asarray(batch.column(f"s{i}"), float) for i in range(sums)], axis=1)
+            us, bucket = np.asarray(batch.column("us"), float), np.asarray(batch.column("bucket"), int)
+            material = (summed_rows(b.psqt, batch.column("white")) - summed_rows(b.psqt, batch.column("black")))[np.arange(len(bucket)), bucket]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(b.finished(first, material, us, bucket, quantize))], ["row_id", "score"])
+
+    lists = [F.col(c).cast("array<int>").alias(c) for c in ("white", "black")]
+    given = rows.select(F.col(row_id).cast("long").alias("row_id"), *lists, F.col("us").cast("double").alias("us"), F.col("bucket").cast("int").alias("bucket"))
+    names = [f"s{i}" for i in range(sums)]
+    parts = in_blocks(given, vectors, width, work, "row_id long, " + ", ".join(f"{s} double" for s in names), given.columns, block, halves=True, block_rows=block_rows)
+    added = parts.groupBy("row_id").agg(*[F.sum(s).alias(s) for s in names])
+    return given.join(added, "row_id").mapInArrow(finish, "row_id long, score double")

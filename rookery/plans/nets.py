@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,6 +88,15 @@ def _(v):
     return out.select("row_id", F.posexplode("values").alias("out_idx", "value")).select("row_id", "out_idx", *r6("value"))
 
 
+@query("sparse_linear_blocks", "sample_features weights", f"WITH {LINEAR}, b AS (SELECT out_idx, w AS b FROM weights WHERE feature = 0) SELECT row_id, out_idx, round(value + b, 6) AS value FROM lin JOIN b USING (out_idx)")
+def _(v):
+    """The same sums with the weights as vectors, in blocks of 24 outputs that no task holds all of."""
+    packed = v("sample_features").groupBy(C("event_id").alias("row_id")).agg(F.collect_list("feature").alias("features"))
+    bias = S.weight_matrix(v("weights").where("feature = 0"))[0]
+    out = S.sparse_linear_blocks(packed, S.weight_vectors(v("weights"), 64), 64, bias, block=24)
+    return out.select("row_id", F.posexplode("values").alias("out_idx", "value")).select("row_id", "out_idx", *r6("value"))
+
+
 HALVES = f"{LINEAR}, halves AS (SELECT row_id, out_idx % 32 AS out_idx, product(greatest(0.0e0, least(255 / 256.0e0, value))) AS value FROM lin GROUP BY 1, 2)"
 
 
@@ -156,13 +167,13 @@ def _net_sql(name: str, quantize: bool) -> str:
     out = "(trunc(CAST(round_even(y * 32768, 0) AS BIGINT) * 9600 / 32768.0e0) / 9600.0e0)" if quantize else "y"
 
     def layer(to: str, source: str, first: int, outputs: int, scale: int) -> str:
-        return f"""{name}{to} AS (SELECT x.row_id, x.bucket, (w.feature - {first}) // 4 AS o, sum(x.v * {w('w.w', scale)}) + any_value({w('b.w', scale * 128)}) AS v FROM {name}{source} x
+        return f"""{name}{to} AS MATERIALIZED (SELECT x.row_id, x.bucket, (w.feature - {first}) // 4 AS o, sum(x.v * {w('w.w', scale)}) + any_value({w('b.w', scale * 128)}) AS v FROM {name}{source} x
   JOIN weights w ON w.feature BETWEEN {first} AND {first + 4 * outputs - 1} AND (w.feature - {first}) % 4 = x.bucket AND w.out_idx = x.i JOIN weights b ON b.feature = w.feature AND b.out_idx = 63 GROUP BY 1, 2, 3)"""
 
     both = lambda to, source, at: f"""{name}{to} AS (SELECT row_id, bucket, o + {at} AS i, {kept(down('v * v'))} AS v FROM {name}{source} UNION ALL SELECT row_id, bucket, o + 4 + {at}, {kept(down('v'))} FROM {name}{source})"""
-    return f"""{name}acc AS (SELECT row_id, persp, w.out_idx AS o, sum(CASE WHEN w.out_idx < 16 THEN {w('w.w', 256)} ELSE {w('w.w', 9600)} END) + any_value(CASE WHEN w.out_idx < 16 THEN {w('b.w', 256)} ELSE 0.0e0 END) AS v
+    return f"""{name}acc AS MATERIALIZED (SELECT row_id, persp, w.out_idx AS o, sum(CASE WHEN w.out_idx < 16 THEN {w('w.w', 256)} ELSE {w('w.w', 9600)} END) + any_value(CASE WHEN w.out_idx < 16 THEN {w('b.w', 256)} ELSE 0.0e0 END) AS v
   FROM sided JOIN weights w ON w.feature = f AND w.out_idx < 20 JOIN weights b ON b.feature = 200 AND b.out_idx = w.out_idx GROUP BY 1, 2, 3),
-{name}x0 AS (SELECT a.row_id, a.row_id % 4 AS bucket, a.o + CASE WHEN (a.persp = 0) = (a.row_id % 2 = 0) THEN 0 ELSE 8 END AS i, {down(ft.format('a.v') + ' * ' + ft.format('b.v'))} AS v
+{name}x0 AS MATERIALIZED (SELECT a.row_id, a.row_id % 4 AS bucket, a.o + CASE WHEN (a.persp = 0) = (a.row_id % 2 = 0) THEN 0 ELSE 8 END AS i, {down(ft.format('a.v') + ' * ' + ft.format('b.v'))} AS v
   FROM {name}acc a JOIN {name}acc b ON b.row_id = a.row_id AND b.persp = a.persp AND b.o = a.o + 8 WHERE a.o < 8),
 {layer('d1', 'x0', 210, 4, 128)}, {both('x1', 'd1', 0)}, {layer('d2', 'x1', 230, 4, 64)}, {both('x2', 'd2', 8)},
 {name}x3 AS (SELECT * FROM {name}x1 UNION ALL SELECT * FROM {name}x2), {layer('d3', 'x3', 250, 1, 128)},
@@ -171,21 +182,41 @@ def _net_sql(name: str, quantize: bool) -> str:
   JOIN {name}acc a ON a.row_id = y.row_id AND a.persp = 0 AND a.o = 16 + y.row_id % 4 JOIN {name}acc b ON b.row_id = y.row_id AND b.persp = 1 AND b.o = 16 + y.row_id % 4)"""
 
 
-SIDED = "sided AS (SELECT event_id AS row_id, 0 AS persp, feature AS f FROM sample_features WHERE feature >= 0 UNION ALL SELECT event_id, 1, (feature + 100) % 200 FROM sample_features WHERE feature >= 0)"
+SIDED = "sided AS MATERIALIZED (SELECT event_id AS row_id, 0 AS persp, feature AS f FROM sample_features WHERE feature >= 0 UNION ALL SELECT event_id, 1, (feature + 100) % 200 FROM sample_features WHERE feature >= 0)"
 
 
-@query("score_rows", "sample_features weights", f"WITH {SIDED}, {_net_sql('p', False)}, {_net_sql('q', True)} SELECT row_id, round(p.score, 6) + 0.0e0 AS plain, round(q.score, 6) + 0.0e0 AS quantized FROM ps p JOIN qs q USING (row_id)")
-def _(v):
-    """A whole net with material term, as trained and as rounded for integer inference."""
+BOTH_SCORES = f"WITH {SIDED}, {_net_sql('p', False)}, {_net_sql('q', True)} SELECT row_id, round(p.score, 6) + 0.0e0 AS plain, round(q.score, 6) + 0.0e0 AS quantized FROM ps p JOIN qs q USING (row_id)"
+
+
+def sided(v):
+    """Positions with features of both sides, the mover and a bucket."""
     f = v("sample_features")
     other = F.when(C("feature") >= 0, (C("feature") + 100) % 200).otherwise(-1)
     rows = f.groupBy(C("event_id").alias("row_id")).agg(F.collect_list("feature").alias("white"), F.collect_list(other).alias("black"))
-    rows = rows.withColumns({"us": F.when(C("row_id") % 2 == 0, 1.0).otherwise(0.0), "bucket": (C("row_id") % 4).cast("int")})
-    net = net_matrices(v("weights"))
-    plain, rounded = (S.score_rows(rows, net, q).select("row_id", (F.round("score", 6) + F.lit(0.0)).alias(n)) for q, n in ((False, "plain"), (True, "quantized")))
+    return rows.withColumns({"us": F.when(C("row_id") % 2 == 0, 1.0).otherwise(0.0), "bucket": (C("row_id") % 4).cast("int")})
+
+
+def both_scores(score):
+    plain, rounded = (score(q).select("row_id", (F.round("score", 6) + F.lit(0.0)).alias(n)) for q, n in ((False, "plain"), (True, "quantized")))
     return plain.join(rounded, "row_id")
 
 
+@query("score_rows", "sample_features weights", BOTH_SCORES)
+def _(v):
+    """A whole net with material term, as trained and as rounded for integer inference."""
+    rows, net = sided(v), net_matrices(v("weights"))
+    return both_scores(lambda q: S.score_rows(rows, net, q))
+
+
+@query("score_rows_blocks", "sample_features weights", BOTH_SCORES)
+def _(v):
+    """The same net with its first matrix as a table, multiplied in blocks of three pairs of outputs."""
+    rows, net = sided(v), net_matrices(v("weights"))
+    head = replace(net, ft=np.zeros((0, 16)))
+    vectors = S.weight_vectors(v("weights").where("feature < 200 AND out_idx < 16"), 16)
+    return both_scores(lambda q: S.score_rows_blocks(rows, vectors, head, q, block=6))
+
+
 KEYED = "w AS (SELECT feature AS in_idx, out_idx, w FROM weights)"
 
 
