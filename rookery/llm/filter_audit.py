@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rookery.llm.bpe import packed_numbers, packed_words, strings, unpacked_numbers, unpacked_words
 from rookery.llm.storage import cut
 
 #: Text in a shard of the matrix; a longer text is a shard of its own.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 FILTERS = "ABCDE"
 ROW = "struct<doc_id:bigint,part:string,c:boolean,d:boolean,digest:binary>"
 ROW_TYPE = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("c", pa.bool_()), ("d", pa.bool_()), ("digest", pa.binary())])
@@ -60,10 +63,9 @@ def _local_shards(most: int):
             edges = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
             data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
             edges = edges - edges[0]
-            capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90), dtype=np.int64)])[edges]
-            c = 100 * np.diff(capitals) > 3 * np.asarray(pc.utf8_length(text), np.int64)
-            body = data.tobytes()
-            digest = [hashlib.sha256(body[a:b]).digest() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+            capitals = np.flatnonzero((data >= 65) & (data <= 90))
+            c = 100 * np.diff(np.searchsorted(capitals, edges)) > 3 * np.asarray(pc.utf8_length(text), np.int64)
+            digest = [hashlib.sha256(data[a:b]).digest() for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
             part = pc.fill_null(table.column("lang").combine_chunks(), "")
             rows = pa.StructArray.from_arrays(
                 [table.column("doc_id").combine_chunks(), part, pa.array(c), pc.match_substring_regex(text, "[#$%&*|]"), pa.array(digest, pa.binary())], fields=list(ROW_TYPE)
@@ -87,14 +89,63 @@ def _local_shards(most: int):
     return run
 
 
+def _by_bucket(buckets: int):
+    """A row per shard and bucket of the dictionary: the shard's words that hash there, in order, and their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(batch.column("shard").to_pylist(), batch.column("words"), strict=True):
+                names = words.values.cast(pa.large_string())
+                order = np.asarray(pc.sort_indices(names), np.int64)
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in strings(names)), np.int64, len(names))
+                order = order[np.argsort(bucket[order], kind="stable")]
+                edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist() if len(order) else [0]
+                runs = [order[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[r[0]]) for r in runs], pa.int32()), pa.array([shard] * len(runs), pa.int64()),
+                        pa.array([packed_words(names.take(pa.array(r))) for r in runs], pa.binary()), pa.array([packed_numbers(r) for r in runs], pa.binary()),
+                    ],
+                    ["bucket", "into", "words", "columns"],
+                )
+
+    return run
+
+
+def _numbered(bucket: pa.Table) -> tuple[pa.Array, list[np.ndarray]]:
+    """(the bucket's distinct words in order, the places of each row's words among them): a word's place doesn't depend on how rows arrive."""
+    lists = [unpacked_words(b) for b in bucket.column("words").to_pylist()]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    order = np.asarray(pc.sort_indices(coded.dictionary), np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    ends = np.cumsum(list(map(len, lists)))[:-1]
+    return coded.dictionary.take(pa.array(order)), np.split(place[np.asarray(coded.indices)], ends)
+
+
+def _term(bucket: int, place: np.ndarray) -> np.ndarray:
+    return np.int64(bucket) << 32 | place
+
+
+def _terms(bucket: pa.Table) -> pa.Table:
+    _, places = _numbered(bucket)
+    return pa.table({"into": bucket.column("into"), "bucket": bucket.column("bucket"), "columns": bucket.column("columns"), "places": pa.array([packed_numbers(p) for p in places], pa.binary())})
+
+
+def _dictionary(bucket: pa.Table) -> pa.Table:
+    words, _ = _numbered(bucket)
+    return pa.table({"word": words.cast(pa.string()), "term": pa.array(_term(bucket.column("bucket")[0].as_py(), np.arange(len(words))))})
+
+
 def _encoded(shard: pa.Table, terms: pa.Table) -> pa.Table:
     """The shard with the dictionary's terms in place of its own columns; terms of a row in order."""
     if not shard.num_rows:
         return pa.table({n: pa.array([], t) for n, t in zip(("shard", "rows", "first", "terms", "counts"), (pa.int64(), pa.list_(ROW_TYPE), *(pa.list_(x) for x in (pa.int32(), pa.int64(), pa.int32()))), strict=True)})
     column, count, first = (np.asarray(shard.column(c).combine_chunks().flatten(), np.int64) for c in ("columns", "counts", "first"))
     of = np.zeros(1 + (column.max() if len(column) else 0), np.int64)
-    known = np.asarray(terms.column("column"), np.int64)
-    of[known[known < len(of)]] = np.asarray(terms.column("term"), np.int64)[known < len(of)]
+    for bucket, columns, places in zip(*(terms.column(c).to_pylist() for c in ("bucket", "columns", "places")), strict=True):
+        columns, places = (unpacked_numbers(np.frombuffer(zlib.decompress(x), np.uint8)).astype(np.int64) for x in (columns, places))
+        of[columns] = _term(bucket, places)
     term = of[column]
     order = np.lexsort([term, np.repeat(np.arange(len(first) - 1), np.diff(first))])
     cols = [shard.column("shard"), shard.column("rows"), shard.column("first"), _one(pa.array(term[order])), _one(pa.array(count[order].astype(np.int32)))]
@@ -108,19 +159,20 @@ def document_term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tup
     SHA-256 of the text), document i has the entries first[i] to first[i + 1] of `terms`, in order, and `counts`. dictionary is (word,
     term): each distinct word of the whole table once, with a number of its own; numbers aren't gapless.
 
-    A task cuts what it reads into shards of about shard_bytes of text and counts words inside them; texts go no further. The distinct
-    words of shards, once each, make the dictionary after a sum on the map side, and get its terms by a join on the word, so a
-    frequent word meets one row per shard, not per occurrence. Null texts are empty; null and repeated ids are kept row by row.
+    A task cuts what it reads into shards of about shard_bytes of text and counts words inside them; texts go no further. A shard sends
+    each of its distinct words once to the bucket of the dictionary that the word hashes to; a word's number is its bucket and its
+    place among the bucket's words in order. There is a bucket per shard, so a bucket is as large as a shard's words whatever the
+    size of the table, and a frequent word meets one entry per shard, not per occurrence. Null texts are empty; null and
+    repeated ids are kept row by row.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text", "lang")
     local = cut(rows.mapInArrow(_local_shards(shard_bytes), LOCAL), "shards")
-    words = local.select(F.explode("words").alias("word")).distinct()
-    # numbered in a table: a number stands for its word even if a task of a later step runs again
-    dictionary = cut(words.select("word", F.monotonically_increasing_id().alias("term")), "dictionary")
-    asked = local.select(F.col("shard").alias("into"), F.posexplode("words").alias("column", "word"))
-    terms = asked.join(dictionary.hint("shuffle_hash"), "word").select("into", "column", "term")
-    shards = local.drop("words").groupBy("shard").cogroup(terms.groupBy("into")).applyInArrow(_encoded, MATRIX)
-    return shards, dictionary
+    n = max(8, local.count())
+    asked = local.select("shard", "words").mapInArrow(_by_bucket(n), "bucket int, into bigint, words binary, columns binary")
+    by_bucket = asked.repartition(n, "bucket").groupBy("bucket")
+    terms = by_bucket.applyInArrow(_terms, "into bigint, bucket int, columns binary, places binary").repartition(n, "into")
+    shards = local.drop("words").repartition(n, "shard").groupBy("shard").cogroup(terms.groupBy("into")).applyInArrow(_encoded, MATRIX)
+    return shards, by_bucket.applyInArrow(_dictionary, "word string, term bigint")
 
 
 def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
