@@ -73,17 +73,19 @@ def _local_shards(most: int):
             lists = pc.ascii_split_whitespace(text)
             coded = lists.flatten().dictionary_encode()
             word = np.asarray(coded.indices, np.int64)
-            empty = coded.dictionary.index(pa.scalar("", pa.large_string())).as_py()
+            names, empty = coded.dictionary, coded.dictionary.index(pa.scalar("", pa.large_string())).as_py()
             owner = np.repeat(np.arange(len(text)), np.diff(np.asarray(lists.offsets, np.int64)))
             if empty >= 0:  # around the words of a text that begins or ends with a space
                 owner, word = owner[word != empty], word[word != empty]
-            wide = max(len(coded.dictionary), 1)
+                names = pa.concat_arrays([names.slice(0, empty), names.slice(empty + 1)])
+                word -= word > empty
+            wide = max(len(names), 1)
             cell, counts = np.unique(owner * wide + word, return_counts=True)
             first = np.searchsorted(cell, np.arange(len(text) + 1) * wide)
             shard = TaskContext.get().partitionId() << 32 | k
             cols = [pa.array(x.astype(np.int32)) for x in (first, cell % wide, counts)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), _one(rows), *map(_one, cols), _one(coded.dictionary.cast(pa.string()))], ["shard", "rows", "first", "columns", "counts", "words"]
+                [pa.array([shard], pa.int64()), _one(rows), *map(_one, cols), _one(names.cast(pa.string()))], ["shard", "rows", "first", "columns", "counts", "words"]
             )
 
     return run

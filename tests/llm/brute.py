@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from itertools import permutations
 
 import numpy as np
 
@@ -149,3 +150,86 @@ def encoded(docs, tok, end=None):
         out[i] = (start, len(ids), zlib.crc32(raw), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
         start += len(ids)
     return out
+
+
+def rebuilt_conversations(rows, group=100, heads=6):
+    """conv_id -> its rebuilt turns, as (role, text), from rows (conv_id, turn, role, text)."""
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.md5(f"{len(role)}:{role}{text}".encode()).digest() + len(text).to_bytes(4, "big")
+            own.setdefault(conv, []).append((turn is not None, turn or 0, tie, (role, text)))
+    own = {c: [t[3] for t in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        base = c - int(np.fmod(c, group))
+        out[c] = own.get(base, [])[:h] + turns[h:]
+    return out
+
+
+def prefix_trie(rows):
+    """(conv_id, depth) -> (parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256)."""
+    members = {}
+    rebuilt = rebuilt_conversations(rows)
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        below = children.get(p, [])
+        leaves[p] = sum(leaves[x] for x in below) or 1
+        saved[p] = sum(saved[x] for x in below) + ((len(members[p]) - 1) * len(p[-1][1]) if p else 0)
+    out = {}
+    for p, cs in members.items():
+        ends = ",".join(str(c) for c in sorted(cs) if len(rebuilt[c]) == len(p))
+        parent = min(members[p[:-1]]) if p else None
+        out[min(cs), len(p)] = (parent, len(cs), len(children.get(p, [])), leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest())
+    return out
+
+
+def failed_filters(docs):
+    """Letters of the filters that each row of (doc_id, text) fails."""
+    low = {}
+    for i, t in docs:
+        if i is not None:
+            low[t or ""] = min(i, low.get(t or "", i))
+    out = []
+    for i, t in docs:
+        t = t or ""
+        w = words(t)
+        tests = {
+            "A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and i > low[t],
+        }
+        out.append({k for k, v in tests.items() if v})
+    return out
+
+
+def filter_interactions(docs, labels):
+    """(part, order, step) -> the seven counts, from docs (doc_id, text, lang) and labels (doc_id, quality, toxic)."""
+    good, toxic = ({r[0] for r in labels if r[k] == 1 and r[0] is not None} for k in (1, 2))
+    fails = failed_filters([(i, t) for i, t, _ in docs])
+    out = {}
+    for part in {lang or "" for *_, lang in docs}:
+        own = [(i, f) for (i, _, lang), f in zip(docs, fails, strict=True) if (lang or "") == part]
+        removed_in_all = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = own
+            for k, x in enumerate(order):
+                here, stay = [r for r in left if x in r[1]], [r for r in left if x not in r[1]]
+                out[part, "".join(order), k + 1] = [
+                    len(stay), len(here), sum(x in f for _, f in own) - len(here), sum(f == {x} for _, f in own),
+                    sum(i in good for i, _ in here), sum(i in toxic for i, _ in here),
+                ]
+                removed_in_all[x] += len(here)
+                left = stay
+        for (p, order, k), v in out.items():
+            if p == part:
+                v.append(removed_in_all[order[k - 1]])
+    return {k: tuple(v) for k, v in out.items()}
