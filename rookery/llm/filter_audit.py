@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rookery.llm.bpe import packed_numbers, packed_words, strings, unpacked_numbers, unpacked_words
+from rookery.llm.bpe import unpacked_numbers
 from rookery.llm.storage import cut
+from rookery.llm.words import mix
 
 #: Text in a shard of the matrix; a longer text is a shard of its own.
 SHARD_BYTES = 16 << 20
 FILTERS = "ABCDE"
+#: Odd factors by which bytes count at their places in a word, for its bucket.
+PLACES = np.random.default_rng(13).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 ROW = "struct<doc_id:bigint,part:string,c:boolean,d:boolean,digest:binary>"
 ROW_TYPE = pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("c", pa.bool_()), ("d", pa.bool_()), ("digest", pa.binary())])
-LOCAL = f"shard bigint, rows array<{ROW}>, first array<int>, columns array<int>, counts array<int>, words array<string>"
+LOCAL = f"shard bigint, rows array<{ROW}>, first binary, columns binary, counts binary, words binary"
 MATRIX = f"shard bigint, rows array<{ROW}>, first array<int>, terms array<bigint>, counts array<int>"
 
 
@@ -37,6 +38,25 @@ def _one(values: pa.Array) -> pa.Array:
     return _lists(np.array([0, len(values)]), values)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit integers as four runs of bytes, lowest bytes first, so that the empty ones compress to nothing; unpacked_numbers reads them."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(body: bytes) -> np.ndarray:
+    return unpacked_numbers(np.frombuffer(body, np.uint8)).astype(np.int64)
+
+
+def _joined(words: pa.Array) -> bytes:
+    """Words, which hold no space, as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0].as_py().encode()
+
+
+def _split(body: bytes) -> pa.Array:
+    text = pa.array([body.decode()], pa.large_string())
+    return pc.split_pattern(text, " ").flatten() if body else pa.array([], pa.large_string())
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """Rows in stretches of about `most` bytes of text, over the batches of a task."""
     held, size = [], 0
@@ -83,40 +103,50 @@ def _local_shards(most: int):
             cell, counts = np.unique(owner * wide + word, return_counts=True)
             first = np.searchsorted(cell, np.arange(len(text) + 1) * wide)
             shard = TaskContext.get().partitionId() << 32 | k
-            cols = [pa.array(x.astype(np.int32)) for x in (first, cell % wide, counts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), _one(rows), *map(_one, cols), _one(names.cast(pa.string()))], ["shard", "rows", "first", "columns", "counts", "words"]
-            )
+            body = [pa.array([b], pa.binary()) for b in (*map(_planes, (first, cell % wide, counts)), _joined(names))]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), _one(rows), *body], ["shard", "rows", "first", "columns", "counts", "words"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """Bucket of each word, from a sum over its bytes by place."""
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    place = np.arange(len(data)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))
+    shares = (data.astype(np.uint64) + np.uint64(1)) * PLACES[place % len(PLACES)]
+    return (mix(np.add.reduceat(shares, edges[:-1] - edges[0])) % np.uint64(buckets)).astype(np.int64)
+
+
 def _by_bucket(buckets: int):
-    """A row per shard and bucket of the dictionary: the shard's words that hash there, in order, and their columns."""
+    """A row per shard and bucket of the dictionary: the shard's words that hash there, and their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, words in zip(batch.column("shard").to_pylist(), batch.column("words"), strict=True):
-                names = words.values.cast(pa.large_string())
-                order = np.asarray(pc.sort_indices(names), np.int64)
-                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in strings(names)), np.int64, len(names))
-                order = order[np.argsort(bucket[order], kind="stable")]
-                edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist() if len(order) else [0]
+            for shard, body in zip(batch.column("shard").to_pylist(), batch.column("words"), strict=True):
+                names = _split(body.as_py())
+                if not len(names):
+                    continue
+                bucket = _buckets(names, buckets)
+                order = np.argsort(bucket, kind="stable")
+                edge = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)).tolist()
                 runs = [order[a:b] for a, b in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([int(bucket[r[0]]) for r in runs], pa.int32()), pa.array([shard] * len(runs), pa.int64()),
-                        pa.array([packed_words(names.take(pa.array(r))) for r in runs], pa.binary()), pa.array([packed_numbers(r) for r in runs], pa.binary()),
+                        pa.array([_joined(names.take(pa.array(r))) for r in runs], pa.binary()), pa.array(list(map(_planes, runs)), pa.binary()),
                     ],
                     ["bucket", "into", "words", "columns"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _numbered(bucket: pa.Table) -> tuple[pa.Array, list[np.ndarray]]:
     """(the bucket's distinct words in order, the places of each row's words among them): a word's place doesn't depend on how rows arrive."""
-    lists = [unpacked_words(b) for b in bucket.column("words").to_pylist()]
+    lists = [_split(b) for b in bucket.column("words").to_pylist()]
     coded = pa.concat_arrays(lists).dictionary_encode()
     order = np.asarray(pc.sort_indices(coded.dictionary), np.int64)
     place = np.empty(len(order), np.int64)
@@ -131,7 +161,7 @@ def _term(bucket: int, place: np.ndarray) -> np.ndarray:
 
 def _terms(bucket: pa.Table) -> pa.Table:
     _, places = _numbered(bucket)
-    return pa.table({"into": bucket.column("into"), "bucket": bucket.column("bucket"), "columns": bucket.column("columns"), "places": pa.array([packed_numbers(p) for p in places], pa.binary())})
+    return pa.table({"into": bucket.column("into"), "bucket": bucket.column("bucket"), "columns": bucket.column("columns"), "places": pa.array(list(map(_planes, places)), pa.binary())})
 
 
 def _dictionary(bucket: pa.Table) -> pa.Table:
@@ -143,18 +173,19 @@ def _encoded(shard: pa.Table, terms: pa.Table) -> pa.Table:
     """The shard with the dictionary's terms in place of its own columns; terms of a row in order."""
     if not shard.num_rows:
         return pa.table({n: pa.array([], t) for n, t in zip(("shard", "rows", "first", "terms", "counts"), (pa.int64(), pa.list_(ROW_TYPE), *(pa.list_(x) for x in (pa.int32(), pa.int64(), pa.int32()))), strict=True)})
-    column, count, first = (np.asarray(shard.column(c).combine_chunks().flatten(), np.int64) for c in ("columns", "counts", "first"))
-    of = np.zeros(1 + (column.max() if len(column) else 0), np.int64)
+    column, count, first = (_numbers(shard.column(c)[0].as_py()) for c in ("columns", "counts", "first"))
+    wide = 1 + (int(column.max()) if len(column) else 0)
+    term = np.zeros(wide, np.int64)
     for bucket, columns, places in zip(*(terms.column(c).to_pylist() for c in ("bucket", "columns", "places")), strict=True):
-        columns, places = (unpacked_numbers(np.frombuffer(zlib.decompress(x), np.uint8)).astype(np.int64) for x in (columns, places))
-        of[columns] = _term(bucket, places)
-    term = of[column]
-    order = np.lexsort([term, np.repeat(np.arange(len(first) - 1), np.diff(first))])
-    cols = [shard.column("shard"), shard.column("rows"), shard.column("first"), _one(pa.array(term[order])), _one(pa.array(count[order].astype(np.int32)))]
+        term[_numbers(columns)] = _term(bucket, _numbers(places))
+    rank = np.empty(wide, np.int64)
+    rank[np.argsort(term)] = np.arange(wide)
+    order = np.argsort(np.repeat(np.arange(len(first) - 1), np.diff(first)) * wide + rank[column])
+    cols = [shard.column("shard"), shard.column("rows"), *(_one(pa.array(x.astype(t))) for x, t in ((first, np.int32), (term[column[order]], np.int64), (count[order], np.int32)))]
     return pa.table(cols, names=["shard", "rows", "first", "terms", "counts"])
 
 
-def document_term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def document_term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES, then=None, schema: str = MATRIX) -> tuple[DataFrame, DataFrame]:
     """(shards, dictionary): the numbers of each word in each document as compressed sparse rows.
 
     A shard is a row: `rows` are its documents (doc_id, part: lang or '', c and d: whether the filters of that name fail, digest:
@@ -165,7 +196,7 @@ def document_term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tup
     each of its distinct words once to the bucket of the dictionary that the word hashes to; a word's number is its bucket and its
     place among the bucket's words in order. There is a bucket per shard, so a bucket is as large as a shard's words whatever the
     size of the table, and a frequent word meets one entry per shard, not per occurrence. Null texts are empty; null and
-    repeated ids are kept row by row.
+    repeated ids are kept row by row. `then` turns each shard into rows of `schema` in the task that has built it.
     """
     rows = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text", "lang")
     local = cut(rows.mapInArrow(_local_shards(shard_bytes), LOCAL), "shards")
@@ -173,23 +204,25 @@ def document_term_matrix(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tup
     asked = local.select("shard", "words").mapInArrow(_by_bucket(n), "bucket int, into bigint, words binary, columns binary")
     by_bucket = asked.repartition(n, "bucket").groupBy("bucket")
     terms = by_bucket.applyInArrow(_terms, "into bigint, bucket int, columns binary, places binary").repartition(n, "into")
-    shards = local.drop("words").repartition(n, "shard").groupBy("shard").cogroup(terms.groupBy("into")).applyInArrow(_encoded, MATRIX)
+    shards = local.drop("words").repartition(n, "shard").groupBy("shard").cogroup(terms.groupBy("into"))
+    shards = shards.applyInArrow((lambda shard, terms: then(_encoded(shard, terms))) if then else _encoded, schema)
     return shards, by_bucket.applyInArrow(_dictionary, "word string, term bigint")
 
 
-def _row_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document of each shard, with its row sum and its number of entries."""
-    for batch in batches:
-        for shard in (batch.slice(i, 1) for i in range(batch.num_rows)):
-            first, count = (np.asarray(shard.column(c).flatten(), np.int64) for c in ("first", "counts"))
-            ends = np.concatenate([[0], np.cumsum(count)])[first]
-            yield pa.RecordBatch.from_arrays([*shard.column("rows").flatten().flatten(), pa.array(np.diff(ends)), pa.array(np.diff(first))], ["doc_id", "part", "c", "d", "digest", "n_words", "n_distinct"])
+COUNTED = "doc_id bigint, part string, c boolean, d boolean, digest binary, n_words bigint, n_distinct bigint"
+
+
+def _row_counts(shard: pa.Table) -> pa.Table:
+    """A row per document of a shard, with its row sum and its number of entries."""
+    rows = shard.column("rows").combine_chunks().flatten().flatten()
+    first, count = (np.asarray(shard.column(c).combine_chunks().flatten(), np.int64) for c in ("first", "counts"))
+    ends = np.concatenate([[0], np.cumsum(count)])[first]
+    return pa.table([*rows, pa.array(np.diff(ends), pa.int64()), pa.array(np.diff(first), pa.int64())], names=[c.split()[0] for c in COUNTED.split(", ")])
 
 
 def document_flags(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, part, digest, n_words, n_distinct, mask) per row, of the matrix: mask has bit 0 for filter A to bit 3 for D."""
-    shards, _ = document_term_matrix(docs, shard_bytes)
-    counted = shards.mapInArrow(_row_counts, "doc_id bigint, part string, c boolean, d boolean, digest binary, n_words bigint, n_distinct bigint")
+    counted, _ = document_term_matrix(docs, shard_bytes, _row_counts, COUNTED)
     bits = [F.col("n_words") < 200, 100 * F.col("n_distinct") < 50 * F.col("n_words"), F.col("c"), F.col("d")]
     mask = sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
     return counted.select("doc_id", "part", "digest", "n_words", "n_distinct", mask.alias("mask"))
