@@ -9,7 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rookery.functions.folders import shared_folder
+
 BLOCK = 4
+#: Samples whose bitmaps are one row: n / 8 bytes for each.
+CHUNK = 8192
 
 
 def zero_block_rate(acts: DataFrame, block: int = BLOCK, sample: str = "sample_id", neuron: str = "neuron", zero: str = "is_zero") -> DataFrame:
@@ -18,38 +22,74 @@ def zero_block_rate(acts: DataFrame, block: int = BLOCK, sample: str = "sample_i
     return blocks.agg(F.avg(F.col("z").cast("double")).alias("rate"))
 
 
-def activation_arrays(acts: DataFrame, sample: str = "sample_id", neuron: str = "neuron", zero: str = "is_zero") -> DataFrame:
-    """(sample, zs): one array of booleans per sample, in order of the neurons."""
-    rows = acts.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(neuron, zero))).alias("xs"))
-    return rows.select(sample, F.transform("xs", lambda x: x[zero]).alias("zs"))
-
-
-def swap_gain_matrix(acts: DataFrame, block: int = BLOCK, sample: str = "sample_id", neuron: str = "neuron", zero: str = "is_zero") -> DataFrame:
-    """(i, j, gain): how many zero blocks are gained in j's block if i's values stood in j's place; 0 within a block.
-
-    g0[i, j] counts samples where i is zero and so are all others of j's block; gain is g0[i, j] - g0[j, j]. Each task adds up the
-    matrix of its samples and sends it once; the sums of the parts are the counts.
-    """
-    arrays = activation_arrays(acts, sample, neuron, zero)
+def packed_activations(acts: DataFrame, n: int, sample: str = "sample_id", neuron: str = "neuron", zero: str = "is_zero", chunk: int = CHUNK) -> DataFrame:
+    """(chunk, bits): for about `chunk` samples, n bitmaps of the samples at which a neuron is zero, end to end, as little-endian 64-bit
+    words. Written as a table, so that later steps neither shuffle nor regroup activations. Neurons that a sample doesn't list, and
+    nulls, aren't zero; neurons beyond n are an error."""
+    chunks = max(1, -(-acts.count() // (n * chunk)))
+    rows = acts.select(F.col(sample).cast("long").alias("sample"), F.col(neuron).cast("int").alias("neuron"), F.col(zero).alias("zero"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sample"), F.lit(chunks)).cast("int"))
+
+    def pack(part: pa.Table) -> pa.Table:
+        samples, at = np.unique(np.asarray(part.column("sample")), return_inverse=True)
+        places = np.asarray(part.column("neuron"), np.int64)
+        if len(places) and places.max() >= n:
+            raise ValueError(f"neuron {places.max()} in a layer of {n}")
+        z = np.zeros((n, -(-len(samples) // 64) * 64), bool)
+        z[places, at] = np.asarray(part.column("zero").fill_null(False).combine_chunks(), bool)
+        bits = np.packbits(z, axis=1, bitorder="little").tobytes()
+        return pa.table({"chunk": part.column("chunk").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+    packed = rows.repartition(max(8, chunks), "chunk").groupBy("chunk").applyInArrow(pack, "chunk int, bits binary")
+    path = shared_folder(acts.sparkSession, "activations")
+    packed.write.parquet(path)
+    return acts.sparkSession.read.schema(packed.schema).parquet(path)
+
+
+def zero_counts(bits: np.ndarray, block: int) -> np.ndarray:
+    """g[i, j]: samples at which neuron i is zero and so are all others of j's block; bits is neurons x words."""
+    n = len(bits)
+    inside = bits.reshape(-1, block, bits.shape[1])
+    g = np.zeros((n, n), np.int64)
+    for j in range(n):
+        others = np.bitwise_and.reduce(np.delete(inside[j // block], j % block, axis=0), axis=0)
+        g[:, j] = np.bitwise_count(bits & others).sum(axis=1, dtype=np.int64)
+    return g
+
+
+def _counts(packed: DataFrame, order: list[int], block: int) -> DataFrame:
+    """(i, js): row i of the matrix of zero_counts over all samples, with neuron order[p] in place p. A task reads its bitmaps in that
+    order and sends one matrix, so only n * n numbers a task are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            z = np.array(batch.column("zs").to_pylist(), np.float64)
-            inside = z.reshape(len(z), -1, block)
-            rest = (np.repeat(inside.sum(axis=2), block, axis=1) - z == block - 1).astype(np.float64)
-            part = z.T @ rest
-            total = part if total is None else total + part
+            for body in batch.column("bits"):
+                part = zero_counts(np.frombuffer(body.as_buffer(), "<u8").reshape(len(order), -1)[order], block)
+                total = part if total is None else total + part
         if total is not None:
             n = len(total)
-            i, j = np.indices((n, n)).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.reshape(-1), pa.float64())], ["i", "j", "g"])
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * n, pa.int32()), pa.array(total.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), rows], ["i", "js"])
+
+    def add(part: pa.Table) -> pa.Table:
+        rows = np.asarray(part.column("js").combine_chunks().flatten()).reshape(part.num_rows, -1).sum(axis=0)
+        return pa.table({"i": part.column("i").slice(0, 1), "js": pa.array([rows], pa.list_(pa.int64()))})
+
+    return packed.select("bits").mapInArrow(run, "i int, js array<bigint>").groupBy("i").applyInArrow(add, "i int, js array<bigint>")
+
+
+def swap_gain_matrix(acts: DataFrame, block: int = BLOCK, sample: str = "sample_id", neuron: str = "neuron", zero: str = "is_zero") -> DataFrame:
+    """(i, j, gain): how many zero blocks are gained in j's block if i's values stood in j's place; 0 within a block.
 
-    counts = arrays.select("zs").mapInArrow(run, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
+    g0[i, j] counts samples where i is zero and so are all others of j's block; gain is g0[i, j] - g0[j, j]. Counts are of ANDed
+    bitmaps (packed_activations); each task sends the matrix of its samples once.
+    """
+    n = -(-((acts.agg(F.max(neuron)).first()[0] or 0) + 1) // block) * block
+    rows = _counts(packed_activations(acts, n, sample, neuron, zero), list(range(n)), block)
+    counts = rows.select("i", F.posexplode("js").alias("j", "g"))
     own = counts.where("i = j").select("j", F.col("g").alias("own"))
-    gain = F.when(F.floor(F.col("i") / block) == F.floor(F.col("j") / block), 0.0).otherwise(F.col("g") - F.col("own"))
+    gain = F.when(F.floor(F.col("i") / block) == F.floor(F.col("j") / block), 0).otherwise(F.col("g") - F.col("own"))
     return counts.join(own, "j").select("i", "j", gain.cast("bigint").alias("gain"))
 
 
@@ -81,15 +121,18 @@ def _disjoint(gain: np.ndarray, moves: np.ndarray, block: int) -> list[tuple[int
     return out
 
 
-def _moves(g: np.ndarray, block: int) -> list[tuple[int, ...]]:
-    """Disjoint swaps of positive gain, largest first; with none, disjoint rotations i to j to k to i over three blocks. Of the
-    rotations over the same three blocks only the best is kept, so there are at most (n / block) ** 3 / 3 of them."""
-    n = len(g)
-    of = np.arange(n) // block
+def _swaps(g: np.ndarray, block: int) -> list[tuple[int, ...]]:
+    """Disjoint swaps of positive gain, largest first."""
+    of = np.arange(len(g)) // block
     two = np.triu(np.where(of[:, None] != of[None, :], g + g.T, 0), 1)
     swaps = np.argwhere(two > 0)
-    if len(swaps):
-        return _disjoint(two[swaps[:, 0], swaps[:, 1]], swaps, block)
+    return _disjoint(two[swaps[:, 0], swaps[:, 1]], swaps, block) if len(swaps) else []
+
+
+def _rotations(g: np.ndarray, block: int) -> list[tuple[int, ...]]:
+    """Disjoint rotations i to j to k to i over three blocks, largest gain first. Of the rotations over the same three blocks only
+    the best is kept, so there are at most (n / block) ** 3 / 3 of them."""
+    n = len(g)
     blocks = n // block
     gains, found = [], []
     for first in range(blocks):
@@ -117,23 +160,39 @@ def best_swap(gains: DataFrame, block: int = BLOCK) -> DataFrame:
     return best.where("b IS NOT NULL").select("b.*")
 
 
-def find_permutation(acts: DataFrame, n: int, block: int = BLOCK, rounds: int = 50) -> list[int]:
-    """perm with perm[p] the neuron that goes to place p: greedy rounds of swaps, then of rotations, until nothing gains.
+def permutation_rounds(acts: DataFrame, n: int, block: int = BLOCK, rounds: int = 50) -> Iterator[list[int]]:
+    """The order after each round that gains: perm[p] is the neuron that goes to place p. Rounds of swaps until none gains, then rounds
+    of rotations until none does, `rounds` rounds in all.
 
-    Spark works out the gain matrix of each round from all samples; the driver holds the n by n matrix only.
+    Activations are shuffled once, into bitmaps of samples per neuron; a round reads them in the order reached. What comes to
+    the driver is the n by n matrix of a layer, whatever the number of samples.
     """
-    perm = list(range(n))
+    packed = packed_activations(acts, n)
+    perm, stages = list(range(n)), [_swaps, _rotations]
     for _ in range(rounds):
-        g = np.zeros((n, n))
-        for r in swap_gain_matrix(apply_permutation(acts, perm), block).where("gain <> 0").collect():
-            g[r.i, r.j] = r.gain
-        moves = _moves(g, block)
+        g = np.zeros((n, n), np.int64)
+        for r in _counts(packed, perm, block).toArrow().to_batches():
+            g[np.asarray(r.column("i"))] = np.asarray(r.column("js").flatten()).reshape(-1, n)
+        of = np.arange(n) // block
+        g = np.where(of[:, None] == of[None, :], 0, g - np.diag(g))
+        moves = stages[0](g, block)
         if not moves:
-            break
+            if len(stages) == 1:
+                return
+            stages.pop(0)
+            continue
         for m in moves:
             old = [perm[x] for x in m]
             for where, who in zip(m, [old[-1], *old[:-1]] if len(m) > 2 else old[::-1], strict=True):
                 perm[where] = who
+        yield list(perm)
+
+
+def find_permutation(acts: DataFrame, n: int, block: int = BLOCK, rounds: int = 50) -> list[int]:
+    """perm with perm[p] the neuron that goes to place p, after the last of permutation_rounds."""
+    perm = list(range(n))
+    for perm in permutation_rounds(acts, n, block, rounds):
+        pass
     return perm
 
 

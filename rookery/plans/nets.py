@@ -65,6 +65,29 @@ def _(v):
     return both[0].unionByName(both[1])
 
 
+def _round_sql(k: int, acts: str) -> str:
+    """Gains over `acts`, the swaps that gain in order, those of them that share no block with one before, and the places after them."""
+    return f"""rest{k} AS (SELECT *, sum(CASE WHEN is_zero THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, neuron // 4) - CASE WHEN is_zero THEN 1 ELSE 0 END = 3 AS r FROM {acts}),
+g{k} AS MATERIALIZED (SELECT a.neuron AS i, b.neuron AS j, count(*) FILTER (WHERE a.is_zero AND b.r) AS g FROM {acts} a JOIN rest{k} b USING (sample_id) GROUP BY 1, 2),
+gains{k} AS MATERIALIZED (SELECT x.i, x.j, x.g - o.g AS gain FROM g{k} x JOIN g{k} o ON o.i = x.j AND o.j = x.j WHERE x.i // 4 <> x.j // 4),
+swaps{k} AS (SELECT list({{'i': a.i, 'j': a.j}} ORDER BY a.gain + b.gain DESC, a.i, a.j) AS xs FROM gains{k} a JOIN gains{k} b ON b.i = a.j AND b.j = a.i WHERE a.i < a.j AND a.gain + b.gain > 0),
+taken{k} AS (SELECT unnest(list_reduce(xs, lambda done, x: CASE WHEN len(list_filter(done, lambda d: x.i // 4 IN (d.i // 4, d.j // 4) OR x.j // 4 IN (d.i // 4, d.j // 4))) = 0 THEN list_append(done, x) ELSE done END, list_filter(xs, lambda x: false))) AS m FROM swaps{k}),
+moved{k} AS (SELECT m.i AS place, m.j AS source FROM taken{k} UNION ALL SELECT m.j, m.i FROM taken{k})"""
+
+
+ROUNDS = f"""{_round_sql(1, 'acts')}, acts2 AS MATERIALIZED (SELECT sample_id, CAST(coalesce(place, neuron) AS INT) AS neuron, is_zero FROM acts LEFT JOIN moved1 ON source = neuron), {_round_sql(2, 'acts2')},
+one AS (SELECT CAST(p AS INT) AS place, CAST(coalesce(source, p) AS INT) AS neuron FROM range(64) r(p) LEFT JOIN moved1 ON place = p),
+two AS (SELECT CAST(p AS INT) AS place, one.neuron FROM range(64) r(p) LEFT JOIN moved2 m ON m.place = p JOIN one ON one.place = coalesce(m.source, p))"""
+
+
+@query("permutation_rounds", "acts", f"WITH {ROUNDS} SELECT 1 AS round, place, neuron FROM one UNION ALL SELECT 2, place, neuron FROM two")
+def _(v):
+    """Which neuron stands in which place after the first and the second round of swaps."""
+    acts = v("acts")
+    orders = list(A.permutation_rounds(acts, 64, rounds=2))
+    return acts.sparkSession.createDataFrame([(k + 1, p, x) for k, order in enumerate(orders) for p, x in enumerate(order)], "round int, place int, neuron int")
+
+
 LINEAR = "lin AS (SELECT event_id AS row_id, w.out_idx, sum(w.w) AS value FROM sample_features f JOIN weights w ON w.feature = f.feature WHERE f.feature >= 0 GROUP BY 1, 2)"
 
 

@@ -167,7 +167,30 @@ def test_permutation_raises_the_zero_rate(spark):
     g = np.minimum(g, -g.T)  # no swap gains
     of = np.arange(12) // 4
     best = max((g[i, j] + g[j, k] + g[k, i], -i, -j, -k) for i in range(4) for j in range(4, 12) for k in range(4, 12) if of[j] != of[k])
-    assert activations._moves(g, 4) == ([tuple(-x for x in best[1:])] if best[0] > 0 else [])
+    assert activations._swaps(g, 4) == []
+    assert activations._rotations(g, 4) == ([tuple(-x for x in best[1:])] if best[0] > 0 else [])
+
+
+def test_permutation_of_a_wide_layer(spark):
+    """512 neurons: gains by bitmaps equal those by products of matrices, over several chunks, and rounds don't lose zero blocks."""
+    n, samples = 512, 3000
+    rng = np.random.default_rng(2)
+    z = rng.random((samples, n)) < rng.random(n) * (0.5 + 0.5 * (np.arange(samples)[:, None] % 2))
+    acts = spark.range(samples).selectExpr("id AS sample_id", f"explode(sequence(0, {n - 1})) AS neuron")
+    zs = {i: z[i].tolist() for i in range(samples)}
+    rows = spark.createDataFrame(list(zs.items()), "sample_id long, zs array<boolean>")
+    acts = acts.join(rows, "sample_id").select("sample_id", "neuron", F.get("zs", F.col("neuron")).alias("is_zero")).where("is_zero OR neuron % 3 > 0")
+    packed = activations.packed_activations(acts, n, chunk=500)
+    assert packed.count() > 2
+    order = rng.permutation(n).tolist()
+    got = np.array([r.js for r in activations._counts(packed, order, 4).orderBy("i").collect()])
+    y = z[:, order].astype(float)
+    rest = (np.repeat(y.reshape(samples, -1, 4).sum(axis=2), 4, axis=1) - y == 3).astype(float)
+    assert (got == (y.T @ rest).astype(int)).all()
+    rates = [z[:, p].reshape(samples, -1, 4).all(axis=2).mean() for p in (list(range(n)), *activations.permutation_rounds(acts, n, rounds=4))]
+    assert len(rates) == 5 and all(a < b for a, b in zip(rates, rates[1:], strict=False))
+    with pytest.raises(Exception, match="in a layer of"):
+        activations.packed_activations(acts, 256)
 
 
 def test_batches_and_validation(spark):
