@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.near_dup import texts
+from rookery.llm.storage import cut, join_dictionary
 
 SCHEMA = "chunk int, doc_ids array<long>, sizes binary, body binary"
 
@@ -42,14 +43,23 @@ def tasks_for(chunks: int) -> int:
     return max(8, -(-chunks // TASK_CHUNKS))
 
 
+#: Equal rows that stand in one chunk; more are dealt over further chunks.
+EQUAL_ROWS = 64
+
+
 def chunked(docs: DataFrame, chunk_bytes: int, least: int = 16) -> tuple[DataFrame, int]:
     """(docs as packed rows, shuffled by chunk; number of chunks). There are as many chunks as keep one at about chunk_bytes of
-    text, `least` at least. A row's chunk is drawn by its doc_id, its text and the partition it is read in, so rows of one doc_id,
-    of none, or copies of one row don't gather in one chunk, and a task that runs again deals alike. Null texts are empty."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(least, -(-int(size) // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    text, `least` at least. A row's chunk is drawn by its doc_id and its text, so it doesn't depend on how the table is
+    partitioned, and rows of one doc_id, of none, or copies of a text under many ids don't gather. Rows that are equal in both are
+    the same wherever they go: beyond EQUAL_ROWS of them they are dealt over further chunks, numbered behind the others. A
+    task that runs again deals alike. Null texts are empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    equal = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")), "equal")
+    chunks = max(least, -(-int(equal.agg(F.sum("size")).first()[0] or 0) // chunk_bytes))
+    many = equal.where(F.col("n") > EQUAL_ROWS).select("key", F.ceil(F.col("n") / EQUAL_ROWS).alias("salts"))
+    rows = join_dictionary(rows, many, "key") if many.count() else rows.withColumn("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1)))
+    dealt = rows.select("doc_id", "text", (F.pmod("key", F.lit(chunks)) + chunks * salt).cast("int").alias("chunk"))
     return dealt.mapInArrow(_pack, SCHEMA).repartition(tasks_for(chunks), "chunk"), chunks
 
 

@@ -198,9 +198,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
     tokenizer = tokenizer_file(docs, tokenizer_path)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", F.spark_partition_id()).alias("tie"))
-    # rows of one doc_id may be dealt over several ranges, so that none grows with them
-    ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    # rows of one doc_id, equal ones too, may be dealt over several ranges, so that none grows with them
+    ordered = rows.repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").drop("tie", "row")
     ordered.mapInArrow(_shard_rows(tokenizer, end_id, shard_ids), FORMAT).write.option("compression", "zstd").parquet(path)
 
 

@@ -372,6 +372,20 @@ def test_repeats_of_rows_with_one_id(spark):
         assert all(r[2] == r[1] or r[2] >= 30 for r in got if r[0] is None)
 
 
+def test_partitions_change_no_row(spark, tmp_path):
+    """Twenty different texts under one doc_id share a passage, and a row stands many times: which keep it, and which come first, is the same."""
+    shared = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, f"t{k} {shared}") for k in range(20)] + [(None, f"n{k} {shared}") for k in range(5)] + [(2, f"same {shared} here")] * 150 + [(3, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    passages, files = [], []
+    for k in (1, 3, 7):
+        passages.append(sorted(map(tuple, repeats.remove_repeats(df.repartition(k)).collect()), key=str))
+        token_files.write_token_files(df.repartition(k), str(tmp_path / f"f{k}"), PATH)
+        files.append(sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, str(tmp_path / f"f{k}")).collect()), key=lambda r: r[1]))
+    assert passages[0] == passages[1] == passages[2] and files[0] == files[1] == files[2]
+    assert len(passages[0]) == len(files[0]) == len(rows) and sum(r[2] == 0 for r in passages[0]) == 4
+
+
 def test_bpe_round_trip(spark, sf, docs):
     want = brute.encoded(docs, Tokenizer.from_file(PATH))
     got = by_id(queries.op9_bpe_round_trip(spark, sf), "n_tokens", "ids_sha256", "decoded_sha256")
