@@ -23,7 +23,7 @@ TOKENIZER_BYTES = 64 << 20
 #: Pieces encoded in one call.
 CALL = 4096
 #: Pieces whose ids a Python worker remembers at most, twice over: a full table becomes the old one, and only pieces met again move on.
-PIECES = 300_000
+PIECES = 500_000
 #: The steps before the model for which word by word is the same as the whole text: no step reaches over white space.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
