@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rookery.functions.folders import shared_folder
 from rookery.operators import batching
+from rookery.plans import packing
 from rookery.plans.registry import query
-from rookery.sources import binary, packing, text
+from rookery.sources import binary, text
 
 C = F.col
 
@@ -52,6 +53,75 @@ def _(v):
     return numbered.select("row_no", five.alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")
 
 
+#: How the games of the view's four positions go on: (position, ply of the game, FEN but for its last field, move).
+GAMES = (
+    (0, 0, "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0", 12, 28, "normal"),
+    (0, 1, "rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0", 52, 36, "normal"),
+    (0, 2, "rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0", 6, 21, "normal"),
+    (0, 3, "rnbqkbnr/pppp1ppp/8/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R b KQkq - 1", 57, 42, "normal"),
+    (1, 0, "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R b KQkq - 0", 40, 12, "normal"),
+    (1, 1, "r3k2r/p1ppqpb1/1n2pnp1/3PN3/1p2P3/2N2Q1p/PPPBbPPP/R3K2R w KQkq - 0", 18, 12, "normal"),
+    (1, 2, "r3k2r/p1ppqpb1/1n2pnp1/3PN3/1p2P3/5Q1p/PPPBNPPP/R3K2R b KQkq - 0", 60, 63, "castle"),
+    (1, 3, "r4rk1/p1ppqpb1/1n2pnp1/3PN3/1p2P3/5Q1p/PPPBNPPP/R3K2R w KQ - 1", 4, 7, "castle"),
+    (2, 0, "8/8/4k3/8/3P4/3K4/8/8 w - - 4", 19, 28, "normal"),
+    (2, 1, "8/8/4k3/8/3PK3/8/8/8 b - - 5", 44, 43, "normal"),
+    (2, 2, "8/8/3k4/8/3PK3/8/8/8 w - - 6", 27, 35, "normal"),
+    (2, 3, "8/8/3k4/3P4/4K3/8/8/8 b - - 0", 43, 34, "normal"),
+    (3, 0, "rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1", 8, 16, "normal"),
+    (3, 1, "rnb1kbnr/pppp1ppp/8/4p3/6Pq/P4P2/1PPPP2P/RNBQKBNR b KQkq - 0", 48, 40, "normal"),
+    (3, 2, "rnb1kbnr/1ppp1ppp/p7/4p3/6Pq/P4P2/1PPPP2P/RNBQKBNR w KQkq - 0", 9, 25, "normal"),
+    (3, 3, "rnb1kbnr/1ppp1ppp/p7/4p3/1P4Pq/P4P2/2PPP2P/RNBQKBNR b KQkq - 0", 50, 34, "normal"),
+)
+PLIES = f"""lines(fen_id, k, fen5, move_from, move_to, kind) AS (VALUES {", ".join(map(str, GAMES))}),
+plies AS (SELECT p.event_id, l.k, l.fen5 AS fen, CAST(p.ply + l.k AS INT) AS ply, CAST(l.move_from AS INT) AS move_from, CAST(l.move_to AS INT) AS move_to, l.kind,
+  CAST(CASE WHEN l.k = 0 THEN p.score ELSE (p.event_id * (l.k + 3)) % 2001 - 1000 END AS INT) AS score, CAST(p.result * (CASE WHEN l.k % 2 = 0 THEN 1 ELSE -1 END) AS INT) AS result
+  FROM positions p JOIN lines l ON l.fen_id = p.fen_id AND l.k <= (p.event_id // 4) % 4)"""
+
+
+def written_games(v, name: str, file=None) -> tuple:
+    """The view's positions as games of one to four plies, in files of 2000 unless another column deals them."""
+    line = lambda i: F.array(*[F.struct(F.lit(f).alias("from"), F.lit(t).alias("to"), F.lit(kind).alias("type"), ((C("event_id") * (k + 3)) % 2001 - 1000).cast("int").alias("score")) for fen_id, k, _, f, t, kind in GAMES if fen_id == i and k])
+    lines = F.when(C("fen_id") == 0, line(0)).when(C("fen_id") == 1, line(1)).when(C("fen_id") == 2, line(2)).otherwise(line(3))
+    rows = v("positions").withColumn("line", F.slice(lines, F.lit(1), (F.floor(C("event_id") / 4) % 4).cast("int")))
+    rows = rows.withColumn("file", F.floor(C("event_id") / 2000) if file is None else file)
+    root = shared_folder(rows.sparkSession, name)
+    packing.write_games(rows, root, "file", "event_id")
+    return rows.sparkSession, root
+
+
+def five():
+    """A FEN without its last field, the move counter."""
+    return F.array_join(F.slice(F.split("fen", " "), 1, 5), " ")
+
+
+@query("read_binpack_games", "positions", f"WITH {PLIES} SELECT row_number() OVER (ORDER BY event_id, k) - 1 AS row_no, fen, ply, move_from, move_to, kind, score, result FROM plies")
+def _(v):
+    """Games with move lists, castlings among them, in order."""
+    spark, root = written_games(v, "games")
+    rows = binary.read_binpack(spark, f"{root}/*.binpack")
+    file = F.regexp_extract("path", r"(\d+)\.binpack$", 1).cast("bigint")
+    numbered = batching.global_index(rows.withColumn("file", file), ["file", "chunk_no", "pos_in_chunk"], C("file"), "row_no")
+    return numbered.select("row_no", five().alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")
+
+
+@query("chunk_statistics", "positions", f"""WITH {PLIES}, n AS (SELECT event_id, (row_number() OVER (PARTITION BY event_id // 2000 ORDER BY event_id) - 1) // 256 AS chunk_no FROM positions)
+SELECT CAST(event_id // 2000 AS BIGINT) AS file, CAST(chunk_no AS BIGINT) AS chunk_no, count(*) AS n_rows, min(ply) AS min_ply, max(ply) AS max_ply, min(score) AS min_score, max(score) AS max_score, min(result) AS min_result, max(result) AS max_result
+FROM plies JOIN n USING (event_id) GROUP BY 1, 2, event_id // 2000, chunk_no""")
+def _(v):
+    spark, root = written_games(v, "games")
+    found = binary.chunk_statistics(spark, f"{root}/*.binpack")
+    return found.select(F.regexp_extract("path", r"(\d+)\.binpack$", 1).cast("bigint").alias("file"), "chunk_no", "n_rows", *[f"{m}_{c}" for c in binary.STATISTICS for m in ("min", "max")])
+
+
+@query("read_indexed", "positions", f"WITH {PLIES} SELECT fen, ply, move_from, move_to, kind, score, result FROM plies WHERE ply BETWEEN 10 AND 30 AND score >= 200")
+def _(v):
+    """Files by ply, their statistics as a table, and a read by bounds that leaves out the chunks beyond them."""
+    spark, root = written_games(v, "games", F.floor(C("ply") / 8))
+    binary.chunk_statistics(spark, f"{root}/*.binpack").write.parquet(f"{root}/index")
+    rows = binary.read_indexed(spark.read.parquet(f"{root}/index"), ply=(10, 30), score=(200, None))
+    return rows.select(five().alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")
+
+
 @query("read_metrics", "train_log", """WITH one AS (SELECT run_id, epoch, step, min(train_loss) AS train_loss, min(val_loss) AS val_loss FROM train_log GROUP BY 1, 2, 3)
 SELECT run_id, epoch, step, 'train_loss' AS name, train_loss AS value FROM one UNION ALL SELECT run_id, epoch, step, 'val_loss', val_loss FROM one WHERE run_id >= 2""")
 def _(v):

@@ -1,4 +1,4 @@
-"""Writers of packed records, the counterparts of the readers in binary.py. Chunk files hold single positions, not games."""
+"""Writers of packed records from views, so that queries can read them back: the counterparts of the readers in sources/binary.py."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions.board import LETTERS
 from rookery.sources.binary import FIXED_TYPES, MAGIC, PACKED_TYPES, opened
+from rookery.sources.chess_rules import BLACK_LONG, BLACK_SHORT, WHITE_LONG, WHITE_SHORT, Board
 
 RIGHTS = "KQkq"
 
@@ -91,9 +92,46 @@ def stem_bytes(fen: str, move_from: int, move_to: int, kind: str, score: int, pl
     return occupied.to_bytes(8, "big") + pairs + struct.pack(">HHHHH", packed, _unsigned(score), ply | _unsigned(result) << 14, clock, 0)
 
 
-def _write_files(df: DataFrame, path: str, file: str, order: str, suffix: str, body) -> int:
+def game_bytes(stem: dict, line: list[tuple[int, int, str, int]]) -> bytes:
+    """A game: its stem and the further plies of line, (from, to, type, score) each."""
+    pieces, side, rights, ep, clock, _ = fen_parts(stem["fen"])
+    bit = dict(zip(RIGHTS, (WHITE_SHORT, WHITE_LONG, BLACK_SHORT, BLACK_LONG), strict=True))
+    board = Board(pieces, side, sum(bit.get(r, 0) for r in rights), ep, clock, stem["ply"])
+    head = stem_bytes(stem["fen"], stem["move_from"], stem["move_to"], "normal", stem["score"], stem["ply"], stem["result"])
+    out, width = 0, 0
+
+    def put(number: int, bits: int) -> None:
+        nonlocal out, width
+        out, width = out << bits | number, width + bits
+
+    move, score = (stem["move_from"], stem["move_to"], "normal", -1), stem["score"]
+    for frm, to, kind, new in line:
+        board.play(move)
+        own = board.own()
+        put(own.index(frm), (len(own) - 1).bit_length())
+        pawn = pieces_kind(board, frm) == 0
+        targets = board.pawn_moves(frm) if pawn else board.attacks(frm)
+        castles = board.castlings() if pieces_kind(board, frm) == 5 else []
+        n = len(targets) + len(castles)
+        put(len(targets) + castles.index(to) if kind == "castle" else targets.index(to), (n - 1).bit_length())
+        left = _unsigned((new + score + 0x8000 & 0xFFFF) - 0x8000)
+        while True:
+            put(left & 15 | (left > 15) << 4, 5)
+            left >>= 4
+            if not left:
+                break
+        move, score = (frm, to, kind, -1), new
+    body = (out << -width % 8).to_bytes(-(-width // 8), "big")
+    return head[:-2] + len(line).to_bytes(2, "big") + body
+
+
+def pieces_kind(board: Board, sq: int) -> int:
+    return board.pieces[sq] // 2
+
+
+def _write_files(df: DataFrame, path: str, file: str, order: str, suffix: str, body, more: tuple[str, ...] = ()) -> int:
     """A file per value of `file`, written by one task under a name of its own attempt and then renamed: (number of files)."""
-    need = ["fen", "move_from", "move_to", "score", "ply", "result"]
+    need = ["fen", "move_from", "move_to", "score", "ply", "result", *more]
 
     def run(group: pa.Table) -> pa.Table:
         import uuid
@@ -131,3 +169,14 @@ def write_binpack(df: DataFrame, path: str, file: str, order: str, chunk_rows: i
             yield MAGIC + len(stems).to_bytes(4, "little") + stems
 
     return _write_files(df, path, file, order, ".binpack", body)
+
+
+def write_games(df: DataFrame, path: str, file: str, order: str, chunk_games: int = 256) -> int:
+    """Rows with a column `line`, an array of further plies (from, to, type, score), as chunks of chunk_games games."""
+
+    def body(rows: list[dict]) -> Iterator[bytes]:
+        for lo in range(0, len(rows), chunk_games):
+            games = b"".join(game_bytes(r, [(m["from"], m["to"], m["type"], m["score"]) for m in r["line"]]) for r in rows[lo : lo + chunk_games])
+            yield MAGIC + len(games).to_bytes(4, "little") + games
+
+    return _write_files(df, path, file, order, ".binpack", body, ("line",))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from rookery.functions.folders import shared_folder
 from rookery.operators.filters import SkipConfig
+from rookery.plans import packing
 from rookery.plans.experiments import ONE, STANDINGS, one_per_step, r6
 from rookery.plans.positions import PACKED
 from rookery.plans.records import PLACE, RESULT_PROB, SOFT
 from rookery.plans.registry import query
 from rookery.plans.sqltext import TARGETS, u
+from rookery.sources.binary import stream_binpack
 from rookery.streaming import streams
 
 C = F.col
@@ -85,6 +87,24 @@ def _(v):
     return p.sparkSession.read.parquet(f"{root}/out").select("event_id", "us", "score", digest("white"), digest("black"))
 
 
+@query("stream_chunk_files", "positions", f"""{PACKED}, n AS (SELECT event_id, (row_number() OVER (PARTITION BY event_id // 2000 ORDER BY event_id) - 1) AS place FROM positions),
+keyed AS (SELECT p.*, concat_ws('/', event_id // 2000, place // 256, place % 256) AS row_id FROM positions p JOIN n USING (event_id)),
+chosen AS (SELECT event_id, row_id, CASE WHEN split_part(fen, ' ', 2) = 'w' THEN 1.0e0 ELSE 0.0e0 END AS us, score FROM keyed WHERE score <> 32002 AND NOT {u('row_id', chr(39) + 'random' + chr(39))} < 0.5e0
+  AND {u('row_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND NOT (ply < 20 AND {u('row_id', chr(39) + 'soft' + chr(39))} >= {SOFT}))
+SELECT c.row_id, us, score, md5(w.features) AS white_md5, md5(b.features) AS black_md5 FROM chosen c JOIN packed w ON w.row_id = event_id AND w.perspective = 0 JOIN packed b ON b.row_id = event_id AND b.perspective = 1""")
+def _(v):
+    """Chunk files arrive in two waves; the query is started again from its checkpoint for the second, and takes one file a trigger."""
+    p = v("positions").withColumn("file", F.floor(C("event_id") / 2000))
+    spark, root = p.sparkSession, shared_folder(p.sparkSession, "chunks")
+    file = F.regexp_extract("path", r"(\d+)\.binpack$", 1)
+    for wave in (0, 1):
+        packing.write_binpack(p.where(C("file") % 2 == wave), f"{root}/in", "file", "event_id")
+        records = stream_binpack(spark, f"{root}/in", 1).withColumn("row_id", F.concat_ws("/", file, "chunk_no", "pos_in_chunk"))
+        streams.write_training_rows(records, f"{root}/out", f"{root}/cp", SkipConfig(quiet=False, thin_random=1), "row_id").awaitTermination()
+    digest = lambda c: F.md5(F.array_join(C(c).cast("array<string>"), ",")).alias(f"{c}_md5")
+    return spark.read.parquet(f"{root}/out").select("row_id", "us", "score", digest("white"), digest("black"))
+
+
 @query("stream_standings", "games", f"WITH {STANDINGS} SELECT player, wins, draws, losses, round(elo, 6) AS elo, place FROM standings")
 def _(v):
     stream, root = landed(v("games"), "standings")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ MAGIC, HEAD, STEM = b"BINP", 8, 34
 LARGEST_CHUNK = 100 << 20
 #: A game's number is file << FILE_SHIFT | chunk << CHUNK_SHIFT | stem: 2**19 files of 2**22 chunks; a chunk can't hold 2**22 stems.
 FILE_SHIFT, CHUNK_SHIFT = 44, 22
-#: Chunks that make a partition of the data source, in bytes.
-PARTITION_BYTES = 64 << 20
+#: The number of files that have none, as they arrive.
+NO_FILE = -1
+#: Bytes of a file that make a partition of the data source, and the most partitions of one file.
+PARTITION_BYTES, PARTITIONS_PER_FILE = 64 << 20, 64
 MOVE = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("type", pa.string()), ("promo", pa.int32())])
 SCHEMA = "game_id long, ply int, fen string, move struct<from:int,to:int,type:string,promo:int>, score int, result int, path string, chunk_no long, pos_in_chunk int"
 #: Move types by the two bits of either format.
@@ -114,21 +117,25 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.withColumn("file_no", F.row_number().over(W.orderBy("path")) - 1)
 
 
+INDEX = "file_no int, path string, chunk_no long, offset long, size long"
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of files (file_no, path, length), by walking their heads."""
+    for batch in batches:
+        for no, path, length in zip(*(batch.column(c).to_pylist() for c in ("file_no", "path", "length")), strict=True):
+            fs, name = opened(path)
+            with fs.open_input_file(name) as f:
+                heads = list(chunk_heads(f, length))
+            for lo in range(0, len(heads), 100_000):
+                n, at, size = zip(*heads[lo : lo + 100_000], strict=True)
+                yield pa.RecordBatch.from_pydict({"file_no": pa.array([no] * len(n), pa.int32()), "path": [path] * len(n), "chunk_no": pa.array(n, pa.int64()), "offset": pa.array(at, pa.int64()), "size": pa.array(size, pa.int64())})
+
+
 def _index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     files = _files(spark, paths)
     dealt = files.repartition(max(1, min(files.count(), 4096)), "path")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for no, path, length in zip(*(batch.column(c).to_pylist() for c in ("file_no", "path", "length")), strict=True):
-                fs, name = opened(path)
-                with fs.open_input_file(name) as f:
-                    heads = list(chunk_heads(f, length))
-                for lo in range(0, len(heads), 100_000):
-                    n, at, size = zip(*heads[lo : lo + 100_000], strict=True)
-                    yield pa.RecordBatch.from_pydict({"file_no": pa.array([no] * len(n), pa.int32()), "path": [path] * len(n), "chunk_no": pa.array(n, pa.int64()), "offset": pa.array(at, pa.int64()), "size": pa.array(size, pa.int64())})
-
-    return dealt.select("file_no", "path", "length").mapInArrow(run, "file_no int, path string, chunk_no long, offset long, size long")
+    return dealt.select("file_no", "path", "length").mapInArrow(_heads, INDEX)
 
 
 def binpack_chunk_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -173,16 +180,16 @@ class _Bits:
     """Reads bits from the high end of each byte."""
 
     def __init__(self, body: bytes, at: int):
-        self.body, self.at, self.used = body, at, 0
+        self.body, self.at = body, 8 * at
 
     def take(self, n: int) -> int:
-        out = 0
-        for _ in range(n):
-            out = out << 1 | self.body[self.at] >> 7 - self.used & 1
-            self.used += 1
-            if self.used == 8:
-                self.at, self.used = self.at + 1, 0
-        return out
+        """The next n bits, 24 at most."""
+        first, used = divmod(self.at, 8)
+        self.at += n
+        if self.at > 8 * len(self.body):
+            raise ValueError("a chunk ends inside a move list")
+        word = int.from_bytes(self.body[first : first + 4].ljust(4, b"\0"), "big")
+        return word >> 32 - used - n & (1 << n) - 1
 
     def number(self, block: int = 4) -> int:
         out = shift = 0
@@ -194,7 +201,7 @@ class _Bits:
             shift += block
 
     def end(self) -> int:
-        return self.at + (self.used > 0)
+        return -(-self.at // 8)
 
 
 def _choice(bits: _Bits, n: int) -> int:
@@ -219,11 +226,10 @@ def _next_move(board: Board, bits: _Bits) -> tuple[int, int, str, int]:
     return (sq, to[n], "normal", -1) if n < len(to) else (sq, rooks[n - len(to)], "castle", -1)
 
 
-def chunk_rows(payload: bytes, keep: Callable[[int, int, int], bool] | None = None) -> Iterator[tuple[int, int, int, str, tuple, int, int]]:
-    """(stem_no, place, ply, fen, move, score, result) of a chunk: stems, each followed by its number of further plies and their
-    moves. A score is coded as its difference from the negative of the one before; the result turns its sign every ply.
-    Rows for which keep(ply, score, result) is false are passed over without a FEN; moves are played all the same."""
-    at = n = place = 0
+def _plies(payload: bytes) -> Iterator[tuple[int, Board, tuple[int, int, str, int], int, int]]:
+    """(stem_no, board, move, score, result) of each ply of a chunk: stems, each followed by its number of further plies and their
+    moves. A score is coded as its difference from the negative of the one before; the result turns its sign every ply."""
+    at = n = 0
     while at + STEM <= len(payload):
         board, move, score, result = stem(payload[at : at + 32])
         plies = int.from_bytes(payload[at + 32 : at + STEM], "big")
@@ -235,13 +241,21 @@ def chunk_rows(payload: bytes, keep: Callable[[int, int, int], bool] | None = No
                 move = _next_move(board, bits)
                 score = (-score + _signed(bits.number()) + 0x8000 & 0xFFFF) - 0x8000
                 result = -result
-            if keep is None or keep(board.ply, score, result):
-                yield n, place, board.ply, board.fen(), move, score, result
-            place += 1
+            yield n, board, move, score, result
         at, n = bits.end(), n + 1
 
 
-def _game_id(file_no: int, chunk_no: int, stem_no: int) -> int:
+def chunk_rows(payload: bytes, keep: Callable[[int, int, int], bool] | None = None) -> Iterator[tuple[int, int, int, str, tuple, int, int]]:
+    """(stem_no, place, ply, fen, move, score, result) of a chunk's plies. Rows for which keep(ply, score, result) is false are passed
+    over without a FEN; moves are played all the same."""
+    for place, (n, board, move, score, result) in enumerate(_plies(payload)):
+        if keep is None or keep(board.ply, score, result):
+            yield n, place, board.ply, board.fen(), move, score, result
+
+
+def _game_id(file_no: int, path: str, chunk_no: int, stem_no: int) -> int:
+    if file_no == NO_FILE:
+        return xxhash.xxh3_64_intdigest(f"{path}:{chunk_no}:{stem_no}") >> 1
     if file_no >= 1 << 63 - FILE_SHIFT or chunk_no >= 1 << FILE_SHIFT - CHUNK_SHIFT:
         raise ValueError("too many files, or chunks in a file, for one numbering of games")
     return file_no << FILE_SHIFT | chunk_no << CHUNK_SHIFT | stem_no
@@ -251,7 +265,7 @@ def _chunk_batches(file, file_no: int, path: str, chunk_no: int, offset: int, si
     file.seek(offset)
     rows = []
     for stem_no, place, ply, fen, move, score, result in chunk_rows(file.read(size), keep):
-        rows.append((_game_id(file_no, chunk_no, stem_no), ply, fen, _move(move), score, result, path, chunk_no, place))
+        rows.append((_game_id(file_no, path, chunk_no, stem_no), ply, fen, _move(move), score, result, path, chunk_no, place))
         if len(rows) == 10_000:
             yield _table(rows)
             rows = []
@@ -259,33 +273,95 @@ def _chunk_batches(file, file_no: int, path: str, chunk_no: int, offset: int, si
         yield _table(rows)
 
 
+def _decoded(index: DataFrame, keep: Callable[[int, int, int], bool] | None = None, partitions: int | None = None, chunks_read=None) -> DataFrame:
+    """Rows of SCHEMA of the chunks of an index, dealt over tasks; chunks_read, an accumulator, counts those that are read."""
+    key = F.xxhash64("path", "chunk_no")
+    dealt = index.repartition(partitions, key) if partitions else index.repartition(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in sorted(batch.to_pylist(), key=lambda r: (r["path"], r["offset"])):
+                fs, name = opened(r["path"])
+                if chunks_read is not None:
+                    chunks_read.add(1)
+                with fs.open_input_file(name) as f:
+                    yield from _chunk_batches(f, r["file_no"], r["path"], r["chunk_no"], r["offset"], r["size"], keep)
+
+    return dealt.select("file_no", "path", "chunk_no", "offset", "size").mapInArrow(run, SCHEMA)
+
+
 def read_binpack(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
     """Rows of SCHEMA from chunk files: the index of chunks is dealt over tasks, and each reads and decodes its chunks' bytes. game_id
-    is unique over all files read together. Write the result as Parquet before filtering it again and again, or read with the
-    data source (ChunkSource), into which filters of ply, score and result reach."""
-    index = _index(spark, paths)
+    is unique over all files read together. Write the result as Parquet before filtering it again and again; for filters of ply, score
+    and result read with an index of statistics (read_indexed), or the data source (ChunkSource)."""
+    return _decoded(_index(spark, paths), partitions=partitions)
+
+
+STATISTICS = ("ply", "score", "result")
+
+
+def chunk_statistics(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
+    """The index of chunks with n_rows and the least and largest ply, score and result of each: min_ply, max_ply and so on. Every chunk is
+    decoded once, without FENs. Write it as Parquet beside the files: it is what read_indexed chooses chunks by."""
     key = F.xxhash64("path", "chunk_no")
+    index = _index(spark, paths)
     dealt = index.repartition(partitions, key) if partitions else index.repartition(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for r in sorted(batch.to_pylist(), key=lambda r: (r["path"], r["offset"])):
                 fs, name = opened(r["path"])
                 with fs.open_input_file(name) as f:
-                    yield from _chunk_batches(f, r["file_no"], r["path"], r["chunk_no"], r["offset"], r["size"])
-
-    return dealt.mapInArrow(run, SCHEMA)
+                    f.seek(r["offset"])
+                    values = [(board.ply, score, result) for _, board, _, score, result in _plies(f.read(r["size"]))]
+                r["n_rows"] = len(values)
+                for i, c in enumerate(STATISTICS):
+                    r[f"min_{c}"], r[f"max_{c}"] = (f(v[i] for v in values) if values else None for f in (min, max))
+                rows.append(r)
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    fields = [("file_no", pa.int32()), ("path", pa.string()), *((c, pa.int64()) for c in ("chunk_no", "offset", "size", "n_rows"))]
+    schema = pa.schema(fields + [(f"{m}_{c}", pa.int32()) for c in STATISTICS for m in ("min", "max")])
+    return dealt.mapInArrow(run, f"{INDEX}, n_rows long, " + ", ".join(f"{m}_{c} int" for c in STATISTICS for m in ("min", "max")))
+
+
+def read_indexed(index: DataFrame, partitions: int | None = None, chunks_read=None, **bounds: tuple[int | None, int | None]) -> DataFrame:
+    """Rows of SCHEMA whose ply, score and result lie within bounds, both ends included, None for no bound: read_indexed(index, ply=(20, None)).
+
+    index is chunk_statistics, as stored. Chunks that can hold no such row are dropped by a filter of the index, before any file is
+    opened; of the others, rows outside are passed over before their FEN is made. game_id is as read_binpack of the same files gives it.
+    """
+    if unknown := bounds.keys() - set(STATISTICS):
+        raise ValueError(f"no statistics of {', '.join(sorted(unknown))}")
+    index = index.where("n_rows > 0")
+    for c, (low, high) in bounds.items():
+        index = index if low is None else index.where(F.col(f"max_{c}") >= low)
+        index = index if high is None else index.where(F.col(f"min_{c}") <= high)
+    limits = [(STATISTICS.index(c), -1 << 31 if low is None else low, 1 << 31 if high is None else high) for c, (low, high) in bounds.items()]
+    return _decoded(index, lambda *row: all(low <= row[i] <= high for i, low, high in limits), partitions, chunks_read)
+
+
+def stream_binpack(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
+    """A stream of rows of SCHEMA from the chunk files that arrive in a folder, each file once, also over restarts from a checkpoint. Files
+    must come whole, by a move. A trigger takes at most files_per_trigger files; their heads are walked and their chunks read by
+    tasks, so a trigger's work is spread by chunks however large a file is. game_id is a 63-bit hash of path, chunk and stem, as
+    arriving files have no number."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = files.option("maxFilesPerTrigger", files_per_trigger).load(folder).select(F.lit(NO_FILE).alias("file_no"), "path", "length")
+    return _decoded(files.repartition(F.col("path")).mapInArrow(_heads, INDEX))
 
 
 class ChunkRange(InputPartition):
-    """Chunks of one file, next to each other: (chunk_no, offset, size) each."""
+    """The chunks of one file whose heads stand from lo to hi."""
 
-    def __init__(self, file_no: int, path: str, chunks: list[tuple[int, int, int]]):
-        self.file_no, self.path, self.chunks = file_no, path, chunks
+    def __init__(self, file_no: int, path: str, length: int, lo: int, hi: int):
+        self.file_no, self.path, self.length, self.lo, self.hi = file_no, path, length, lo, hi
 
 
 class ChunkReader(DataSourceReader):
-    """Partitions are ranges of chunks of about PARTITION_BYTES."""
+    """Partitions are ranges of bytes; each task walks heads up to its range's end. The driver lists files and opens none."""
 
     COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
     PLACE = {"ply": 0, "score": 1, "result": 2}
@@ -299,16 +375,8 @@ class ChunkReader(DataSourceReader):
         files = [found] if found.is_file else [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.is_file]
         out = []
         for no, info in enumerate(sorted(files, key=lambda i: i.path)):
-            held, size = [], 0
-            with fs.open_input_file(info.path) as f:
-                for chunk in chunk_heads(f, info.size):
-                    if held and size + chunk[2] > PARTITION_BYTES:
-                        out.append(ChunkRange(no, info.path, held))
-                        held, size = [], 0
-                    held.append(chunk)
-                    size += chunk[2]
-            if held:
-                out.append(ChunkRange(no, info.path, held))
+            step = max(PARTITION_BYTES, -(-info.size // PARTITIONS_PER_FILE))
+            out += [ChunkRange(no, info.path, info.size, lo, lo + step) for lo in range(0, info.size, step)]
         return out
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
@@ -316,8 +384,11 @@ class ChunkReader(DataSourceReader):
         keep = (lambda *row: all(test(row[i], value) for i, test, value in tests)) if tests else None
         fs, _ = opened(self.path)
         with fs.open_input_file(partition.path) as f:
-            for n, offset, size in partition.chunks:
-                yield from _chunk_batches(f, partition.file_no, partition.path, n, offset, size, keep)
+            for n, offset, size in chunk_heads(f, partition.length):
+                if offset - HEAD >= partition.hi:
+                    break
+                if offset - HEAD >= partition.lo:
+                    yield from _chunk_batches(f, partition.file_no, partition.path, n, offset, size, keep)
 
 
 class FilteringReader(ChunkReader):
@@ -333,7 +404,7 @@ class FilteringReader(ChunkReader):
 
 class ChunkSource(DataSource):
     """spark.dataSource.register(ChunkSource); spark.read.format("binpack").load(path): rows of SCHEMA from a chunk file or a folder of
-    them. The driver walks the heads; for very many files use read_binpack, whose tasks do. With the option push = true, filters
+    them. With the option push = true, filters
     reach the decoder; Spark asks for spark.sql.python.filterPushdown.enabled then."""
 
     @classmethod

@@ -22,20 +22,26 @@ HALVE = 10_000
 
 def training_rows(records: DataFrame, cfg: SkipConfig, key: str, name: str = ALL_FEATURES) -> DataFrame:
     """(key, us, score, result, piece_count, white, black): rules that look at one record only, then each side's features, sorted and
-    padded with -1: no state and no shuffle, so the same for batch and stream. The rule of quiet positions reads move_from and move_to."""
+    padded with -1: no state and no shuffle, so the same for batch and stream. The rule of quiet positions reads move_from and move_to, or move."""
+    ends = [F.col(c) for c in (("move_from", "move_to") if "move_from" in records.columns else ("move.from", "move.to"))]
     kept = parse_fen(records.where(reject_reason(cfg, key, None, None, None).isNull()))
     if cfg.quiet:
-        kept = kept.where(is_quiet(F.col("move_from"), F.col("move_to")))
+        kept = kept.where(is_quiet(*ends))
     if cfg.least_material > 0:
         kept = kept.where(F.abs(material_eval(F.col("board"), F.col("white_to_move"))) >= cfg.least_material)
     most = sum(n for *_, n in feature_layout(name))
     us = F.col("white_to_move").cast("int").cast("double").alias("us")
-    return feature_arrays(kept, name).select(key, us, "score", "result", "piece_count", *[padded(F.col(c), most).alias(c) for c in ("white", "black")])
+    return feature_arrays(kept, name, [key, "white_to_move", "score", "result", "piece_count"]).select(key, us, "score", "result", "piece_count", *[padded(F.col(c), most).alias(c) for c in ("white", "black")])
 
 
 def stream_training_rows(spark: SparkSession, source: str, schema, out: str, checkpoint: str, cfg: SkipConfig, key: str, files_per_trigger: int = 64, name: str = ALL_FEATURES):
     """Record files of a folder, as they arrive, to Parquet training rows, each exactly once; stops when what is there is done."""
     records = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    return write_training_rows(records, out, checkpoint, cfg, key, name)
+
+
+def write_training_rows(records: DataFrame, out: str, checkpoint: str, cfg: SkipConfig, key: str, name: str = ALL_FEATURES):
+    """A stream of records, of Parquet or of chunk files (stream_binpack), to Parquet training rows, as stream_training_rows does."""
     rows = training_rows(records, cfg, key, name)
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

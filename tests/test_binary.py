@@ -176,6 +176,60 @@ def test_chunks(spark, tmp_path):
         binary.binpack_chunk_index(spark, str(tmp_path / "bad.binpack")).collect()
 
 
+def chunk_file(path, seeds, plies=30):
+    """One game a chunk; expected rows by chunk."""
+    games = [game(FENS[k % len(FENS)], plies, k) for k in seeds]
+    path.write_bytes(b"".join(b"BINP" + len(g).to_bytes(4, "little") + g for g, _ in games))
+    return [rows for _, rows in games]
+
+
+def test_statistics_leave_out_chunks(spark, tmp_path):
+    chunks = chunk_file(tmp_path / "a.binpack", range(30))
+    stats = binary.chunk_statistics(spark, str(tmp_path / "a.binpack"), 3)
+    assert {(r.chunk_no, r.n_rows, r.min_score, r.max_score, r.min_ply, r.max_ply) for r in stats.collect()} == {
+        (k, len(rows), min(r[2] for r in rows), max(r[2] for r in rows), rows[0][3], rows[-1][3]) for k, rows in enumerate(chunks)
+    }
+    stats.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    inside = lambda r: r[3] >= 100 and r[2] <= 2000
+    read = spark.sparkContext.accumulator(0)
+    some = binary.read_indexed(index, 4, read, ply=(100, None), score=(None, 2000))
+    assert sorted(got(some)) == sorted(r for rows in chunks for r in rows if inside(r)) and some.where("ply < 100").isEmpty()
+    most = sum(max(r[3] for r in rows) >= 100 for rows in chunks)
+    assert 0 < read.value <= 2 * most < 2 * len(chunks)
+    assert got(binary.read_indexed(index).orderBy("chunk_no", "pos_in_chunk")) == [r for rows in chunks for r in rows]
+    with pytest.raises(ValueError, match="no statistics"):
+        binary.read_indexed(index, rule50=(0, 3))
+
+
+def test_source_cuts_files_into_ranges_of_bytes(spark, tmp_path, monkeypatch):
+    want = [r for name, seeds in (("a", range(20)), ("b", range(20, 33))) for rows in chunk_file(tmp_path / f"{name}.binpack", seeds) for r in rows]
+    monkeypatch.setattr(binary, "PARTITION_BYTES", 300)
+    reader = binary.ChunkReader(str(tmp_path))
+    parts = reader.partitions()
+    assert len(parts) > 8
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["fen"], r["score"], r["ply"], r["result"]) for r in rows] == [(r[0], *r[2:]) for r in want]
+    monkeypatch.setattr(binary, "PARTITIONS_PER_FILE", 2)
+    assert len(reader.partitions()) == 4
+
+
+def test_chunk_files_as_a_stream(spark, tmp_path):
+    """Files in two waves over a restart: every row once, games told apart."""
+    (tmp_path / "in").mkdir()
+    want = []
+    for wave in (0, 1):
+        for k in range(3):
+            want += [r for rows in chunk_file(tmp_path / "in" / f"{wave}{k}.binpack", range(10 * k + wave, 10 * k + wave + 4), 12) for r in rows]
+        rows = binary.stream_binpack(spark, str(tmp_path / "in"), 2)
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(got(out)) == sorted(want) and out.select("game_id").distinct().count() == 24
+    (tmp_path / "bad.binpack").write_bytes((tmp_path / "in" / "00.binpack").read_bytes()[:40])
+    with pytest.raises(Exception, match="claims"):
+        binary.read_binpack(spark, str(tmp_path / "bad.binpack")).collect()
+
+
 def test_first_example_of_the_readme(spark, tmp_path):
     """It runs as it stands, but for the paths, and every rule of the default settings takes part."""
     games = [game(f, 40, seed) for seed, f in enumerate(FENS * 5)]

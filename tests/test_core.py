@@ -1,8 +1,11 @@
 """Queries against DuckDB on the small tables, and golden values."""
 
 import duckdb
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +132,66 @@ def test_sparse_linear_equals_dense(spark):
         assert np.allclose(r["values"], want[r.row_id])
 
 
+def made_vectors(spark, inputs, width):
+    """(feature, values) worked out from the feature alone, and the same as a function."""
+    value = lambda f: (((np.asarray(f)[:, None] * 7919 + np.arange(width) * 104_729) % 4001 - 2000) / 16_000).astype(np.float32)
+
+    def run(batches):
+        for b in batches:
+            f = np.asarray(b.column("id"))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1) * width, pa.int32()), pa.array(value(f).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column("id"), lists], ["feature", "values"])
+
+    return spark.range(0, inputs, 1, 16).mapInArrow(run, "feature long, values array<float>"), value
+
+
+def test_products_in_blocks_of_the_default_net(spark):
+    """88 944 inputs to 1024 outputs, more entries than are sent to tasks: sums and scores equal the dense ones, however rows and outputs are cut."""
+    inputs, width, buckets, n = 88_944, 1024, 8, 60
+    assert inputs * width > scoring.MATRIX_ENTRIES
+    rng = np.random.default_rng(4)
+    vectors, value = made_vectors(spark, inputs, width)
+    sides = [[[int(x) for x in rng.integers(0, inputs, rng.integers(0, 120))] + [-1] * 3 for _ in range(n)] for _ in range(2)]
+    sides[0][0], sides[1][1] = [], None
+    bias = rng.random(width)
+    rows = spark.createDataFrame([(i, a, b, float(i % 2), i % buckets) for i, (a, b) in enumerate(zip(*sides, strict=True))], "row_id long, white array<int>, black array<int>, us double, bucket int")
+    dense = [np.array([value([x for x in xs or [] if x >= 0]).sum(axis=0, dtype=float) for xs in side]) for side in sides]
+    got = {r.row_id: r["values"] for r in scoring.sparse_linear_blocks(rows, vectors, width, bias, features="white", block=300, block_rows=25).collect()}
+    assert len(got) == n and all(np.allclose(got[i], dense[0][i] + bias, atol=1e-9) for i in range(n))
+    stack = lambda *shape: rng.uniform(-0.4, 0.4, shape)
+    head = scoring.NetMatrices(np.zeros((0, width)), stack(inputs, buckets), bias - 0.5, stack(buckets, width, 17), stack(buckets, 17), stack(buckets, 34, 32), stack(buckets, 32), stack(buckets, 98, 1), stack(buckets, 1))
+    used = sorted({x for side in sides for xs in side for x in xs or [] if x >= 0})
+    place = {x: k for k, x in enumerate(used)}
+    renamed = [pa.array([[place.get(x, -1) for x in xs or []] for xs in side], pa.list_(pa.int64())) for side in sides]
+    us, bucket = np.arange(n) % 2 * 1.0, np.arange(n) % buckets
+    for quantize in (False, True):
+        whole = replace(head, ft=value(used).astype(float), psqt=head.psqt[used])
+        want = (whole.quantized() if quantize else whole).scores(*renamed, us, bucket, quantize)
+        scores = {r.row_id: r.score for r in scoring.score_rows_blocks(rows, vectors, head, quantize, block=256, block_rows=25).collect()}
+        assert np.allclose([scores[i] for i in range(n)], want, atol=1e-6)
+    with pytest.raises(ValueError, match="score_rows_blocks"):
+        scoring.score_rows(rows, replace(head, ft=np.lib.stride_tricks.as_strided(np.zeros(1), (inputs, width), (0, 0))))
+
+
+def test_weight_vectors_fill_up_with_zeros(spark):
+    w = spark.createDataFrame([(3, 0, 1.5), (3, 4, -2.0), (7, 2, 0.25)], "feature int, out_idx int, w double")
+    assert {r.feature: r["values"] for r in scoring.weight_vectors(w, 5).collect()} == {3: [1.5, 0, 0, 0, -2.0], 7: [0, 0, 0.25, 0, 0]}
+    rows = spark.createDataFrame([(1, [3, 7, 7, -1, 99]), (2, None)], "row_id long, features array<int>")
+    got = {r.row_id: r["values"] for r in scoring.sparse_linear_blocks(rows, scoring.weight_vectors(w, 5), 5, block=2).collect()}
+    assert got == {1: [1.5, 0, 0.5, 0, -2.0], 2: [0] * 5}
+    none = scoring.sparse_linear_blocks(rows, scoring.weight_vectors(w.limit(0), 5), 5, block=2)
+    assert {tuple(r["values"]) for r in none.collect()} == {(0,) * 5}
+
+
+def test_features_of_odd_boards(spark):
+    """Rows without a FEN or a king, and one board in every orientation by plain loops."""
+    rows = spark.createDataFrame([(0, None), (1, "8/8/8/8/8/8/8/K7 w - - 0 1"), (2, "8/8/8/8/8/8/8/8 w - - 0 1")], "row_id int, fen string")
+    got = features.feature_arrays(B.parse_fen(rows), keep=["row_id"]).collect()
+    assert [(r.row_id, r.white, r.black) for r in got] == [(0, [], []), (1, [got[1].white[0]], []), (2, [], [])] and len(got[1].white) == 1
+    with pytest.raises(ValueError, match="a column or a kernel"):
+        features.register_feature("Both", 1, 1)
+
+
 def test_permutation_raises_the_zero_rate(spark):
     rng = np.random.default_rng(1)
     z = rng.random((200, 16)) < np.where(np.arange(16) % 4 == 0, 0.9, 0.1)
