@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by projection passes."""
+"""Near-duplicate vectors by sorted projection passes."""
 
 from __future__ import annotations
 
@@ -7,13 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rookery.llm.components import connected_components
 from rookery.llm.storage import cut, join_dictionary
 
 
+#: Rows of an order in a range, of which a task takes one.
+RANGE_ROWS = 200_000
+FOUND = "a long, b long, links long"
+
+
 def unit_vector(v: list[float | None] | None) -> tuple[np.ndarray | None, bytes | None]:
     """(v of length 1, v's bytes), or nulls for a vector that links with nothing. It is scaled by its largest component first,
     so that squares of very large or small ones neither overflow nor vanish."""
@@ -55,106 +62,162 @@ def _signed(passes: int, bits: int, seed: int):
     return run
 
 
-def plan_passes(n: int, threshold: float, passes: int, bits: int, window: int, miss: float) -> tuple[int, int]:
-    """(passes, signs in a key) with the least work for n vectors such that a pair at the threshold, which shares a sign
-    with probability 1 - angle / pi, meets in no pass with probability `miss` at most. (1, 0) compares all with all."""
-    p = min(1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 0.999)
-    best, least = (1, 0), float(n)
-    for b in range(1, bits + 1):
-        if p <= 0 or n / 2**b < 1:
-            break
-        k = max(passes, math.ceil(math.log(miss) / math.log1p(-(p**b))))
-        work = k * (n / 2**b + 2 * window)
-        if work < least:
-            best, least = (k, b), work
-    return best
+def plan_passes(n: int, threshold: float, bits: int, window: int, miss: float) -> tuple[int, int]:
+    """(passes, leading signs of a run) for n vectors. Runs of equal leading signs are as long as a window on average; a pair at the
+    threshold shares a sign with probability 1 - angle / pi, so it shares a run in no pass with probability `miss` at most."""
+    run = min(bits, max(0, math.ceil(math.log2(max(n, 1) / window))))
+    p = min(max(1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 1e-3), 0.999) ** run
+    return (1 if run == 0 else max(1, math.ceil(math.log(miss) / math.log1p(-p)))), run
+
+
+class Vectors:
+    """Rows of one task: vectors with their places in the orders of all passes, and the long runs they are in, -1 for none."""
+
+    def __init__(self, part: pa.Table, passes: int, window: int):
+        self.window = window
+        matrix = lambda c, kind: np.asarray(part.column(c).combine_chunks().flatten(), kind).reshape(part.num_rows, -1)
+        self.v = matrix("v", np.float64)
+        self.ids, self.copies = np.asarray(part.column("id"), np.int64), np.asarray(part.column("n"), np.float64)
+        self.places, self.runs = matrix("places", np.int64)[:, :passes], matrix("runs", np.int64)[:, :passes]
+        self.n_links, self.label = np.zeros(len(self.ids)), np.arange(len(self.ids))
+        self.edges: list[tuple[int, int]] = []
+
+    def settled(self, x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        """Whether a pass before the k-th brings each pair together, in a window or a long run."""
+        out = np.zeros(np.broadcast_shapes(x.shape, y.shape), bool)
+        for q in range(k):
+            out |= np.abs(self.places[x, q] - self.places[y, q]) <= self.window
+            out |= (self.runs[x, q] == self.runs[y, q]) & (self.runs[x, q] >= 0)
+        return out
+
+    def link(self, ok: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        """Count the links of a tile, rows x and columns y, and keep those that join parts of this task's vectors not joined before."""
+        self.n_links[x] += ok @ self.copies[y]
+        self.n_links[y] += self.copies[x] @ ok
+        while True:
+            apart = ok & (self.label[x][:, None] != self.label[y][None, :])
+            rows = np.flatnonzero(apart.any(axis=1))
+            if not len(rows):
+                return
+            for a, b in zip(x[rows].tolist(), y[apart[rows].argmax(axis=1)].tolist(), strict=True):
+                if self.label[a] != self.label[b]:
+                    self.label[self.label == self.label[b]] = self.label[a]
+                    self.edges.append((int(self.ids[a]), int(self.ids[b])))
+
+    def told(self) -> pa.Table:
+        """(id, null, links) and, for the components, (a, b, 0)."""
+        seen = np.flatnonzero(self.n_links)
+        return pa.table({
+            "a": pa.array([*self.ids[seen].tolist(), *(e[0] for e in self.edges)], pa.int64()),
+            "b": pa.array([None] * len(seen) + [e[1] for e in self.edges], pa.int64()),
+            "links": pa.array([*self.n_links[seen].astype(np.int64).tolist(), *([0] * len(self.edges))], pa.int64()),
+        })
+
+
+def _windows(threshold: float, passes: int, window: int, tile: int = 256):
+    """A stretch of one order of one pass, with the first rows of the stretch behind it: each vector of the stretch against the
+    `window` vectors after it. Pairs that an earlier pass settles are left to it, pairs of one long run to its blocks."""
+
+    def run(part: pa.Table) -> pa.Table:
+        k = part.column("pass")[0].as_py()
+        part = part.take(pc.sort_indices(part.column("place")))
+        rows = Vectors(part, passes, window)
+        place, own = np.asarray(part.column("place"), np.int64), np.asarray(part.column("own"), bool)
+        for lo in range(0, int(own.sum()), tile):
+            x = np.arange(lo, min(lo + tile, int(own.sum())))
+            y = np.arange(lo, np.searchsorted(place, place[x[-1]] + window, side="right"))
+            gap = place[y][None, :] - place[x][:, None]
+            ok = (rows.v[x] @ rows.v[y].T >= threshold) & (gap > 0) & (gap <= window)
+            if ok.any():
+                ok &= ~((rows.runs[x, k][:, None] == rows.runs[y, k][None, :]) & (rows.runs[x, k] >= 0)[:, None])
+                a, b = np.nonzero(ok)
+                ok[a, b] = ~rows.settled(x[a], y[b], k)
+                rows.link(ok, x, y)
+        return rows.told()
 
+    return run
 
-def _compare(threshold: float, tile: int = 512):
-    """Two blocks of one bucket of one pass, or one block with itself: every pair is compared.
 
-    A pair is counted in the first pass whose key it shares; tiles that an earlier pass has settled whole are passed over.
-    Emits (id, links) and, for the components, the pairs that join parts of these blocks not joined before."""
+def _blocks(threshold: float, passes: int, window: int, tile: int = 512):
+    """Two blocks of one long run of one pass, or one block with itself: every pair is compared. Tiles that a long run of an earlier
+    pass settles whole are passed over."""
 
     def run(part: pa.Table) -> pa.Table:
         k, lo, hi = (part.column(c)[0].as_py() for c in ("pass", "lo", "hi"))
-        keys = np.asarray(part.column("keys").combine_chunks().flatten(), np.int64).reshape(part.num_rows, -1)[:, :k]
-        order = np.lexsort(keys.T[::-1]) if k else np.arange(part.num_rows)
-        keys = keys[order]
-        v = np.asarray(part.column("v").combine_chunks().flatten(), np.float64).reshape(part.num_rows, -1)[order]
-        ids = np.asarray(part.column("id"), np.int64)[order]
-        copies = np.asarray(part.column("n"), np.float64)[order]
+        rows = Vectors(part, passes, window)
+        order = np.lexsort(rows.runs[:, :k].T[::-1]) if k else np.arange(part.num_rows)
         block = np.asarray(part.column("block"), np.int64)[order]
-        n_links = np.zeros(len(ids))
-        label = np.arange(len(ids))
-        edges = []
 
-        def tiles(rows: np.ndarray) -> list[tuple]:
+        def tiles(at: np.ndarray) -> list[tuple]:
             out = []
-            for at in range(0, len(rows), tile):
-                t = rows[at : at + tile]
-                first, last = keys[t].min(axis=0), keys[t].max(axis=0)
-                out.append((t, v[t], np.where(first == last, first, -1)))
+            for i in range(0, len(at), tile):
+                t = order[at[i : i + tile]]
+                first, last = rows.runs[t, :k].min(axis=0), rows.runs[t, :k].max(axis=0)
+                out.append((t, np.where(first == last, first, -1)))
             return out
 
         left = tiles(np.flatnonzero(block == lo))
         right = left if lo == hi else tiles(np.flatnonzero(block == hi))
-        for i, (x, vx, one) in enumerate(left):
+        for i, (x, one) in enumerate(left):
             for j in range(i if lo == hi else 0, len(right)):
-                y, vy, other = right[j]
+                y, other = right[j]
                 if ((one == other) & (one >= 0)).any():
                     continue
-                ok = vx @ vy.T >= threshold
+                ok = rows.v[x] @ rows.v[y].T >= threshold
                 if lo == hi and i == j:
                     ok = np.triu(ok, 1)
-                for c in range(k):
-                    if not ok.any():
-                        break
-                    ok &= keys[x, c][:, None] != keys[y, c][None, :]
-                if not ok.any():
-                    continue
-                n_links[x] += ok @ copies[y]
-                n_links[y] += copies[x] @ ok
-                while True:
-                    apart = ok & (label[x][:, None] != label[y][None, :])
-                    rows = np.flatnonzero(apart.any(axis=1))
-                    if not len(rows):
-                        break
-                    for a, b in zip(x[rows].tolist(), y[apart[rows].argmax(axis=1)].tolist(), strict=True):
-                        if label[a] != label[b]:
-                            label[label == label[b]] = label[a]
-                            edges.append((int(ids[a]), int(ids[b])))
-        seen = np.flatnonzero(n_links)
-        return pa.table({
-            "a": pa.array([*ids[seen].tolist(), *(e[0] for e in edges)], pa.int64()),
-            "b": pa.array([None] * len(seen) + [e[1] for e in edges], pa.int64()),
-            "links": pa.array([*n_links[seen].astype(np.int64).tolist(), *([0] * len(edges))], pa.int64()),
-        })
+                if ok.any():
+                    ok &= ~rows.settled(x[:, None], y[None, :], k)
+                    rows.link(ok, x, y)
+        return rows.told()
 
     return run
 
 
+def sorted_passes(signed: DataFrame, bits: int, run_bits: int, window: int, stretch: int) -> DataFrame:
+    """signed (id, v, n, dim, keys) with, by pass, `places`: where a vector stands when all are sorted by length, pass and concatenated
+    signs; `runs`: its leading run_bits signs if more than window + 1 vectors share them, else -1; and `blocks` of that run, else 1.
+
+    All passes are sorted in one go, ids and keys alone: dealt into ranges, numbered inside, and offset by the ranges' counts."""
+    keys = signed.select("id", "dim", F.posexplode("keys").alias("pass", "key"))
+    order = ("dim", "pass", "key", "id")
+    ranges = max(8, -(-keys.count() // RANGE_ROWS))
+    dealt = cut(keys.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "orders")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n_part"))
+    before = F.coalesce(F.sum("n_part").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(counts.select("part", before.alias("before")), "offsets")
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    rows = join_dictionary(dealt.withColumn("k", place), offsets, "part").withColumn("place", (F.col("before") + F.col("k")).cast("long"))
+    rows = rows.withColumn("run", F.shiftright("key", bits - run_bits)).withColumn("cell", F.struct("pass", "dim", "run"))
+    large = dealt.groupBy("pass", "dim", F.shiftright("key", bits - run_bits).alias("run")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > window + 1)
+    # a pair of blocks of 64 components or less holds up to 2 * stretch vectors, of longer ones fewer
+    blocks = F.ceil(F.col("size") * F.greatest("dim", F.lit(64)) / (64 * stretch))
+    large = cut(large.select(F.struct("pass", "dim", "run").alias("cell"), blocks.cast("int").alias("blocks")), "runs")
+    rows = join_dictionary(rows, large, "cell")
+    told = F.struct("pass", "place", F.when(F.col("blocks").isNull(), F.lit(-1).cast("long")).otherwise(F.col("run")).alias("run"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    by_id = rows.groupBy("id").agg(F.sort_array(F.collect_list(told)).alias("p"))
+    return cut(signed.drop("keys").join(by_id.select("id", F.col("p.place").alias("places"), F.col("p.run").alias("runs"), F.col("p.blocks").alias("blocks")), "id"), "places")
+
+
 def near_duplicate_vectors(
-    vectors: DataFrame, threshold: float = 0.95, passes: int = 10, bits: int = 48, window: int = 512, stretch: int = 2048, seed: int = 3,
+    vectors: DataFrame, threshold: float = 0.95, bits: int = 48, window: int = 512, stretch: int = 4096, seed: int = 3,
     id_col: str = "vec_id", vector_col: str = "embedding", miss: float = 1e-6,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Equal vectors form a class that goes on as its smallest id; its members are linked with each other. In each pass the
-    signs of some random projections put the classes into buckets, and all pairs of a bucket are compared in double
-    precision, however large it is; pairs with cosine >= threshold are links. The numbers of passes (`passes` at least)
-    and signs (`bits` at most) follow from the counted classes (plan_passes): a pair at the threshold is missed with
-    probability `miss` at most, at any size, and small tables are compared whole. `window` is half the comparisons that
-    bringing a vector into a bucket is reckoned to cost. A bucket of more than `stretch` classes is dealt into blocks by
-    hash, and each task compares one pair of blocks of a bounded number of components, and gives back counts.
-    n_links counts vectors, copies included, over the pairs found in any pass, each once. component_id is the smallest
-    id reachable by links.
+    classes are sorted lexicographically by the concatenated signs of `bits` random projections, and each is compared, in double
+    precision, with the `window` classes after it; pairs with cosine >= threshold are links. Links of all passes are united. The
+    number of passes follows from the counted classes (plan_passes). Where a window doesn't reach the end of the run of equal
+    leading signs, as in a large group of near copies, the run is settled exactly: it is dealt into blocks by hash, and each
+    task compares one pair of blocks of a bounded number of components. So a pair at the threshold is missed with probability `miss`
+    at most, at any size and however vectors crowd. A pair is counted in the first pass that brings it together, which its places in
+    all orders tell. n_links counts vectors, copies included. component_id is the smallest id reachable by links.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing: n_links 0, component
     their own id. Vectors of different lengths are compared among their own length only. Different vectors under one
     id count as one, the smallest by bytes. A null id has the component of its class, if that has another id.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     units = cut(rows.mapInArrow(_units, "id long, v array<double>, copy binary"), "units")
     groups = units.where("copy IS NOT NULL").groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep IS NOT NULL")
@@ -163,18 +226,21 @@ def near_duplicate_vectors(
     reps = units.join(main, ["copy", "id"]).dropDuplicates(["id"])
     reps = cut(reps.select("id", "v", "n", F.size("v").alias("dim")), "reps")
     most = reps.groupBy("dim").count().agg(F.max("count")).first()[0] or 0
-    n_passes, n_bits = plan_passes(most, threshold, passes, bits, window, miss)
-    signed = cut(reps.mapInArrow(_signed(n_passes, n_bits, seed), "id long, v array<double>, n long, dim int, keys array<long>"), "signed")
-    spread = signed.select("id", "v", "n", "dim", "keys", F.posexplode("keys").alias("pass", "key")).withColumn("cell", F.struct("pass", "dim", "key"))
-    large = signed.select("dim", F.posexplode("keys").alias("pass", "key")).groupBy("pass", "dim", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > stretch)
-    # 16 blocks make 136 tasks of a bucket, more keep what a task holds bounded
-    blocks = F.greatest(F.lit(16), F.ceil(F.col("size") * F.greatest("dim", F.lit(64)) / (64 * 8 * stretch)))
-    large = cut(large.select(F.struct("pass", "dim", "key").alias("cell"), blocks.alias("blocks")), "large")
-    spread = join_dictionary(spread, large, "cell").drop("cell").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("id", "v", "n", "keys", "pass", "dim", "key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    found = spread.groupBy("pass", "dim", "key", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long, links long")
-    found = cut(found, "found")
+    passes, run_bits = plan_passes(most, threshold, bits, window, miss)
+    stretch = max(stretch, window)
+    signed = cut(reps.mapInArrow(_signed(passes, bits, seed), "id long, v array<double>, n long, dim int, keys array<long>"), "signed")
+    placed = sorted_passes(signed, bits, run_bits, window, stretch)
+    each = placed.select("id", "v", "n", "dim", "places", "runs", F.posexplode(F.arrays_zip("places", "runs", "blocks")).alias("pass", "at"))
+    each = each.withColumn("place", F.col("at.places"))
+    here = F.floor(F.col("place") / stretch)
+    near = F.when(F.col("place") % stretch < window, F.array(here, here - 1)).otherwise(F.array(here))
+    windows = each.withColumn("into", F.explode(near)).withColumn("own", F.col("into") == here)
+    windows = windows.select("id", "v", "n", "places", "runs", "pass", "dim", "place", "into", "own")
+    found = windows.groupBy("pass", "dim", "into").applyInArrow(_windows(threshold, passes, window), FOUND)
+    crowded = each.where("at.runs >= 0").withColumn("blocks", F.col("at.blocks")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks")))
+    crowded = crowded.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    crowded = crowded.select("id", "v", "n", "places", "runs", "pass", "dim", F.col("at.runs").alias("run"), "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = cut(found.union(crowded.groupBy("pass", "dim", "run", "lo", "hi").applyInArrow(_blocks(threshold, passes, window), FOUND)), "found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("b IS NOT NULL"), "a", "b").withColumnRenamed("node", "rep")
     told = groups.join(links, "rep", "left").join(comps, "rep", "left")

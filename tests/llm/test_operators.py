@@ -212,34 +212,56 @@ def test_near_vectors(spark, sf):
     assert by_id(queries.op5_near_vectors(spark, sf), "n_links", "component_id", "kept") == brute.vectors(rows)
 
 
-def test_near_vectors_recall_and_edges(spark):
-    rng = np.random.default_rng(5)
-    centres = rng.standard_normal((300, 16))
-    vecs = [(i, (centres[i % 300] + 0.06 * rng.standard_normal(16)).tolist()) for i in range(1500)]
-    vecs += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [float("inf")] * 16), (2005, [None] * 16), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, vecs[0][1]), (2008, vecs[0][1])]
-    df = spark.createDataFrame([Row(vec_id=i, embedding=v, n=1, rank=2) for i, v in vecs], "vec_id long, embedding array<double>, n int, rank int")
-    got = by_id(embeddings.near_duplicate_vectors(df, window=128, stretch=512), "n_links", "component_id", "kept")
-    want = brute.vectors(vecs[:1500])
-    found, there = sum(got[i][0] for i in want if i % 300), sum(want[i][0] for i in want if i % 300)
-    assert 0.9 * there <= found <= there
-    assert np.mean([got[i][1] == want[i][1] for i in want]) >= 0.9
+def crowd(n, seed, dim=16):
+    """Vectors in groups of near copies about n / 5 centres, some pairs just above and some just below the threshold."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 5, dim))
+    return [(i, (centres[i % len(centres)] + rng.choice((0.03, 0.12, 0.2)) * rng.standard_normal(dim)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "window"), [(700, 16), (3000, 64), (6000, 32)])
+def test_near_vectors_recall(spark, n, window):
+    """Real passes at every size, and no link lost or added against brute force."""
+    vecs = crowd(n, n)
+    passes, run_bits = embeddings.plan_passes(n, 0.95, 48, window, 1e-6)
+    assert passes > 10 and run_bits > 4 and n > 20 * window
+    want = brute.vectors(vecs)
+    assert sum(w[0] for w in want.values()) > n / 2
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    assert by_id(embeddings.near_duplicate_vectors(df, window=window, stretch=256), "n_links", "component_id", "kept") == want
+
+
+def test_near_vectors_edges(spark):
+    vecs = crowd(400, 5)
+    odd = [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] * 16), (2004, [float("inf")] * 16), (2005, [None] * 16), (2006, [1.0, 2.0]), (2007, [2.0, 4.0])]
+    rows = vecs + odd + [(2008, vecs[0][1]), (2008, vecs[0][1])]
+    df = spark.createDataFrame([Row(vec_id=i, embedding=v, n=1, rank=2) for i, v in rows], "vec_id long, embedding array<double>, n int, rank int")
+    got = by_id(embeddings.near_duplicate_vectors(df, window=16, stretch=64), "n_links", "component_id", "kept")
+    want = brute.vectors(vecs)
+    same = {j for j in want if j and np.dot(vecs[0][1], vecs[j][1]) >= 0.95 * np.linalg.norm(vecs[0][1]) * np.linalg.norm(vecs[j][1])} | {0}
+    assert all(got[i] == (want[i][0] + 2 * (i in same), *want[i][1:]) for i in want)  # 2008 stands twice
     assert all(got[i] == (0, i, True) for i in range(2000, 2006)) and got[2006] == (1, 2006, True) and got[2007] == (1, 2006, False)
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
     ends = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [-1e-200, 0.0])]
     wide = spark.createDataFrame(ends, "vec_id long, embedding array<double>")
     assert by_id(embeddings.near_duplicate_vectors(wide), "n_links", "component_id") == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (2, 1), 7: (0, 7)}
+    # two different vectors under one id, and null ids
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (None, [0.0, 1.0]), (None, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    rows = embeddings.near_duplicate_vectors(twice).collect()
+    assert len(rows) == 5 and {r.n_links for r in rows if r.vec_id is None} <= {0, 1, 2}
 
 
 def test_near_vectors_in_large_groups(spark):
-    """Every link of a group of different near copies far larger than all windows of all passes together, and of a bucket in many blocks."""
+    """Every link of a group of different near copies far larger than all windows of all passes together, settled in many blocks."""
     rng = np.random.default_rng(6)
     centre = rng.standard_normal(16)
     vecs = [(i, (centre + 0.1 * rng.standard_normal(16)).tolist()) for i in range(600)] + [(i, rng.standard_normal(16).tolist()) for i in range(600, 900)]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
     want = brute.vectors(vecs)
     assert max(w[0] for w in want.values()) > 400
-    for window, passes in ((8, 2), (2000, 1)):
-        assert by_id(embeddings.near_duplicate_vectors(df, window=window, passes=passes, stretch=64), "n_links", "component_id", "kept") == want
+    for window, stretch in ((4, 16), (8, 64), (100, 128)):
+        assert embeddings.plan_passes(900, 0.95, 48, window, 1e-6)[0] > 8
+        assert by_id(embeddings.near_duplicate_vectors(df, window=window, stretch=stretch), "n_links", "component_id", "kept") == want
 
 
 def test_quality_rules(spark, sf, docs):
