@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rookery.functions.hashing import stable_normal
+
 #: The score that stands for none, and where mate scores begin.
 NO_SCORE = 32002
 MATE_SCORE = 32000
@@ -131,9 +133,12 @@ def lambda_at(step: Column, cfg: LambdaSchedule) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
-def lambda_jitter(lam: Column, sigma: float, seed: int, scale: Column | None = None) -> Column:
-    """lam with normal noise of deviation sigma, times scale if given; within 0 and 1."""
-    noise = F.randn(seed) * sigma
+def lambda_jitter(lam: Column, sigma: float, key: Column | str, salt: str = "lambda", scale: Column | None = None, batch: Column | None = None) -> Column:
+    """lam with normal noise of deviation sigma drawn by the row's key, times scale if given, and with the jitter of the row's batch
+    (operators.sequence.batch_jitter), times scale too; within 0 and 1. The same row has the same noise in any partitioning."""
+    noise = stable_normal(key, salt) * sigma
+    if batch is not None:
+        noise = noise + batch
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), lam + (noise * scale if scale is not None else noise)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,3 +14,9 @@ def stable_uniform(key: Column | str, salt: str | Column = "0") -> Column:
     salt = F.lit(salt) if isinstance(salt, str) else salt
     digest = F.md5(F.concat(key.cast("string"), F.lit(":"), salt))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def stable_normal(key: Column | str, salt: str = "0") -> Column:
+    """A standard normal draw, from two uniform ones of the key. A null key gives null."""
+    radius = F.sqrt(-2 * F.log(F.greatest(stable_uniform(key, f"{salt}a"), F.lit(2.0**-33))))
+    return radius * F.cos(F.lit(2 * math.pi) * stable_uniform(key, f"{salt}b"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,12 +66,47 @@ def compare_evals(pairs: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c[:2] != "__"], r2(F.col("__res"), F.col("__tot")).alias("r2_score"), r2(F.col("__resq"), F.col("__totq")).alias("r2_q"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...], cells: int = 4096) -> list[float | None]:
+    """Quantiles with linear interpolation between the two values about a share, as percentile gives them, in bounded memory.
+
+    Each pass counts, for the ranges that still hold a wanted place, how many values fall into each of `cells` cells of the range, and
+    keeps the cell that holds the place, with the least and largest value it really has; a range of one value is done. Only
+    counts of cells come to the driver, at most `cells` for each wanted place and pass. Nulls and
+    NaNs are left out; infinite values count as the largest finite ones."""
+    most = sys.float_info.max
+    values = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)").select(F.greatest(F.lit(-most), F.least(F.lit(most), F.col("x"))).alias("x"))
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [p * (n - 1) for p in shares]
+    # wanted place -> (least value, largest value, values below) of the range it is in
+    ranges = {k: (low, high, 0) for p in places for k in (math.floor(p), math.ceil(p))}
+    while todo := sorted({r for r in ranges.values() if r[0] < r[1]}):
+        unit = lambda lo, hi: 0.5 if math.isinf(hi - lo) else 1.0
+        cell = lambda lo, hi: F.least(F.floor((F.col("x") * unit(lo, hi) - lo * unit(lo, hi)) / (hi * unit(lo, hi) - lo * unit(lo, hi)) * cells), F.lit(cells - 1))
+        which = [F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("range"), cell(lo, hi).alias("cell"))) for i, (lo, hi, _) in enumerate(todo)]
+        rows = values.select("x", F.explode(F.array_compact(F.array(*which))).alias("c"))
+        counted = rows.groupBy("c.range", "c.cell").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("range", "cell").collect()
+        for k, r in list(ranges.items()):
+            if r in todo:
+                below = r[2]
+                for c in (c for c in counted if c["range"] == todo.index(r)):
+                    if k < below + c.n:
+                        ranges[k] = (c.lo, c.hi, below)
+                        break
+                    below += c.n
+    at = {k: r[0] for k, r in ranges.items()}
+    return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+
+
 def error_quantiles(pairs: DataFrame, shares: tuple[float, ...] = SIGMAS, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
     """(share, abs_err, q_err): approximate quantiles in one mergeable pass of bounded memory, or (exact) with linear interpolation,
-    which keeps every distinct error in one place."""
+    by a few passes that narrow ranges (exact_quantiles)."""
     e = with_errors(pairs)
-    q = (lambda c, p: F.percentile(c, F.lit(p))) if exact else (lambda c, p: F.percentile_approx(c, F.lit(p), accuracy))
-    row = e.agg(*[q(c, p).alias(f"{c}_{i}") for i, p in enumerate(shares) for c in ("abs_err", "q_err")])
+    if exact:
+        found = [exact_quantiles(e, c, shares) for c in ("abs_err", "q_err")]
+        return pairs.sparkSession.createDataFrame(list(zip(shares, *found, strict=True)), "share double, abs_err double, q_err double")
+    row = e.agg(*[F.percentile_approx(c, F.lit(p), accuracy).alias(f"{c}_{i}") for i, p in enumerate(shares) for c in ("abs_err", "q_err")])
     per = [F.struct(F.lit(p).alias("share"), F.col(f"abs_err_{i}").alias("abs_err"), F.col(f"q_err_{i}").alias("q_err")) for i, p in enumerate(shares)]
     return row.select(F.explode(F.array(*per)).alias("x")).select("x.*")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,10 +77,33 @@ def train_validation(train: DataFrame, validation: DataFrame | None, key: str, b
     return rows, source.where(F.col("batch_id") < batches_per_epoch(validation_size, validation_batch))
 
 
-def write_training_shards(df: DataFrame, path: str, shard: str = "shard", file_rows: int = TASK_ROWS) -> None:
-    """One folder per shard, with a file per about file_rows rows: each shard's rows are dealt over as many tasks as its count asks for."""
-    files = df.groupBy(F.col(shard).alias("__shard")).agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("__files"))
-    most = files.agg(F.max("__files")).first()[0] or 1
-    tasks = files.agg(F.sum("__files")).first()[0] or 1
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(most)))
-    salted.repartition(int(tasks), shard, "__salt").drop("__salt").write.partitionBy(shard).parquet(path)
+def write_training_shards(df: DataFrame, path: str, order: list[str], shard: str = "shard", file_rows: int = TASK_ROWS) -> DataFrame:
+    """df in a folder per shard, whose files, read by name, have its rows in `order` (shuffle_rows: shuffle_key and the key), at most
+    file_rows each; and the manifest, which is written beside them and returned: (shard, file, n_rows, first_row), first_row
+    counting the shard's rows before the file.
+
+    Rows are dealt into ranges of (shard, order), so a shard of any size is many tasks; within a shard, ranges and their files
+    follow each other in the names that Spark gives them. The order must tell rows apart for reruns to agree."""
+    ranges = max(1, -(-df.count() // file_rows))
+    ordered = df.repartitionByRange(ranges, shard, *order).sortWithinPartitions(shard, *order)
+    ordered.write.partitionBy(shard).option("maxRecordsPerFile", file_rows).parquet(path)
+    files = df.sparkSession.read.parquet(path).groupBy(shard, F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))
+    before = F.sum("n_rows").over(W.partitionBy(shard).orderBy("file").rowsBetween(W.unboundedPreceding, -1))
+    files.withColumn("first_row", F.coalesce(before, F.lit(0))).write.parquet(f"{path}/{MANIFEST}")
+    return df.sparkSession.read.parquet(f"{path}/{MANIFEST}")
+
+
+#: The manifest's folder, which readers of the rows pass over.
+MANIFEST = "_manifest"
+
+
+def read_shard(spark: SparkSession, path: str, shard: int, from_row: int = 0, name: str = "shard") -> DataFrame:
+    """(row_no, file, ...) of a shard from its from_row-th row on, to go on where a trainer has stopped: the manifest tells which files
+    hold these rows, and only they are read. row_no is the row's place in the shard's order."""
+    files = spark.read.parquet(f"{path}/{MANIFEST}").where((F.col(name) == shard) & (F.col("first_row") + F.col("n_rows") > from_row)).orderBy("file").collect()
+    if not files:
+        return spark.read.parquet(path).limit(0).select(F.lit(0).cast("long").alias("row_no"), "*")
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/{name}={shard}/{f.file}" for f in files])
+    first = F.create_map(*[F.lit(x) for f in files for x in (f.file, f.first_row)])
+    place = first[F.col("_metadata.file_name")] + F.col("_metadata.row_index")
+    return rows.select(place.alias("row_no"), "*").where(F.col("row_no") >= from_row)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rookery.functions.hashing import stable_normal
+
 
 def assign_game_id(df: DataFrame, partition: str, order: list[str], result: str = "result", ply: str = "ply", fen: str | None = None, next_fen: str | None = None) -> DataFrame:
     """df with game_no, numbered from 1 in each partition: a new game begins unless the result is the negative of the row
@@ -60,3 +62,35 @@ def run_status(df: DataFrame, epochs: int, run: str = "run_id", epoch: str = "ep
     last = df.groupBy(run).agg(F.max(F.struct(F.col(epoch).alias("e"), F.col(step).alias("s"), F.col(total).alias("t"))).alias("l"))
     done = (F.col("l.e") == epochs - 1) & (F.col("l.s") >= F.col("l.t") * 0.9)
     return last.select(run, F.col("l.e").alias("last_epoch"), F.col("l.s").alias("last_step"), done.alias("finished"))
+
+
+#: Entries of a series that one fold takes.
+FOLD = 256
+
+
+def decayed_series(df: DataFrame, at: str, value: str, decay: float, out: str = "series") -> DataFrame:
+    """(at, out) of a gapless series numbered from 0: out is value plus decay times the out before it.
+
+    A fold runs over FOLD entries; what it ends with is carried to the next ones as a series of its own, with decay ** FOLD, so no task
+    sees more than FOLD entries at a time, and the levels grow with the logarithm of the length. Powers are of decay only, never of
+    its inverse, so nothing overflows."""
+    rows = df.select(F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("x")).withColumn("run", F.floor(F.col("at") / FOLD))
+    held = rows.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("xs"))
+    step = lambda acc, e: F.concat(acc, F.array(F.struct(e["at"].alias("at"), (F.coalesce(F.element_at(acc, -1)["s"], F.lit(0.0)) * decay + e["x"]).alias("s"))))
+    first = lambda xs: F.array(F.struct(xs[0]["at"].alias("at"), xs[0]["x"].alias("s")))
+    folded = held.select("run", F.aggregate(F.slice("xs", F.lit(2), F.lit(FOLD)), first(F.col("xs")), step).alias("ys"))
+    inside = folded.select("run", F.inline("ys"))
+    if (df.agg(F.max(at)).first()[0] or 0) < FOLD:
+        return inside.select(F.col("at").alias(at), F.col("s").alias(out))
+    ends = folded.select("run", F.element_at("ys", -1)["s"].alias("end"))
+    carried = decayed_series(ends, "run", "end", decay**FOLD, "carry").select((F.col("run") + 1).alias("run"), "carry")
+    power = F.pow(F.lit(decay), (F.col("at") - F.col("run") * FOLD + 1).cast("double"))
+    both = inside.join(carried, "run", "left")
+    return both.select(F.col("at").alias(at), (F.col("s") + F.coalesce(F.col("carry"), F.lit(0.0)) * power).alias(out))
+
+
+def batch_jitter(batches: DataFrame, batch: str, sigma: float, decay: float, salt: str = "batch") -> DataFrame:
+    """(batch, jitter) for batches numbered from 0 without gaps: noise carried from batch to batch, each time times decay plus a new
+    draw by the batch's number, of deviation sigma * sqrt(1 - decay ** 2), so that in the long run its deviation is sigma."""
+    drawn = batches.select(batch, (stable_normal(F.col(batch), salt) * sigma * (1 - decay**2) ** 0.5).alias("draw"))
+    return decayed_series(drawn, batch, "draw", decay, "jitter")

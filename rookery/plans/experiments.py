@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rookery.functions.evalmath import elo, elo_error
-from rookery.operators import analytics, ratings, sequence
+from rookery.functions.evalmath import elo, elo_error, lambda_jitter
+from rookery.operators import analytics, batching, ratings, sequence
 from rookery.plans.registry import query
+from rookery.plans.sqltext import u
 from rookery.sources import text
 
 C = F.col
@@ -168,3 +169,22 @@ def _(v):
 @query("loss_curve", "train_log", "WITH m AS (SELECT *, min(val_loss) OVER (PARTITION BY run_id) AS low FROM train_log) SELECT run_id, step, round(min(val_loss), 6) AS loss FROM m WHERE val_loss < low + 0.002e0 GROUP BY 1, 2")
 def _(v):
     return analytics.loss_curve(v("train_log"), 0.002).select("run_id", "step", *r6("loss"))
+
+
+#: A normal draw by key, as stable_normal makes it.
+NORMAL = lambda key, salt: f"(sqrt(-2 * ln(greatest({u(key, repr(salt + 'a'))}, pow(2.0e0, -33)))) * cos(2 * pi() * {u(key, repr(salt + 'b'))}))"
+
+
+@query("batch_jitter", "train_log", f"""WITH s AS (SELECT step, row_number() OVER (ORDER BY step) - 1 AS batch FROM (SELECT DISTINCT step FROM train_log)),
+d AS (SELECT *, {NORMAL('batch', 'batch')} * 0.05e0 * sqrt(1 - 0.9e0 * 0.9e0) AS draw FROM s)
+SELECT a.batch, round(sum(b.draw * pow(0.9e0, a.batch - b.batch)), 6) + 0.0e0 AS jitter FROM d a JOIN d b ON b.batch BETWEEN a.batch - 400 AND a.batch GROUP BY 1""")
+def _(v):
+    """A batch per step of the log; in SQL, draws more than 400 batches old, of weight 0.9 ** 400, are left out."""
+    steps = v("train_log").select("step").distinct()
+    batches = batching.global_index(steps, ["step"], F.floor(F.col("step") / 100_000), "batch")
+    return sequence.batch_jitter(batches, "batch", 0.05, 0.9).select("batch", (F.round("jitter", 6) + F.lit(0.0)).alias("jitter"))
+
+
+@query("lambda_jitter", "evals", f"SELECT event_id, round(greatest(0.0e0, least(1.0e0, 0.75e0 + 0.1e0 * {NORMAL('event_id', 'lambda')})), 6) AS lam FROM evals")
+def _(v):
+    return v("evals").select("event_id", F.round(lambda_jitter(F.lit(0.75), 0.1, "event_id"), 6).alias("lam"))

@@ -9,6 +9,7 @@ from rookery.functions.folders import shared_folder
 from rookery.operators import batching
 from rookery.plans import packing
 from rookery.plans.registry import query
+from rookery.plans.sqltext import u
 from rookery.sources import binary, text
 
 C = F.col
@@ -156,12 +157,17 @@ def _(v):
     return back.select(F.substring_index("path", root + "/", -1).alias("path"), "kind", "run_id", "epoch")
 
 
-@query("write_training_shards", "evals", "SELECT event_id, ply, score, CAST((event_id // 100) % 3 AS INT) AS shard FROM evals")
+ORDERED = f"o AS (SELECT event_id, ply, score, CAST((event_id // 100) % 3 AS INT) AS shard, {u('event_id', chr(39) + 'shuffle0' + chr(39))} AS x FROM evals)"
+
+
+@query("write_training_shards", "evals", f"WITH {ORDERED} SELECT event_id, ply, score, shard, row_number() OVER (PARTITION BY shard ORDER BY x, event_id) - 1 AS row_no FROM o")
 def _(v):
+    """Shards of shuffled rows, each read back in its order."""
     rows = batching.assign_shard(v("evals").select("event_id", "ply", "score", F.floor(C("event_id") / 100).alias("chunk_no")), 3)
-    root = shared_folder(rows.sparkSession, "shards")
-    batching.write_training_shards(rows.drop("chunk_no"), root, file_rows=1000)
-    return rows.sparkSession.read.parquet(root).select("event_id", "ply", "score", "shard")
+    spark, root = rows.sparkSession, shared_folder(rows.sparkSession, "shards")
+    batching.write_training_shards(batching.shuffle_rows(rows.drop("chunk_no"), "event_id"), root, ["shuffle_key", "event_id"], file_rows=1000)
+    back = [batching.read_shard(spark, root, k).select("event_id", "ply", "score", F.lit(k).alias("shard"), "row_no") for k in range(3)]
+    return back[0].unionByName(back[1]).unionByName(back[2])
 
 
 @query("append_games", "games", "SELECT game_no, white, black, result, CAST(game_no % 3 AS INT) AS round_id FROM games")

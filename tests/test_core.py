@@ -301,12 +301,59 @@ def test_fit_and_jitter(spark):
     x, m, n = (np.array([r[i] for r in perf.collect()], float) for i in range(3))
     cost = lambda c: (n**2 * (m - 1 / (1 + np.exp(-x * c))) ** 2).sum()
     grid = np.linspace(0.8, 1.2, 4001) * k
-    steps = spark.range(2000).select(M.lambda_jitter(F.lit(0.5), 0.1, 3).alias("j"), M.lambda_jitter(F.lit(0.5), 0.1, 3, F.lit(0.0)).alias("still"), M.lambda_jitter(F.lit(0.99), 1.0, 4).alias("cut"))
-    got = steps.toPandas()
-    assert abs(got.j.mean() - 0.5) < 0.01 and abs(got.j.std() - 0.1) < 0.01 and (got.still == 0.5).all() and got.cut.between(0, 1).all() and got.cut.max() == 1
+    jitter = lambda df: df.select("id", M.lambda_jitter(F.lit(0.5), 0.1, "id").alias("j"), M.lambda_jitter(F.lit(0.5), 0.1, "id", scale=F.lit(0.0)).alias("still"), M.lambda_jitter(F.lit(0.99), 1.0, "id").alias("cut"), M.lambda_jitter(F.lit(0.5), 0.0, "id", batch=F.lit(0.2)).alias("whole")).orderBy("id").toPandas()
+    got = jitter(spark.range(2000))
+    assert abs(got.j.mean() - 0.5) < 0.01 and abs(got.j.std() - 0.1) < 0.01 and (got.still == 0.5).all() and got.cut.between(0, 1).all() and got.cut.max() == 1 and np.allclose(got.whole, 0.7)
+    assert got.equals(jitter(spark.range(0, 2000, 1, 1))) and got.equals(jitter(spark.range(2000).repartition(7)))
     assert abs(grid[np.argmin([cost(c) for c in grid])] - k) < 2e-4 * k and inverse == pytest.approx(1 / k)
 
 
+def test_series_are_carried_from_fold_to_fold(spark, monkeypatch):
+    """Over several levels of folds, against a loop; and the jitter's spread in the long run."""
+    from rookery.operators import sequence
+
+    jitter = np.array([r.jitter for r in sequence.batch_jitter(spark.range(5000).withColumnRenamed("id", "b"), "b", 0.1, 0.8).orderBy("b").collect()])
+    assert abs(jitter[50:].std() - 0.1) < 0.01 and abs(np.corrcoef(jitter[:-1], jitter[1:])[0, 1] - 0.8) < 0.05
+    monkeypatch.setattr(sequence, "FOLD", 4)
+    values = np.random.default_rng(8).normal(size=150)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "k long, x double").repartition(5)
+    for decay in (0.0, 0.5, 0.99, 1.0):
+        want, last = [], 0.0
+        for x in values:
+            last = last * decay + x
+            want.append(last)
+        got = [r.series for r in sequence.decayed_series(df, "k", "x", decay).orderBy("k").collect()]
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert sequence.decayed_series(df.limit(0), "k", "x", 0.5).count() == 0
+
+
+def test_exact_quantiles_narrow_ranges(spark):
+    from rookery.operators.analytics import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    shares = (0.0, 0.001, 0.25, 0.5, 0.6827, 0.9973, 1.0)
+    for x in (rng.normal(size=3000), np.repeat([1.0, 2.0, 1e9], [500, 1, 499]), np.full(10, -3.5), rng.lognormal(0, 30, 2000), np.array([7.0]), np.array([-1.7e308, 0.0, 5e-324, 1.7e308])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+        for cells in (3, 4096):
+            assert np.allclose(exact_quantiles(df, "x", shares, cells), np.quantile(x / 4, shares) * 4, rtol=1e-12), cells
+    assert exact_quantiles(df.limit(0), "x", (0.5,)) == [None]
+
+
+def test_shards_keep_the_shuffled_order(spark, tmp_path):
+    """A file cut anywhere: files by name are the order, the manifest counts them, and a trainer goes on from any row."""
+    path = str(tmp_path / "ordered")
+    rows = batching.shuffle_rows(spark.range(5000).selectExpr("id", "id % 3 = 0 AS x", "cast(if(id < 4000, 0, id % 2 + 1) as int) AS shard"), "id")
+    manifest = batching.write_training_shards(rows, path, ["shuffle_key", "id"], file_rows=300)
+    parts = manifest.orderBy("shard", "file").collect()
+    assert sum(p.n_rows for p in parts) == 5000 and max(p.n_rows for p in parts) <= 300 and len([p for p in parts if p.shard == 0]) > 10
+    for k in range(3):
+        want = [r.id for r in rows.where(F.col("shard") == k).orderBy("shuffle_key", "id").collect()]
+        for start in (0, 1, 299, 437, len(want), len(want) + 5):
+            got = batching.read_shard(spark, path, k, start).orderBy("row_no").collect()
+            assert [r.id for r in got] == want[start:] and [r.row_no for r in got] == list(range(min(start, len(want)), len(want)))
+    assert spark.read.parquet(path).count() == 5000
+
+
 def test_any_part_of_a_path_matches_a_rating(spark):
     nets = spark.createDataFrame([("exp/run_1/nn-epoch19.nnue",), ("exp/run_12/nn-epoch19.nnue",), ("other/x.nnue",), ("a",)], "path string")
     rated = spark.createDataFrame([("run_1/nn-epoch19.nnue", 1.0, 9.0, 1), ("n_1", 2.0, 9.0, 2), ("xp/run_12/nn", 3.0, 9.0, 3), ("", 4.0, 9.0, 4), ("x.nnue", 5.0, 9.0, 6), ("ther/x", 6.0, 9.0, 5)], "net string, elo double, elo_error double, line_no int")
@@ -339,5 +386,5 @@ def test_files(spark, tmp_path):
     (tmp_path / "train.log").write_text("hello\nEpoch 3 (Train): 50%| 20/400 [0:1<0:2, 12.5it/s, loss=0.125]\nCUDA out of memory\n")
     rows = text.read_training_log(spark, str(tmp_path / "train.log")).collect()
     assert [(r.epoch, r.step, r.loss, r.message, r.out_of_memory) for r in rows] == [(None, None, None, "hello", False), (3, 20, 0.125, None, False), (None, None, None, "CUDA out of memory", True)]
-    batching.write_training_shards(batching.assign_shard(spark.range(10).withColumnRenamed("id", "chunk_no"), 2), str(tmp_path / "shards"))
+    batching.write_training_shards(batching.assign_shard(spark.range(10).withColumnRenamed("id", "chunk_no"), 2), str(tmp_path / "shards"), ["chunk_no"])
     assert spark.read.parquet(str(tmp_path / "shards")).where("shard = 1").count() == 5
