@@ -13,6 +13,7 @@ from rookery.functions.board import material_eval, parse_fen
 from rookery.functions.evalmath import NO_SCORE, result_prob
 from rookery.functions.hashing import stable_uniform
 from rookery.operators.features import is_quiet
+from rookery.operators.sequence import last_known
 
 #: A piece count is thinned to no less than this share.
 LEAST_SHARE = 0.025
@@ -47,16 +48,24 @@ def drop_invalid_score(df: DataFrame, score: str = "score") -> DataFrame:
     return df.where(F.col(score) != NO_SCORE)
 
 
-def is_placeholder_zero(score: Column, result: Column, game: Column, ply: Column) -> Column:
-    """A score of 0 in a decisive game after a clear last known score: it stands for none."""
-    known = F.when(~score.isin(0, NO_SCORE), score)
-    last = F.last(known, ignorenulls=True).over(W.partitionBy(game).orderBy(ply).rowsBetween(W.unboundedPreceding, -1))
+def _known(score: Column) -> Column:
+    return F.when(~score.isin(0, NO_SCORE), score)
+
+
+def _stands_for_none(score: Column, result: Column, last: Column) -> Column:
     return (score == 0) & (result != 0) & F.coalesce(F.abs(last) > 100, F.lit(False))
 
 
-def drop_placeholder_zero(df: DataFrame, game: str = "game_id", ply: str = "ply", score: str = "score", result: str = "result") -> DataFrame:
-    flagged = df.withColumn("__placeholder", is_placeholder_zero(F.col(score), F.col(result), F.col(game), F.col(ply)))
-    return flagged.where("NOT __placeholder").drop("__placeholder")
+def is_placeholder_zero(score: Column, result: Column, game: Column, ply: Column) -> Column:
+    """A score of 0 in a decisive game after a clear last known score: it stands for none. For games that fit a task."""
+    last = F.last(_known(score), ignorenulls=True).over(W.partitionBy(game).orderBy(ply).rowsBetween(W.unboundedPreceding, -1))
+    return _stands_for_none(score, result, last)
+
+
+def drop_placeholder_zero(df: DataFrame, game: str = "game_id", ply: str = "ply", score: str = "score", result: str = "result", ranges: int | None = None) -> DataFrame:
+    """df without placeholder zeros; a game of any length goes over ranges of its plies, see sequence.last_known."""
+    told = last_known(df, game, ply, _known(F.col(score)), "__last", ranges)
+    return told.where(~F.coalesce(_stands_for_none(F.col(score), F.col(result), F.col("__last")), F.lit(False))).select(*df.columns)
 
 
 def drop_early(df: DataFrame, n: int, ply: str = "ply") -> DataFrame:

@@ -2,33 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
+from rookery.functions.folders import shared_folder
 from rookery.functions.hashing import stable_normal
 
 
-def assign_game_id(df: DataFrame, partition: str, order: list[str], result: str = "result", ply: str = "ply", fen: str | None = None, next_fen: str | None = None) -> DataFrame:
+#: Rows in a range, of which a task takes one.
+RANGE_ROWS = 1_000_000
+
+
+def in_ranges(df: DataFrame, keys: list[str], ranges: int | None = None) -> DataFrame:
+    """df with __part, as a table: rows dealt into ranges of the keys' order, by default as many as keep one at about RANGE_ROWS. A key
+    with very many rows goes over several ranges, one after the other."""
+    n = ranges or max(1, -(-df.count() // RANGE_ROWS))
+    path = shared_folder(df.sparkSession, "ranges")
+    dealt = df.repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def with_carried(rows: DataFrame, key: str, found: DataFrame, carry: Callable[[Column, WindowSpec], Column], name: str) -> DataFrame:
+    """rows of in_ranges with `name`: what `carry` makes, for the rows of a key in a range, of `found`, a row (key, __part, x) per key and
+    range, over the key's ranges before. Only keys that go over several ranges have any, at most one a range, so these few rows
+    are what is sent to all tasks."""
+    before = W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    told = found.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), carry(F.col("x"), before).alias(name)).where(F.col(name).isNotNull())
+    on = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at"))
+    return rows.join(F.broadcast(told), on, "left").drop("__key", "__at")
+
+
+def assign_game_id(df: DataFrame, partition: str, order: list[str], result: str = "result", ply: str = "ply", fen: str | None = None, next_fen: str | None = None, ranges: int | None = None) -> DataFrame:
     """df with game_no, numbered from 1 in each partition: a new game begins unless the result is the negative of the row
-    before, the ply one higher, and (if both are given) the FEN the one that row leads to."""
-    w = W.partitionBy(partition).orderBy(*order)
-    goes_on = (F.col(result) == -F.lag(result).over(w)) & (F.col(ply) == F.lag(ply).over(w) + 1)
+    before, the ply one higher, and (if both are given) the FEN the one that row leads to.
+
+    A partition is no task: rows are dealt into ranges of (partition, order), each of which tells its last row and how many games
+    begin in it, and these are carried over the ranges that follow. Rows that are equal in the whole order may come in any."""
+    rows = in_ranges(df, [partition, *order], ranges)
+    tail = F.struct(result, ply, *([next_fen] if fen and next_fen else []))
+    last = rows.groupBy(partition, "__part").agg(F.max_by(tail, F.struct(*order)).alias("x"))
+    rows = with_carried(rows, partition, last, lambda x, w: F.last(x).over(w), "__before")
+    w = W.partitionBy(partition, "__part").orderBy(*order)
+    before = F.coalesce(F.lag(tail).over(w), F.when(F.row_number().over(w) == 1, F.col("__before")))
+    rows = rows.withColumn("__lag", before)
+    goes_on = (F.col(result) == -F.col("__lag")[result]) & (F.col(ply) == F.col("__lag")[ply] + 1)
     if fen and next_fen:
-        goes_on &= F.col(fen) == F.lag(next_fen).over(w)
-    begins = df.withColumn("__begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    return begins.withColumn("game_no", F.sum("__begins").over(w)).drop("__begins")
+        goes_on &= F.col(fen) == F.col("__lag")[next_fen]
+    rows = rows.withColumn("__begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    begun = rows.groupBy(partition, "__part").agg(F.sum("__begins").alias("x"))
+    rows = with_carried(rows, partition, begun, lambda x, w: F.sum(x).over(w), "__games")
+    number = F.sum("__begins").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("__games", F.lit(0))
+    return rows.select(*df.columns, number.alias("game_no"))
+
+
+def last_known(df: DataFrame, key: str, order: str, value: Column, name: str, ranges: int | None = None) -> DataFrame:
+    """df with `name`: the last value that isn't null of the rows of the same key before, in order; carried over ranges as in assign_game_id."""
+    rows = in_ranges(df.withColumn("__value", value), [key, order], ranges)
+    found = rows.groupBy(key, "__part").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(order))).alias("x"))
+    rows = with_carried(rows, key, found, lambda x, w: F.last(x, ignorenulls=True).over(w), "__carried")
+    inside = F.last("__value", ignorenulls=True).over(W.partitionBy(key, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn(name, F.coalesce(inside, "__carried")).drop("__value", "__carried", "__part")
 
 
 def decayed_average(df: DataFrame, run: str, order: list[str], value: str, decay: float = 0.995, buckets: Column | None = None) -> DataFrame:
     """(run, n, average): values of each run weighted by decay ** (rows since), null values left out.
 
-    `buckets`, which must not fall as the order rises, cuts each run into stretches: their counts, one row each, tell how many
-    rows come later, so that no task needs a whole run; sums are made on the map side first.
+    `buckets`, which must not fall as the order rises, cuts each run into stretches, by default ranges of the order: their counts, one
+    row each, tell how many rows come later, so that no task needs a whole run; sums are made on the map side first.
     """
-    rows = df.where(F.col(value).isNotNull()).select(run, *order, F.col(value).cast("double").alias("__v"), (buckets if buckets is not None else F.lit(0)).alias("__b"))
+    rows = df.where(F.col(value).isNotNull()).select(run, *order, F.col(value).cast("double").alias("__v"), *([] if buckets is None else [buckets.alias("__b")]))
+    rows = in_ranges(rows, [run, *order]).withColumnRenamed("__part", "__b") if buckets is None else rows
     counts = rows.groupBy(run, "__b").agg(F.count(F.lit(1)).alias("__n"))
     later = F.sum("__n").over(W.partitionBy(run).orderBy(F.col("__b").desc()).rowsBetween(W.unboundedPreceding, 0))
     inside = F.row_number().over(W.partitionBy(run, "__b").orderBy(*order))

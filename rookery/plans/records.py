@@ -101,7 +101,7 @@ PLACE = "(score = 0 AND result <> 0 AND coalesce(abs(last_value(CASE WHEN score
 
 @query("drop_placeholder_zero", "evals", f"SELECT event_id, score FROM (SELECT *, {PLACE} AS p FROM evals) WHERE NOT p")
 def _(v):
-    return filters.drop_placeholder_zero(v("evals")).select("event_id", "score")
+    return filters.drop_placeholder_zero(v("evals"), ranges=12).select("event_id", "score")
 
 
 @query("drop_early", "evals", "SELECT event_id, ply FROM evals WHERE ply > 12")
@@ -168,7 +168,7 @@ def _(v):
 @query("assign_game_id", "evals", """WITH r AS (SELECT *, game_id % 8 AS part FROM evals), b AS (SELECT *, CASE WHEN coalesce(result = -lag(result) OVER w AND ply = lag(ply) OVER w + 1, false) THEN 0 ELSE 1 END AS begins FROM r WINDOW w AS (PARTITION BY part ORDER BY game_id, ply))
 SELECT event_id, CAST(sum(begins) OVER (PARTITION BY part ORDER BY game_id, ply) AS BIGINT) AS game_no FROM b""")
 def _(v):
-    return sequence.assign_game_id(v("evals").withColumn("part", C("game_id") % 8), "part", ["game_id", "ply"]).select("event_id", "game_no")
+    return sequence.assign_game_id(v("evals").withColumn("part", C("game_id") % 8), "part", ["game_id", "ply"], ranges=12).select("event_id", "game_no")
 
 
 BUCKETS = "perf AS (SELECT CAST(round_even(score / 16.0e0, 0) * 16 AS BIGINT) AS bucket, sum((result + 1) / 2.0e0) AS total, count(*) AS n, avg((result + 1) / 2.0e0) AS mean FROM evals WHERE score <> 32002 GROUP BY 1)"

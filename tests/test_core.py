@@ -308,6 +308,38 @@ def test_fit_and_jitter(spark):
     assert abs(grid[np.argmin([cost(c) for c in grid])] - k) < 2e-4 * k and inverse == pytest.approx(1 / k)
 
 
+def test_islands_are_carried_over_ranges(spark):
+    """One partition value in many tasks: games and last known scores as plain loops give them, for any number of ranges."""
+    from rookery.operators import sequence
+
+    rng = np.random.default_rng(11)
+    rows, at = [], 0
+    for g in range(60):
+        for ply in range(rng.integers(1, 90) if g else 900):
+            rows.append((None if g == 59 else 0 if g < 50 else 1, at, ply, (-1) ** ply * (g % 3 - 1), int(rng.choice((0, 0, 32002, 50, 500, -700))), g))
+            at += 1
+    df = spark.createDataFrame(rows, "part int, at long, ply int, result int, score int, game int").repartition(7)
+    want, number, before = {}, {}, {}
+    for part, at, ply, result, *_ in rows:
+        last = before.get(part)
+        number[part] = number.get(part, 0) + (not (last and result == -last[0] and ply == last[1] + 1))
+        before[part] = (result, ply)
+        want[at] = number[part]
+    kept, known = set(), {}
+    for _, at, _, result, score, game in rows:
+        if not (score == 0 and result and abs(known.get(game, 0)) > 100):
+            kept.add(at)
+        if score not in (0, 32002):
+            known[game] = score
+    for ranges in (1, 9, 40):
+        told = sequence.assign_game_id(df, "part", ["at"], ranges=ranges)
+        assert {r.at: r.game_no for r in told.collect()} == want and told.columns == [*df.columns, "game_no"]
+        assert {r.at for r in filters.drop_placeholder_zero(df, "game", "ply", ranges=ranges).collect()} == kept
+    assert sequence.in_ranges(df.where("part = 0"), ["part", "at"], 9).select("__part").distinct().count() == 9
+    every = [r.average for r in sequence.decayed_average(df, "part", ["at"], "score", 0.9, F.lit(0)).orderBy("part").collect()]
+    assert np.allclose(every, [r.average for r in sequence.decayed_average(df, "part", ["at"], "score", 0.9).orderBy("part").collect()])
+
+
 def test_series_are_carried_from_fold_to_fold(spark, monkeypatch):
     """Over several levels of folds, against a loop; and the jitter's spread in the long run."""
     from rookery.operators import sequence
