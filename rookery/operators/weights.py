@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,11 +39,17 @@ def remap_export_rows(weights: DataFrame, inverse: bool = False, key: str = "in_
     return weights.join(F.broadcast(m), key).withColumn(key, F.col("__to")).select(*weights.columns)
 
 
-def initial_psqt(spark: SparkSession) -> DataFrame:
-    """(in_idx, w), 24 576 rows: what a piece is worth, negative for the other side's, the same on all squares; kings 0."""
-    plane = F.floor(F.col("in_idx") / 64).cast("int") % 12
+def start_worth(in_idx: Column) -> Column:
+    """What the piece of an input is worth at the start, negative for the other side's, the same on all squares; kings 0. Planes repeat every 768
+    inputs, so an input of any number has its worth."""
+    plane = F.pmod(F.floor(in_idx / 64), F.lit(12)).cast("int")
     worth = F.get(F.array(*map(F.lit, (*START_VALUES, 0))), F.floor(plane / 2).cast("int"))
-    return spark.range(32 * PLANES).select(F.col("id").cast("int").alias("in_idx")).select("in_idx", (F.when(plane % 2 == 0, worth).otherwise(-worth) / TO_SCORE).alias("w"))
+    return F.when(plane % 2 == 0, worth).otherwise(-worth) / TO_SCORE
+
+
+def initial_psqt(spark: SparkSession) -> DataFrame:
+    """(in_idx, w), 24 576 rows: start_worth of the inputs of 32 king buckets."""
+    return spark.range(32 * PLANES).select(F.col("id").cast("int").alias("in_idx")).select("in_idx", start_worth(F.col("in_idx")).alias("w"))
 
 
 def weight_histogram(weights: DataFrame, bins: int, by: list[str], w: str = "w") -> DataFrame:

@@ -420,3 +420,10 @@ def test_files(spark, tmp_path):
     assert [(r.epoch, r.step, r.loss, r.message, r.out_of_memory) for r in rows] == [(None, None, None, "hello", False), (3, 20, 0.125, None, False), (None, None, None, "CUDA out of memory", True)]
     batching.write_training_shards(batching.assign_shard(spark.range(10).withColumnRenamed("id", "chunk_no"), 2), str(tmp_path / "shards"), ["chunk_no"])
     assert spark.read.parquet(str(tmp_path / "shards")).where("shard = 1").count() == 5
+
+
+def test_start_worth_of_inputs_beyond_the_default_net(spark, tmp_path):
+    """A weight table of more inputs than 32 king buckets loses none."""
+    spark.createDataFrame([(24_575, [0.5, 1.5]), (24_576, [0.25, 0.75]), (24_576 + 64, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.in_idx: (r.start, r["mean"]) for r in QUERIES["initial_psqt"](spark, str(tmp_path)).collect()}
+    assert got == {24_575: (0.0, 1.0), 24_576: (0.21, 0.5), 24_640: (-0.21, 1.5)}
