@@ -197,5 +197,6 @@ def find_permutation(acts: DataFrame, n: int, block: int = BLOCK, rounds: int =
 
 
 def collect_activations(halves: DataFrame) -> DataFrame:
-    """(sample_id, neuron, is_zero) from pairwise activations: each perspective of a position is a sample."""
-    return halves.select((F.col("row_id") * 2 + F.col("perspective")).alias("sample_id"), F.col("out_idx").alias("neuron"), (F.col("value") <= 0).alias("is_zero"))
+    """(sample_id, neuron, is_zero) from pairwise activations (row_id, perspective, values): each perspective of a position is a sample."""
+    rows = halves.select((F.col("row_id") * 2 + F.col("perspective")).alias("sample_id"), F.posexplode("values").alias("neuron", "value"))
+    return rows.select("sample_id", "neuron", (F.col("value") <= 0).alias("is_zero"))

@@ -427,3 +427,28 @@ def test_start_worth_of_inputs_beyond_the_default_net(spark, tmp_path):
     spark.createDataFrame([(24_575, [0.5, 1.5]), (24_576, [0.25, 0.75]), (24_576 + 64, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.in_idx: (r.start, r["mean"]) for r in QUERIES["initial_psqt"](spark, str(tmp_path)).collect()}
     assert got == {24_575: (0.0, 1.0), 24_576: (0.21, 0.5), 24_640: (-0.21, 1.5)}
+
+
+def test_sums_stay_one_vector_a_row(spark, monkeypatch):
+    """Vectors equal the dense product, by matrix and by blocks; only features in use come to the driver, however long the weight table."""
+    f = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), ("b", -1), ("c", 99), ("d", None)], "row_id string, feature int")
+    w = spark.range(5000).select(F.col("id").alias("feature"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("out_idx")).withColumn("w", F.col("feature") * 10.5 + F.col("out_idx"))
+    used = scoring.weights_in_use(f, w)
+    assert sorted(r.feature for r in used.select("feature").distinct().collect()) == [1, 3, 99]
+    assert scoring.weight_matrix(used).shape == (100, 4)
+    value = lambda *xs: [sum(x * 10.5 + o for x in xs) for o in range(4)]
+    want = {"a": value(1, 1, 3), "b": [0.0] * 4, "c": value(99), "d": [0.0] * 4}
+    assert {r.row_id: r["values"] for r in scoring.linear_vectors(f, w, f).collect()} == want
+    halves = scoring.pairwise_activation(spark.createDataFrame([(1, [0.5, 2.0, 0.5, -1.0])], "row_id int, values array<double>"), 2).first()
+    assert halves["values"] == [0.25, 0.0]
+    numbers = f.select(F.ascii("row_id").alias("row_id"), "feature")
+    monkeypatch.setattr(scoring, "MATRIX_ENTRIES", 10)
+    assert {chr(r.row_id): r["values"] for r in scoring.linear_vectors(numbers, w, numbers).collect()} == want
+
+
+def test_activations_shuffle_no_row_per_output(spark, sf):
+    """The plans group features by row and nothing behind that."""
+    for name in ("pairwise_activation", "collect_activations", "bucketed_dense", "score_positions"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        behind = plan.split("MapInArrow")[0]
+        assert "MapInArrow" in plan and "Join" not in behind and "Aggregate" not in behind, name
