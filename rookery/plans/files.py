@@ -25,6 +25,13 @@ def written(v, writer, name: str) -> tuple:
 BACK = "ply, C_MOVE, score, result FROM positions".replace("C_MOVE", "move_from, move_to, 'normal' AS kind")
 
 
+def decoded(spark, root: str):
+    """The rows of the chunk files below root, decoded once into a table, as numbering reads them twice."""
+    rows = binary.read_binpack(spark, f"{root}/*.binpack")
+    rows.write.parquet(f"{root}/rows")
+    return spark.read.schema(rows.schema).parquet(f"{root}/rows")
+
+
 def moved(df, fen):
     return df.select(fen.alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")
 
@@ -47,7 +54,7 @@ def _(v):
 def _(v):
     """Rows in order of their games' numbers, which follow files, chunks and stems; the FEN's move counter comes from the ply and is left out."""
     spark, root = written(v, packing.write_binpack, "chunks")
-    rows = binary.read_binpack(spark, f"{root}/*.binpack")
+    rows = decoded(spark, root)
     file = F.regexp_extract("path", r"(\d+)\.binpack$", 1).cast("bigint")
     numbered = batching.global_index(rows.withColumn("file", file), ["file", "chunk_no", "pos_in_chunk"], C("file"), "row_no")
     five = F.array_join(F.slice(F.split("fen", " "), 1, 5), " ")
@@ -99,7 +106,7 @@ def five():
 def _(v):
     """Games with move lists, castlings among them, in order."""
     spark, root = written_games(v, "games")
-    rows = binary.read_binpack(spark, f"{root}/*.binpack")
+    rows = decoded(spark, root)
     file = F.regexp_extract("path", r"(\d+)\.binpack$", 1).cast("bigint")
     numbered = batching.global_index(rows.withColumn("file", file), ["file", "chunk_no", "pos_in_chunk"], C("file"), "row_no")
     return numbered.select("row_no", five().alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")
@@ -116,8 +123,9 @@ def _(v):
 
 @query("read_indexed", "positions", f"WITH {PLIES} SELECT fen, ply, move_from, move_to, kind, score, result FROM plies WHERE ply BETWEEN 10 AND 30 AND score >= 200")
 def _(v):
-    """Files by ply, their statistics as a table, and a read by bounds that leaves out the chunks beyond them."""
-    spark, root = written_games(v, "games", F.floor(C("ply") / 8))
+    """Files by ply, their statistics as a table, and a read by bounds that leaves out the chunks beyond them. A file has the rows of at most
+    20 000 events, so files grow in number, not in length."""
+    spark, root = written_games(v, "games", F.concat_ws("-", F.floor(C("ply") / 8), F.floor(C("event_id") / 20_000)))
     binary.chunk_statistics(spark, f"{root}/*.binpack").write.parquet(f"{root}/index")
     rows = binary.read_indexed(spark.read.parquet(f"{root}/index"), ply=(10, 30), score=(200, None))
     return rows.select(five().alias("fen"), "ply", C("move.from").alias("move_from"), C("move.to").alias("move_to"), C("move.type").alias("kind"), "score", "result")

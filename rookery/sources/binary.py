@@ -8,6 +8,7 @@ from __future__ import annotations
 import operator
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,6 +30,8 @@ FILE_SHIFT, CHUNK_SHIFT = 44, 22
 NO_FILE = -1
 #: Bytes of a file that make a partition of the data source, and the most partitions of one file.
 PARTITION_BYTES, PARTITIONS_PER_FILE = 64 << 20, 64
+#: Bytes of chunks or records, some 30 000 positions, that make a task of a reader; bytes of records that are one range.
+TASK_BYTES, RANGE = 1 << 20, RECORD * 20_000
 MOVE = pa.struct([("from", pa.int32()), ("to", pa.int32()), ("type", pa.string()), ("promo", pa.int32())])
 SCHEMA = "game_id long, ply int, fen string, move struct<from:int,to:int,type:string,promo:int>, score int, result int, path string, chunk_no long, pos_in_chunk int"
 #: Move types by the two bits of either format.
@@ -40,17 +43,26 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.string(), MOVE, pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
     names = ["game_id", "ply", "fen", "move", "score", "result", "path", "chunk_no", "pos_in_chunk"]
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-
-def _move(m: tuple[int, int, str, int]) -> dict:
-    return {"from": m[0], "to": m[1], "type": m[2], "promo": None if m[3] < 0 else m[3]}
+    frm, to, kind, promo = zip(*cols[3], strict=True) if rows else [()] * 4
+    promo = pa.array([None if x < 0 else x for x in promo], pa.int32())
+    cols[3] = pa.StructArray.from_arrays([pa.array(frm, pa.int32()), pa.array(to, pa.int32()), pa.array(kind, pa.string()), promo], fields=list(MOVE))
+    return pa.RecordBatch.from_arrays([c if k is MOVE else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def fixed_record(raw: bytes) -> tuple[str, tuple[int, int, str, int], int, int, int]:
     """(fen, move, score, ply, result) of a 40-byte record. Bits run from the low end of each byte: the side to move, the kings,
     the other squares from a8 (a set first bit is followed by three of the piece and one of the colour), rights, en passant, counters."""
-    bits, at = int.from_bytes(raw[:32], "little"), 0
+    score, packed, ply, result = struct.unpack_from("<hHHb", raw, 32)
+    kind = FIXED_TYPES[packed >> 14]
+    to, frm = packed & 63, packed >> 6 & 63
+    promoted = (1 + (packed >> 12 & 3)) * 2 + (to // 8 != 7) if kind == "promotion" else -1
+    return _fixed_fen(bytes(raw[:32])), (frm, to, kind, promoted), score, ply, result
+
+
+@lru_cache(1 << 14)
+def _fixed_fen(raw: bytes) -> str:
+    """The FEN of a record's first 32 bytes; positions that recur are remembered."""
+    bits, at = int.from_bytes(raw, "little"), 0
 
     def take(n: int) -> int:
         nonlocal at
@@ -68,12 +80,7 @@ def fixed_record(raw: bytes) -> tuple[str, tuple[int, int, str, int], int, int,
     rule50, full = take(6), take(8)
     full |= take(8) << 8
     rule50 |= take(1) << 6
-    score, packed, ply, result = struct.unpack_from("<hHHb", raw, 32)
-    kind = FIXED_TYPES[packed >> 14]
-    to, frm = packed & 63, packed >> 6 & 63
-    promoted = (1 + (packed >> 12 & 3)) * 2 + (to // 8 != 7) if kind == "promotion" else -1
-    board = Board(pieces, side, rights, ep, rule50, 2 * (max(full, 1) - 1) + side)
-    return board.fen(), (frm, to, kind, promoted), score, ply, result
+    return Board(pieces, side, rights, ep, rule50, 2 * (max(full, 1) - 1) + side).fen()
 
 
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
@@ -84,15 +91,32 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def read_fixed_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of SCHEMA from files of 40-byte records; files are split between tasks. A record knows no game, chunk or path: those are null."""
+    """Rows of SCHEMA from files of 40-byte records, cut into ranges of bytes that are dealt over tasks, each read where it lies. A file that
+    ends inside a record is an error. A record knows no game, chunk or path: those are null."""
+    files = _files(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = map(fixed_record, batch.column("raw").to_pylist())
-            yield _table([(None, ply, fen, _move(move), score, result, None, None, None) for fen, move, score, ply, result in decoded])
+            for r in batch.to_pylist():
+                if r["length"] % RECORD:
+                    raise ValueError(f"{r['path']} ends inside a record")
+                fs, name = opened(r["path"])
+                with fs.open_input_file(name) as f:
+                    for at in range(r["at"], min(r["at"] + RANGE, r["length"]), RECORD * 10_000):
+                        f.seek(at)
+                        raw = f.read(min(RECORD * 10_000, r["at"] + RANGE - at))
+                        decoded = (fixed_record(raw[i : i + RECORD]) for i in range(0, len(raw), RECORD))
+                        yield _table([(None, ply, fen, move, score, result, None, None, None) for fen, move, score, ply, result in decoded])
+
+    ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long"))).alias("at"))
+    return ranges.repartition(_tasks(files), "path", "at").mapInArrow(run, SCHEMA)
 
-    records = spark.createDataFrame(spark.sparkContext.binaryRecords(path, RECORD).map(lambda b: (bytearray(b),)), "raw binary")
-    return records.mapInArrow(run, SCHEMA)
+
+def _tasks(files: DataFrame, length: str = "length") -> int:
+    """Tasks that files' bytes are dealt over, a megabyte each. The rows that name them are few and small, so Spark, left to choose, would put
+    them together in a task or two."""
+    size = files.agg(F.sum(length)).first()[0] or 0
+    return min(4096, max(files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def chunk_heads(file, length: int) -> Iterator[tuple[int, int, int]]:
@@ -132,21 +156,31 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"file_no": pa.array([no] * len(n), pa.int32()), "path": [path] * len(n), "chunk_no": pa.array(n, pa.int64()), "offset": pa.array(at, pa.int64()), "size": pa.array(size, pa.int64())})
 
 
-def _index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    files = _files(spark, paths)
-    dealt = files.repartition(max(1, min(files.count(), 4096)), "path")
+def _index(files: DataFrame) -> DataFrame:
+    dealt = files.repartition(max(1, min(files.count(), _tasks(files))), "path")
     return dealt.select("file_no", "path", "length").mapInArrow(_heads, INDEX)
 
 
 def binpack_chunk_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, chunk_no, offset, size) of all chunks, from their heads alone, each file walked by one task; files may be of any size."""
-    return _index(spark, paths).drop("file_no")
+    return _index(_files(spark, paths)).drop("file_no")
 
 
 def stem(raw: bytes) -> tuple[Board, tuple[int, int, str, int], int, int]:
     """(board, move, score, result) of the 32 bytes that begin a game: occupied squares, a nibble per piece, move, score, ply and
     result, halfmove clock. Nibble 12 is a pawn just moved two squares, 13 and 14 are rooks with their castling right, 15 is the
     black king with black to move."""
+    pieces, side, rights, ep = _stem_board(bytes(raw[:24]))
+    packed, score, ply_result, rule50 = struct.unpack(">HHHH", raw[24:32])
+    ply = ply_result & 0x3FFF
+    kind, frm, to = PACKED_TYPES[packed >> 14], packed >> 8 & 63, packed >> 2 & 63
+    promoted = (1 + (packed & 3)) * 2 + (to // 8 != 7) if kind == "promotion" else -1
+    return Board(list(pieces), side, rights, ep, rule50, ply), (frm, to, kind, promoted), _signed(score), _signed(ply_result >> 14)
+
+
+@lru_cache(1 << 14)
+def _stem_board(raw: bytes) -> tuple[tuple[int, ...], int, int, int]:
+    """(pieces, side, rights, en-passant square) of a stem's first 24 bytes; positions that recur are remembered."""
     occupied = int.from_bytes(raw[:8], "big")
     pieces, side, rights, ep, k = [-1] * 64, 0, 0, -1, 0
     for sq in range(64):
@@ -164,11 +198,7 @@ def stem(raw: bytes) -> tuple[Board, tuple[int, int, str, int], int, int]:
             pieces[sq], side = 11, 1
         else:
             pieces[sq] = nibble
-    packed, score, ply_result, rule50 = struct.unpack(">HHHH", raw[24:32])
-    ply = ply_result & 0x3FFF
-    kind, frm, to = PACKED_TYPES[packed >> 14], packed >> 8 & 63, packed >> 2 & 63
-    promoted = (1 + (packed & 3)) * 2 + (to // 8 != 7) if kind == "promotion" else -1
-    return Board(pieces, side, rights, ep, rule50, ply), (frm, to, kind, promoted), _signed(score), _signed(ply_result >> 14)
+    return tuple(pieces), side, rights, ep
 
 
 def _signed(v: int) -> int:
@@ -265,7 +295,7 @@ def _chunk_batches(file, file_no: int, path: str, chunk_no: int, offset: int, si
     file.seek(offset)
     rows = []
     for stem_no, place, ply, fen, move, score, result in chunk_rows(file.read(size), keep):
-        rows.append((_game_id(file_no, path, chunk_no, stem_no), ply, fen, _move(move), score, result, path, chunk_no, place))
+        rows.append((_game_id(file_no, path, chunk_no, stem_no), ply, fen, move, score, result, path, chunk_no, place))
         if len(rows) == 10_000:
             yield _table(rows)
             rows = []
@@ -273,10 +303,9 @@ def _chunk_batches(file, file_no: int, path: str, chunk_no: int, offset: int, si
         yield _table(rows)
 
 
-def _decoded(index: DataFrame, keep: Callable[[int, int, int], bool] | None = None, partitions: int | None = None, chunks_read=None) -> DataFrame:
+def _decoded(index: DataFrame, keep: Callable[[int, int, int], bool] | None = None, partitions: int = 1, chunks_read=None) -> DataFrame:
     """Rows of SCHEMA of the chunks of an index, dealt over tasks; chunks_read, an accumulator, counts those that are read."""
-    key = F.xxhash64("path", "chunk_no")
-    dealt = index.repartition(partitions, key) if partitions else index.repartition(key)
+    dealt = index.repartition(partitions, F.xxhash64("path", "chunk_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +323,8 @@ def read_binpack(spark: SparkSession, paths: str | list[str], partitions: int |
     """Rows of SCHEMA from chunk files: the index of chunks is dealt over tasks, and each reads and decodes its chunks' bytes. game_id
     is unique over all files read together. Write the result as Parquet before filtering it again and again; for filters of ply, score
     and result read with an index of statistics (read_indexed), or the data source (ChunkSource)."""
-    return _decoded(_index(spark, paths), partitions=partitions)
+    files = _files(spark, paths)
+    return _decoded(_index(files), partitions=partitions or _tasks(files))
 
 
 STATISTICS = ("ply", "score", "result")
@@ -303,9 +333,8 @@ STATISTICS = ("ply", "score", "result")
 def chunk_statistics(spark: SparkSession, paths: str | list[str], partitions: int | None = None) -> DataFrame:
     """The index of chunks with n_rows and the least and largest ply, score and result of each: min_ply, max_ply and so on. Every chunk is
     decoded once, without FENs. Write it as Parquet beside the files: it is what read_indexed chooses chunks by."""
-    key = F.xxhash64("path", "chunk_no")
-    index = _index(spark, paths)
-    dealt = index.repartition(partitions, key) if partitions else index.repartition(key)
+    files = _files(spark, paths)
+    dealt = _index(files).repartition(partitions or _tasks(files), F.xxhash64("path", "chunk_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +369,7 @@ def read_indexed(index: DataFrame, partitions: int | None = None, chunks_read=No
         index = index if low is None else index.where(F.col(f"max_{c}") >= low)
         index = index if high is None else index.where(F.col(f"min_{c}") <= high)
     limits = [(STATISTICS.index(c), -1 << 31 if low is None else low, 1 << 31 if high is None else high) for c, (low, high) in bounds.items()]
-    return _decoded(index, lambda *row: all(low <= row[i] <= high for i, low, high in limits), partitions, chunks_read)
+    return _decoded(index, lambda *row: all(low <= row[i] <= high for i, low, high in limits), partitions or _tasks(index, "size"), chunks_read)
 
 
 def stream_binpack(spark: SparkSession, folder: str, files_per_trigger: int = 16) -> DataFrame:
@@ -350,7 +379,8 @@ def stream_binpack(spark: SparkSession, folder: str, files_per_trigger: int = 16
     arriving files have no number."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = files.option("maxFilesPerTrigger", files_per_trigger).load(folder).select(F.lit(NO_FILE).alias("file_no"), "path", "length")
-    return _decoded(files.repartition(F.col("path")).mapInArrow(_heads, INDEX))
+    tasks = spark.sparkContext.defaultParallelism
+    return _decoded(files.repartition(tasks, F.col("path")).mapInArrow(_heads, INDEX), partitions=tasks)
 
 
 class ChunkRange(InputPartition):

@@ -5,7 +5,9 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from rookery.plans import packing
 from rookery.sources import binary
 from rookery.sources.chess_rules import BLACK_LONG, BLACK_SHORT, WHITE_LONG, WHITE_SHORT, Board
 from tests.test_core import FENS
@@ -246,3 +248,24 @@ def test_first_example_of_the_readme(spark, tmp_path):
 
     reasons = {r.reject_reason for r in apply_skip_config(spark.read.parquet(f"{tmp_path}/records"), SkipConfig(), key=["game_id", "ply"], audit=True).collect()}
     assert {"not_quiet", "result", "soft_early", "piece_count", None} <= reasons
+
+
+def test_few_rows_of_an_index_are_many_tasks(spark, tmp_path):
+    """An index is small, but its chunks aren't: Spark mustn't put its partitions together."""
+    chunk_file(tmp_path / "a.binpack", range(24))
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(binary.read_binpack(spark, str(tmp_path))) > 3
+    assert tasks(binary.chunk_statistics(spark, str(tmp_path))) > 3
+    assert tasks(binary.read_indexed(binary.chunk_statistics(spark, str(tmp_path)))) > 3
+
+
+def test_fixed_records_are_cut_into_ranges(spark, tmp_path, monkeypatch):
+    record = packing.fixed_bytes("8/8/4k3/8/3P4/3K4/8/8 w - - 4 60", 19, 28, "normal", -7, 118, 1)
+    (tmp_path / "a.bin").write_bytes(record * 25)
+    monkeypatch.setattr(binary, "RANGE", 40 * 10)
+    rows = binary.read_fixed_records(spark, str(tmp_path / "*.bin"))
+    assert rows.count() == 25 and rows.distinct().count() == 1 and rows.first().score == -7
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    (tmp_path / "b.bin").write_bytes(record + record[:10])
+    with pytest.raises(Exception, match="ends inside a record"):
+        binary.read_fixed_records(spark, str(tmp_path / "*.bin")).count()
