@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rookery.functions.folders import shared_folder
 from rookery.operators.filters import SkipConfig
@@ -21,8 +22,10 @@ from rookery.streaming import streams
 
 C = F.col
 PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A file lands with about this many rows; waves of files are no larger than this.
+#: A file lands with about this many rows; a wave of files brings a key about this many at most, as a task holds a key's rows.
 FILE_ROWS, WAVE_ROWS = 250_000, 1_000_000
+#: Triggers in which files that wait are taken, where an operator holds no rows of a trigger in memory.
+TRIGGERS = 8
 
 
 @contextmanager
@@ -40,11 +43,17 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
 
 
 def landed(df: DataFrame, name: str, least: int = 4) -> tuple[DataFrame, str]:
-    """df written as files, `least` at least, and a stream that reads two of them at a time."""
+    """df written as files, `least` at least, and a stream that reads them in TRIGGERS triggers, or two at a time where there are few."""
     spark = df.sparkSession
     root = shared_folder(spark, name)
-    df.repartition(max(least, -(-df.count() // FILE_ROWS))).write.parquet(f"{root}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), root
+    files = max(least, -(-df.count() // FILE_ROWS))
+    df.repartition(files).write.parquet(f"{root}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger(files, 2)).parquet(f"{root}/in"), root
+
+
+def per_trigger(files: int, least: int) -> int:
+    """Files a trigger. Every trigger costs the same jobs, commits and reports of tasks, so their number doesn't grow with the input."""
+    return max(least, -(-files // TRIGGERS))
 
 
 def put_to(stream: DataFrame, root: str, mode: str = "append"):
@@ -56,19 +65,24 @@ def put_to(stream: DataFrame, root: str, mode: str = "append"):
     return out.foreachBatch(put).start()
 
 
-def in_waves(df: DataFrame, name: str, position: Column, operator: Callable[[DataFrame], DataFrame], mode: str = "append", least: int = 3) -> DataFrame:
+def in_waves(df: DataFrame, name: str, key: str, position: Column, operator: Callable[[DataFrame], DataFrame], mode: str = "append", least: int = 3) -> DataFrame:
     """What a stream with state leaves when its files arrive in waves, in order of `position`: after each wave the query is started
-    again from its checkpoint and takes the wave in one trigger, so state goes from trigger to trigger and from start to start."""
+    again from its checkpoint and takes the wave in one trigger, so state goes from trigger to trigger and from start to start. df is worked
+    out once, into a table by wave; there are as many waves as the key of most rows needs."""
     spark = df.sparkSession
     root = shared_folder(spark, name)
-    rows = df.withColumn("__at", position)
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("__at"), F.max("__at")).first()
-    low, high = (low, high) if n else (0, 0)
+    df.withColumn("__at", position).write.parquet(f"{root}/rows")
+    rows = spark.read.parquet(f"{root}/rows")
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"), F.max("__at").alias("high"))
+    n, low, high = held.agg(F.max("n"), F.min("low"), F.max("high")).first()
+    n, low, high = (n, low, high) if n else (0, 0, 0)
     waves = max(least, -(-n // WAVE_ROWS))
     wave = F.least(F.floor((F.col("__at") - F.lit(low)) * waves / (high - low + 1)), F.lit(waves - 1))
+    rows.withColumn("__wave", wave.cast("int")).drop("__at").write.partitionBy("__wave").parquet(f"{root}/waves")
+    dealt = spark.read.schema(T.StructType([*df.schema, T.StructField("__wave", T.IntegerType())])).parquet(f"{root}/waves")
     with rocks_state(spark):
         for i in range(waves):
-            rows.where(wave == i).drop("__at").write.mode("append").parquet(f"{root}/in")
+            dealt.where(F.col("__wave") == i).select(*df.columns).write.mode("append").parquet(f"{root}/in")
             put_to(operator(spark.readStream.schema(df.schema).parquet(f"{root}/in")), root, mode).awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
@@ -93,13 +107,13 @@ chosen AS (SELECT event_id, row_id, CASE WHEN split_part(fen, ' ', 2) = 'w' THEN
   AND {u('row_id', chr(39) + 'result' + chr(39))} < {RESULT_PROB} AND NOT (ply < 20 AND {u('row_id', chr(39) + 'soft' + chr(39))} >= {SOFT}))
 SELECT c.row_id, us, score, md5(w.features) AS white_md5, md5(b.features) AS black_md5 FROM chosen c JOIN packed w ON w.row_id = event_id AND w.perspective = 0 JOIN packed b ON b.row_id = event_id AND b.perspective = 1""")
 def _(v):
-    """Chunk files arrive in two waves; the query is started again from its checkpoint for the second, and takes one file a trigger."""
+    """Chunk files arrive in two waves; the query is started again from its checkpoint for the second, and takes a wave in TRIGGERS triggers, or one file a trigger."""
     p = v("positions").withColumn("file", F.floor(C("event_id") / 2000))
     spark, root = p.sparkSession, shared_folder(p.sparkSession, "chunks")
     file = F.regexp_extract("path", r"(\d+)\.binpack$", 1)
     for wave in (0, 1):
-        packing.write_binpack(p.where(C("file") % 2 == wave), f"{root}/in", "file", "event_id")
-        records = stream_binpack(spark, f"{root}/in", 1).withColumn("row_id", F.concat_ws("/", file, "chunk_no", "pos_in_chunk"))
+        files = packing.write_binpack(p.where(C("file") % 2 == wave), f"{root}/in", "file", "event_id")
+        records = stream_binpack(spark, f"{root}/in", per_trigger(files, 1)).withColumn("row_id", F.concat_ws("/", file, "chunk_no", "pos_in_chunk"))
         streams.write_training_rows(records, f"{root}/out", f"{root}/cp", SkipConfig(quiet=False, thin_random=1), "row_id").awaitTermination()
     digest = lambda c: F.md5(F.array_join(C(c).cast("array<string>"), ",")).alias(f"{c}_md5")
     return spark.read.parquet(f"{root}/out").select("row_id", "us", "score", digest("white"), digest("black"))
@@ -116,7 +130,7 @@ def _(v):
 def _(v):
     """The log grows in waves of steps; the row of most values of each run is its average."""
     rows = one_per_step(v).withColumnRenamed("train_loss", "value")
-    out = in_waves(rows, "average", C("step"), streams.stream_decayed_average, "update")
+    out = in_waves(rows, "average", "run_id", C("step"), streams.stream_decayed_average, "update")
     return out.groupBy("run_id").agg(F.max_by(F.struct("n", "average"), "n").alias("a")).select("run_id", "a.n", F.round("a.average", 6).alias("average"))
 
 
@@ -131,7 +145,7 @@ def _(v):
 @query("stream_placeholder_filter", "evals", f"SELECT event_id, score FROM (SELECT *, {PLACE} AS p FROM evals) WHERE NOT p AND score <> 32002")
 def _(v):
     """Games go on from wave to wave: a game's last score is carried over."""
-    return in_waves(v("evals"), "placeholder", C("ply"), streams.stream_placeholder_filter).select("event_id", "score")
+    return in_waves(v("evals"), "placeholder", "game_id", C("ply"), streams.stream_placeholder_filter).select("event_id", "score")
 
 
 #: Counts are halved after every 10 000th record of a shard; instead, later records weigh twice as much here, which leaves all shares as they are.
@@ -148,4 +162,4 @@ factors AS (SELECT shard, since, 0.025e0 / min(ratio) AS factor FROM shares WHER
 def _(v):
     """Running counts go on from wave to wave."""
     rows = v("evals").select((C("event_id") % 4).cast("int").alias("shard"), C("event_id").alias("row_id"), "piece_count")
-    return in_waves(rows, "rebalance", C("row_id"), streams.stream_rebalance).select("shard", "row_id", "piece_count")
+    return in_waves(rows, "rebalance", "shard", C("row_id"), streams.stream_rebalance).select("shard", "row_id", "piece_count")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +68,11 @@ class DecayedAverage(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         total, weight, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0)
-        for v in pd.concat(list(rows)).sort_values("step")["value"].dropna():
-            total, weight, n = total * self.decay + v, weight * self.decay + 1, n + 1
+        values = pd.concat(list(rows)).sort_values("step")["value"].dropna().to_numpy(float)
+        if len(values):
+            ages = self.decay ** np.arange(len(values) - 1, -1, -1, dtype=float)
+            past = self.decay ** len(values)
+            total, weight, n = total * past + float(values @ ages), weight * past + float(ages.sum()), n + len(values)
         self.state.update((total, weight, n))
         yield pd.DataFrame({"run_id": [key[0]], "n": [n], "average": [total / weight if weight else float("nan")]})
 

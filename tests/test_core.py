@@ -452,3 +452,19 @@ def test_activations_shuffle_no_row_per_output(spark, sf):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         behind = plan.split("MapInArrow")[0]
         assert "MapInArrow" in plan and "Join" not in behind and "Aggregate" not in behind, name
+
+
+def test_triggers_and_waves_do_not_grow_with_the_input(spark, monkeypatch):
+    """Files are taken in a few triggers however many there are; waves follow the key of most rows, and rows without any are none."""
+    from types import SimpleNamespace
+
+    from rookery.plans import streams as plans
+
+    assert plans.per_trigger(1000, 2) == 125 and plans.per_trigger(4, 2) == 2
+    starts = []
+    monkeypatch.setattr(plans, "put_to", lambda stream, root, mode: starts.append(root) or spark.read.schema(stream.schema).parquet(f"{root}/in").write.mode("overwrite").parquet(f"{root}/out") or SimpleNamespace(awaitTermination=lambda: None))
+    monkeypatch.setattr(plans, "WAVE_ROWS", 10)
+    rows = spark.range(80).select((F.col("id") % 8).alias("k"), F.floor(F.col("id") / 8).alias("at"))
+    assert plans.in_waves(rows, "waves", "k", F.col("at"), lambda s: s).count() == 80
+    assert len(starts) == 3  # 8 keys of 10 rows each
+    assert plans.in_waves(rows.limit(0), "waves", "k", F.col("at"), lambda s: s).count() == 0
