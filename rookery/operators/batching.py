@@ -104,6 +104,6 @@ def read_shard(spark: SparkSession, path: str, shard: int, from_row: int = 0, na
     if not files:
         return spark.read.parquet(path).limit(0).select(F.lit(0).cast("long").alias("row_no"), "*")
     rows = spark.read.option("basePath", path).parquet(*[f"{path}/{name}={shard}/{f.file}" for f in files])
-    first = F.create_map(*[F.lit(x) for f in files for x in (f.file, f.first_row)])
-    place = first[F.col("_metadata.file_name")] + F.col("_metadata.row_index")
-    return rows.select(place.alias("row_no"), "*").where(F.col("row_no") >= from_row)
+    firsts = F.broadcast(spark.createDataFrame([(f.file, f.first_row) for f in files], "__file string, __first long"))  # the list the driver reads by
+    placed = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at")).join(firsts, "__file")
+    return placed.select((F.col("__first") + F.col("__at")).alias("row_no"), *rows.columns).where(F.col("row_no") >= from_row)

@@ -112,13 +112,15 @@ def read_match_progress(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, epoch, step, name, value) from CSV files whose headers differ; missing and unreadable values give no row.
 
-    Files are read as lines, once for each use; the line that names the columns is that at a file's start, and every other line
-    meets it in a join by path.
+    Files are read as lines, once for each use; the line that names the columns is that at a file's start, told by the least number of a
+    file's lines, so that no line is sorted or held to find it, and every other line meets it in a join by path. The heads, one line a
+    file, are sent to all tasks.
     """
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("line")).where("trim(line) <> ''")
-    heads = lines.where("block = 0").groupBy("path").agg(F.min_by("line", "k").alias("line"))
+    firsts = lines.where("block = 0").groupBy("path").agg(F.min("k").alias("k"))
+    heads = lines.where("block = 0").join(F.broadcast(firsts), ["path", "k"])
     head = heads.select("path", F.split(F.regexp_replace("line", r"\r$", ""), ",").alias("names"))
-    rows = lines.join(head, "path").withColumn("values", F.split(F.regexp_replace("line", r"\r$", ""), ",")).where("values <> names")
+    rows = lines.join(F.broadcast(head), "path").withColumn("values", F.split(F.regexp_replace("line", r"\r$", ""), ",")).where("values <> names")
     cells = rows.select("path", F.map_from_arrays(F.slice("names", F.lit(1), F.least(F.size("names"), F.size("values"))), F.slice("values", F.lit(1), F.least(F.size("names"), F.size("values")))).alias("m"))
     long = cells.select("path", F.col("m")["epoch"].try_cast("int").alias("epoch"), F.col("m")["step"].try_cast("bigint").alias("step"), F.explode("m").alias("name", "text"))
     return long.where(~F.col("name").isin("epoch", "step")).select("path", "epoch", "step", "name", F.col("text").try_cast("double").alias("value")).where("value IS NOT NULL")

@@ -468,3 +468,16 @@ def test_triggers_and_waves_do_not_grow_with_the_input(spark, monkeypatch):
     assert plans.in_waves(rows, "waves", "k", F.col("at"), lambda s: s).count() == 80
     assert len(starts) == 3  # 8 keys of 10 rows each
     assert plans.in_waves(rows.limit(0), "waves", "k", F.col("at"), lambda s: s).count() == 0
+
+
+def test_heads_and_shards_are_found_without_sorts_or_maps(spark, tmp_path):
+    """Heads of metrics come by a least number, and a shard's files by a join: neither holds a file's lines nor walks a list of files per row."""
+    (tmp_path / "m.csv").write_text("epoch,step,loss\n0,1,0.5\n\n0,2,0.25\n")
+    long = text.read_metrics(spark, [str(tmp_path / "m.csv")])
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert "min_by" not in plan and "SortMergeJoin" not in plan and long.count() == 2
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("shard"))
+    batching.write_training_shards(batching.shuffle_rows(rows, "id"), str(tmp_path / "s"), ["shuffle_key", "id"], file_rows=10)
+    back = batching.read_shard(spark, str(tmp_path / "s"), 1, 30)
+    assert "map(" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.row_no for r in back.collect()) == list(range(30, 150))
