@@ -169,6 +169,13 @@ def _boards(batch: pa.RecordBatch) -> Boards:
     return Boards(matrix, tuple(np.asarray(pc.fill_null(batch.column(c), -1), np.int64) for c in ("wk", "bk")))
 
 
+def _distinct(b: Boards) -> tuple[np.ndarray, pa.Array]:
+    """The rows of the batch's different (board, kings), and for each row which of them it is."""
+    keys = np.ascontiguousarray(np.column_stack([b.board, *b.kings]).astype(np.int8)).view("V66").reshape(-1)
+    _, first, again = np.unique(keys, return_index=True, return_inverse=True)
+    return first, pa.array(again.reshape(-1))
+
+
 def _of_lists(column: pa.Array) -> Active:
     sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     return np.repeat(np.arange(len(sizes)), sizes), np.asarray(column.flatten(), np.int64)
@@ -178,7 +185,7 @@ def active_features(parts: list[tuple[int, Callable | str]], keep: list[str]):
     """Function for mapInArrow: the columns `keep`, and `white` and `black`, each row's active features in order. parts are (offset, a
     function of (Boards, perspective), or the stem of two columns that hold the features by side)."""
 
-    def side(b: Boards, batch: pa.RecordBatch, perspective: int) -> pa.Array:
+    def side(b: Boards, n: int, batch: pa.RecordBatch, perspective: int) -> pa.Array:
         rows, features = [], []
         for offset, part in parts:
             r, x = _of_lists(batch.column(f"{part}_{perspective}")) if isinstance(part, str) else part(b, perspective)
@@ -188,12 +195,18 @@ def active_features(parts: list[tuple[int, Callable | str]], keep: list[str]):
             rows.append(r)
             features.append(x + offset)
         both = np.sort((np.concatenate(rows).astype(np.int64) << 32) | np.concatenate(features), kind="stable")
-        ends = np.searchsorted(both >> 32, np.arange(batch.num_rows + 1))
+        ends = np.searchsorted(both >> 32, np.arange(n + 1))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((both & 0xFFFFFFFF).astype(np.int32)))
 
+    own = any(isinstance(part, str) for _, part in parts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = _boards(batch)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), side(b, batch, 0), side(b, batch, 1)], [*keep, "white", "black"])
+            b, again = _boards(batch), None
+            if not own and batch.num_rows:  # features follow from board and kings alone: equal ones are worked out once
+                first, again = _distinct(b)
+                b = Boards(b.board[first], (b.kings[0][first], b.kings[1][first]))
+            sides = [side(b, len(b.board), batch, p) for p in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(s if again is None else s.take(again) for s in sides)], [*keep, "white", "black"])
 
     return run

@@ -83,9 +83,9 @@ def threat_features(positions: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 
 def padded(xs: Column, max_active: int) -> Column:
-    """xs sorted and filled up with -1 to max_active; more active ones are an error."""
+    """xs, in order as feature_arrays gives them, filled up with -1 to max_active; more active ones are an error."""
     n = F.size(xs)
-    full = F.concat(F.sort_array(xs), F.array_repeat(F.lit(-1), F.greatest(F.lit(max_active) - n, F.lit(0))))
+    full = F.concat(xs, F.array_repeat(F.lit(-1), F.greatest(F.lit(max_active) - n, F.lit(0))))
     return F.when(n <= max_active, full).otherwise(F.raise_error(F.lit("too many active features")).cast("array<int>"))
 
 

@@ -481,3 +481,16 @@ def test_heads_and_shards_are_found_without_sorts_or_maps(spark, tmp_path):
     back = batching.read_shard(spark, str(tmp_path / "s"), 1, 30)
     assert "map(" not in back._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.row_no for r in back.collect()) == list(range(30, 150))
+
+
+def test_equal_boards_are_worked_out_once(spark, monkeypatch):
+    from rookery.operators import board_kernel as K
+
+    parsed = B.parse_fen(spark.createDataFrame([(i, FENS[i % 4]) for i in range(40)], "row_id int, fen string").coalesce(1))
+    batch = parsed.select("row_id", "board", "wk", "bk").toArrow().combine_chunks().to_batches()[0]
+    sizes = []
+    half = lambda b, p: sizes.append(len(b.board)) or K.half_king(b, p)
+    (out,) = K.active_features([(0, half)], ["row_id"])(iter([batch]))
+    assert sizes == [4, 4]
+    ones = [next(K.active_features([(0, K.half_king)], ["row_id"])(iter([batch.slice(i, 1)]))) for i in range(8)]
+    assert [o.column("white").to_pylist()[0] for o in ones] == out.column("white").to_pylist()[:8]
