@@ -139,6 +139,20 @@ def _cell(percent: int):
     return run
 
 
+def block_cells(large: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(key, i, j, id, comp) of bucket members (key, rep, comp): cells of two blocks of about `size` members in which all pairs of different
+    components meet. Members of a bucket's largest component aren't compared with each other, so their blocks meet only those of the
+    rest: where one component has nearly all of a bucket, as it has once its hub is verified, rows grow with the members, not with their square."""
+    held = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = held.groupBy("key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("top"), F.max("c").alias("n_top"), F.sum("c").alias("n"))
+    most = most.select("key", "top", F.ceil(F.col("n_top") / size).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("n_top")) / size).cast("int").alias("rests"))
+    dealt = large.join(most, "key").withColumn("rest", F.col("comp") != F.col("top")).withColumn("hash", F.xxhash64("rep"))
+    mine = F.when(F.col("rest"), F.pmod("hash", F.greatest("rests", F.lit(1)))).otherwise(F.col("rests") + F.pmod("hash", "tops")).cast("int")
+    last = F.col("rests") - 1 + F.when(F.col("rest"), F.col("tops")).otherwise(0)
+    cells = dealt.where("rests > 0").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return cells.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("rep").alias("id"), "comp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs (doc_id, text).
 
@@ -189,10 +203,7 @@ def grouped(docs: DataFrame, words: int, percent: int, bands: int = 32, rows: in
     pairs = x.join(y, "key").where("ca <> cb AND a < b").select("a", "b").distinct()
     more = verified(pairs, sets, percent)
     large = placed.where(F.col("m") > BLOCK // 8)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    cells = large.withColumn("blocks", blocks).withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("rep").alias("id"), "comp")
+    cells = block_cells(large)
     filled = cells.join(sets, "id")
     more = more.union(filled.groupBy("key", "i", "j").applyInArrow(_cell(percent), "a long, b long"))
     found = connected_components(links.union(cut(more, "more")), "a", "b")

@@ -452,3 +452,20 @@ def test_components(spark):
     clean = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
     assert got == brute.components({x for e in clean for x in e}, clean)
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_a_buckets_largest_component_is_not_compared_with_itself(spark):
+    """Every pair of different components meets in a cell, and rows grow with a bucket of nearly one component, not with its square."""
+    from itertools import combinations
+
+    from rookery.llm.near_dup import block_cells
+
+    members = [(k, i, 0 if i % 50 else i) for k, n in ((1, 400), (2, 30)) for i in range(1, n)] + [(2, 50, 50), (2, 99, 99)]
+    rows = block_cells(spark.createDataFrame(members, "key long, rep long, comp long"), 8).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.key, r.i, r.j), []).append((r.id, r.comp))
+    met = {(k, *sorted((a, b))) for (k, *_), xs in cells.items() for (a, ca), (b, cb) in combinations(xs, 2) if ca != cb}
+    want = {(k, *sorted((a, b))) for (k, a, ca), (q, b, cb) in combinations(members, 2) if k == q and ca != cb}
+    assert met == want
+    assert len(rows) < 3 * len(members)
